@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexivec.compat import ship_package
+
 #: The white space that separates words: space and the characters U+0009 to U+000D.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -20,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_python(df: DataFrame) -> DataFrame:
+    """df, once its executors can import this package: for what goes through Python functions."""
+    ship_package(df.sparkSession)
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)

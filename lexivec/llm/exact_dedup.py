@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import durable, hinted, table
+from lexivec.llm.common import durable, hinted, table, with_python
 
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 #: Bits of a fingerprint and of its remainder. The uppermost bits name the range of quotients that a filter covers;
@@ -118,7 +118,7 @@ def _bodies(batches):
 
 def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of docs."""
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    d = with_python(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     digests = durable(d.mapInArrow(_digests, "doc_id long, fp long, text_sha256 string, n_code_points long"), "digests")
     range_bits = max(1, (digests.count() // PER_RANGE).bit_length())
     filters = digests.select("fp").mapInArrow(lambda it: _build(it, range_bits), "span int, filter binary")

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from lexivec.llm.chat import OP3_SQL, op3_chat_formatting
 from lexivec.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from lexivec.llm.mixing import OP7_SQL, op7_mixing
+from lexivec.llm.pii import OP4_SQL, op4_pii
 from lexivec.llm.quality import OP5_SQL, op5_quality_rules
+from lexivec.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
+    "op3_chat_formatting": op3_chat_formatting,
+    "op4_pii": op4_pii,
     "op5_quality_rules": op5_quality_rules,
+    "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
 ORACLES = {
+    "op3_chat_formatting": OP3_SQL,
+    "op4_pii": OP4_SQL,
     "op5_quality_rules": OP5_SQL,
+    "op6_warc": OP6_SQL,
     "op7_mixing": OP7_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
