@@ -111,17 +111,21 @@ class _Left:
         return self.lengths[i - 1] if i else None
 
 
-def complements(left: _Left, first: int, gap: int):
-    """Combinations of one, two or three lengths that fill the gap after `first` exactly, longest parts first."""
+def complements(left: _Left, first: int, gap: int, parts: int = 3):
+    """Combinations of up to `parts` lengths, three at most, that fill the gap after `first` exactly, longest parts first."""
     have = left.counts
     able = lambda *x: left.times((first, *x)) > 0
     if gap in have and able(gap):
         yield (gap,)
+    if parts < 2:
+        return
     for a in reversed(left.lengths[: bisect.bisect_right(left.lengths, gap - 1)]):
         if 2 * a < gap:
             break
         if gap - a in have and able(a, gap - a):
             yield (a, gap - a)
+    if parts < 3:
+        return
     for a in reversed(left.lengths[: bisect.bisect_right(left.lengths, gap - 2)]):
         if 3 * a < gap:
             break
@@ -134,7 +138,15 @@ def complements(left: _Left, first: int, gap: int):
 
 
 def plan(counts: dict[int, int], length: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths packed together, how many sequences) of all pieces, given their counts per length."""
+    """(lengths packed together, how many sequences) of all pieces, given their counts per length.
+
+    Triples spend short pieces early, which a small corpus may miss at the end; so the plan is made with combinations of
+    up to three, two and one parts, and the one of fewest sequences holds.
+    """
+    return min((_plan(counts, length, parts) for parts in (3, 2, 1)), key=lambda p: sum(n for _, n in p))
+
+
+def _plan(counts: dict[int, int], length: int, parts: int) -> list[tuple[tuple[int, ...], int]]:
     left, out = _Left(counts), []
 
     def use(lengths: tuple[int, ...], times: int) -> None:
@@ -145,7 +157,7 @@ def plan(counts: dict[int, int], length: int = LENGTH) -> list[tuple[tuple[int,
         use((length,), left.counts[length])
     for first in sorted(left.counts, reverse=True):
         while left.counts.get(first, 0) > 0:
-            found = next(complements(left, first, length - first), None)
+            found = next(complements(left, first, length - first, parts), None)
             if found is None:
                 break
             together = (first, *found)
