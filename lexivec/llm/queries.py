@@ -5,6 +5,7 @@ from __future__ import annotations
 from lexivec.llm.chat import OP3_SQL, op3_chat_formatting
 from lexivec.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from lexivec.llm.mixing import OP7_SQL, op7_mixing
+from lexivec.llm.ngram_join import op10_ngram_jaccard_join
 from lexivec.llm.packing import op9_best_fit_packing
 from lexivec.llm.pii import OP4_SQL, op4_pii
 from lexivec.llm.quality import OP5_SQL, op5_quality_rules
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 ORACLES = {
