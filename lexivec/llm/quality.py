@@ -103,6 +103,7 @@ def annotate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule,
         F.size(F.filter("_q_words", lambda w: w.isin(stop))).cast("long").alias("_q_n_stop_words"),
         F.size(F.filter("_q_lines", lambda x: x.rlike(r"^\s*[-*•]"))).cast("long").alias("_q_n_bullet_lines"),
         F.length(F.regexp_replace("_q_text", "[^!]+", "")).cast("long").alias("_q_n_shouts"),
+        F.monotonically_increasing_id().alias("_q_row"),
     )
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_bullet_lines", "n_shouts"]
     q = {c: F.col(f"_q_{c}") for c in counts}
@@ -116,7 +117,7 @@ def annotate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule,
         "repeat_word_ratio": _ratio(q["n_repeat_words"], q["n_words"]),
     }
     added = {*counts, *ratios, "base_failed", "failed_rules", "kept"}
-    d = d.select(*[c for c in keep if c not in added], *[q[c].alias(c) for c in counts], *[r.alias(k) for k, r in ratios.items()])
+    d = d.select(*[c for c in keep if c not in added], "_q_row", *[q[c].alias(c) for c in counts], *[r.alias(k) for k, r in ratios.items()])
 
     def failed(rule: Rule) -> Column:
         value, out = F.col(rule.metric), F.lit(False)
@@ -131,7 +132,9 @@ def annotate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule,
 
     d = d.withColumn("failed_rules", F.concat(names(base), names(rules)))
     d = d.withColumn("base_failed", F.coalesce(F.expr(" or ".join(["false", *[f"array_contains(failed_rules, '{r.metric}')" for r in base]])), F.lit(False)))
-    return d.withColumn("kept", F.size("failed_rules") == 0)
+    # The row number is never negative. As it isn't deterministic, it keeps Spark from moving a filter on these columns
+    # below the counts, where each use would repeat the whole expression.
+    return d.withColumn("kept", (F.size("failed_rules") == 0) & (F.col("_q_row") >= 0)).drop("_q_row")
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
