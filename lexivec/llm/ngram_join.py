@@ -79,7 +79,7 @@ def _segments(batches, fragments: int, narrow: bool):
     """
 
     def rows(ids, sets):
-        sizes = np.array([len(s) for s in sets])
+        sizes = np.array([len(s) for s in sets], np.int64)
         h = np.concatenate(sets) if sets else np.empty(0, np.uint64)
         owner = np.repeat(np.arange(len(sets)), sizes)
         f = _fragment_of(h, fragments)
