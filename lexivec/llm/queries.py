@@ -9,9 +9,13 @@ from lexivec.llm.ngram_join import op10_ngram_jaccard_join
 from lexivec.llm.packing import op9_best_fit_packing
 from lexivec.llm.pii import OP4_SQL, op4_pii
 from lexivec.llm.quality import OP5_SQL, op5_quality_rules
+from lexivec.llm.suffix_dedup import op1_suffix_dedup
+from lexivec.llm.toxicity import op2_toxicity
 from lexivec.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_pii": op4_pii,
     "op5_quality_rules": op5_quality_rules,
