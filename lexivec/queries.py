@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from lexivec.plans import retrieval_queries, text_queries
+
+_PARTS = (retrieval_queries, text_queries)
+QUERIES = {k: f for m in _PARTS for k, f in m.QUERIES.items()}
+ORACLES = {k: s for m in _PARTS for k, s in m.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    """Hybrid search of the stated queries over all chunks."""
+    return retrieval_queries.hybrid_search(spark, sf_dir)
