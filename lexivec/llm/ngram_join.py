@@ -40,7 +40,6 @@ GROUP_WORDS, PER_FRAGMENT = 400_000, 6_000_000
 
 #: Fixed odd multipliers, one per place in an n-gram.
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_SIGN = np.uint64(0x5851F42D4C957F2D)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -171,13 +170,13 @@ def _exploded_segments(batches):
 
 
 def _differences(batches):
-    """Per document and fragment: n-grams shared with the leader, and the difference in signed hashes."""
+    """Per document and fragment: n-grams shared with the leader, and the difference; lacking elements are odd, added ones even."""
     for batch in batches:
         out = []
         for mine, theirs in zip(*[c.to_pylist() for c in batch.columns[3:]]):
             x, p = np.frombuffer(mine or b"", np.uint64), np.frombuffer(theirs or b"", np.uint64)
             more, less = np.setdiff1d(x, p, assume_unique=True), np.setdiff1d(p, x, assume_unique=True)
-            out.append((len(x) - len(more), len(more), len(less), np.concatenate([more, less * _SIGN ^ _SIGN]).tobytes()))
+            out.append((len(x) - len(more), len(more), len(less), np.concatenate([more & ~np.uint64(1), less | np.uint64(1)]).tobytes()))
         columns = list(zip(*out)) if out else [[]] * 4
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]], names=["doc_id", "leader", "n", "shared", "added", "lacking", "diff"])
 
@@ -190,9 +189,12 @@ def _elements(batches):
 
 
 def _common(batches):
-    """x, y and how many elements their differences share in a fragment."""
+    """x, y and how many elements their differences share, summed over the fragments."""
     for batch in batches:
-        n = [len(np.intersect1d(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), assume_unique=True)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        n = []
+        for mine, theirs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            other = {d["fragment"]: d["diff"] for d in theirs}
+            n.append(sum(len(np.intersect1d(np.frombuffer(d["diff"], np.int64), np.frombuffer(other.get(d["fragment"], b""), np.int64), assume_unique=True)) for d in mine))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["x", "y", "common"])
 
 
@@ -229,18 +231,23 @@ def _links_by_difference(diffs: DataFrame, sums: DataFrame) -> DataFrame:
     e = e.join(df, ["leader", "element"])
     # Elements of one document alone come first in the order of rarity: they only use up places.
     k = F.row_number().over(_by_rarity())
-    e = e.withColumn("k", k).join(e.groupBy("doc_id").agg(F.count("*").alias("shared_size")), "doc_id")
+    odd = F.col("element").bitwiseAND(F.lit(1).cast("long"))
+    e = e.withColumn("k", k).join(e.groupBy("doc_id").agg(F.count("*").alias("shared_size"), F.sum(odd).alias("shared_lacking")), "doc_id")
     e = e.join(s.select("doc_id", "linked", "a10", "size", "least", "leader_n"), "doc_id")
     e = e.filter(F.col("k") <= F.col("size") - F.col("least") + 1 - (F.col("size") - F.col("shared_size")))
-    e = durable(e.select("leader", "element", "doc_id", "linked", "a10", "size", "leader_n"), "rarest")
-    x = e.filter("not linked").select("leader", "element", F.col("doc_id").alias("x"), F.col("a10").alias("xa"), F.col("size").alias("xs"), "leader_n")
-    y = e.select("leader", "element", F.col("doc_id").alias("y"), F.col("linked").alias("y_linked"), F.col("a10").alias("ya"), F.col("size").alias("ys"))
-    # Of two open documents the one order is enough; the bound on what they share must fit into both differences.
-    pairs = x.join(y, ["leader", "element"]).filter("x != y and (y_linked or x < y) and xa + ya - 2 * leader_n <= 18 * least(xs, ys)")
+    e = durable(e.select("leader", "element", "doc_id", "linked", "a10", (F.col("shared_size") - F.col("shared_lacking")).alias("more"), F.col("shared_lacking").alias("less"), "leader_n"), "rarest")
+    x = e.filter("not linked").select("leader", "element", F.col("doc_id").alias("x"), F.col("a10").alias("xa"), F.col("more").alias("x_more"), F.col("less").alias("x_less"), "leader_n")
+    y = e.select("leader", "element", F.col("doc_id").alias("y"), F.col("linked").alias("y_linked"), F.col("a10").alias("ya"), F.col("more").alias("y_more"), F.col("less").alias("y_less"))
+    # Of two open documents the one order is enough. What they must share has to fit into the elements of either kind
+    # that each shares with any other document; the bound is part of the join's condition, so pairs beyond it don't arise.
+    fits = F.expr("x != y and (y_linked or x < y) and xa + ya - 2 * leader_n <= 18 * (least(x_more, y_more) + least(x_less, y_less))")
+    pairs = x.join(y.withColumnsRenamed({"leader": "_l", "element": "_e"}), (F.col("leader") == F.col("_l")) & (F.col("element") == F.col("_e")) & fits)
     pairs = durable(pairs.select("x", "y").distinct(), "pairs")
-    seg = lambda name: diffs.select("fragment", F.col("doc_id").alias(name), F.col("diff").alias(f"{name}_diff"))
-    both = pairs.join(seg("x"), "x").join(seg("y"), ["fragment", "y"]).select("x", "y", "x_diff", "y_diff")
-    common = both.mapInArrow(_common, "x long, y long, common long").groupBy("x", "y").agg(F.sum("common").alias("common"))
+    whole = diffs.join(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "doc_id", "left_semi")
+    whole = durable(whole.groupBy("doc_id").agg(F.collect_list(F.struct("fragment", "diff")).alias("parts")), "whole_differences")
+    part = lambda name: whole.select(F.col("doc_id").alias(name), F.col("parts").alias(f"{name}_parts"))
+    both = pairs.join(part("x"), "x").join(part("y"), "y").select("x", "y", "x_parts", "y_parts")
+    common = both.mapInArrow(_common, "x long, y long, common long")
     m = lambda name: s.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "lacking", "leader_n")])
     d = common.join(m("x"), "x").join(m("y").drop("y_leader_n"), "y")
     shared = F.col("x_leader_n") - F.col("x_lacking") - F.col("y_lacking") + F.col("common")
