@@ -26,6 +26,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,9 @@ WINDOW, GRAM = 50, 16
 SIDE = WINDOW - GRAM
 CONTEXT = WINDOW + SIDE
 #: Bytes that a group of documents has, and anchors of a range, about.
-GROUP_BYTES, PER_RANGE = 2 << 20, 4_000_000
+GROUP_BYTES, PER_RANGE = 2 << 20, 1_000_000
+#: Windows of a long text treated at once.
+BLOCK = 1 << 20
 #: Bytes sorted by words before blind tries take over, beyond the anchor itself.
 SHALLOW = 16
 
@@ -59,11 +62,8 @@ def _slide(a: np.ndarray, width: int, least: bool) -> np.ndarray:
     return a
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of a text's windows; none if it is shorter than a window."""
+def _block_anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(text) - GRAM + 1
-    if len(text) < WINDOW:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
     raw = np.ndarray((n + 8,), "<u8", text, 0, (1,))
     h = _mix(raw[:n] * np.uint64(0x9E3779B97F4A7C15) ^ _mix(raw[8:] * np.uint64(0xBF58476D1CE4E5B9)))
     width = SIDE + 1
@@ -71,16 +71,28 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     # A gram is an anchor if it is the least of some window that has it; of equal ones in a window the leftmost.
     padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
     places = np.flatnonzero(_slide(padded, width, False) == h)
-    if len(places) > 1:
-        # Runs of one hash within a window's reach: a later one counts only if some window has it and none of the earlier.
-        same = np.flatnonzero((h[places[1:]] == h[places[:-1]]) & (np.diff(places) < width)) + 1
-        for i in same.tolist():
-            q, before = int(places[i]), int(places[i - 1])
-            lo, hi = max(before + 1, q - width + 1), min(q, len(least) - 1)
-            if lo > hi or not (least[lo : hi + 1] == h[q]).any():
-                places[i] = -1
-        places = places[places >= 0]
-    return places, h[places]
+    # Of equal hashes in reach of one window, a later one counts only if some window has it and none of the earlier.
+    same = np.flatnonzero((h[places[1:]] == h[places[:-1]]) & (np.diff(places) < width)) + 1
+    keep = np.ones(len(places), bool)
+    for i in same.tolist():
+        q, before = int(places[i]), int(places[i - 1])
+        lo, hi = max(before + 1, q - width + 1), min(q, len(least) - 1)
+        keep[i] = lo <= hi and bool((least[lo : hi + 1] == h[q]).any())
+    return places[keep], h[places[keep]]
+
+
+def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the anchors of a text's windows; none if it is shorter than a window."""
+    if len(text) < WINDOW:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    found = []
+    for lo in range(0, len(text) - WINDOW + 1, BLOCK):
+        places, h = _block_anchors(text[lo : lo + BLOCK + WINDOW - 1])
+        found.append((places + lo, h))
+    if len(found) == 1:
+        return found[0]
+    places, first = np.unique(np.concatenate([p for p, _ in found]), return_index=True)
+    return places, np.concatenate([h for _, h in found])[first]
 
 
 def _bytes_of(text: str | None) -> bytes:
@@ -151,30 +163,56 @@ def _shared_anchors(t: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(out[0], pa.int64()), "span": pa.array([span] * len(out[0]), pa.int32()), "low": pa.array(out[1], pa.binary())})
 
 
+def _packed_rows(batches):
+    """doc_id and the text's bytes, compressed, as they are shuffled twice."""
+    for batch in batches:
+        pack = zstandard.ZstdCompressor(level=3)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack.compress(_bytes_of(v.as_py())) for v in batch.column(1)], pa.binary())], names=["doc_id", "body"])
+
+
 def _context_rows(batches, ranges: int):
     """Contexts of the shared anchors: one row per range of a group of documents, and the settled ones' spans.
 
-    In: doc_id, text, live (the document's shared anchors, lower 32 bits by range). Out: kind 0, the contexts to compare
-    (anchor, document, place, bytes left and right, context); kind 1, (document, place, l least, l most) of those settled.
+    In: doc_id, compressed text, live (the document's shared anchors, lower 32 bits by range). Out: under a range of 0 or
+    more the contexts to compare (anchor, document, place, bytes left and right, context), compressed; under a negative
+    one the spans (document, first byte, end byte) of those settled.
     """
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            rows, blobs = [], []
-            for doc_id, value, live in zip(part.column(0).to_pylist(), part.column(1), part.column(2)):
-                body = _bytes_of(value.as_py())
-                places, h = anchors(body)
-                r = _range_of(h, ranges).astype(np.uint64) << np.uint64(32)
-                known = np.concatenate([np.frombuffer(x["low"], np.uint32).astype(np.uint64) | np.uint64(x["span"] << 32) for x in live.as_py()])
-                keep = np.isin(r | (h & np.uint64(0xFFFFFFFF)), known)
-                places, h = places[keep], h[keep]
-                padded = np.frombuffer(bytes(SIDE) + body + bytes(SIDE), np.uint8)
-                left, right = np.minimum(places, SIDE), np.minimum(len(body) - GRAM - places, SIDE)
-                rows.append(np.column_stack([h.view(np.int64), np.full(len(h), doc_id), places, left, right]).astype(np.int64))
-                blobs.append(np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[places] if len(places) else np.empty((0, CONTEXT), np.uint8))
-            m, c = np.concatenate(rows), np.concatenate(blobs)
-            first, settled = _settle(m, c)
-            yield _shuffled(m[first], c[first], settled, ranges)
+        rows, blobs, held = [], [], 0
+        for doc_id, packed, live in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            body = unpack.decompress(packed.as_py())
+            places, h = anchors(body)
+            r = _range_of(h, ranges).astype(np.uint64) << np.uint64(32)
+            known = np.concatenate([np.frombuffer(x["low"], np.uint32).astype(np.uint64) | np.uint64(x["span"] << 32) for x in live.as_py()])
+            keep = np.isin(r | (h & np.uint64(0xFFFFFFFF)), known)
+            places, h = places[keep], h[keep]
+            padded = np.frombuffer(bytes(SIDE) + body + bytes(SIDE), np.uint8)
+            left, right = np.minimum(places, SIDE), np.minimum(len(body) - GRAM - places, SIDE)
+            rows.append(np.column_stack([h.view(np.int64), np.full(len(h), doc_id), places, left, right]).astype(np.int64))
+            blobs.append(np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[places] if len(places) else np.empty((0, CONTEXT), np.uint8))
+            held += len(places)
+            if held * CONTEXT >= 4 * GROUP_BYTES:
+                yield _contexts(rows, blobs, ranges)
+                rows, blobs, held = [], [], 0
+        if rows:
+            yield _contexts(rows, blobs, ranges)
+
+
+def _contexts(rows, blobs, ranges: int) -> pa.RecordBatch:
+    m, c = np.concatenate(rows), np.concatenate(blobs)
+    first, settled = _settle(m, c)
+    m, c = m[first], c[first]
+    r = _range_of(m[:, 0].view(np.uint64), ranges) if len(m) else np.empty(0, np.int64)
+    order = np.argsort(r, kind="stable")
+    r, m, c = r[order], m[order], c[order]
+    pack = zstandard.ZstdCompressor(level=1)
+    out = [(int(r[p[0]]), pack.compress(np.ascontiguousarray(m[p].T).tobytes()), pack.compress(c[p].tobytes())) for p in (np.split(np.arange(len(r)), np.flatnonzero(np.diff(r)) + 1) if len(r) else [])]
+    # The settled spans go to some negative range, so that no single one gets them all.
+    settled = merged(settled)
+    out.append((-1 - (int(settled[0, 0]) % ranges if len(settled) else 0), pack.compress(settled.astype(np.int64).tobytes()), b""))
+    columns = list(zip(*out))
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(x, pa.binary()) for x in columns[1:]]], names=["span", "heads", "contexts"])
 
 
 def _settle(m: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,16 +238,6 @@ def _spans(m: np.ndarray, l_least: np.ndarray, l_most: np.ndarray) -> np.ndarray
     return np.column_stack([m[:, 1], m[:, 2] - l_most, m[:, 2] + WINDOW - l_least])[ok]
 
 
-def _shuffled(m, c, settled, ranges):
-    r = _range_of(m[:, 0].view(np.uint64), ranges) if len(m) else np.empty(0, np.int64)
-    order = np.argsort(r, kind="stable")
-    r, m, c = r[order], m[order], c[order]
-    out = [(int(r[p[0]]), m[p].tobytes(), c[p].tobytes(), None) for p in (np.split(np.arange(len(r)), np.flatnonzero(np.diff(r)) + 1) if len(r) else [])]
-    out.append((-1, None, None, settled.astype(np.int64).tobytes()))
-    columns = list(zip(*out))
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(x, pa.binary()) for x in columns[1:]]], names=["span", "heads", "contexts", "settled"])
-
-
 class BlindTrie:
     """Orders strings that share a prefix: inner nodes have only the place of the first differing byte.
 
@@ -364,23 +392,21 @@ def _span_table(spans: np.ndarray) -> pa.Table:
 
 
 def _compare(t: pa.Table) -> pa.Table:
+    unpack = zstandard.ZstdDecompressor()
+    heads = [np.frombuffer(unpack.decompress(x.as_py()), np.int64) for x in t.column("heads")]
     if t.column("span")[0].as_py() < 0:
-        return _span_table(_joined(t, "settled", np.int64).reshape(-1, 3))
-    return _span_table(compare_contexts(_joined(t, "heads", np.int64).reshape(-1, 5), _joined(t, "contexts", np.uint8).reshape(-1, CONTEXT)))
-
-
-def _settled_tables(batches):
-    for batch in batches:
-        for blob in batch.column(0):
-            yield from _span_table(np.frombuffer(blob.as_py(), np.int64).reshape(-1, 3)).to_batches()
+        return _span_table(np.concatenate([x.reshape(-1, 3) for x in heads]))
+    contexts = [np.frombuffer(unpack.decompress(x.as_py()), np.uint8).reshape(-1, CONTEXT) for x in t.column("contexts")]
+    return _span_table(compare_contexts(np.ascontiguousarray(np.concatenate([x.reshape(5, -1).T for x in heads])), np.concatenate(contexts)))
 
 
 def _cut_rows(batches):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         out = []
         for doc_id, value, again, blobs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            body = _bytes_of(value.as_py())
+            body = unpack.decompress(value.as_py())
             if again and len(body) >= WINDOW:
                 spans, kept = [[0, len(body)]], b""
             else:
@@ -407,13 +433,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     live = fresh.mapInArrow(lambda it: _anchor_rows(it, ranges), "span int, ids binary, counts binary, low binary")
     live = live.groupBy("span").applyInArrow(_shared_anchors, "doc_id long, span int, low binary")
     live = live.groupBy(F.col("doc_id").alias("live_id")).agg(F.collect_list(F.struct("span", "low")).alias("live"))
-    contexts = fresh.join(live, F.col("doc_id") == F.col("live_id")).select("doc_id", "text", "live")
-    contexts = durable(contexts.mapInArrow(lambda it: _context_rows(it, ranges), "span int, heads binary, contexts binary, settled binary"), "contexts")
-    spans = contexts.filter("span >= 0").groupBy("span").applyInArrow(_compare, "doc_id long, spans binary")
-    spans = spans.union(contexts.filter("span < 0").select("settled").mapInArrow(_settled_tables, "doc_id long, spans binary"))
+    packed = d.mapInArrow(_packed_rows, "doc_id long, body binary")
+    # Documents that repeat a whole text have no live anchors, as only the first of them was searched.
+    contexts = packed.join(live, F.col("doc_id") == F.col("live_id")).select("doc_id", "body", "live")
+    contexts = contexts.mapInArrow(lambda it: _context_rows(it, ranges), "span int, heads binary, contexts binary")
+    spans = contexts.groupBy("span").applyInArrow(_compare, "doc_id long, spans binary")
     spans = spans.groupBy(F.col("doc_id").alias("span_id")).agg(F.collect_list("spans").alias("spans"))
-    out = d.join(again, F.col("doc_id") == F.col("again_id"), "left").join(spans, F.col("doc_id") == F.col("span_id"), "left")
-    return out.select("doc_id", "text", F.col("again_id").isNotNull().alias("again"), "spans").mapInArrow(_cut_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = packed.join(again, F.col("doc_id") == F.col("again_id"), "left").join(spans, F.col("doc_id") == F.col("span_id"), "left")
+    return out.select("doc_id", "body", F.col("again_id").isNotNull().alias("again"), "spans").mapInArrow(_cut_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
