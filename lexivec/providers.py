@@ -60,7 +60,7 @@ def judged(reply: Column, default: float) -> Column:
     """Score of a judge's reply, JSON or the first number in it, between 0 and 1; the default if there is none."""
     clean = F.regexp_replace(reply, r"```(?:json)?", "")
     score = F.coalesce(F.get_json_object(clean, "$.score").try_cast("double"), F.nullif(F.regexp_extract(clean, r"-?[0-9]*\.?[0-9]+", 0), F.lit("")).try_cast("double"))
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), F.lit(default))
+    return F.when(score.isNull(), F.lit(default)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)))
 
 
 def sub_questions(reply: Column, query: Column) -> Column:
