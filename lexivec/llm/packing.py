@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import durable, table, with_python
+from lexivec.llm.common import durable, hinted, table, with_python
 
 LENGTH, CLOSING_ID = 1024, 2
-#: Salts of the numbering within a length, so that a frequent length is numbered by many tasks.
-SALTS = 64
+#: Salts of the numbering within a length, so that a frequent length is numbered by many tasks: at least so many, and
+#: more for more pieces, one for about PER_SALT.
+SALTS, PER_SALT = 64, 1_000_000
 
 
 class Encoder:
@@ -204,8 +205,9 @@ def pack(docs: DataFrame, ranks_path: str | None = None, length: int = LENGTH) -
     """The pieces of docs with sequence_id and offset."""
     spark = docs.sparkSession
     d = durable(pieces(docs, ranks_path, length), "pieces")
-    per_salt = d.groupBy("length", (F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS))).alias("salt")).count()
-    # At most `length` x SALTS rows, whatever the corpus; their sums over lengths are what the plan needs.
+    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(SALTS, d.count() // PER_SALT)))
+    per_salt = d.groupBy("length", salt.alias("salt")).count()
+    # A row per length and salt; their sums over lengths, at most `length` numbers, are what the plan needs.
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = durable(per_salt.withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))), "starts")
     counts = {r["length"]: r["n"] for r in starts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
@@ -213,8 +215,8 @@ def pack(docs: DataFrame, ranks_path: str | None = None, length: int = LENGTH) -
     schema = "length long, lo long, hi long, sequence long, offset long"
     where = spark.createDataFrame(rows, schema) if rows else spark.createDataFrame([], schema)
     number = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    d = d.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS))).withColumn("k", F.row_number().over(number) - 1)
-    d = d.join(F.broadcast(starts.drop("count")), ["length", "salt"]).withColumn("k", F.col("k") + F.col("base"))
+    d = d.withColumn("salt", salt).withColumn("k", F.row_number().over(number) - 1)
+    d = d.join(hinted(starts.drop("count"), 24), ["length", "salt"]).withColumn("k", F.col("k") + F.col("base"))
     # Slots of a length lie in order and without gaps; each piece finds its own in its length's list of first numbers.
     lists = where.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "sequence", "offset"))).alias("slots"))
     d = d.join(F.broadcast(lists), "length")

@@ -1,0 +1,265 @@
+"""The training-data operators: SQL on the tables, brute force on hard rows, empty tables."""
+
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from lexivec.llm import chat, exact_dedup, mixing, ngram_join, packing, pii, quality, suffix_dedup, toxicity, warc
+from lexivec.llm.components import components
+from lexivec.llm.queries import ORACLES, QUERIES
+
+from . import brute
+from .conftest import SF
+
+random.seed(7)
+WORDS = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "the", "of", "and", "word"]
+BASE = " ".join(random.choice(WORDS) + str(random.randint(0, 40)) for _ in range(300))
+
+
+def edited(text, n, seed):
+    r = random.Random(seed)
+    w = text.split()
+    for _ in range(n):
+        w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+    return " ".join(w)
+
+
+HARD = [
+    (0, BASE, "a"), (1, BASE, "a"), (2, None, None), (3, "", "b"), (4, " \n\t ", "b"), (5, "one two", "a"), (6, "one  two", "a"), (7, "a" * 300, "a"), (8, "b" + "a" * 150 + "c", "b"),
+    (9, "é" * 80, "a"), (10, "ü" + "é" * 60, "a"), (11, BASE[:400] + " tail " + BASE[900:1200], "c"), (12, "x\x0by\x0cz\r\nline\nline\nline", None), (13, (BASE + "\n") * 40, "a"),
+    (14, "=-" * 200, "b"), (15, "q=-" + "=-" * 60, "b"), (16, "mail a@b.co, b@c.d@e.fg 1.2.3.4.5 999.1.1.1 4111 1111 1111 1111 +1 (555) 010-9999 \x01 GB82WEST12345698765432 bank", "a"),
+    *[(20 + k, edited(BASE, 3 + k % 9, k), "d") for k in range(24)],
+]
+PAIRS = [(i, t) for i, t, _ in HARD]
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(name, spark, same):
+    same(QUERIES[name](spark, SF), ORACLES[name])
+
+
+def test_suffix_dedup(spark, docs):
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(docs(HARD)).drop("kept").collect()}
+    assert got == brute.removed_repeats(PAIRS)
+
+
+def test_op1_equals_brute_force(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in QUERIES["op1_suffix_dedup"](spark, SF).collect()}
+    assert got == brute.removed_repeats(rows)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.binary(min_size=34, max_size=34).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=30))
+def test_deep_shallow_sort(strings):
+    a = np.frombuffer(b"".join(strings), np.uint8).reshape(-1, 34)
+    order = suffix_dedup.deep_shallow_sort(np.zeros(len(a), np.int64), a)
+    assert [strings[i] for i in order] == sorted(strings)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("ab", min_size=50, max_size=200))
+def test_anchors_cover_each_window(text):
+    b = text.encode()
+    places, _ = suffix_dedup.anchors(b)
+    assert all(any(p <= q <= p + suffix_dedup.SIDE for q in places) for p in range(len(b) - 49))
+
+
+def test_blocks_of_long_texts_agree(monkeypatch):
+    b = ("".join(random.choice("abc ") for _ in range(3000))).encode()
+    whole = suffix_dedup.anchors(b)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 100)
+    parts = suffix_dedup.anchors(b)
+    assert whole[0].tolist() == parts[0].tolist() and whole[1].tolist() == parts[1].tolist()
+
+
+def test_ngram_join(spark, docs):
+    rows = [*HARD, *[(100 + k, edited(BASE, 12 + k % 20, 50 + k), "d") for k in range(40)]]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.classes(docs(rows)).collect()}
+    assert got == brute.classes([(i, t) for i, t, _ in rows])
+
+
+def test_ngram_join_of_truncated_copies(spark, docs):
+    """Members that link with one another, but not with the least one."""
+    w = [f"w{k}" for k in range(200)]
+    rows = [(0, " ".join(w), "a")] + [(k, " ".join(w[: 150 + k] + [f"y{j}" for j in range(k % 3 * 10)]), "a") for k in range(1, 30)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.classes(docs(rows)).collect()}
+    assert got == brute.classes([(i, t) for i, t, _ in rows])
+
+
+def test_op10_equals_brute_force(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in QUERIES["op10_ngram_jaccard_join"](spark, SF).collect()}
+    assert got == brute.classes(rows)
+
+
+def test_components(spark):
+    d = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(50, 60), (60, 70), (99, 99)], "u long, v long")
+    got = {r["node"]: r["root"] for r in components(d).collect()}
+    assert got == {**{k: 0 for k in range(31)}, 50: 50, 60: 50, 70: 50}
+
+
+def test_exact_dedup(spark, docs):
+    rows = exact_dedup.duplicates(docs(HARD)).collect()
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in rows} == brute.exact_keepers(PAIRS)
+    left = exact_dedup.drop_duplicates(docs(HARD))
+    assert {r["doc_id"] for r in left.collect()} == {d for d, (k, _) in brute.exact_keepers(PAIRS).items() if d == k}
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2**64 - 1) | st.integers(0, 5), max_size=30), min_size=1, max_size=5))
+def test_counting_quotient_filters_merge(parts):
+    filters = [exact_dedup.CountingQuotientFilter.of(np.array(p, np.uint64)) for p in parts]
+    merged = filters[0]
+    for f in filters[1:]:
+        merged = merged.merge(exact_dedup.CountingQuotientFilter.from_bytes(f.to_bytes()))
+    assert dict(zip(merged.fingerprints().tolist(), merged.counts.tolist())) == Counter(x for p in parts for x in p)
+
+
+def test_quality(spark, docs):
+    d = quality.annotate(docs(HARD))
+    for r in d.collect():
+        text = dict(PAIRS)[r["doc_id"]]
+        assert r["n_repeat_words"] == brute.repeat_words(text), r["doc_id"]
+    assert "kept" in d.columns and d.columns.count("kept") == 1
+    clean = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality"), "doc_id")
+    verdict = quality.annotate(clean).filter("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share"))
+    share = {r["quality"]: r["share"] for r in verdict.collect()}
+    assert share[1] == 1 and share.get(0, 0) == 0
+
+
+def test_mixing(spark, docs):
+    sized = docs(HARD).select("doc_id", "source", mixing.n_words().alias("size"))
+    t = {r["source"]: r for r in mixing.source_targets(sized).collect()}
+    total = sum(r["source_size"] for r in t.values())
+    assert sum(r["target"] for r in t.values()) == pytest.approx(1.5 * total) and all(r["target"] <= 2 * r["source_size"] for r in t.values())
+    # The uncapped ones share by weight: 5, 2, 1 by the order of sources, null last.
+    weights = dict(zip(["a", "b", "c", "d", None], (5, 2, 1, 5, 2)))
+    levels = {round(r["target"] / weights[s], 6) for s, r in t.items() if r["target"] < 2 * r["source_size"] - 1e-9}
+    assert len(levels) <= 1
+    assert mixing.mixed(docs(HARD)).count() == mixing.copies(sized).agg(F.sum("copies")).first()[0]
+
+
+def test_chat(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "user", "</s><s>[INST] x [/INST]\n<|sep|>"), (1, 2, "assistant", r"[\INST] <\\s> <\/s>"), (1, 2, "assistant", None), (1, None, None, "<"), (None, 0, "assistant", "z")]
+    d = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r["conv_id"]: r for r in d.select("conv_id", chat.read_back(F.col("formatted")).alias("t"), chat.loss_text(F.col("segments")).alias("l"), "formatted", "segments").collect()}
+    assert [tuple(t) for t in got[1]["t"]] == [("", "<"), ("user", "a"), ("user", "</s><s>[INST] x [/INST]\n<|sep|>"), ("assistant", ""), ("assistant", r"[\INST] <\\s> <\/s>")]
+    assert got[1]["l"] == r"[\INST] <\\s> <\/s>" and got[None]["l"] == "z"
+    assert got[1]["formatted"] == "".join(s["text"] for s in got[1]["segments"]) and got[1]["formatted"].count("</s>") == 3
+
+
+def test_pii(spark, docs):
+    d = pii.annotate(docs(HARD))
+    for r in d.collect():
+        base = [f"{s['kind']}:{s['start']}:{s['end']}" for s in r["pii"] if s["kind"] in ("email", "ip", "card", "phone")]
+        assert base == brute.spans(dict(PAIRS)[r["doc_id"]])
+    kinds = {s["kind"] for r in d.collect() for s in r["pii"]}
+    assert "iban" in kinds
+    left = {r["doc_id"]: r["text"] for r in pii.redacted(docs(HARD)).collect()}
+    assert "a@b.co" not in left[16] and "[EMAIL]" in left[16] and left[0] == BASE
+
+
+def test_warc(spark, tmp_path):
+    trap = "x\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n"
+    rows = [(1, "http://a b\r\nx", trap), (2, None, None), (3, "u", trap), (3, "u", trap), (4, "u", "q" * 2_000_000), (5, "u", "")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archive(d, f"file://{tmp_path}/w")
+    c = warc.assemble(warc.read_records(spark, f"file://{tmp_path}/w")).collect()
+    assert len(c) == 6 and all(r["capture"]["digest_ok"] in (True, None) for r in c)
+    by = {r["record_id"].split(":")[2]: r for r in c}
+    assert by["1"]["capture"]["warc_type"] == "response" and by["3"]["capture"]["warc_type"] == "revisit" and by["3"]["capture"]["refers_to"].startswith("<urn:page:1:")
+    assert by["5"]["capture"]["refers_to"].startswith("<urn:page:2:") and by["4"]["capture"]["payload_bytes"] == 2_000_000
+    assert by["1"]["requests"][0]["target_uri"] == "http://a%20b%0D%0Ax" and by["2"]["requests"][0]["target_uri"] is None
+
+
+def check_packed(rows, length=1024):
+    at = {}
+    for r in rows:
+        at.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in at.values():
+        end = 0
+        for offset, n in sorted(places):
+            assert offset == end
+            end += n
+        assert end <= length
+    return len(at)
+
+
+def test_packing(spark, docs):
+    rows = packing.pack(docs(HARD)).collect()
+    n = check_packed(rows)
+    total = sum(r["length"] for r in rows)
+    # Two pieces of more than half a sequence never share one.
+    assert -(-total // 1024) <= n <= max(-(-total // 1024), sum(r["length"] > 512 for r in rows)) + 2
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    import zlib
+
+    for i, text in PAIRS:
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        mine = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["piece"])
+        assert [r["start"] for r in mine] == list(np.cumsum([0, *[r["length"] for r in mine]])[:-1]) and sum(r["length"] for r in mine) == len(ids)
+        for r in mine:
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 20), max_size=40))
+def test_plan_uses_each_piece_once(counts):
+    got = Counter()
+    for lengths, n in packing.plan(counts, 64):
+        assert sum(lengths) <= 64
+        for x in lengths:
+            got[x] += n
+    assert got == Counter(counts)
+    assert packing.cut(2050, 1024) == [(0, 2), (2, 1024), (1026, 1024)] and packing.cut(1024) == [(0, 1024)] and packing.cut(3) == [(0, 3)]
+
+
+def test_toxicity(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    chain = toxicity.train(docs, labels.filter("doc_id % 3 > 0"))
+    held = toxicity.score(docs, chain).join(labels.filter("doc_id % 3 = 0").select("doc_id", F.col("toxic").alias("y")), "doc_id")
+    n = {(r["y"], r["toxic"]): r["count"] for r in held.groupBy("y", "toxic").count().collect()}
+    assert n.get((0, True), 0) <= 0.02 * n[(0, False)] and n.get((1, True), 0) >= 0.6 * (n.get((1, True), 0) + n.get((1, False), 0))
+    assert toxicity.train(docs, labels.filter("toxic = 0")) is None
+    assert toxicity.score(docs, None).filter("toxic").count() == 0
+
+
+def test_empty_tables(spark, docs):
+    none = docs([])
+    for make in (suffix_dedup.remove_repeats, exact_dedup.duplicates, ngram_join.classes, quality.annotate, pii.annotate, packing.pack, mixing.mixed, lambda d: toxicity.score(d, None)):
+        assert make(none).count() == 0
+    assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_pipeline(spark):
+    """Each stage against brute force on its own input."""
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, steps = d.columns, []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        from lexivec.llm.common import durable
+
+        before, d = d, durable(stage(spark, d, SF), "test_stage")
+        if k < 4:
+            assert d.columns == columns
+            steps.append(([(r["doc_id"], r["text"]) for r in before.collect()], [r["doc_id"] for r in d.collect()], before))
+    quality_in, kept, _ = steps[0]
+    assert set(kept) == {r["doc_id"] for r in quality.annotate(steps[0][2]).filter("kept").collect()}
+    rows, kept, _ = steps[1]
+    assert set(kept) == {i for i, (k, _) in brute.exact_keepers(rows).items() if i == k}
+    rows, kept, _ = steps[2]
+    assert set(kept) == {i for i, (_, c) in brute.classes(rows).items() if i == c}
+    rows, kept, table = steps[3]
+    want = {r["doc_id"]: r["copies"] for r in mixing.copies(table.select("doc_id", "source", mixing.n_words().alias("size"))).collect() if r["copies"]}
+    assert Counter(kept) == want
+    check_packed(d.collect())
