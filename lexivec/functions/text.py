@@ -128,12 +128,16 @@ def section_of(chunk: Column, lang: str = "en") -> Column:
     return first_label(F.regexp_replace(chunk, r"^\s+|\s+$", ""), L.SECTIONS_ID if lang == "id" else L.SECTIONS_EN)
 
 
+#: Lines of an ASCII report: table rows, separators, delimiters, key-value pairs.
+REPORT_ROW, REPORT_RULE, REPORT_DELIMITER, REPORT_PAIR = r"^\s*\|.+\|", r"^[\s|+]*[-+]+[\s|+]*$", r"^={3,}$|^-{3,}$", r"^[A-Za-z\s]+\s*:\s*.+$"
+
+
 def report_score(text: Column) -> Column:
     """Evidence of an ASCII report: table rows 2, separators 1, delimiters 1, key-value lines 1; 3 or more is one."""
     lines = F.split(text, "\n")
     n = lambda p: F.size(F.filter(lines, lambda x: x.rlike(p)))
     one = lambda hit, k: F.when(hit, k).otherwise(0)
-    return one(n(r"^\s*\|.+\|") >= 2, 2) + one(n(r"^[\s|+]*[-+]+[\s|+]*$") >= 1, 1) + one(n(r"^={3,}$|^-{3,}$") >= 1, 1) + one(n(r"^[A-Za-z\s]+\s*:\s*.+$") >= 2, 1)
+    return one(n(REPORT_ROW) >= 2, 2) + one(n(REPORT_RULE) >= 1, 1) + one(n(REPORT_DELIMITER) >= 1, 1) + one(n(REPORT_PAIR) >= 2, 1)
 
 
 def key_values(text: Column) -> Column:

@@ -60,6 +60,9 @@ _FUSED = f"""
 fus as (select query_id, id, coalesce(v.score, 0) vector_score, coalesce(b.score, 0) bm25_score, round(coalesce(1 / ({L.RRF_K} + v.rank)::double, 0) + coalesce(1 / ({L.RRF_K} + b.rank)::double, 0), 8) fused
         from vec v full join bm b using (query_id, id)),
 top as (select *, row_number() over (partition by query_id order by fused desc, id) as rank from fus)"""
+#: The chunks of hybrid search are the vectors that have a text.
+_CHUNKED = _VEC.replace("where embedding is not null)", "where embedding is not null and vec_id in (select doc_id from documents))")
+_HYBRID_CHUNKS = f"with {_CHUNKED}, {_POOL}, {_bm25_sql('pool', 'qd', 'bm')}, {_FUSED}"
 _HYBRID = f"with {_VEC}, {_POOL}, {_bm25_sql('pool', 'qd', 'bm')}, {_FUSED}"
 
 
@@ -175,10 +178,10 @@ ORACLES = {
     "bm25_keyword": f"{_KEYWORD} select * from kw where rank <= {L.TOP_K}",
     "bm25_on_pool": f"with {_VEC}, {_POOL}, {_bm25_sql('pool', 'qd', 'bm')} select query_id, id, score, rank from bm",
     "rrf_fusion": f"{_HYBRID} select query_id, id, fused from fus",
-    "hybrid_search": f"{_HYBRID} select query_id, id, vector_score, bm25_score, fused, rank from top where rank <= {L.TOP_K} and fused >= {L.MIN_SCORE}",
+    "hybrid_search": f"{_HYBRID_CHUNKS} select query_id, id, vector_score, bm25_score, fused, rank from top where rank <= {L.TOP_K} and fused >= {L.MIN_SCORE}",
     "ensemble_rerank": f"with {_VEC}, e as (select query_id, id, round((0.4::double * (1.0::double / rank) + 0.4::double * least(1, greatest(0, 1 - 0.1::double * (rank - 1))) + 0.2::double * score) / 1.0::double, 6) ensemble from vec), n as (select *, row_number() over (partition by query_id order by ensemble desc, id) new_rank from e where ensemble >= {L.RERANK_MIN_SCORE}) select * from n where new_rank <= {L.RERANK_TOP_K}",
     "keyword_extract": f"with t as (select doc_id, terms, unnest(range(1, len(terms) + 1)) i from (select doc_id, {S.tokens('text')} terms from documents)), c as (select doc_id, terms[i] term, count(*) n, min(i) f from t group by 1, 2) select doc_id, term, n, row_number() over (partition by doc_id order by n desc, f) as rank from c qualify rank <= 50",
-    "context_budget": f"{_HYBRID}, c as (select query_id, id, rank, ceil(length(text) / 4.0)::bigint tokens from top join documents on doc_id = id where rank <= {L.CONTEXT_TOP_K} and fused >= {L.MIN_SCORE}) select *, (sum(tokens) over (partition by query_id order by rank))::bigint total_tokens from c qualify total_tokens <= 1000",
+    "context_budget": f"{_HYBRID_CHUNKS}, c as (select query_id, id, rank, ceil(length(text) / 4.0)::bigint tokens from top join documents on doc_id = id where rank <= {L.CONTEXT_TOP_K} and fused >= {L.MIN_SCORE}) select *, (sum(tokens) over (partition by query_id order by rank))::bigint total_tokens from c qualify total_tokens <= 1000",
     "citation_numbers": "with f as (select user_id session, (json_extract_string(props, '$.k')::bigint % 20) chunk, min(event_id) seq from events group by 1, 2) select session, chunk, row_number() over (partition by session order by seq, chunk) citation from f",
     "context_relevance": f"{_KEYWORD}, g as (select item_id query_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: length(x) > 4) words from benchmark), h as (select query_id, lower(d.text) t from kw join documents d on d.doc_id = id where rank <= 5) select query_id, round(avg((len(list_filter(words, lambda x: contains(t, x))) >= len(words) * 0.3)::int), 6) relevance from h join g using (query_id) group by 1",
     "ir_ndcg": f"{_REL}, s as (select query_id, sum(rel / log2(rank + 1)) dcg, sum(rel) k from r group by 1) select query_id, round(case when k = 0 then 0 else dcg / list_sum(list_transform(range(1, k::bigint + 1), lambda i: 1 / log2(i + 1))) end, 6) ndcg from s",

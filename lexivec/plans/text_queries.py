@@ -111,7 +111,10 @@ _CODE_SQL = S.first_match(_norm_sql("text"), L.COURSE_CODE, 0)
 _TYPE_SQL = f"coalesce({S.first_label('text', L.DOCUMENT_TYPES)}, case when {S.count('text', L.LANGUAGE_LONG)} > 10 then {S.first_label('text', L.TRADITIONAL_ID)} else {S.first_label('text', L.TRADITIONAL_EN)} end, 'other')"
 _LINES = "string_split(text, chr(10))"
 _n = lambda p: f"len(list_filter({_LINES}, lambda x: regexp_matches(x, {S.q(p)})))"
-_REPORT_SQL = rf"(case when {_n('^\s*\|.+\|')} >= 2 then 2 else 0 end + case when {_n('^[\s|+]*[-+]+[\s|+]*$')} >= 1 then 1 else 0 end + case when {_n('^={3,}$|^-{3,}$')} >= 1 then 1 else 0 end + case when {_n('^[A-Za-z\s]+\s*:\s*.+$')} >= 2 then 1 else 0 end)"
+_REPORT_SQL = (
+    f"(case when {_n(T.REPORT_ROW)} >= 2 then 2 else 0 end + case when {_n(T.REPORT_RULE)} >= 1 then 1 else 0 end"
+    f" + case when {_n(T.REPORT_DELIMITER)} >= 1 then 1 else 0 end + case when {_n(T.REPORT_PAIR)} >= 2 then 1 else 0 end)"
+)
 _KV = r"^([A-Za-z][A-Za-z0-9\s]*?)\s*:\s*(.+)$"
 _KW_SQL = rf"list_filter(list_transform(string_split_regex(coalesce({S.first_match('text', L.KEYWORDS, 1)}, ''), '[,;]'), lambda x: lower({S.strip('x')})), lambda x: length(x) > 2)"
 
