@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,12 +30,19 @@ def with_python(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Temporary folders of sessions that name none, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="lexivec-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lexivec-")
+            atexit.register(shutil.rmtree, _OWN[app].removeprefix("file://"), True)
+        where = _OWN[app]
     return where.rstrip("/")
 
 
