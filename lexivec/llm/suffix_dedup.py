@@ -37,6 +37,8 @@ SIDE = WINDOW - GRAM
 CONTEXT = WINDOW + SIDE
 #: Bytes that a group of documents has, and anchors of a range, about.
 GROUP_BYTES, PER_RANGE = 2 << 20, 1_000_000
+#: Parts of a range in which contexts are compared, so that one task's contexts stay small.
+PARTS = 6
 #: Windows of a long text treated at once.
 BLOCK = 1 << 20
 #: Bytes sorted by words before blind tries take over, beyond the anchor itself.
@@ -170,10 +172,10 @@ def _packed_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack.compress(_bytes_of(v.as_py())) for v in batch.column(1)], pa.binary())], names=["doc_id", "body"])
 
 
-def _context_rows(batches, ranges: int):
-    """Contexts of the shared anchors: one row per range of a group of documents, and the settled ones' spans.
+def _context_rows(batches, ranges: int, parts: int):
+    """Contexts of the shared anchors: one row per part of a range and group of documents, and the settled ones' spans.
 
-    In: doc_id, compressed text, live (the document's shared anchors, lower 32 bits by range). Out: under a range of 0 or
+    In: doc_id, compressed text, live (the document's shared anchors, lower 32 bits by range). Out: under a number of 0 or
     more the contexts to compare (anchor, document, place, bytes left and right, context), compressed; under a negative
     one the spans (document, first byte, end byte) of those settled.
     """
@@ -193,24 +195,24 @@ def _context_rows(batches, ranges: int):
             blobs.append(np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[places] if len(places) else np.empty((0, CONTEXT), np.uint8))
             held += len(places)
             if held * CONTEXT >= 4 * GROUP_BYTES:
-                yield _contexts(rows, blobs, ranges)
+                yield _contexts(rows, blobs, parts)
                 rows, blobs, held = [], [], 0
         if rows:
-            yield _contexts(rows, blobs, ranges)
+            yield _contexts(rows, blobs, parts)
 
 
-def _contexts(rows, blobs, ranges: int) -> pa.RecordBatch:
+def _contexts(rows, blobs, parts: int) -> pa.RecordBatch:
     m, c = np.concatenate(rows), np.concatenate(blobs)
     first, settled = _settle(m, c)
     m, c = m[first], c[first]
-    r = _range_of(m[:, 0].view(np.uint64), ranges) if len(m) else np.empty(0, np.int64)
+    r = _range_of(m[:, 0].copy().view(np.uint64), parts) if len(m) else np.empty(0, np.int64)
     order = np.argsort(r, kind="stable")
     r, m, c = r[order], m[order], c[order]
     pack = zstandard.ZstdCompressor(level=1)
     out = [(int(r[p[0]]), pack.compress(np.ascontiguousarray(m[p].T).tobytes()), pack.compress(c[p].tobytes())) for p in (np.split(np.arange(len(r)), np.flatnonzero(np.diff(r)) + 1) if len(r) else [])]
     # The settled spans go to some negative range, so that no single one gets them all.
     settled = merged(settled)
-    out.append((-1 - (int(settled[0, 0]) % ranges if len(settled) else 0), pack.compress(settled.astype(np.int64).tobytes()), b""))
+    out.append((-1 - (int(settled[0, 0]) % parts if len(settled) else 0), pack.compress(settled.astype(np.int64).tobytes()), b""))
     columns = list(zip(*out))
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(x, pa.binary()) for x in columns[1:]]], names=["span", "heads", "contexts"])
 
@@ -436,7 +438,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     packed = d.mapInArrow(_packed_rows, "doc_id long, body binary")
     # Documents that repeat a whole text have no live anchors, as only the first of them was searched.
     contexts = packed.join(live, F.col("doc_id") == F.col("live_id")).select("doc_id", "body", "live")
-    contexts = contexts.mapInArrow(lambda it: _context_rows(it, ranges), "span int, heads binary, contexts binary")
+    contexts = contexts.mapInArrow(lambda it: _context_rows(it, ranges, ranges * PARTS), "span int, heads binary, contexts binary")
     spans = contexts.groupBy("span").applyInArrow(_compare, "doc_id long, spans binary")
     spans = spans.groupBy(F.col("doc_id").alias("span_id")).agg(F.collect_list("spans").alias("spans"))
     out = packed.join(again, F.col("doc_id") == F.col("again_id"), "left").join(spans, F.col("doc_id") == F.col("span_id"), "left")
