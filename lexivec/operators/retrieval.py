@@ -1,4 +1,4 @@
-"""Retrieval for whole batches of queries: vector top-k, BM25 on a candidate pool, rank fusion, reranking, context."""
+"""Retrieval for whole batches of queries: vector top-k, BM25 on a candidate pool or on all rows, rank fusion, reranking, context."""
 
 from __future__ import annotations
 
@@ -100,12 +100,38 @@ def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int = L.TOP_K, min_scor
     return ranked(d, "fused", "id", ["query_id"]).filter((F.col("rank") <= top_k) & (F.col("fused") >= min_score))
 
 
-def keyword_search(docs: DataFrame, queries: DataFrame, top_k: int = L.TOP_K) -> DataFrame:
-    """Keyword strategy: the pool is the first rows by id, as the candidates have no order of their own."""
-    pool = docs.orderBy("id").limit(top_k * L.KEYWORD_POOL)
-    d = bm25(pool.crossJoin(F.broadcast(queries.select("query_id"))), queries)
+def bm25_top(docs: DataFrame, queries: DataFrame, top_k: int, stemmed: bool = True) -> DataFrame:
+    """query_id, id, score, rank: the best top_k of all docs (id, text) under each query (query_id, query_text).
+
+    Frequencies and lengths are those of docs. Postings shrink to the queries' terms and are dealt out by id once, so a
+    pair's sum needs no further shuffle, and only top_k rows a query and task move. Rows that match nothing score 0.
+    """
+    q = queries.select("query_id", F.explode(tokens(F.col("query_text"), stemmed)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    small = q.count() <= 1_000_000
+    sent = F.broadcast if small else lambda d: d
+    size = docs.select(F.size(tokens(F.col("text"), False)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    posts = docs.select("id", tokens(F.col("text"), stemmed).alias("terms")).select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    tf = posts.join(sent(q.select("term").distinct()), "term", "left_semi").repartition("id").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    qtf = (L.K3 + 1) * F.col("qf") / (L.K3 + F.col("qf"))
+    weights = q.join(df, "term").crossJoin(F.broadcast(size)).select("query_id", "term", "avgdl", (F.col("qf") * idf * qtf).alias("weight"))
+    tfn = F.col("tf") * (L.K1 + 1) / (F.col("tf") + L.K1 * (1 - L.B + L.B * F.col("dl") / F.col("avgdl")))
+    s = tf.join(sent(weights), "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * (tfn + L.DELTA)), 6).alias("score"))
+    best = ranked(s, "score", "id", ["query_id"]).filter(F.col("rank") <= top_k).drop("rank")
+    # A query with fewer matches than top_k is filled with the smallest ids that it doesn't match: they lie among the
+    # first 2 * top_k, as fewer than top_k of these are matches.
+    short = queries.select("query_id").join(best.groupBy("query_id").agg(F.count("*").alias("c")), "query_id", "left").filter(F.coalesce("c", F.lit(0)) < top_k).select("query_id")
+    first = docs.select("id").orderBy("id").limit(2 * top_k)
+    rest = short.crossJoin(F.broadcast(first)).join(best, ["query_id", "id"], "left_anti").select("query_id", "id", F.lit(0.0).alias("score"))
+    return ranked(best.unionByName(rest), "score", "id", ["query_id"]).filter(F.col("rank") <= top_k)
+
+
+def keyword_search(docs: DataFrame, queries: DataFrame, top_k: int = L.TOP_K, pool: int | None = None) -> DataFrame:
+    """Keyword strategy: the top_k of all docs (id, text) by BM25; pool: only of so many first rows by id."""
+    d = bm25_top(docs if pool is None else docs.orderBy("id").limit(pool), queries, top_k)
     top = F.greatest(F.max("score").over(Window.partitionBy("query_id")), F.lit(1.0))
-    return d.withColumn("keyword_score", F.round(F.col("score") / top, 6)).filter(F.col("rank") <= top_k)
+    return d.withColumn("keyword_score", F.round(F.col("score") / top, 6))
 
 
 def rerank(results: DataFrame, score: str, top_k: int = L.RERANK_TOP_K, min_score: float = L.RERANK_MIN_SCORE, fallback: str | None = None) -> DataFrame:

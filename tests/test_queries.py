@@ -30,3 +30,25 @@ def test_entry_imports_without_the_training_data_folder(monkeypatch):
     monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith(("lexivec.llm", "corpus_pipeline")) else find(name, *a))
     assert set(__spark_entry__.queries()) == set(QUERIES)
     assert set(__spark_entry__.oracle_sql()) == set(ORACLES)
+
+
+@pytest.mark.parametrize("name", ["bm25_keyword", "context_relevance"])
+def test_keyword_queries_rank_all_documents(name, spark, same):
+    """The SQL's pool of the first 100 documents, taken away."""
+    cut = " order by doc_id limit 100)"
+    assert ORACLES[name].count(cut) == 1
+    same(QUERIES[name](spark, SF), ORACLES[name].replace(cut, ")"))
+
+
+def test_keyword_search_fills_up_and_takes_a_pool(spark):
+    from lexivec.operators import retrieval as R
+
+    docs = spark.createDataFrame([(k, "alpha beta" if k > 150 else "gamma delta" if k % 2 else None) for k in range(160)], "id long, text string")
+    queries = spark.createDataFrame([(1, "alpha alpha"), (2, "delta"), (3, "nothing else"), (4, None)], "query_id long, query_text string")
+    rows = lambda d: sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in d.collect())
+    got = rows(R.keyword_search(docs, queries))
+    assert [i for q, _, i, _ in got if q == 1] == [*range(151, 160), 0] and [i for q, _, i, _ in got if q > 2] == 2 * [*range(10)]
+    for pool in (None, 20):
+        d = docs if pool is None else docs.filter(f"id < {pool}")
+        want = R.bm25(d.crossJoin(queries.select("query_id")), queries).filter("rank <= 10")
+        assert rows(R.keyword_search(docs, queries, pool=pool)) == rows(want)
