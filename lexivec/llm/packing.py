@@ -7,18 +7,21 @@ remains is packed best-fit decreasing, by counts too. The plan's size is bounded
 corpus. Each piece then finds its slot by its number among the pieces of its length.
 
 Defined results: a null text is empty, so its only piece is the closing id; rows that repeat are packed each; extra
-columns are ignored; an empty table gives an empty result. Ids come from `tiktoken` with the vocabulary's ranks, which
-equals the `tokenizers` file's result with special strings taken as ordinary text.
+columns are ignored; an empty table gives an empty result. Ids come from `tiktoken` with the vocabulary's ranks and the
+added tokens of the `tokenizers` file beside it, which equals that library's result: a text is cut at added tokens, each
+of which is one id, and what lies between them is encoded on its own.
 """
 
 from __future__ import annotations
 
 import base64
 import bisect
+import json
 import sys
 import zlib
 from array import array
 from collections import Counter
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -32,18 +35,24 @@ LENGTH, CLOSING_ID = 1024, 2
 SALTS, PER_SALT = 64, 1_000_000
 
 
+def added_tokens(ranks_path: str) -> dict[str, int]:
+    """Added tokens of the tokenizer's json beside the ranks; none if there is no such file."""
+    path = Path(ranks_path).with_suffix(".json")
+    return {t["content"]: t["id"] for t in json.loads(path.read_text(encoding="utf-8"))["added_tokens"]} if path.exists() else {}
+
+
 class Encoder:
-    """Ids of texts by a vocabulary's ranks; special strings are ordinary text."""
+    """Ids of texts by a vocabulary's ranks and its added tokens."""
 
     def __init__(self, ranks_path: str, pattern: str):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added_tokens(ranks_path))
 
     def encode(self, text: str) -> array:
-        return array("I", self.encoding.encode_ordinary(text))
+        return array("I", self.encoding.encode(text, allowed_special="all"))
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}

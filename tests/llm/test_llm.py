@@ -213,6 +213,26 @@ def test_packing(spark, docs):
             assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
 
 
+def test_packing_of_added_tokens(spark, docs):
+    """Ids as the tokenizer's own defaults give them."""
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    e = "<|endoftext|>"
+    texts = [f"hello {e} world", e, f"{e}{e}\n {e}a", f"a  {e}  b<|endoftext|", "<|endof" + e + "text|>", f"é{e}ü " * 900, "<|ENDOFTEXT|> <| endoftext |>"]
+    rows = packing.pack(docs([(i, x, "a") for i, x in enumerate(texts)])).collect()
+    check_packed(rows)
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 2]
+        mine = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["piece"])
+        assert [(r["start"], r["length"]) for r in mine] == packing.cut(len(ids))
+        for r in mine:
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 20), max_size=40))
 def test_plan_uses_each_piece_once(counts):
