@@ -77,3 +77,28 @@ def small_enough(df: DataFrame, bytes_per_row: int, bound: int = 64 << 20) -> bo
 def hinted(df: DataFrame, bytes_per_row: int) -> DataFrame:
     """df with a broadcast hint if its counted size allows one; else as it is, for a shuffled join."""
     return F.broadcast(df) if small_enough(df, bytes_per_row) else df
+
+
+def row_key(text: str = "text") -> list[Column]:
+    """_h1, _h2: 128 bits of the text, which with its doc_id tell a row from all but its repetitions; null is as empty."""
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return [F.xxhash64(t).alias("_h1"), F.xxhash64(F.lit(1), t).alias("_h2")]
+
+
+def one_row_each(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """docs without the members (doc_id, _h1, _h2, stays) that don't stay, and with one row of those that repeat.
+
+    Rows that are no members are left alone. Repetitions are reduced before they are shuffled.
+    """
+    keys = ["doc_id", "_h1", "_h2"]
+    same = lambda d: F.col("doc_id").cast("long").eqNullSafe(d["_id"]) & (F.col("_h1") == d["_g1"]) & (F.col("_h2") == d["_g2"])
+    named = lambda d: hinted(d.select(*[F.col(a).alias(b) for a, b in zip(keys, ("_id", "_g1", "_g2"))]), 40)
+    gone = named(durable(members.filter("not stays").select(*keys).distinct(), "gone"))
+    again = durable(members.filter("stays").groupBy(*keys).count().filter("count > 1"), "again")
+    d = docs.select("*", *row_key())
+    d = d.join(gone, same(gone), "left_anti")
+    if again.isEmpty():
+        return d.select(*docs.columns)
+    again = named(again)
+    one = d.join(again, same(again), "left_semi").groupBy(F.col("doc_id").alias("_id"), "_h1", "_h2").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return d.join(again, same(again), "left_anti").select(*docs.columns).unionByName(one.select("_row.*"))

@@ -7,7 +7,7 @@ have their texts compared, byte by byte, by a grouping that is aggregated before
 
 Defined results: a null text counts as empty; texts are equal when identical without space and U+0009 to U+000D; of
 equal texts the one with the most code points stays, then that with the smallest id (null id last); rows that repeat
-whole, with one id, share a group and only one of them is kept if `row` tells them apart. Extra columns are ignored by
+with one id, or with null, count each, share a group, and one of them is kept. Extra columns are ignored by
 `duplicates`; an empty table gives an empty result.
 """
 
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import durable, hinted, table, with_python
+from lexivec.llm.common import durable, hinted, one_row_each, row_key, table, with_python
 
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 #: Bits of a fingerprint and of its remainder. The uppermost bits name the range of quotients that a filter covers;
@@ -34,16 +34,16 @@ def normalised(text: str | None) -> bytes:
 
 
 def _digests(batches):
-    """doc_id and text to fingerprint, SHA-256 and length in code points."""
+    """Texts to fingerprint, SHA-256 and length in code points, beside the text and the columns that follow."""
     for batch in batches:
-        ids, fps, shas, chars = batch.column(0), [], [], []
-        for value in batch.column(1):
+        fps, shas, chars = [], [], []
+        for value in batch.column(0):
             text = value.as_py()
             body = normalised(text)
             fps.append(xxhash.xxh3_64_intdigest(body) - (1 << 63))
             shas.append(hashlib.sha256(body).hexdigest())
             chars.append(len(text or ""))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(fps, pa.int64()), pa.array(shas), pa.array(chars, pa.int64())], names=["doc_id", "fp", "text_sha256", "n_code_points"])
+        yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(shas), pa.array(chars, pa.int64()), *batch.columns], names=["fp", "text_sha256", "n_code_points", *batch.schema.names])
 
 
 class CountingQuotientFilter:
@@ -116,29 +116,39 @@ def _bodies(batches):
         yield pa.RecordBatch.from_arrays([pa.array(bodies, pa.binary()), *batch.columns[1:]], names=["body", *batch.schema.names[1:]])
 
 
-def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row of docs."""
-    d = with_python(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    digests = durable(d.mapInArrow(_digests, "doc_id long, fp long, text_sha256 string, n_code_points long"), "digests")
+def _members(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Digests of every row, with a number of its own and its key; groups of equal texts, with the row that stays."""
+    d = with_python(docs).select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"), *row_key(text))
+    kinds = "fp long, text_sha256 string, n_code_points long"
+    digests = d.mapInArrow(lambda it: (b.drop_columns(["text"]) for b in _digests(it)), f"{kinds}, doc_id long, _h1 long, _h2 long")
+    digests = durable(digests.withColumn("row", F.monotonically_increasing_id()), "digests")
     range_bits = max(1, (digests.count() // PER_RANGE).bit_length())
     filters = digests.select("fp").mapInArrow(lambda it: _build(it, range_bits), "span int, filter binary")
-    repeated = durable(filters.groupBy("span").applyInArrow(_merge, "fp long"), "repeated")
-    # Byte verification: the texts of the routed documents only, equal ones merged before the shuffle.
-    ids = hinted(digests.join(hinted(repeated, 16), "fp", "left_semi").select(F.col("doc_id").alias("id"), "fp", "text_sha256", "n_code_points"), 120)
-    routed = d.join(ids, F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "doc_id", "fp", "text_sha256", "n_code_points")
-    bodies = routed.mapInArrow(_bodies, "body binary, doc_id long, fp long, text_sha256 string, n_code_points long")
-    best = F.min(F.struct(-F.col("n_code_points"), F.col("doc_id").isNull(), F.col("doc_id")))
-    groups = bodies.groupBy("fp", "text_sha256", "body").agg(F.count("*").alias("group_size"), best.alias("best"))
-    groups = groups.filter("group_size > 1").select("fp", "text_sha256", "group_size", F.col("best.doc_id").alias("keep"))
+    repeated = hinted(durable(filters.groupBy("span").applyInArrow(_merge, "fp long"), "repeated"), 16)
+    # Byte verification: the texts of repeated fingerprints only, each with its own digests, equal ones merged before the shuffle.
+    routed = d.select("text").mapInArrow(_digests, f"{kinds}, text string").join(repeated, "fp", "left_semi")
+    bodies = routed.select("text", "fp", "text_sha256").mapInArrow(_bodies, "body binary, fp long, text_sha256 string")
+    sizes = bodies.groupBy("fp", "text_sha256", "body").agg(F.count("*").alias("group_size")).filter("group_size > 1").drop("body")
+    best = F.min(F.struct(-F.col("n_code_points"), F.col("doc_id").isNull(), "doc_id", "_h1", "_h2", "row"))
+    first = digests.join(repeated, "fp", "left_semi").groupBy("fp", "text_sha256").agg(best.alias("best"))
+    return digests, durable(sizes.join(first, ["fp", "text_sha256"]).select("fp", "text_sha256", "group_size", "best"), "groups")
+
+
+def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row of docs."""
+    digests, groups = _members(docs, doc_id, text)
     out = digests.join(groups, ["fp", "text_sha256"], "left")
-    keep = F.when(F.col("group_size").isNotNull(), F.col("keep")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256")
+    keep = F.when(F.col("group_size").isNotNull(), F.col("best.doc_id")).otherwise(F.col("doc_id"))
+    kept = F.col("group_size").isNull() | (F.col("best.row") == F.col("row"))
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(kept, F.lit(True)).alias("kept"), "text_sha256")
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text an earlier choice keeps; ids are those of documents, one row each."""
-    gone = duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(hinted(durable(gone, "gone"), 16), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """docs with one row of each text, the one that `duplicates` keeps."""
+    digests, groups = _members(docs, "doc_id", "text")
+    d = digests.join(groups, ["fp", "text_sha256"])
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("_h1") == F.col("best._h1")) & (F.col("_h2") == F.col("best._h2"))
+    return one_row_each(docs, durable(d.select("doc_id", "_h1", "_h2", stays.alias("stays")), "members"))
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

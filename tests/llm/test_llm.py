@@ -112,6 +112,16 @@ def test_exact_dedup(spark, docs):
     assert {r["doc_id"] for r in left.collect()} == {d for d, (k, _) in brute.exact_keepers(PAIRS).items() if d == k}
 
 
+def test_exact_dedup_of_repeated_rows_and_null_ids(spark, docs):
+    rows = [(1, "a b", "a"), (1, "a b", "a"), (1, "ab", "a"), (1, "other", "a"), (2, "ab", "a"), *[(None, t, "b") for t in ("x y", "xy", "x y", "z", "ab")], *[(3, "hot", "c")] * 50, (4, "lone", "c"), (4, "lone 2", "c")]
+    got = exact_dedup.duplicates(docs(rows)).collect()
+    sizes = Counter("".join(t.split()) for _, t, _ in rows)
+    assert len(got) == len(rows) and Counter(r["group_size"] for r in got) == Counter(n for n in sizes.values() for _ in range(n))
+    assert all(n == 1 for n in Counter(r["text_sha256"] for r in got if r["kept"]).values()) and sum(r["kept"] for r in got) == len(sizes)
+    left = sorted(((r["doc_id"] or 0), r["text"]) for r in exact_dedup.drop_duplicates(docs(rows)).collect())
+    assert left == sorted([(1, "a b"), (1, "other"), (0, "x y"), (0, "z"), (3, "hot"), (4, "lone"), (4, "lone 2")])
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**64 - 1) | st.integers(0, 5), max_size=30), min_size=1, max_size=5))
 def test_counting_quotient_filters_merge(parts):
