@@ -19,8 +19,9 @@ documents share is counted per fragment and summed per pair.
 So no group emits all its pairs, and no link between different sets is lost. (With s = 0, J(x, y) <= J(x, p).)
 
 Defined results: a text without words, or null, has an empty set and is linked with nothing; with fewer than five words
-the whole sequence is the only n-gram; rows that repeat with one id count as copies; extra columns are ignored; an empty
-table gives an empty result. doc_id is expected to be unique and not null.
+the whole sequence is the only n-gram; extra columns are ignored; an empty table gives an empty result. Where a doc_id
+repeats or is null, the join is one of distinct sets, each under a number of its own in the order of their least ids, null
+last; rows of one set are copies, and a group has the least doc_id of its rows, null if they have none.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import durable, hinted, table, with_python
+from lexivec.llm.common import durable, hinted, one_row_each, row_key, table, with_python
 from lexivec.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -62,9 +63,11 @@ def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
 
 
 def _sketches(batches):
+    """Size and digest of the texts' sets, beside the columns but the text, which is the second."""
     for batch in batches:
         sets = [shingles(v.as_py()) for v in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())], names=["doc_id", "n", "key"])
+        rest, names = [batch.column(0), *batch.columns[2:]], [batch.schema.names[0], *batch.schema.names[2:]]
+        yield pa.RecordBatch.from_arrays([rest[0], pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), *rest[1:]], names=[names[0], "n", "key", *names[1:]])
 
 
 def _fragment_of(h: np.ndarray, fragments: int) -> np.ndarray:
@@ -202,14 +205,26 @@ def _is_link(shared, one, other):
     return 100 * shared >= PERCENT * (one + other - shared)
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of its set), rep (least document of the same set); a written table."""
-    sketch = durable(docs.select("doc_id", "text").mapInArrow(_sketches, "doc_id long, n long, key binary"), "sketches")
+_SKETCH = "doc_id long, n long, key binary"
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, n (size of its set), key (digest of its set), _h1, _h2 (key of its text); a written table."""
+    return durable(docs.select("doc_id", "text", *row_key()).mapInArrow(_sketches, f"{_SKETCH}, _h1 long, _h2 long"), "sketches")
+
+
+def representatives(sketch: DataFrame) -> DataFrame:
+    """doc_id, n, rep (least document of the same set); a written table."""
     many = sketch.filter("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c")
     d = sketch.join(many, ["key", "n"], "left")
     return durable(d.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "representatives")
 
 
+def _ids_suffice(sketch: DataFrame) -> bool:
+    """Whether no doc_id repeats or is null."""
+    return sketch.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty()
+
+
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs with these ids."""
     return docs.join(hinted(ids.select(F.col("doc_id").alias("_id")), 16), F.col("doc_id") == F.col("_id"), "left_semi")
@@ -295,19 +310,55 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return to_leader.union(_links_by_difference(diffs, sums))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
-    d = with_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    reps = representatives(d)
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) as the join reads them."""
+    return with_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _classes(d: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Classes of documents whose ids are unique and not null."""
+    reps = representatives(sketch)
     roots = durable(components(links(d, reps)), "roots")
     out = reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
 
 
+def _set_classes(d: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Every row of sketch with n_shingles, component_id and root, the number of its group's first set; for any ids."""
+    sets = sketch.filter("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least"))
+    sets = durable(sets.orderBy(F.col("least").asc_nulls_last(), "key").withColumn("node", F.monotonically_increasing_id()), "sets")
+    keyed = d.select("doc_id", "text", "text").toDF("doc_id", "_t", "text").mapInArrow(_sketches, f"{_SKETCH}, text string").filter("n > 0")
+    texts = keyed.groupBy("key", "n").agg(F.min("text").alias("text"))
+    clean = durable(texts.join(sets, ["key", "n"]).select(F.col("node").alias("doc_id"), "text"), "one_of_each_set")
+    reps = sets.select(F.col("node").alias("doc_id"), "n", F.col("node").alias("rep"))
+    roots = durable(components(links(clean, reps)), "roots")
+    named = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = named.join(sets.select(F.col("node").alias("root"), F.col("least").alias("component_id")), "root").select("key", "n", "root", "component_id")
+    out = sketch.join(named, ["key", "n"], "left")
+    own = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "root", "_h1", "_h2")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+    d = _rows(docs)
+    sketch = sketches(d)
+    if _ids_suffice(sketch):
+        return _classes(d, sketch)
+    return _set_classes(d, sketch).select("doc_id", "n_shingles", "component_id")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without the rows that an earlier document of their group stands for."""
-    gone = durable(classes(docs).filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")), "near_copies")
-    return docs.join(hinted(gone, 16), F.col("doc_id") == F.col("_gone"), "left_anti")
+    d = _rows(docs)
+    sketch = sketches(d)
+    if _ids_suffice(sketch):
+        gone = durable(_classes(d, sketch).filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")), "near_copies")
+        return docs.join(hinted(gone, 16), F.col("doc_id") == F.col("_gone"), "left_anti")
+    members = durable(_set_classes(d, sketch).filter("root is not null"), "members")
+    first = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_h1", "_h2")).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("_h1") == F.col("first._h1")) & (F.col("_h2") == F.col("first._h2"))
+    return one_row_each(docs, durable(members.join(first, "root").select("doc_id", "_h1", "_h2", stays.alias("stays")), "near_copies"))
 
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -99,6 +99,19 @@ def test_op10_equals_brute_force(spark):
     assert got == brute.classes(rows)
 
 
+def test_ngram_join_of_repeated_rows_and_null_ids(spark, docs):
+    """Against brute force on unique ids, each row under its number."""
+    far = " ".join(BASE.split()[:200] + [f"z{k}" for k in range(100)])
+    rows = [(0, BASE), (0, BASE), (1, far), (1, far), (2, edited(BASE, 3, 1)), (2, edited(BASE, 3, 1)), (5, edited(far, 3, 2)), (5, "some other words that stand here"), (6, " "), (6, None)]
+    rows += [(None, t) for t in (BASE, edited(far, 2, 3), "a b c d e f g", "a b c d  e f g", "", None)]
+    want = brute.classes([(k, t) for k, (_, t) in enumerate(rows)])
+    least = lambda k: min((rows[j][0] for j in want if want[j][1] == want[k][1] and rows[j][0] is not None), default=None)
+    got = Counter(tuple(r) for r in ngram_join.classes(docs([(i, t, "a") for i, t in rows])).collect())
+    assert got == Counter((i, want[k][0], least(k) if want[k][0] else i) for k, (i, _) in enumerate(rows))
+    left = [(r["doc_id"], " ".join((r["text"] or "").split())) for r in ngram_join.one_of_each(docs([(i, t, "a") for i, t in rows])).collect()]
+    assert Counter(left) == Counter([(0, BASE), (1, far), (5, "some other words that stand here"), (None, "a b c d e f g"), (6, ""), (6, ""), (None, ""), (None, "")])
+
+
 def test_components(spark):
     d = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(50, 60), (60, 70), (99, 99)], "u long, v long")
     got = {r["node"]: r["root"] for r in components(d).collect()}
