@@ -54,10 +54,10 @@ def cut_spans(text: str, size: int = SIZE, overlap: int = OVERLAP, separators=SE
             continue
         if start is not None:
             out.append((start, end))
+            start = None
         if hi - lo > size:
             out += [(lo + a, lo + b) for a, b in cut_spans(text[lo:hi], size, overlap, tuple(rest))]
-            start = None
-        else:
+        elif hi > lo:
             start, end = lo, hi
     if start is not None:
         out.append((start, end))

@@ -22,12 +22,18 @@ def test_flagship(spark):
 
 
 def test_entry_imports_without_the_training_data_folder(monkeypatch):
-    import importlib.util
+    import importlib
 
     import __spark_entry__
 
-    find = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith(("lexivec.llm", "corpus_pipeline")) else find(name, *a))
+    load = importlib.import_module
+
+    def without(name, *a):
+        if name.startswith(("lexivec.llm", "corpus_pipeline")):
+            raise ImportError(name)
+        return load(name, *a)
+
+    monkeypatch.setattr(importlib, "import_module", without)
     assert set(__spark_entry__.queries()) == set(QUERIES)
     assert set(__spark_entry__.oracle_sql()) == set(ORACLES)
 
