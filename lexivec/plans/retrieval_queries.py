@@ -157,8 +157,17 @@ def rank_change(spark, sf):
     return d.groupBy("query_id").agg(F.round(F.avg(F.abs(F.col("n") - F.col("o"))), 6).alias("rank_change"))
 
 
-_KEYWORD = f"""with kd as (select doc_id id, text from documents order by doc_id limit {L.TOP_K * L.KEYWORD_POOL}), bq as (select item_id query_id, text query_text from benchmark),
-pool as (select query_id, id, text from kd, bq), {_bm25_sql('pool', 'bq', 'bm')},
+#: BM25 of all documents under the benchmark's texts; each document is tokenised once.
+_KEYWORD = f"""with bq as (select item_id query_id, text query_text from benchmark),
+kt as (select doc_id id, {S.tokens("text")} terms from documents),
+ks as (select count(*) n, avg(len(terms)) avgdl from kt),
+kq as (select query_id, term, count(*) qf from (select query_id, unnest({S.tokens("query_text")}) term from bq) group by 1, 2),
+kp as (select id, dl, term, count(*) tf from (select id, len(terms) dl, unnest(terms) term from kt) where term in (select term from kq) group by 1, 2, 3),
+kf as (select term, count(*) df from kp group by 1),
+sc as (select query_id, id, sum(qf * ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * {L.K1 + 1} / (tf + {L.K1} * ({1 - L.B} + {L.B} * dl / avgdl)) + {L.DELTA}) * ({L.K3 + 1} * qf / ({L.K3} + qf)::double)) s
+       from kp join kf using (term) join kq using (term), ks group by 1, 2),
+bz as (select query_id, id, round(coalesce(s, 0), 6) score from (select query_id, id from bq, kt) left join sc using (query_id, id)),
+bm as (select *, row_number() over (partition by query_id order by score desc, id) as rank from bz),
 kw as (select query_id, id, score, round(score / greatest(max(score) over (partition by query_id), 1), 6) keyword_score, rank from bm)"""
 _REL = f"with {_VEC}, r as (select v.*, (e.label = q.query_label)::int rel from vec v join embeddings e on e.vec_id = v.id join qv q using (query_id) where rank <= 10)"
 

@@ -38,14 +38,6 @@ def test_entry_imports_without_the_training_data_folder(monkeypatch):
     assert set(__spark_entry__.oracle_sql()) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", ["bm25_keyword", "context_relevance"])
-def test_keyword_queries_rank_all_documents(name, spark, same):
-    """The SQL's pool of the first 100 documents, taken away."""
-    cut = " order by doc_id limit 100)"
-    assert ORACLES[name].count(cut) == 1
-    same(QUERIES[name](spark, SF), ORACLES[name].replace(cut, ")"))
-
-
 def test_keyword_search_fills_up_and_takes_a_pool(spark):
     from lexivec.operators import retrieval as R
 
