@@ -7,7 +7,8 @@ group. Whole texts that repeat are settled beforehand by their hashes.
 1. Which anchors occur in two documents? Hashes are counted per range of hashes; only documents with such an anchor go on.
 2. Each occurrence of such an anchor gives its context: 34 bytes before it, its 16, and 34 after. Of equal contexts only
    that of the least document needs comparing: every other one is covered whole. That is settled per task before the
-   shuffle, and again after it, so a passage that many documents share stays one row a task.
+   shuffle, and again after it, so a passage that many documents share stays one row a task. Anchors that very many
+   documents have give their windows instead, which are dealt out by their own hashes and settled in the same two steps.
 3. The contexts of a range of anchors form a sparse suffix array: the suffixes that begin at anchors, and the reversed
    prefixes that end there, sorted by multikey quicksort to a shallow depth, 16 bytes at a time of 8, then groups that
    still agree by blind tries. From an order and its common prefixes each suffix's node at any depth is a running count;
@@ -15,8 +16,11 @@ group. Whole texts that repeat are settled beforehand by their hashes.
    document the least in the pair's group.
 4. Each document's covered bytes are cut out of its text.
 
-Defined results: a null text is empty; texts are taken as UTF-8 bytes; rows that repeat an id are one document to each
-other, as matches are with smaller ids only; extra columns are ignored; an empty table gives an empty result.
+Hashes only bring strings together; bytes decide which are equal (whole texts: SHA-256).
+
+Defined results: a null text is empty; texts are taken as UTF-8 bytes; every row is a document of its own with a number of
+its own, ids serve the comparison only, so rows that repeat an id never remove each other's bytes; a null id counts as the
+greatest (2^63 - 1); extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,13 +34,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import durable, hinted, table, with_python
+from lexivec.llm.common import durable, hinted, salted_join, table, with_python
 
 WINDOW, GRAM = 50, 16
 SIDE = WINDOW - GRAM
 CONTEXT = WINDOW + SIDE
-#: Bytes that a group of documents has, and anchors of a range, about.
-GROUP_BYTES, PER_RANGE = 2 << 20, 1_000_000
+#: Bytes that a group of documents has at least and at most, and anchors of a range and of a group's part of it, about.
+GROUP_BYTES, MOST_GROUP_BYTES, PER_RANGE, PER_BUNDLE = 2 << 20, 16 << 20, 1_000_000, 1_000
+#: Bytes of contexts that are settled and shuffled together.
+CONTEXT_BYTES = 8 << 20
+#: An anchor that more documents have than this is compared window by window, so that no group of one anchor grows with the
+#: corpus: its windows are dealt out by their own hashes.
+HOT = 16_384
 #: Parts of a range in which contexts are compared, so that one task's contexts stay small.
 PARTS = 6
 #: Windows of a long text treated at once.
@@ -101,120 +110,157 @@ def _bytes_of(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _whole_rows(batches):
+def _packed_rows(batches):
+    """doc_id, length, hash of the whole text and the text's bytes, compressed, as they are read and shuffled again."""
     for batch in batches:
+        pack = zstandard.ZstdCompressor(level=3)
         bodies = [_bytes_of(v.as_py()) for v in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) for b in bodies], pa.int64()), pa.array([hashlib.sha256(b).digest() for b in bodies], pa.binary())], names=["doc_id", "n_bytes", "whole"])
+        columns = (pa.array([len(b) for b in bodies], pa.int64()), pa.array([hashlib.sha256(b).digest() for b in bodies], pa.binary()), pa.array(map(pack.compress, bodies), pa.binary()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "whole", "body"])
 
 
-def _groups(batches):
-    """Ids and texts as bytes, of about GROUP_BYTES together."""
+def _groups(batches, most: int):
+    """Numbers of rows and texts as bytes, of about `most` bytes together."""
+    unpack = zstandard.ZstdDecompressor()
+    rows, bodies, held = [], [], 0
     for batch in batches:
-        ids, bodies, held = [], [], 0
-        for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids.append(doc_id)
-            bodies.append(_bytes_of(value.as_py()))
+        for row, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+            rows.append(row)
+            bodies.append(unpack.decompress(value.as_py()))
             held += len(bodies[-1])
-            if held >= GROUP_BYTES:
-                yield ids, bodies
-                ids, bodies, held = [], [], 0
-        if ids:
-            yield ids, bodies
+            if held >= most:
+                yield rows, bodies
+                rows, bodies, held = [], [], 0
+    if rows:
+        yield rows, bodies
 
 
 def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
 
 
-def _anchor_rows(batches, ranges: int):
-    """One row per group of documents and range of hashes: the documents, how many anchors of each, and their lower 32 bits."""
-    for ids, bodies in _groups(batches):
+def _anchor_rows(batches, ranges: int, most: int):
+    """One row per group of documents and range of hashes: the rows' numbers, how many anchors of each, and their lower 32 bits."""
+    for rows, bodies in _groups(batches, most):
         found = [np.unique(anchors(b)[1]) for b in bodies]
         h = np.concatenate(found)
         owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
         r = _range_of(h, ranges)
         order = np.argsort(r, kind="stable")
-        r, owner, h, ids = r[order], owner[order], h[order].astype(np.uint32), np.array(ids, np.int64)
+        r, owner, h, numbers = r[order], owner[order], h[order].astype(np.uint32), np.array(rows, np.int64)
         out = []
         for part in np.split(np.arange(len(r)), np.flatnonzero(np.diff(r)) + 1) if len(r) else []:
             own, counts = np.unique(owner[part], return_counts=True)
-            out.append((int(r[part[0]]), ids[own].tobytes(), counts.astype(np.uint32).tobytes(), h[part].tobytes()))
+            out.append((int(r[part[0]]), numbers[own].tobytes(), counts.astype(np.uint32).tobytes(), h[part].tobytes()))
         columns = list(zip(*out)) if out else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["span", "ids", "counts", "low"])
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["span", "rows", "counts", "low"])
 
 
 def _joined(t: pa.Table, column: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in t.column(column)), kind)
 
 
-def _shared_anchors(t: pa.Table) -> pa.Table:
-    """doc_id, span, low: per document its anchors of this range that another document has too."""
-    low, ids, counts = _joined(t, "low", np.uint32), _joined(t, "ids", np.int64), _joined(t, "counts", np.uint32)
-    ordered = np.sort(low)
-    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    ends = np.cumsum(counts, dtype=np.int64)
-    out: list = [[], []]
-    if len(twice):
-        live = twice[np.minimum(np.searchsorted(twice, low), len(twice) - 1)] == low
-        per = np.add.reduceat(live.astype(np.int64), ends - counts)
-        for k in np.flatnonzero(per).tolist():
-            lo, hi = int(ends[k]) - int(counts[k]), int(ends[k])
-            out[0].append(int(ids[k]))
-            out[1].append(low[lo:hi][live[lo:hi]].tobytes())
-    span = t.column("span")[0].as_py()
-    return pa.table({"doc_id": pa.array(out[0], pa.int64()), "span": pa.array([span] * len(out[0]), pa.int32()), "low": pa.array(out[1], pa.binary())})
+def _shared_anchors(t: pa.Table, hot: int = HOT) -> pa.Table:
+    """row, key: one row for each document's anchor of this range that another document has too.
 
+    The key is the range and the hash's lower 32 bits; that of an anchor which more than `hot` documents have is negative.
+    """
+    low, rows, counts = _joined(t, "low", np.uint32), _joined(t, "rows", np.int64), _joined(t, "counts", np.uint32)
+    order = np.argsort(low, kind="stable")
+    ordered = low[order]
+    start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(low) else np.empty(0, np.int64)
+    n = np.diff(np.append(start, len(low)))
+    times = np.empty(len(low), np.int64)
+    times[order] = np.repeat(n, n)
+    keep = times > 1
+    key = (np.int64(t.column("span")[0].as_py()) << np.int64(32)) | low[keep].astype(np.int64)
+    return pa.table({"row": pa.array(np.repeat(rows, counts)[keep]), "key": pa.array(np.where(times[keep] > hot, ~key, key))})
 
-def _packed_rows(batches):
-    """doc_id and the text's bytes, compressed, as they are shuffled twice."""
-    for batch in batches:
-        pack = zstandard.ZstdCompressor(level=3)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack.compress(_bytes_of(v.as_py())) for v in batch.column(1)], pa.binary())], names=["doc_id", "body"])
+
+def _in(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are among the known ones, which are sorted."""
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys if len(known) else np.zeros(len(keys), bool)
 
 
 def _context_rows(batches, ranges: int, parts: int):
-    """Contexts of the shared anchors: one row per part of a range and group of documents, and the settled ones' spans.
+    """What the shared anchors bring to compare: one row per part and group of documents, and the settled spans.
 
-    In: doc_id, compressed text, live (the document's shared anchors, lower 32 bits by range). Out: under a number of 0 or
-    more the contexts to compare (anchor, document, place, bytes left and right, context), compressed; under a negative
-    one the spans (document, first byte, end byte) of those settled.
+    In: row, rank (the id's, for the comparison of ids), compressed text, live (keys of the document's shared anchors).
+    Out: kind, part, and compressed: of kind 0 contexts (anchor, rank, row, place, bytes left and right; context), of kind 1
+    windows of hot anchors (rank, row, place; window), of kind 2 the spans (row, first byte, end byte) of those settled.
     """
     unpack = zstandard.ZstdDecompressor()
+    heads, blobs, windows, held = [], [], [], 0
     for batch in batches:
-        rows, blobs, held = [], [], 0
-        for doc_id, packed, live in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+        for row, rank, packed, live in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
             body = unpack.decompress(packed.as_py())
             places, h = anchors(body)
-            r = _range_of(h, ranges).astype(np.uint64) << np.uint64(32)
-            known = np.concatenate([np.frombuffer(x["low"], np.uint32).astype(np.uint64) | np.uint64(x["span"] << 32) for x in live.as_py()])
-            keep = np.isin(r | (h & np.uint64(0xFFFFFFFF)), known)
-            places, h = places[keep], h[keep]
-            padded = np.frombuffer(bytes(SIDE) + body + bytes(SIDE), np.uint8)
-            left, right = np.minimum(places, SIDE), np.minimum(len(body) - GRAM - places, SIDE)
-            rows.append(np.column_stack([h.view(np.int64), np.full(len(h), doc_id), places, left, right]).astype(np.int64))
-            blobs.append(np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[places] if len(places) else np.empty((0, CONTEXT), np.uint8))
-            held += len(places)
-            if held * CONTEXT >= 4 * GROUP_BYTES:
-                yield _contexts(rows, blobs, parts)
-                rows, blobs, held = [], [], 0
-        if rows:
-            yield _contexts(rows, blobs, parts)
-
-
-def _contexts(rows, blobs, parts: int) -> pa.RecordBatch:
-    m, c = np.concatenate(rows), np.concatenate(blobs)
-    first, settled = _settle(m, c)
-    m, c = m[first], c[first]
-    r = _range_of(m[:, 0].copy().view(np.uint64), parts) if len(m) else np.empty(0, np.int64)
-    order = np.argsort(r, kind="stable")
-    r, m, c = r[order], m[order], c[order]
-    pack = zstandard.ZstdCompressor(level=1)
-    out = [(int(r[p[0]]), pack.compress(np.ascontiguousarray(m[p].T).tobytes()), pack.compress(c[p].tobytes())) for p in (np.split(np.arange(len(r)), np.flatnonzero(np.diff(r)) + 1) if len(r) else [])]
-    # The settled spans go to some negative range, so that no single one gets them all.
-    settled = merged(settled)
-    out.append((-1 - (int(settled[0, 0]) % parts if len(settled) else 0), pack.compress(settled.astype(np.int64).tobytes()), b""))
-    columns = list(zip(*out))
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(x, pa.binary()) for x in columns[1:]]], names=["span", "heads", "contexts"])
+            keys = (_range_of(h, ranges) << np.int64(32)) | (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            known = np.sort(live.values.to_numpy(zero_copy_only=False))
+            hot = np.flatnonzero(_in(keys, ~known[known < 0][::-1]))
+            keep = np.flatnonzero(_in(keys, known[known >= 0]))
+            text = np.frombuffer(bytes(SIDE) + body + bytes(SIDE), np.uint8)
+            if len(keep):
+                left, right = np.minimum(places[keep], SIDE), np.minimum(len(body) - GRAM - places[keep], SIDE)
+                heads.append(np.column_stack([h[keep].view(np.int64), np.full(len(keep), rank), np.full(len(keep), row), places[keep], left, right]).astype(np.int64))
+                blobs.append(np.lib.stride_tricks.sliding_window_view(text, CONTEXT)[places[keep]])
+            if len(hot):
+                # All windows that hold one of the hot anchors.
+                starts = np.unique((places[hot][:, None] - np.arange(SIDE + 1)).ravel())
+                starts = starts[(starts >= 0) & (starts <= len(body) - WINDOW)]
+                windows.append((np.column_stack([np.full(len(starts), rank), np.full(len(starts), row), starts]).astype(np.int64), np.lib.stride_tricks.sliding_window_view(text, WINDOW)[starts + SIDE]))
+                held += len(starts) * WINDOW
+            held += len(keep) * CONTEXT
+            if held >= CONTEXT_BYTES:
+                yield _bundles(heads, blobs, windows, parts)
+                heads, blobs, windows, held = [], [], [], 0
+    if heads or windows:
+        yield _bundles(heads, blobs, windows, parts)
+
+
+def _dealt(kind: int, h: np.ndarray, m: np.ndarray, c: np.ndarray, parts: int, pack):
+    """(kind, part, numbers, bytes) of the rows of m and c, by the part of their hash."""
+    part = _range_of(h, parts)
+    order = np.argsort(part, kind="stable")
+    part, m, c = part[order], m[order], c[order]
+    for p in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1) if len(part) else []:
+        yield kind, int(part[p[0]]), pack.compress(np.ascontiguousarray(m[p].T).tobytes()), pack.compress(c[p].tobytes())
+
+
+def _bundles(heads, blobs, windows, parts: int) -> pa.RecordBatch:
+    pack, out, settled = zstandard.ZstdCompressor(level=1), [], []
+    if heads:
+        m, c = np.concatenate(heads), np.concatenate(blobs)
+        first, spans = _settle(m, c)
+        settled.append(spans)
+        out += _dealt(0, m[first, 0].copy().view(np.uint64), m[first], c[first], parts, pack)
+    if windows:
+        m, c = np.concatenate([x for x, _ in windows]), np.concatenate([x for _, x in windows])
+        h = _hashes(c)
+        first, spans = _settle_windows(m, c, h)
+        settled.append(spans)
+        out += _dealt(1, h[first], m[first], c[first], parts, pack)
+    # Spans go to a part by their documents, so that no single one gets them all.
+    spans = merged(np.concatenate(settled))
+    out += [(2, int(spans[p[0], 0] % parts), pack.compress(np.ascontiguousarray(spans[p]).tobytes()), b"") for p in (np.array_split(np.arange(len(spans)), max(1, min(parts, len(spans) // 4096))) if len(spans) else [])]
+    columns = list(zip(*out)) if out else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *[pa.array(x, pa.binary()) for x in columns[2:]]], names=["kind", "part", "heads", "contexts"])
+
+
+def _hashes(strings: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, np.ascontiguousarray(strings)), np.uint64, len(strings))
+
+
+def _first_of_equal(strings: np.ndarray, h: np.ndarray, rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal strings stand together by rank, and the least rank among each one's equals.
+
+    Hashes bring equal strings together, bytes decide. Strings that differ but share a hash may split their runs, so that
+    some equal ones are not seen as such; none are ever taken for equal that differ.
+    """
+    order = np.lexsort((place, rank, h))
+    s = strings[order]
+    start = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (s[1:] != s[:-1]).any(axis=1)])
+    return order, rank[order][np.flatnonzero(start)][np.cumsum(start) - 1]
 
 
 def _settle(m: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,21 +269,41 @@ def _settle(m: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     A context equal to one of a smaller document is covered by each window that fits into the text.
     """
     if not len(m):
-        return np.empty(0, np.int64), np.empty((0, 4), np.int64)
-    whole = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in np.column_stack([np.ascontiguousarray(m[:, [0, 3, 4]]).view(np.uint8).reshape(len(m), -1), c])), np.uint64, len(m))
-    order = np.lexsort((m[:, 2], m[:, 1], whole))
-    start = np.concatenate([[True], whole[order][1:] != whole[order][:-1]])
-    least = m[order, 1][np.flatnonzero(start)][np.cumsum(start) - 1]
+        return np.empty(0, np.int64), np.empty((0, 3), np.int64)
+    strings = np.column_stack([np.ascontiguousarray(m[:, [4, 5]]).astype(np.uint8), c])
+    order, least = _first_of_equal(strings, _hashes(strings), m[:, 1], m[:, 3])
     later = m[order, 1] > least
     covered = m[order][later]
     # One row stands for a context of its least document; that document's repeats of it go along, but are rare.
-    return order[~later], _spans(covered, SIDE - covered[:, 4], covered[:, 3])
+    return order[~later], _spans(covered, SIDE - covered[:, 5], covered[:, 4])
+
+
+def _settle_windows(m: np.ndarray, c: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows (rank, row, place) are the first of their kind, and the spans of the others."""
+    order, least = _first_of_equal(c, h, m[:, 0], m[:, 2])
+    later = m[order, 0] > least
+    covered = m[order][later]
+    return order[~later], np.column_stack([covered[:, 1], covered[:, 2], covered[:, 2] + WINDOW])
+
+
+def compare_windows(m: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """(row, first byte, end byte) covered, of all windows of one part."""
+    if not len(m):
+        return np.empty((0, 3), np.int64)
+    h = _hashes(c)
+    order = np.argsort(h, kind="stable")
+    odd = (h[order][1:] == h[order][:-1]) & (c[order][1:] != c[order][:-1]).any(axis=1)
+    if odd.any():
+        # Windows of one hash that differ: those of such hashes by their bytes alone.
+        _, h = np.unique(np.ascontiguousarray(c).view(f"V{WINDOW}").ravel(), return_inverse=True)
+        h = h.astype(np.uint64)
+    return _settle_windows(m, c, h)[1]
 
 
 def _spans(m: np.ndarray, l_least: np.ndarray, l_most: np.ndarray) -> np.ndarray:
-    """(document, first byte, end byte) covered by the windows from l_least to l_most bytes left of an anchor."""
+    """(row, first byte, end byte) covered by the windows from l_least to l_most bytes left of an anchor."""
     ok = l_least <= l_most
-    return np.column_stack([m[:, 1], m[:, 2] - l_most, m[:, 2] + WINDOW - l_least])[ok]
+    return np.column_stack([m[:, 2], m[:, 3] - l_most, m[:, 3] + WINDOW - l_least])[ok]
 
 
 class BlindTrie:
@@ -293,22 +359,55 @@ class BlindTrie:
         return out
 
 
+def multikey_quicksort(order: np.ndarray, bounds: np.ndarray, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order sorted within its segments (bounds: their first places, and the end) by the words, and the new segments.
+
+    All segments are parted at once: each by the word of its middle row into less, equal and greater, of which the equal
+    part goes on with the next word. A segment of one row, or without a word left, is done.
+    """
+    order = order.copy()
+    depth = np.zeros(len(bounds) - 1, np.int64)
+    stacked = np.stack(words) if words else np.empty((0, len(order)), np.uint64)
+    cuts = [bounds]
+    while True:
+        size = np.diff(bounds)
+        live = np.flatnonzero((size > 1) & (depth < len(words)))
+        if not len(live):
+            return order, np.unique(np.concatenate(cuts))
+        lo, n, at = bounds[:-1][live], size[live], depth[live]
+        segment = np.repeat(np.arange(len(live)), n)
+        places = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n) + lo[segment]
+        rows = order[places]
+        word = stacked[at[segment], rows]
+        pivot = word[np.cumsum(n) - n + n // 2][segment]
+        side = 3 * segment + (word > pivot).astype(np.int64) + (word >= pivot)
+        by = np.argsort(side, kind="stable")
+        order[places] = rows[by]
+        side = side[by]
+        first = np.flatnonzero(np.concatenate([[True], side[1:] != side[:-1]]))
+        # Segments that go on, in their places; what lies between two of them is nobody's, and done.
+        starts, ends = places[first], np.append(places[first[1:] - 1], places[-1]) + 1
+        cuts.append(starts)
+        depth_of = at[side[first] // 3] + (side[first] % 3 == 1)
+        gap = np.concatenate([starts[1:] != ends[:-1], [True]])
+        bounds = np.insert(starts, np.flatnonzero(gap) + 1, ends[gap])
+        depth = np.insert(depth_of, np.flatnonzero(gap) + 1, len(words))[: len(bounds) - 1]
+
+
 def deep_shallow_sort(group: np.ndarray, strings: np.ndarray, shallow: int = SHALLOW) -> np.ndarray:
     """Order of the rows of `strings` (fixed width bytes) by group, then by bytes.
 
     Multikey quicksort by words of 8 bytes, all groups at once, to the shallow depth; what then still agrees goes to blind
     tries, which see distinct strings only.
     """
-    n, width = strings.shape
-    words = [np.ascontiguousarray(strings[:, k : k + 8]).view(">u8").ravel() for k in range(0, shallow, 8)]
-    order = np.lexsort((*reversed([w.astype(np.uint64) for w in words]), group))
-    agree = np.ones(max(n - 1, 0), bool)
-    for key in (group, *words):
-        agree &= key[order][1:] == key[order][:-1]
-    bounds = np.flatnonzero(np.concatenate([[True], ~agree, [True]])) if n else np.empty(0, np.int64)
-    sizes = np.diff(bounds)
+    n = len(strings)
+    words = [np.ascontiguousarray(strings[:, k : k + 8]).view(">u8").ravel().astype(np.uint64) for k in range(0, shallow, 8)]
+    order = np.argsort(group, kind="stable")
+    bounds = np.append(np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]])), n) if n else np.zeros(1, np.int64)
+    order, bounds = multikey_quicksort(order, bounds, words)
+    bounds = np.append(bounds[bounds < n], n)
     tails = np.ascontiguousarray(strings[:, shallow:])
-    for k in np.flatnonzero(sizes > 1).tolist():
+    for k in np.flatnonzero(np.diff(bounds) > 1).tolist():
         rows = order[bounds[k] : bounds[k + 1]]
         some = tails[rows]
         if (some == some[0]).all():
@@ -332,7 +431,7 @@ def common_prefixes(strings: np.ndarray, order: np.ndarray, group: np.ndarray) -
 
 
 def compare_contexts(m: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """(document, first byte, end byte) covered, of contexts of whole groups of anchors."""
+    """(row, first byte, end byte) covered, of contexts of whole groups of anchors."""
     first, settled = _settle(m, c)
     m, c = m[first], c[first]
     # An anchor of one document alone covers nothing.
@@ -353,7 +452,7 @@ def compare_contexts(m: np.ndarray, c: np.ndarray) -> np.ndarray:
     l_least, l_most = np.full(len(m), SIDE + 1), np.full(len(m), -1)
     node_r, node_l = np.empty(len(m), np.int64), np.empty(len(m), np.int64)
     for l in range(SIDE + 1):  # noqa: E741
-        able = np.flatnonzero((m[:, 3] >= l) & (m[:, 4] >= SIDE - l))
+        able = np.flatnonzero((m[:, 4] >= l) & (m[:, 5] >= SIDE - l))
         if not len(able):
             continue
         node_r[r_order] = np.cumsum(r_lcp < SIDE - l)
@@ -369,7 +468,7 @@ def compare_contexts(m: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
-    """(document, first, end) of spans that touch or overlap, joined; sorted."""
+    """(row, first, end) of spans that touch or overlap, joined; sorted."""
     if not len(spans):
         return spans
     spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
@@ -386,20 +485,21 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 
 def _span_table(spans: np.ndarray) -> pa.Table:
-    """doc_id and its spans as one blob of pairs."""
+    """row and its spans as one blob of pairs."""
     spans = merged(spans)
-    ids, starts = np.unique(spans[:, 0], return_index=True) if len(spans) else (np.empty(0, np.int64), [])
-    blobs = [x[:, 1:].tobytes() for x in np.split(spans, starts[1:])] if len(ids) else []
-    return pa.table({"doc_id": pa.array(ids.astype(np.int64)), "spans": pa.array(blobs, pa.binary())})
+    rows, starts = np.unique(spans[:, 0], return_index=True) if len(spans) else (np.empty(0, np.int64), [])
+    blobs = [x[:, 1:].tobytes() for x in np.split(spans, starts[1:])] if len(rows) else []
+    return pa.table({"row": pa.array(rows.astype(np.int64)), "spans": pa.array(blobs, pa.binary())})
 
 
 def _compare(t: pa.Table) -> pa.Table:
-    unpack = zstandard.ZstdDecompressor()
+    unpack, kind = zstandard.ZstdDecompressor(), t.column("kind")[0].as_py()
     heads = [np.frombuffer(unpack.decompress(x.as_py()), np.int64) for x in t.column("heads")]
-    if t.column("span")[0].as_py() < 0:
+    if kind == 2:
         return _span_table(np.concatenate([x.reshape(-1, 3) for x in heads]))
-    contexts = [np.frombuffer(unpack.decompress(x.as_py()), np.uint8).reshape(-1, CONTEXT) for x in t.column("contexts")]
-    return _span_table(compare_contexts(np.ascontiguousarray(np.concatenate([x.reshape(5, -1).T for x in heads])), np.concatenate(contexts)))
+    width, numbers, compare = ((CONTEXT, 6, compare_contexts), (WINDOW, 3, compare_windows))[kind]
+    strings = np.concatenate([np.frombuffer(unpack.decompress(x.as_py()), np.uint8).reshape(-1, width) for x in t.column("contexts")])
+    return _span_table(compare(np.ascontiguousarray(np.concatenate([x.reshape(numbers, -1).T for x in heads])), strings))
 
 
 def _cut_rows(batches):
@@ -421,28 +521,34 @@ def _cut_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], names=names)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left) of every row of docs (doc_id, text)."""
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left) of every row of docs (doc_id, text).
+
+    hot: anchors of more documents are compared window by window; the result is the same.
+    """
     d = with_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    whole = durable(d.mapInArrow(_whole_rows, "doc_id long, n_bytes long, whole binary"), "whole_texts")
-    firsts = whole.groupBy("whole").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).filter("c > 1").select("whole", "first")
-    again = durable(whole.join(firsts, "whole").filter("doc_id > first").select(F.col("doc_id").alias("again_id")).distinct(), "whole_repeats")
-    again = hinted(again, 16)
-    fresh = d.join(again, F.col("doc_id") == F.col("again_id"), "left_anti")
-    total = whole.agg(F.sum("n_bytes")).first()[0] or 0
-    # About one anchor for 18 bytes.
+    # Each row gets a number of its own, and the table is written, so that the numbers hold.
+    d = d.mapInArrow(_packed_rows, "doc_id long, n_bytes long, whole binary, body binary")
+    rank = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rank")
+    d = durable(d.select(F.monotonically_increasing_id().alias("row"), "doc_id", rank, "n_bytes", "whole", "body"), "packed")
+    firsts = d.groupBy("whole").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).filter("first < last").select("whole", "first")
+    again = salted_join(d.select("row", "whole", "rank"), durable(firsts, "firsts"), ["whole"], "row").filter("rank > first")
+    again = hinted(durable(again.select(F.col("row").alias("again_row")), "whole_repeats"), 16)
+    fresh = d.select("row", "body").join(again, F.col("row") == F.col("again_row"), "left_anti")
+    total = d.agg(F.sum("n_bytes")).first()[0] or 0
+    # About one anchor for 18 bytes; groups grow with the ranges, so that a group's part of a range stays about PER_BUNDLE.
     ranges = max(8, -(-total // (18 * PER_RANGE)))
-    live = fresh.mapInArrow(lambda it: _anchor_rows(it, ranges), "span int, ids binary, counts binary, low binary")
-    live = live.groupBy("span").applyInArrow(_shared_anchors, "doc_id long, span int, low binary")
-    live = live.groupBy(F.col("doc_id").alias("live_id")).agg(F.collect_list(F.struct("span", "low")).alias("live"))
-    packed = d.mapInArrow(_packed_rows, "doc_id long, body binary")
+    most = min(MOST_GROUP_BYTES, max(GROUP_BYTES, 18 * PER_BUNDLE * ranges))
+    live = fresh.mapInArrow(lambda it: _anchor_rows(it, ranges, most), "span int, rows binary, counts binary, low binary")
+    live = live.groupBy("span").applyInArrow(lambda t: _shared_anchors(t, hot), "row long, key long")
+    live = live.groupBy(F.col("row").alias("live_row")).agg(F.collect_list("key").alias("live"))
     # Documents that repeat a whole text have no live anchors, as only the first of them was searched.
-    contexts = packed.join(live, F.col("doc_id") == F.col("live_id")).select("doc_id", "body", "live")
-    contexts = contexts.mapInArrow(lambda it: _context_rows(it, ranges, ranges * PARTS), "span int, heads binary, contexts binary")
-    spans = contexts.groupBy("span").applyInArrow(_compare, "doc_id long, spans binary")
-    spans = spans.groupBy(F.col("doc_id").alias("span_id")).agg(F.collect_list("spans").alias("spans"))
-    out = packed.join(again, F.col("doc_id") == F.col("again_id"), "left").join(spans, F.col("doc_id") == F.col("span_id"), "left")
-    return out.select("doc_id", "body", F.col("again_id").isNotNull().alias("again"), "spans").mapInArrow(_cut_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    contexts = d.select("row", "rank", "body").join(live, F.col("row") == F.col("live_row")).select("row", "rank", "body", "live")
+    contexts = contexts.mapInArrow(lambda it: _context_rows(it, ranges, ranges * PARTS), "kind int, part int, heads binary, contexts binary")
+    spans = contexts.groupBy("kind", "part").applyInArrow(_compare, "row long, spans binary")
+    spans = spans.groupBy(F.col("row").alias("span_row")).agg(F.collect_list("spans").alias("spans"))
+    out = d.select("row", "doc_id", "body").join(again, F.col("row") == F.col("again_row"), "left").join(spans, F.col("row") == F.col("span_row"), "left")
+    return out.select("doc_id", "body", F.col("again_row").isNotNull().alias("again"), "spans").mapInArrow(_cut_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:

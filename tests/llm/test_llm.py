@@ -55,6 +55,44 @@ def test_op1_equals_brute_force(spark):
     assert got == brute.removed_repeats(rows)
 
 
+def test_suffix_dedup_of_hot_anchors(spark, docs):
+    """Every shared anchor as a hot one; and one gram in many different contexts."""
+    cut = lambda d, **k: {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(d, **k).drop("kept").collect()}
+    assert cut(docs(HARD), hot=1) == brute.removed_repeats(PAIRS)
+    r = random.Random(5)
+    line = "This line of sixty bytes and more stands in all documents here."
+    rows = [(k, f"{r.random()} {r.random()} {r.random()} {line if k % 3 else line[:30]} {r.random()} {r.random()}", "a") for k in range(3000)]
+    assert cut(docs(rows), hot=100) == cut(docs(rows)) == brute.removed_repeats([(i, t) for i, t, _ in rows])
+
+
+def test_suffix_dedup_of_repeated_and_null_ids(spark, docs):
+    """Rows of one id never remove each other's bytes, and unique text stays; null is the greatest id."""
+    one, two, three = (" ".join(f"{c}{k}" for k in range(90)) for c in "xyz")
+    rows = [(3, one), (5, one), (5, two), (2, three), (2, three), (None, three + two), (None, "null " + two), (7, two + one), (None, None), (3, "short")]
+    # Brute force on unique ids: each row's own text after those of the rows with smaller ids.
+    rank = lambda i: 2**63 - 1 if i is None else i
+    want = Counter()
+    for i, t in rows:
+        before = [(k, x) for k, (j, x) in enumerate(rows) if rank(j) < rank(i)]
+        want[(i, *brute.removed_repeats([*before, (len(rows), t)])[len(rows)])] += 1
+    got = suffix_dedup.remove_repeats(docs([(i, t, "a") for i, t in rows])).drop("kept").collect()
+    assert Counter(tuple(r) for r in got) == want
+    assert sorted(r["n_removed"] for r in got if r["doc_id"] == 5) == [0, len(one)]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.lists(st.integers(0, 2), min_size=2, max_size=2)), min_size=1, max_size=40))
+def test_multikey_quicksort(rows):
+    group = np.array([g for g, _ in rows])
+    words = [np.array([w[k] for _, w in rows], np.uint64) for k in range(2)]
+    order = np.argsort(group, kind="stable")
+    bounds = np.append(np.flatnonzero(np.concatenate([[True], np.diff(group[order]) > 0])), len(rows))
+    got, cuts = suffix_dedup.multikey_quicksort(order, bounds, words)
+    assert sorted(got.tolist()) == list(range(len(rows))) and [rows[i] for i in got] == sorted(rows)
+    keys = [rows[i] for i in got]
+    assert cuts.tolist() == [k for k in range(len(keys)) if k == 0 or keys[k] != keys[k - 1]] + ([len(keys)] if cuts[-1] == len(keys) else [])
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.binary(min_size=34, max_size=34).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=30))
 def test_deep_shallow_sort(strings):
