@@ -82,17 +82,17 @@ def hinted(df: DataFrame, bytes_per_row: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, bytes_per_row) else df
 
 
-def salted_join(many: DataFrame, few: DataFrame, keys: list[str], spread: str, salts: int = SALTS) -> DataFrame:
-    """Inner join on keys of which one may be that of a third of the rows of `many`; `few` has each key once.
+def salted_join(many: DataFrame, few: DataFrame, keys: list[str], spread: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Join on keys of which one may be that of a third of the rows of `many`; `few` has each key once.
 
     A row of `many` meets one of `salts` copies of its partner, told by the hash of its column `spread`, so a hot key's rows
     are dealt to as many tasks. Few enough partners are broadcast instead, once they are counted.
     """
     if small_enough(few, 64):
-        return many.join(F.broadcast(few), keys)
+        return many.join(F.broadcast(few), keys, how)
     left = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"]).drop("_salt")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def row_key(text: str = "text") -> list[Column]:

@@ -10,13 +10,18 @@ documents share is counted per fragment and summed per pair.
 3. Per fragment: exact document frequencies among those. Each document's rarest n-grams, as many as any partner must
    share one of, tie it to the least document that has the n-gram there too. The components of these ties hold all links.
 4. Each component has a leader, its least document p. Overlaps with p are counted per fragment and summed; what is left
-   over are the n-grams that x lacks of p, and those it adds: its difference D(x).
-5. A link between x and y of which x is not linked with p needs |D(x) & D(y)| >= s = (a(x) + a(y) - 0.2 |p|) / 1.8, where
+   over are the n-grams that x lacks of p, and those it adds: its difference D(x). Members linked with p need no pairs.
+5. Members not linked with p elect leaders among themselves, in rounds: each is compared with the one lesser open member
+   that leads most of its rarest n-grams; who is linked with it, or led, is open no more. The components of the links
+   found so far are contracted, so a group of copies around any leader needs no pairs among its members either.
+6. A link between x and y of which x is not linked with p needs |D(x) & D(y)| >= s = (a(x) + a(y) - 0.2 |p|) / 1.8, where
    a = 0.8 added + lacking, and then s > a(y) / 1.8 and s >= a(x) - 0.2 |p|. So differences are joined by their rarest
-   elements in turn, and the pairs found are counted exactly. Members linked with p need no pairs among themselves.
-6. Components of the links; copies get their representative's.
+   elements in turn: only documents of different components, and only elements that two components have; of an
+   element's documents those outside its greatest component meet all. The pairs found are counted exactly.
+7. Components of the links; copies get their representative's.
 
-So no group emits all its pairs, and no link between different sets is lost. (With s = 0, J(x, y) <= J(x, p).)
+So a group whose members are linked emits no pairs, however large, and no link between different sets is lost. (With
+s = 0, J(x, y) <= J(x, p).) What remains are pairs of documents of different components that come near the threshold.
 
 Defined results: a text without words, or null, has an empty set and is linked with nothing; with fewer than five words
 the whole sequence is the only n-gram; extra columns are ignored; an empty table gives an empty result. Where a doc_id
@@ -32,12 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import durable, hinted, one_row_each, row_key, table, with_python
+from lexivec.llm.common import durable, hinted, one_row_each, row_key, salted_join, table, with_python
 from lexivec.llm.components import components
 
 WORDS, PERCENT = 5, 80
 #: Documents are treated in groups of so many words; n-grams of about so many form a fragment.
 GROUP_WORDS, PER_FRAGMENT = 400_000, 6_000_000
+#: Most rounds of electing leaders (what they leave over meets in pairs), and members of a leader that share a task.
+ROUNDS, PER_LEADER = 8, 4096
 
 #: Fixed odd multipliers, one per place in an n-gram.
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -74,27 +81,17 @@ def _fragment_of(h: np.ndarray, fragments: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)).astype(np.uint32)
 
 
-def _segments(batches, fragments: int, narrow: bool):
-    """One row per group of documents and fragment: ids, set sizes, segment sizes, and the segments one after another.
+def _by_fragment(owner: np.ndarray, h: np.ndarray, fragments: int):
+    """(fragment, owners, hashes) of each fragment that has some."""
+    f = _fragment_of(h, fragments)
+    order = np.argsort(f, kind="stable")
+    f, owner, h = f[order], owner[order], h[order]
+    for part in np.split(np.arange(len(f)), np.flatnonzero(np.diff(f)) + 1) if len(f) else []:
+        yield int(f[part[0]]), owner[part], h[part]
 
-    narrow: n-grams by their lower 32 bits, which in one fragment may make two look alike but never tells equal ones apart.
-    """
-
-    def rows(ids, sets):
-        sizes = np.array([len(s) for s in sets], np.int64)
-        h = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        f = _fragment_of(h, fragments)
-        order = np.argsort(f, kind="stable")
-        f, owner, h = f[order], owner[order], h[order]
-        out, ids = [], np.array(ids, np.int64)
-        for part in np.split(np.arange(len(f)), np.flatnonzero(np.diff(f)) + 1) if len(f) else []:
-            own, counts = np.unique(owner[part], return_counts=True)
-            body = h[part].astype(np.uint32) if narrow else h[part]
-            out.append((int(f[part[0]]), ids[own].tobytes(), sizes[own].astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes(), body.tobytes()))
-        columns = list(zip(*out)) if out else [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["fragment", "ids", "sizes", "counts", "grams"])
 
+def _sets(batches):
+    """Ids and sets of documents, in groups of about GROUP_WORDS n-grams."""
     for batch in batches:
         ids, sets, held = [], [], 0
         for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -102,12 +99,50 @@ def _segments(batches, fragments: int, narrow: bool):
             sets.append(shingles(value.as_py()))
             held += len(sets[-1])
             if held >= GROUP_WORDS:
-                yield rows(ids, sets)
+                yield np.array(ids, np.int64), sets
                 ids, sets, held = [], [], 0
-        yield rows(ids, sets)
+        if ids:
+            yield np.array(ids, np.int64), sets
+
+
+def _segments(batches, fragments: int):
+    """One row per group of documents and fragment: ids, set sizes, segment sizes, and the segments one after another."""
+    for ids, sets in _sets(batches):
+        sizes = np.array([len(s) for s in sets], np.int64)
+        out = []
+        for f, owner, h in _by_fragment(np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets), fragments):
+            own, counts = np.unique(owner, return_counts=True)
+            out.append((f, ids[own].tobytes(), sizes[own].astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes(), h.tobytes()))
+        columns = list(zip(*out)) if out else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["fragment", "ids", "sizes", "counts", "grams"])
+
+
+def _occurrences(batches, fragments: int):
+    """Rows to tell which n-grams two documents have, n-grams by their lower 32 bits.
+
+    What repeats within a group of documents is settled there: under a negative fragment go the documents' counts of them.
+    Each fragment gets the others by document, and those that repeat once, so a frequent one is one entry a group. Two
+    n-grams of a fragment may look alike by 32 bits, but equal ones never look different.
+    """
+    for ids, sets in _sets(batches):
+        owner, h = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        alike = (_fragment_of(h, fragments).astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+        _, first, inverse, n = np.unique(alike, return_index=True, return_inverse=True, return_counts=True)
+        twice = n[inverse] > 1
+        per = np.bincount(owner[twice], minlength=len(sets))
+        held = np.flatnonzero(per)
+        out = [(-1 - int(ids[0] % fragments), ids[held].tobytes(), per[held].astype(np.uint32).tobytes(), b"", b"")]
+        once = {f: x.astype(np.uint32) for f, _, x in _by_fragment(first[n > 1], h[first[n > 1]], fragments)}
+        for f, own, x in _by_fragment(owner[~twice], h[~twice], fragments):
+            docs, counts = np.unique(own, return_counts=True)
+            out.append((f, ids[docs].tobytes(), counts.astype(np.uint32).tobytes(), x.astype(np.uint32).tobytes(), once.pop(f, np.empty(0, np.uint32)).tobytes()))
+        out += [(f, b"", b"", b"", x.tobytes()) for f, x in once.items()]
+        columns = list(zip(*out))
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["fragment", "ids", "counts", "grams", "settled"])
 
 
 _SEGMENT = "fragment int, ids binary, sizes binary, counts binary, grams binary"
+_OCCURRENCE = "fragment int, ids binary, counts binary, grams binary, settled binary"
 
 
 def _joined(t: pa.Table, column: str, kind) -> np.ndarray:
@@ -115,16 +150,18 @@ def _joined(t: pa.Table, column: str, kind) -> np.ndarray:
 
 
 def _repeated_counts(t: pa.Table) -> pa.Table:
-    """doc_id and how many n-grams of its segment occur in two documents of this fragment."""
-    grams, counts = _joined(t, "grams", np.uint32), _joined(t, "counts", np.uint32)
-    ordered = np.sort(grams)
+    """doc_id and how many n-grams of its segment occur in a document of another group too, or are known to repeat."""
+    grams, counts, ids = _joined(t, "grams", np.uint32), _joined(t, "counts", np.uint32), _joined(t, "ids", np.int64)
+    if t.column("fragment")[0].as_py() < 0:
+        return pa.table({"doc_id": pa.array(ids), "repeated": pa.array(counts.astype(np.int64))})
+    ordered = np.sort(np.concatenate([grams, _joined(t, "settled", np.uint32)]))
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    if len(twice):
+    if len(twice) and len(counts):
         at = np.minimum(np.searchsorted(twice, grams), len(twice) - 1)
         per = np.add.reduceat((twice[at] == grams).astype(np.int64), np.cumsum(counts, dtype=np.int64) - counts)
     else:
         per = np.zeros(len(counts), np.int64)
-    return pa.table({"doc_id": pa.array(_joined(t, "ids", np.int64)), "repeated": pa.array(per)}).filter(pa.array(per > 0))
+    return pa.table({"doc_id": pa.array(ids), "repeated": pa.array(per)}).filter(pa.array(per > 0))
 
 
 def _frequencies(t: pa.Table) -> pa.Table:
@@ -184,6 +221,13 @@ def _differences(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]], names=["doc_id", "leader", "n", "shared", "added", "lacking", "diff"])
 
 
+def _overlaps(batches):
+    """Of two segments, the last columns, how many n-grams they share."""
+    for batch in batches:
+        n = [len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64())], names=["doc_id", "leader", "shared"])
+
+
 def _elements(batches):
     for batch in batches:
         blobs = [np.frombuffer(b.as_py(), np.int64) for b in batch.column(2)]
@@ -216,7 +260,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 def representatives(sketch: DataFrame) -> DataFrame:
     """doc_id, n, rep (least document of the same set); a written table."""
     many = sketch.filter("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    d = sketch.join(many, ["key", "n"], "left")
+    d = salted_join(sketch.select("doc_id", "n", "key"), durable(many, "sets"), ["key", "n"], "doc_id", "left")
     return durable(d.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "representatives")
 
 
@@ -230,8 +274,44 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(hinted(ids.select(F.col("doc_id").alias("_id")), 16), F.col("doc_id") == F.col("_id"), "left_semi")
 
 
-def _links_by_difference(diffs: DataFrame, sums: DataFrame) -> DataFrame:
-    """Links x, y beside those with the leader. diffs: per document and fragment; sums: per document."""
+def _dealt_by_leader(pairs: DataFrame) -> DataFrame:
+    """pairs (doc_id, leader) with salts, and one of them for each row: a leader of many is copied to as many tasks."""
+    sizes = pairs.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(PER_LEADER)).cast("int").alias("salts")).filter("salts > 1")
+    d = pairs.join(hinted(durable(sizes, "leaders_of_many"), 16), "leader", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    return d.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
+
+
+def _leader_segments(dealt: DataFrame, parts: DataFrame) -> DataFrame:
+    """fragment, leader, salt, leader_grams: the leaders' segments, once for each salt."""
+    p = dealt.select("leader", "salts").distinct().join(parts.select(F.col("doc_id").alias("leader"), "fragment", F.col("grams").alias("leader_grams")), "leader")
+    return p.select("fragment", "leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "leader_grams")
+
+
+def _links_in_rounds(parts: DataFrame, rare: DataFrame, sums: DataFrame) -> DataFrame:
+    """u, v: links among documents that are not linked with their group's leader, found by electing leaders in rounds."""
+    left = durable(sums.filter(~_is_link(F.col("shared"), F.col("n"), F.col("leader_n"))).select("doc_id", "n"), "open")
+    sizes, found = left, None
+    for _ in range(ROUNDS):
+        mine = rare.join(left.select("doc_id"), "doc_id", "left_semi")
+        least = mine.groupBy("gram").agg(F.min("doc_id").alias("leader"), F.count("*").alias("c")).filter("c > 1").drop("c")
+        votes = mine.join(least, "gram").filter("doc_id != leader").groupBy("doc_id", "leader").agg(F.count("*").alias("votes"))
+        led = durable(votes.groupBy("doc_id").agg(F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("leader")), "led")
+        if led.isEmpty():
+            break
+        dealt = _dealt_by_leader(led)
+        both = dealt.join(parts.select("doc_id", "fragment", "grams"), "doc_id").join(_leader_segments(dealt, parts), ["fragment", "leader", "salt"])
+        shared = both.select("doc_id", "leader", "grams", "leader_grams").mapInArrow(_overlaps, "doc_id long, leader long, shared long")
+        shared = shared.groupBy("doc_id", "leader").agg(F.sum("shared").alias("shared"))
+        d = shared.join(sizes, "doc_id").join(sizes.select(F.col("doc_id").alias("leader"), F.col("n").alias("leader_n")), "leader")
+        linked = durable(d.filter(_is_link(F.col("shared"), F.col("n"), F.col("leader_n"))).select(F.col("doc_id").alias("u"), F.col("leader").alias("v")), "round")
+        found = linked if found is None else found.union(linked)
+        done = linked.select(F.col("u").alias("doc_id")).union(led.select(F.col("leader").alias("doc_id")))
+        left = durable(led.select("doc_id").join(done, "doc_id", "left_anti"), "open")
+    return sums.select(F.col("doc_id").alias("u"), F.col("leader").alias("v")).limit(0) if found is None else found
+
+
+def _links_by_difference(diffs: DataFrame, sums: DataFrame, so_far: DataFrame) -> DataFrame:
+    """Links x, y beside those with the leader and those so far. diffs: per document and fragment; sums: per document."""
     tenth = 10  # a and its bounds in tenths, as whole numbers
     s = sums.withColumn("a10", 8 * F.col("added") + tenth * F.col("lacking")).withColumn("size", F.col("added") + F.col("lacking"))
     s = s.withColumn("linked", _is_link(F.col("shared"), F.col("n"), F.col("leader_n")))
@@ -239,25 +319,34 @@ def _links_by_difference(diffs: DataFrame, sums: DataFrame) -> DataFrame:
     s = s.withColumn("least", F.greatest(F.lit(1), F.when(F.col("linked"), F.ceil(F.col("a10") / F.lit(18.0))).otherwise(apart)).cast("long"))
     # A leader whose members are all linked with it needs no more.
     open_leaders = s.filter("not linked").select("leader").distinct()
-    s = durable(s.join(open_leaders, "leader", "left_semi").filter("size >= least"), "open")
+    s = s.join(open_leaders, "leader", "left_semi").filter("size >= least")
+    # Members linked with the leader are one component; the others have that of their links so far, or their own.
+    roots = durable(components(so_far).select(F.col("node").alias("doc_id"), "root"), "roots_so_far")
+    s = s.join(hinted(roots, 24), "doc_id", "left").withColumn("part", F.when(F.col("linked"), F.col("leader")).otherwise(F.coalesce("root", "doc_id"))).drop("root")
+    s = durable(s, "members")
     e = diffs.select("doc_id", "leader", "diff").join(s.select("doc_id"), "doc_id", "left_semi").mapInArrow(_elements, "doc_id long, leader long, element long")
-    e = durable(e, "elements")
-    df = e.groupBy("leader", "element").agg(F.count("*").alias("df")).filter("df > 1")
+    e = durable(e.join(s.select("doc_id", "part"), "doc_id"), "elements")
+    # Elements of one component alone are in no difference that another component shares.
+    df = e.groupBy("leader", "element").agg(F.count("*").alias("df"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").drop("lo", "hi")
     e = e.join(df, ["leader", "element"])
-    # Elements of one document alone come first in the order of rarity: they only use up places.
+    # The others come first in the order of rarity: they only use up places.
     k = F.row_number().over(_by_rarity())
     odd = F.col("element").bitwiseAND(F.lit(1).cast("long"))
     e = e.withColumn("k", k).join(e.groupBy("doc_id").agg(F.count("*").alias("shared_size"), F.sum(odd).alias("shared_lacking")), "doc_id")
-    e = e.join(s.select("doc_id", "linked", "a10", "size", "least", "leader_n"), "doc_id")
+    e = e.join(s.select("doc_id", "a10", "size", "least", "leader_n"), "doc_id")
     e = e.filter(F.col("k") <= F.col("size") - F.col("least") + 1 - (F.col("size") - F.col("shared_size")))
-    e = durable(e.select("leader", "element", "doc_id", "linked", "a10", (F.col("shared_size") - F.col("shared_lacking")).alias("more"), F.col("shared_lacking").alias("less"), "leader_n"), "rarest")
-    x = e.filter("not linked").select("leader", "element", F.col("doc_id").alias("x"), F.col("a10").alias("xa"), F.col("more").alias("x_more"), F.col("less").alias("x_less"), "leader_n")
-    y = e.select("leader", "element", F.col("doc_id").alias("y"), F.col("linked").alias("y_linked"), F.col("a10").alias("ya"), F.col("more").alias("y_more"), F.col("less").alias("y_less"))
-    # Of two open documents the one order is enough. What they must share has to fit into the elements of either kind
-    # that each shares with any other document; the bound is part of the join's condition, so pairs beyond it don't arise.
-    fits = F.expr("x != y and (y_linked or x < y) and xa + ya - 2 * leader_n <= 18 * (least(x_more, y_more) + least(x_less, y_less))")
-    pairs = x.join(y.withColumnsRenamed({"leader": "_l", "element": "_e"}), (F.col("leader") == F.col("_l")) & (F.col("element") == F.col("_e")) & fits)
-    pairs = durable(pairs.select("x", "y").distinct(), "pairs")
+    e = durable(e.select("leader", "element", "doc_id", "part", "a10", (F.col("shared_size") - F.col("shared_lacking")).alias("more"), F.col("shared_lacking").alias("less"), "leader_n"), "rarest")
+    # Any two components differ from an element's greatest one, or one of them is it: documents outside it meet all.
+    per = e.groupBy("leader", "element", "part").agg(F.count("*").alias("c"))
+    great = per.groupBy("leader", "element").agg(F.max_by("part", F.struct("c", "part")).alias("great"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+    e = e.join(great, ["leader", "element"])
+    x = e.filter("part != great").select("leader", "element", F.col("doc_id").alias("x"), F.col("part").alias("x_part"), F.col("a10").alias("xa"), F.col("more").alias("x_more"), F.col("less").alias("x_less"), "leader_n")
+    y = e.select(F.col("leader").alias("_l"), F.col("element").alias("_e"), F.col("doc_id").alias("y"), F.col("part").alias("y_part"), F.col("a10").alias("ya"), F.col("more").alias("y_more"), F.col("less").alias("y_less"))
+    # What two must share has to fit into the elements of either kind that each shares with another component; the bound
+    # is part of the join's condition, so pairs beyond it don't arise.
+    fits = F.expr("x_part != y_part and xa + ya - 2 * leader_n <= 18 * (least(x_more, y_more) + least(x_less, y_less))")
+    pairs = x.join(y, (F.col("leader") == F.col("_l")) & (F.col("element") == F.col("_e")) & fits)
+    pairs = durable(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
     whole = diffs.join(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "doc_id", "left_semi")
     whole = durable(whole.groupBy("doc_id").agg(F.collect_list(F.struct("fragment", "diff")).alias("parts")), "whole_differences")
     part = lambda name: whole.select(F.col("doc_id").alias(name), F.col("parts").alias(f"{name}_parts"))
@@ -282,11 +371,11 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     mine = docs.select("doc_id", "text")
     others = reps.filter("doc_id != rep or n = 0").select(F.col("doc_id").alias("_id"))
     first = mine.join(hinted(others, 16), F.col("doc_id") == F.col("_id"), "left_anti")
-    seg = first.mapInArrow(lambda it: _segments(it, fragments, True), _SEGMENT)
-    rep = seg.groupBy("fragment").applyInArrow(_repeated_counts, "doc_id long, repeated long")
+    seen = first.mapInArrow(lambda it: _occurrences(it, fragments), _OCCURRENCE)
+    rep = seen.groupBy("fragment").applyInArrow(_repeated_counts, "doc_id long, repeated long")
     rep = rep.groupBy("doc_id").agg(F.sum("repeated").alias("repeated"))
     left = durable(rep.join(reps.select("doc_id", "n"), "doc_id").filter(100 * F.col("repeated") >= PERCENT * F.col("n")).select("doc_id", "n"), "searched")
-    seg = durable(_only(mine, left).mapInArrow(lambda it: _segments(it, fragments, False), _SEGMENT), "segments")
+    seg = durable(_only(mine, left).mapInArrow(lambda it: _segments(it, fragments), _SEGMENT), "segments")
     freq = seg.groupBy("fragment").applyInArrow(_frequencies, "doc_id long, n long, grams binary, dfs binary")
     buckets = max(8, left.count() // 5000)
     rare = freq.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).applyInArrow(_prefixes, "doc_id long, gram long")
@@ -296,18 +385,19 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     groups = durable(components(ties).select(F.col("node").alias("doc_id"), F.col("root").alias("leader")), "groups")
     parts = seg.mapInArrow(_exploded_segments, "fragment int, doc_id long, n long, grams binary")
     parts = durable(parts.join(hinted(groups, 24), "doc_id"), "parts")
-    p = parts.filter("doc_id = leader").select("fragment", "leader", F.col("grams").alias("leader_grams"))
     x = parts.filter("doc_id != leader")
     # A document may have nothing in a fragment where its leader has, and the other way round.
-    every = groups.filter("doc_id != leader").join(hinted(left, 24), "doc_id").select("doc_id", "leader", "n", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("fragment"))
-    d = every.join(x.select("fragment", "doc_id", "grams"), ["fragment", "doc_id"], "left").join(p, ["fragment", "leader"], "left")
+    dealt = durable(_dealt_by_leader(groups.filter("doc_id != leader")), "dealt")
+    every = dealt.join(hinted(left, 24), "doc_id").select("doc_id", "leader", "salt", "n", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("fragment"))
+    d = every.join(x.select("fragment", "doc_id", "grams"), ["fragment", "doc_id"], "left").join(_leader_segments(dealt, parts), ["fragment", "leader", "salt"], "left")
     d = d.select("doc_id", "leader", "n", "grams", "leader_grams", "fragment")
     diffs = d.select("doc_id", "leader", F.struct("n", "fragment").alias("n"), "grams", "leader_grams").mapInArrow(_differences, "doc_id long, leader long, n struct<n:long,fragment:int>, shared long, added long, lacking long, diff binary")
     diffs = durable(diffs.select("doc_id", "leader", "n.n", "n.fragment", "shared", "added", "lacking", "diff"), "differences")
     sums = diffs.groupBy("doc_id", "leader", "n").agg(F.sum("shared").alias("shared"), F.sum("added").alias("added"), F.sum("lacking").alias("lacking"))
     sums = durable(sums.withColumn("leader_n", F.col("shared") + F.col("lacking")), "sums")
     to_leader = sums.filter(_is_link(F.col("shared"), F.col("n"), F.col("leader_n"))).select(F.col("doc_id").alias("u"), F.col("leader").alias("v"))
-    return to_leader.union(_links_by_difference(diffs, sums))
+    elected = _links_in_rounds(parts, rare, sums)
+    return to_leader.union(elected).union(_links_by_difference(diffs, sums, elected))
 
 
 def _rows(docs: DataFrame) -> DataFrame:

@@ -131,6 +131,49 @@ def test_ngram_join_of_truncated_copies(spark, docs):
     assert got == brute.classes([(i, t) for i, t, _ in rows])
 
 
+def _pairs_made(monkeypatch, d):
+    """classes of d, and how many rows the table of pairs got."""
+    made = {}
+
+    def spy(df, name, keep=ngram_join.durable):
+        out = keep(df, name)
+        if name == "pairs":
+            made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "durable", spy)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.classes(d).collect()}
+    return got, made["pairs"]
+
+
+def tied_copies(n):
+    """Near copies of one text, tied to a least document that holds a half of it and so links with none; and its own copy."""
+    r = random.Random(n)
+    w = [f"w{k}" for k in range(200)]
+    least = w[:120] + [f"q{k}" for k in range(60)]
+    rows = [(0, " ".join(least), "a"), (1, " ".join([*least[:-1], "end"]), "a")]
+    return rows + [(2 + k, " ".join(x if r.random() > 0.005 else f"y{r.randrange(10**6)}" for x in w), "a") for k in range(n)]
+
+
+def test_ngram_join_emits_no_pairs_of_a_group(spark, docs, monkeypatch):
+    for n in (60, 240):
+        rows = tied_copies(n)
+        got, pairs = _pairs_made(monkeypatch, docs(rows))
+        assert got == brute.classes([(i, t) for i, t, _ in rows])
+        assert pairs <= 2 * n
+
+
+def test_ngram_join_of_groups_near_the_threshold(spark, docs):
+    """Groups around several centres whose members link across groups here and there."""
+    for seed in range(3):
+        r = random.Random(seed)
+        w = [f"w{k}" for k in range(120)]
+        centres = [w, *([x if not (a <= k < a + 14) else f"c{a}" for k, x in enumerate(w)] for a in (10, 40, 70, 100))]
+        rows = [(k, " ".join(x for x in (c if k % 5 else c[:110]) if r.random() > 0.004), "a") for k in range(90) for c in [centres[r.randrange(5)]]]
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.classes(docs(rows)).collect()}
+        assert got == brute.classes([(i, t) for i, t, _ in rows])
+
+
 def test_op10_equals_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in QUERIES["op10_ngram_jaccard_join"](spark, SF).collect()}
