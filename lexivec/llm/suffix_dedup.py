@@ -44,8 +44,10 @@ GROUP_BYTES, MOST_GROUP_BYTES, PER_RANGE, PER_BUNDLE = 2 << 20, 16 << 20, 1_000_
 #: Bytes of contexts that are settled and shuffled together.
 CONTEXT_BYTES = 8 << 20
 #: An anchor that more documents have than this is compared window by window, so that no group of one anchor grows with the
-#: corpus: its windows are dealt out by their own hashes.
-HOT = 16_384
+#: corpus: its windows are dealt out by their own hashes. So many contexts fill a part of a range by themselves.
+HOT = 131_072
+#: Rows whose spans are gathered together, as a power of 2: about 128 MiB of texts of 2 KB.
+BUCKET_BITS = 16
 #: Parts of a range in which contexts are compared, so that one task's contexts stay small.
 PARTS = 6
 #: Windows of a long text treated at once.
@@ -240,9 +242,10 @@ def _bundles(heads, blobs, windows, parts: int) -> pa.RecordBatch:
         first, spans = _settle_windows(m, c, h)
         settled.append(spans)
         out += _dealt(1, h[first], m[first], c[first], parts, pack)
-    # Spans go to a part by their documents, so that no single one gets them all.
+    # Spans go to a part by their bucket, so that no single one gets them all.
     spans = merged(np.concatenate(settled))
-    out += [(2, int(spans[p[0], 0] % parts), pack.compress(np.ascontiguousarray(spans[p]).tobytes()), b"") for p in (np.array_split(np.arange(len(spans)), max(1, min(parts, len(spans) // 4096))) if len(spans) else [])]
+    part = (spans[:, 0] >> BUCKET_BITS) % parts
+    out += [(2, int(part[p[0]]), pack.compress(np.ascontiguousarray(spans[p]).tobytes()), b"") for p in (np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1) if len(part) else [])]
     columns = list(zip(*out)) if out else [[]] * 4
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *[pa.array(x, pa.binary()) for x in columns[2:]]], names=["kind", "part", "heads", "contexts"])
 
@@ -471,25 +474,28 @@ def merged(spans: np.ndarray) -> np.ndarray:
     """(row, first, end) of spans that touch or overlap, joined; sorted."""
     if not len(spans):
         return spans
-    spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
-    out, doc, lo, hi = [], None, 0, 0
-    for d, a, b in spans.tolist():
-        if d == doc and a <= hi:
-            hi = max(hi, b)
-        else:
-            if doc is not None:
-                out.append((doc, lo, hi))
-            doc, lo, hi = d, a, b
-    out.append((doc, lo, hi))
-    return np.array(out, np.int64)
+    row, lo, hi = spans[np.lexsort((spans[:, 1], spans[:, 0]))].T
+    # Rows one after another on a single axis, far enough apart that no span reaches the next row.
+    base = np.cumsum(np.concatenate([[0], row[1:] != row[:-1]])) * (int(hi.max()) + 2)
+    reach = np.maximum.accumulate(base + hi)
+    first = np.flatnonzero(np.concatenate([[True], (base + lo)[1:] > reach[:-1]]))
+    last = np.append(first[1:], len(row)) - 1
+    return np.column_stack([row[first], lo[first], reach[last] - base[last]])
 
 
 def _span_table(spans: np.ndarray) -> pa.Table:
-    """row and its spans as one blob of pairs."""
-    spans = merged(spans)
-    rows, starts = np.unique(spans[:, 0], return_index=True) if len(spans) else (np.empty(0, np.int64), [])
-    blobs = [x[:, 1:].tobytes() for x in np.split(spans, starts[1:])] if len(rows) else []
-    return pa.table({"row": pa.array(rows.astype(np.int64)), "spans": pa.array(blobs, pa.binary())})
+    """Spans of a part as one blob (row, first, end) for each bucket of rows."""
+    spans = merged(spans).astype(np.int64)
+    at = np.flatnonzero(np.diff(spans[:, 0] >> BUCKET_BITS)) + 1 if len(spans) else []
+    parts = np.split(spans, at) if len(spans) else []
+    return pa.table({"bucket": pa.array([int(p[0, 0]) >> BUCKET_BITS for p in parts], pa.int64()), "spans": pa.array([p.tobytes() for p in parts], pa.binary())})
+
+
+def _by_row(t: pa.Table) -> pa.Table:
+    """row and its merged spans as one blob of pairs, from all blobs of its bucket."""
+    spans = merged(_joined(t, "spans", np.int64).reshape(-1, 3))
+    rows, starts = np.unique(spans[:, 0], return_index=True)
+    return pa.table({"row": pa.array(rows), "spans": pa.array([x[:, 1:].tobytes() for x in np.split(spans, starts[1:])], pa.binary())})
 
 
 def _compare(t: pa.Table) -> pa.Table:
@@ -507,13 +513,12 @@ def _cut_rows(batches):
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         out = []
-        for doc_id, value, again, blobs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        for doc_id, value, again, pairs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             body = unpack.decompress(value.as_py())
             if again and len(body) >= WINDOW:
                 spans, kept = [[0, len(body)]], b""
             else:
-                pairs = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 2) for b in blobs]) if blobs else np.empty((0, 2), np.int64)
-                spans = merged(np.column_stack([np.zeros(len(pairs), np.int64), pairs]))[:, 1:].tolist() if len(pairs) else []
+                spans = np.frombuffer(pairs or b"", np.int64).reshape(-1, 2).tolist()
                 ends = [0, *[e for _, e in spans]]
                 kept = b"".join(body[a:b] for a, b in zip(ends, [*[s for s, _ in spans], len(body)]))
             out.append((doc_id, len(body), len(body) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept))
@@ -545,8 +550,8 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     # Documents that repeat a whole text have no live anchors, as only the first of them was searched.
     contexts = d.select("row", "rank", "body").join(live, F.col("row") == F.col("live_row")).select("row", "rank", "body", "live")
     contexts = contexts.mapInArrow(lambda it: _context_rows(it, ranges, ranges * PARTS), "kind int, part int, heads binary, contexts binary")
-    spans = contexts.groupBy("kind", "part").applyInArrow(_compare, "row long, spans binary")
-    spans = spans.groupBy(F.col("row").alias("span_row")).agg(F.collect_list("spans").alias("spans"))
+    spans = contexts.groupBy("kind", "part").applyInArrow(_compare, "bucket long, spans binary")
+    spans = spans.groupBy("bucket").applyInArrow(_by_row, "row long, spans binary").withColumnRenamed("row", "span_row")
     out = d.select("row", "doc_id", "body").join(again, F.col("row") == F.col("again_row"), "left").join(spans, F.col("row") == F.col("span_row"), "left")
     return out.select("doc_id", "body", F.col("again_row").isNotNull().alias("again"), "spans").mapInArrow(_cut_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
