@@ -223,7 +223,21 @@ def test_counting_quotient_filters_merge(parts):
     merged = filters[0]
     for f in filters[1:]:
         merged = merged.merge(exact_dedup.CountingQuotientFilter.from_bytes(f.to_bytes()))
-    assert dict(zip(merged.fingerprints().tolist(), merged.counts.tolist())) == Counter(x for p in parts for x in p)
+    want = Counter(x for p in parts for x in p)
+    assert dict(zip(*(x.tolist() for x in merged.entries()))) == want
+    assert all(merged.count(x) == n for x, n in want.items()) and merged.count(77) == want[77]
+
+
+def test_counting_quotient_filter_slots():
+    """Runs that are pushed on, counters of several digits, and slots beyond the last home."""
+    f = exact_dedup.CountingQuotientFilter(np.array([3, 0xF0, 0xF1, 0xFE, 0xFF], np.uint64), np.array([1, 2, 70_000, 1, 300]), 8)
+    assert f.q == 3 and f.r == 5 and f.occupied.tolist() == [True] + [False] * 6 + [True]
+    # Home 0; then home 7: 0xF0 and a digit, 0xF1 and three digits, 0xFE, 0xFF and two digits.
+    assert len(f.slots) == 17 and np.flatnonzero(f.runend).tolist() == [0, 16] and np.flatnonzero(f.digit).tolist() == [8, 10, 11, 12, 15, 16]
+    assert [f.count(x) for x in (3, 0xF0, 0xF1, 0xFE, 0xFF, 0xF2, 64)] == [1, 2, 70_000, 1, 300, 0, 0]
+    again = exact_dedup.CountingQuotientFilter.from_bytes(f.to_bytes())
+    assert [x.tolist() for x in again.entries()] == [[3, 0xF0, 0xF1, 0xFE, 0xFF], [1, 2, 70_000, 1, 300]]
+    assert exact_dedup.CountingQuotientFilter.of(np.empty(0, np.uint64)).repeated().tolist() == []
 
 
 def test_quality(spark, docs):
