@@ -1,13 +1,14 @@
 """Best-fit packing by exact complements.
 
 Documents become token ids with a closing id each; those over the sequence length are cut, the odd piece first. Only the
-counts of pieces per length reach the plan: for the gap that the longest piece leaves, it looks for one piece, a pair or
-a triple whose lengths sum to the gap exactly, and uses each combination found as often as the counts allow; what then
-remains is packed best-fit decreasing, by counts too. The plan's size is bounded by the sequence length, not by the
-corpus. Each piece then finds its slot by its number among the pieces of its length.
-
-Defined results: a null text is empty, so its only piece is the closing id; rows that repeat are packed each; extra
-columns are ignored; an empty table gives an empty result. Ids come from `tiktoken` with the vocabulary's ranks and the
+counts of pieces per length reach the plan. An index holds the sums of single lengths, pairs and triples; the gap that a
+piece leaves is looked up there, and each combination that fills it exactly is consumed as often as the counts allow. What
+then remains is packed best-fit decreasing, by counts too. Index and plan are bounded by the sequence length (half a million
+entries for 1024), not by the corpus. Each piece then finds its slot by its number among the pieces of its length.
+
+Defined results: a null text is empty, so its only piece is the closing id; a very long text is cut into as many pieces as
+it needs; rows that repeat, null ids and pieces of equal length (ties) are packed each, by id, piece and ids; extra columns
+are ignored; an empty table gives an empty result. Ids come from `tiktoken` with the vocabulary's ranks and the
 added tokens of the `tokenizers` file beside it, which equals that library's result: a text is cut at added tokens, each
 of which is one id, and what lies between them is encoded on its own.
 """
@@ -15,12 +16,11 @@ of which is one id, and what lies between them is encoded on its own.
 from __future__ import annotations
 
 import base64
-import bisect
 import json
 import sys
 import zlib
 from array import array
-from collections import Counter
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import pyarrow as pa
@@ -96,104 +96,118 @@ def pieces(docs: DataFrame, ranks_path: str | None = None, length: int = LENGTH)
     return d.mapInArrow(lambda it: _piece_rows(it, ranks_path, length), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-class _Left:
-    """Counts of pieces per length, with the lengths in order."""
+class SumIndex:
+    """Counts of pieces per length, and an index of the sums of one, two and three of these lengths.
+
+    `pairs` has, for each sum, the pairs (a, b) with a >= b, greatest a first; `triples` the lengths a whose partners make a
+    pair of what a leaves, none longer than a. Lengths only run out, so a combination that is passed over as it needs one
+    that has run out never comes back, and each sum's list is read once: from where the last search of it stopped.
+    """
 
-    def __init__(self, counts: dict[int, int]):
+    def __init__(self, counts: dict[int, int], length: int):
         self.counts = Counter({k: v for k, v in counts.items() if v > 0})
-        self.lengths = sorted(self.counts)
+        lengths = sorted(self.counts, reverse=True)
+        self.pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.triples: dict[int, list[int]] = defaultdict(list)
+        for i, a in enumerate(lengths):
+            for b in lengths[i:]:
+                if a + b < length:
+                    self.pairs[a + b].append((a, b))
+        for rest, found in self.pairs.items():
+            least = found[-1][0]
+            for a in lengths:
+                if a < least:
+                    break
+                if a + rest < length:
+                    self.triples[a + rest].append(a)
+        for found in self.triples.values():
+            found.sort(reverse=True)
+
+    def times(self, lengths: tuple[int, ...]) -> int:
+        """How often the lengths can be taken together."""
+        return min(self.counts[k] // n for k, n in Counter(lengths).items())
 
     def take(self, lengths: tuple[int, ...], times: int) -> None:
         for k in lengths:
             self.counts[k] -= times
-            if self.counts[k] == 0:
-                del self.counts[k]
-                self.lengths.remove(k)
 
-    def times(self, lengths: tuple[int, ...]) -> int:
-        """How often the lengths can be taken together."""
-        need = Counter(lengths)
-        return min(self.counts[k] // n for k, n in need.items())
-
-    def most(self, room: int) -> int | None:
-        """The greatest length within the room."""
-        i = bisect.bisect_right(self.lengths, room)
-        return self.lengths[i - 1] if i else None
-
-
-def complements(left: _Left, first: int, gap: int, parts: int = 3):
-    """Combinations of up to `parts` lengths, three at most, that fill the gap after `first` exactly, longest parts first."""
-    have = left.counts
-    able = lambda *x: left.times((first, *x)) > 0
-    if gap in have and able(gap):
-        yield (gap,)
-    if parts < 2:
-        return
-    for a in reversed(left.lengths[: bisect.bisect_right(left.lengths, gap - 1)]):
-        if 2 * a < gap:
-            break
-        if gap - a in have and able(a, gap - a):
-            yield (a, gap - a)
-    if parts < 3:
-        return
-    for a in reversed(left.lengths[: bisect.bisect_right(left.lengths, gap - 2)]):
-        if 3 * a < gap:
-            break
-        rest = gap - a
-        for b in reversed(left.lengths[: bisect.bisect_right(left.lengths, min(a, rest - 1))]):
-            if 2 * b < rest:
-                break
-            if rest - b in have and able(a, b, rest - b):
-                yield (a, b, rest - b)
+    def _pairs_of(self, total: int, most: int):
+        for a, b in self.pairs.get(total, ()):
+            if a <= most and self.counts[a] and self.counts[b]:
+                yield a, b
+
+    def combinations(self, gap: int, parts: int):
+        """Combinations of so many lengths that sum to the gap, of what is left, longest first."""
+        if parts == 1:
+            if self.counts[gap]:
+                yield (gap,)
+        elif parts == 2:
+            yield from self._pairs_of(gap, gap)
+        else:
+            for a in self.triples.get(gap, ()):
+                if self.counts[a]:
+                    for pair in self._pairs_of(gap - a, a):
+                        yield (a, *pair)
+
+
+def exact_fills(index: SumIndex, length: int, over: int = 0) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences that are filled exactly: the gap of each piece longer than `over`, longest first, is looked up in the index
+    and each combination found consumed as often as the counts allow; those of fewer parts for all pieces first."""
+    out = []
+    if index.counts[length]:
+        out.append(((length,), index.counts[length]))
+        index.take((length,), index.counts[length])
+    for parts in (1, 2, 3):
+        for first in sorted((k for k, n in index.counts.items() if n > 0 and k > over), reverse=True):
+            if index.counts[first] <= 0:
+                continue
+            for found in index.combinations(length - first, parts):
+                together = (first, *found)
+                if times := index.times(together):
+                    index.take(together, times)
+                    out.append((together, times))
+                    if not index.counts[first]:
+                        break
+    return out
 
 
-def plan(counts: dict[int, int], length: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths packed together, how many sequences) of all pieces, given their counts per length.
-
-    Triples spend short pieces early, which a small corpus may miss at the end; so the plan is made with combinations of
-    up to three, two and one parts, and the one of fewest sequences holds.
-    """
-    return min((_plan(counts, length, parts) for parts in (3, 2, 1)), key=lambda p: sum(n for _, n in p))
-
-
-def _plan(counts: dict[int, int], length: int, parts: int) -> list[tuple[tuple[int, ...], int]]:
-    left, out = _Left(counts), []
-
-    def use(lengths: tuple[int, ...], times: int) -> None:
-        left.take(lengths, times)
-        out.append((lengths, times))
-
-    if left.counts[length] > 0:
-        use((length,), left.counts[length])
-    for first in sorted(left.counts, reverse=True):
-        while left.counts.get(first, 0) > 0:
-            found = next(complements(left, first, length - first, parts), None)
-            if found is None:
-                break
-            together = (first, *found)
-            use(together, left.times(together))
-    # Best fit, decreasing: open sequences by the room that they leave, alike ones counted together.
+def best_fit(counts: dict[int, int], length: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit, decreasing: open sequences by the room that they leave, alike ones counted together."""
     rooms: Counter = Counter()
-    for n in sorted(left.counts, reverse=True):
-        while (have := left.counts.get(n, 0)) > 0:
-            fits = sorted((room, kept) for room, kept in rooms if room >= n)
+    for n in sorted(counts, reverse=True):
+        have = counts[n]
+        while have > 0:
+            fits = min(((room, kept) for room, kept in rooms if room >= n), default=None)
             if fits:
-                room, kept = fits[0]
-                times = min(have, rooms[room, kept])
-                rooms[room, kept] -= times
-                if not rooms[room, kept]:
-                    del rooms[room, kept]
+                room, kept = fits
+                times = min(have, rooms[fits])
+                rooms[fits] -= times
+                if not rooms[fits]:
+                    del rooms[fits]
                 rooms[room - n, (*kept, n)] += times
-                left.take((n,), times)
+                have -= times
+            elif have >= (each := length // n):
+                rooms[length - each * n, (n,) * each] += have // each
+                have %= each
             else:
-                each = length // n
-                if have >= each:
-                    rooms[length - each * n, (n,) * each] += have // each
-                    left.take((n,), have // each * each)
-                else:
-                    rooms[length - have * n, (n,) * have] += 1
-                    left.take((n,), have)
-    return out + [(kept, times) for (_, kept), times in rooms.items()]
+                rooms[length - have * n, (n,) * have] += 1
+                have = 0
+    return [(kept, times) for (_, kept), times in rooms.items()]
+
+
+def plan(counts: dict[int, int], length: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths packed together, how many sequences) of all pieces, given their counts per length.
+
+    Combinations for pieces with wide gaps spend short pieces that narrow gaps miss at the end. So the plan is made with
+    exact fills of all pieces, and of those over some shares of the length only; of the plans the one of fewest sequences
+    holds, of equal ones that with the most exact fills.
+    """
+    index, plans = SumIndex(counts, length), []
+    for eighths in (0, 4, 5, 6, 7):
+        index.counts = Counter({k: v for k, v in counts.items() if v > 0})
+        filled = exact_fills(index, length, eighths * length // 8)
+        plans.append(filled + best_fit(+index.counts, length))
+    return min(plans, key=lambda p: sum(n for _, n in p))
 
 
 def slots(planned: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:

@@ -320,7 +320,6 @@ def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     import zlib
 
     for i, text in PAIRS:
@@ -363,6 +362,58 @@ def test_plan_uses_each_piece_once(counts):
     assert packing.cut(2050, 1024) == [(0, 2), (2, 1024), (1026, 1024)] and packing.cut(1024) == [(0, 1024)] and packing.cut(3) == [(0, 3)]
 
 
+def fewest(lengths, room):
+    """The fewest sequences, by exhaustive search."""
+    lengths, best = sorted(lengths, reverse=True), len(lengths)
+
+    def go(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for r in set(rooms):
+            if r >= lengths[k]:
+                rest = list(rooms)
+                rest.remove(r)
+                go(k + 1, [*rest, r - lengths[k]])
+        go(k + 1, [*rooms, room - lengths[k]])
+
+    go(0, [])
+    return best
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 16), min_size=1, max_size=9))
+def test_plan_against_exact_search(lengths):
+    """Never fewer than the fewest, at most one more on so small counts, and as few where exact fills use up all pieces."""
+    n = sum(times for _, times in packing.plan(Counter(lengths), 16))
+    best = fewest(lengths, 16)
+    assert best <= n <= best + 1
+    if sum(lengths) == 16 * best and all(x > 8 or lengths.count(16 - x) for x in lengths):
+        assert n == best
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 16), st.integers(1, 3), min_size=1, max_size=12), st.integers(2, 16))
+def test_index_of_sums(counts, gap):
+    from itertools import combinations_with_replacement as choose
+
+    index = packing.SumIndex(counts, 17)
+    for parts in (1, 2, 3):
+        got = {tuple(sorted(x)) for x in index.combinations(gap, parts)}
+        want = {x for x in choose(sorted(counts), parts) if sum(x) == gap}
+        assert got == want
+
+
+def test_packing_of_long_and_tied_texts(spark, docs):
+    rows = [(k % 2 or None, x, "a") for k, x in enumerate(["word " * 30_000, "tie", "tie", "tie", None, ""])]
+    got = packing.pack(docs(rows)).collect()
+    check_packed(got)
+    assert sum(r["piece"] == 0 for r in got) == len(rows) and sum(r["length"] == 1024 for r in got) >= 29
+
+
 def test_toxicity(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     chain = toxicity.train(docs, labels.filter("doc_id % 3 > 0"))
