@@ -12,7 +12,7 @@ documents share is counted per fragment and summed per pair.
 4. Each component has a leader, its least document p. Overlaps with p are counted per fragment and summed; what is left
    over are the n-grams that x lacks of p, and those it adds: its difference D(x). Members linked with p need no pairs.
 5. Members not linked with p elect leaders among themselves, in rounds: each is compared with the one lesser open member
-   that leads most of its rarest n-grams; who is linked with it, or led, is open no more. The components of the links
+   that leads most of its rarest n-grams, if that leads more than a few; who is linked with it, or led, is open no more. The components of the links
    found so far are contracted, so a group of copies around any leader needs no pairs among its members either.
 6. A link between x and y of which x is not linked with p needs |D(x) & D(y)| >= s = (a(x) + a(y) - 0.2 |p|) / 1.8, where
    a = 0.8 added + lacking, and then s > a(y) / 1.8 and s >= a(x) - 0.2 |p|. So differences are joined by their rarest
@@ -43,8 +43,9 @@ from lexivec.llm.components import components
 WORDS, PERCENT = 5, 80
 #: Documents are treated in groups of so many words; n-grams of about so many form a fragment.
 GROUP_WORDS, PER_FRAGMENT = 400_000, 6_000_000
-#: Most rounds of electing leaders (what they leave over meets in pairs), and members of a leader that share a task.
-ROUNDS, PER_LEADER = 8, 4096
+#: Most rounds of electing leaders (what they leave over meets in pairs), how many documents a leader must lead to be
+#: worth a round, and members of a leader that share a task.
+ROUNDS, FEW, PER_LEADER = 8, 32, 4096
 
 #: Fixed odd multipliers, one per place in an n-gram.
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -287,8 +288,11 @@ def _leader_segments(dealt: DataFrame, parts: DataFrame) -> DataFrame:
     return p.select("fragment", "leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "leader_grams")
 
 
-def _links_in_rounds(parts: DataFrame, rare: DataFrame, sums: DataFrame) -> DataFrame:
-    """u, v: links among documents that are not linked with their group's leader, found by electing leaders in rounds."""
+def _links_in_rounds(parts: DataFrame, rare: DataFrame, sums: DataFrame) -> DataFrame | None:
+    """u, v: links among documents that are not linked with their group's leader, found by electing leaders in rounds.
+
+    None if there is no leader of many.
+    """
     left = durable(sums.filter(~_is_link(F.col("shared"), F.col("n"), F.col("leader_n"))).select("doc_id", "n"), "open")
     sizes, found = left, None
     for _ in range(ROUNDS):
@@ -296,6 +300,9 @@ def _links_in_rounds(parts: DataFrame, rare: DataFrame, sums: DataFrame) -> Data
         least = mine.groupBy("gram").agg(F.min("doc_id").alias("leader"), F.count("*").alias("c")).filter("c > 1").drop("c")
         votes = mine.join(least, "gram").filter("doc_id != leader").groupBy("doc_id", "leader").agg(F.count("*").alias("votes"))
         led = durable(votes.groupBy("doc_id").agg(F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("leader")), "led")
+        # Those of a leader of few may meet in pairs: that is a bounded number for each of them.
+        many = led.groupBy("leader").agg(F.count("*").alias("c")).filter(F.col("c") > FEW).select("leader")
+        led = durable(led.join(hinted(durable(many, "leaders"), 16), "leader", "left_semi").select("doc_id", "leader"), "led_by_leaders_of_many")
         if led.isEmpty():
             break
         dealt = _dealt_by_leader(led)
@@ -307,10 +314,10 @@ def _links_in_rounds(parts: DataFrame, rare: DataFrame, sums: DataFrame) -> Data
         found = linked if found is None else found.union(linked)
         done = linked.select(F.col("u").alias("doc_id")).union(led.select(F.col("leader").alias("doc_id")))
         left = durable(led.select("doc_id").join(done, "doc_id", "left_anti"), "open")
-    return sums.select(F.col("doc_id").alias("u"), F.col("leader").alias("v")).limit(0) if found is None else found
+    return found
 
 
-def _links_by_difference(diffs: DataFrame, sums: DataFrame, so_far: DataFrame) -> DataFrame:
+def _links_by_difference(diffs: DataFrame, sums: DataFrame, so_far: DataFrame | None) -> DataFrame:
     """Links x, y beside those with the leader and those so far. diffs: per document and fragment; sums: per document."""
     tenth = 10  # a and its bounds in tenths, as whole numbers
     s = sums.withColumn("a10", 8 * F.col("added") + tenth * F.col("lacking")).withColumn("size", F.col("added") + F.col("lacking"))
@@ -321,8 +328,12 @@ def _links_by_difference(diffs: DataFrame, sums: DataFrame, so_far: DataFrame) -
     open_leaders = s.filter("not linked").select("leader").distinct()
     s = s.join(open_leaders, "leader", "left_semi").filter("size >= least")
     # Members linked with the leader are one component; the others have that of their links so far, or their own.
-    roots = durable(components(so_far).select(F.col("node").alias("doc_id"), "root"), "roots_so_far")
-    s = s.join(hinted(roots, 24), "doc_id", "left").withColumn("part", F.when(F.col("linked"), F.col("leader")).otherwise(F.coalesce("root", "doc_id"))).drop("root")
+    if so_far is None:
+        s = s.withColumn("root", F.col("doc_id"))
+    else:
+        roots = durable(components(so_far).select(F.col("node").alias("doc_id"), "root"), "roots_so_far")
+        s = s.join(hinted(roots, 24), "doc_id", "left")
+    s = s.withColumn("part", F.when(F.col("linked"), F.col("leader")).otherwise(F.coalesce("root", "doc_id"))).drop("root")
     s = durable(s, "members")
     e = diffs.select("doc_id", "leader", "diff").join(s.select("doc_id"), "doc_id", "left_semi").mapInArrow(_elements, "doc_id long, leader long, element long")
     e = durable(e.join(s.select("doc_id", "part"), "doc_id"), "elements")
@@ -397,7 +408,8 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     sums = durable(sums.withColumn("leader_n", F.col("shared") + F.col("lacking")), "sums")
     to_leader = sums.filter(_is_link(F.col("shared"), F.col("n"), F.col("leader_n"))).select(F.col("doc_id").alias("u"), F.col("leader").alias("v"))
     elected = _links_in_rounds(parts, rare, sums)
-    return to_leader.union(elected).union(_links_by_difference(diffs, sums, elected))
+    found = to_leader if elected is None else to_leader.union(elected)
+    return found.union(_links_by_difference(diffs, sums, elected))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
