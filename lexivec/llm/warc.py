@@ -4,9 +4,13 @@ A capture's records name each other by WARC-Concurrent-To. Archives are gzip fil
 makes on any store: a row is a record without its last two line ends, which are the writer's line separator. Reading
 goes by Content-Length alone, so payloads may contain anything.
 
-Defined results: a null html is an empty payload, a null url gives no WARC-Target-URI; pages with equal payloads of at
-least `min_bytes` bytes are revisits of that with the smallest page_id (null last); rows that repeat a page_id and its
-payload are captures of their own, all of one type; extra columns are ignored; an empty table gives an empty archive.
+Each row of pages is a capture of its own, with a row number in its record ids. The table is read twice, for the payloads'
+hashes and for the records, and must give its rows in the same order both times, as files do.
+
+Defined results: a null html is an empty payload, a null url gives no WARC-Target-URI; pages with equal payloads (SHA-1,
+SHA-256 and length) of at least `min_bytes` bytes are revisits of that with the smallest page_id (null last); rows that
+repeat the smallest page_id are all responses; archives hold at most about FILE_BYTES of payloads, a longer page has one of
+its own; extra columns are ignored; an empty table gives an empty archive.
 """
 
 from __future__ import annotations
@@ -20,12 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import durable, hinted, shared_dir, table, with_python
+from lexivec.llm.common import durable, hinted, salted_join, shared_dir, table, with_python
 
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-PER_FILE = 6000
+#: Payload bytes that an archive holds at most, unless a single page has more; pages up to SMALL bytes share archives of
+#: PER_FILE pages, longer ones, class by class of doubled size, archives of fewer.
+FILE_BYTES, SMALL = 128 << 20, 64 << 10
+PER_FILE = FILE_BYTES // SMALL
 RECORD = "record_id string, warc_type string, concurrent_to string, refers_to string, target_uri string, payload_digest string, payload_bytes long, digest_ok boolean, block binary"
 
 
@@ -35,12 +42,13 @@ def payload_digest(payload: bytes) -> str:
 
 def _digest_rows(batches):
     for batch in batches:
-        bodies = [(v.as_py() or "").encode("utf-8", "surrogatepass") for v in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([payload_digest(b) for b in bodies], pa.string()), pa.array([len(b) for b in bodies], pa.int64())], names=["page_id", "digest", "n_bytes"])
+        bodies = [(v.as_py() or "").encode("utf-8", "surrogatepass") for v in batch.column(2)]
+        columns = (pa.array(map(payload_digest, bodies), pa.string()), pa.array([hashlib.sha256(b).digest() for b in bodies], pa.binary()), pa.array(map(len, bodies), pa.int64()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["row", "page_id", "digest", "sha256", "n_bytes"])
 
 
-def _urn(page_id, digest: str, kind: str) -> str:
-    return f"<urn:page:{'null' if page_id is None else page_id}:{digest}:{kind}>"
+def _urn(page_id, digest: str, row: int, kind: str) -> str:
+    return f"<urn:page:{'null' if page_id is None else page_id}:{digest}:{row}:{kind}>"
 
 
 def _record(kind: str, record_id: str, headers: list[tuple[str, str | None]], block: str) -> str:
@@ -53,51 +61,61 @@ def _uri(url: str | None) -> str | None:
     return None if url is None else "".join(f"%{ord(c):02X}" if c <= " " or c == "\x7f" else c for c in url)
 
 
-def capture_records(page_id, url: str | None, html: str | None, first, is_revisit: bool) -> list[str]:
-    """The three records of one page; first: page_id of the response that a revisit refers to."""
+def capture_records(row: int, page_id, url: str | None, html: str | None, first: tuple | None) -> list[str]:
+    """The three records of one page; first: page_id and row of the response that a revisit refers to."""
     html = html or ""
     payload = html.encode("utf-8", "surrogatepass")
     digest, uri = payload_digest(payload), _uri(url)
-    main = "revisit" if is_revisit else "response"
-    main_id = _urn(page_id, digest, main)
+    main = "response" if first is None else "revisit"
+    main_id = _urn(page_id, digest, row, main)
     http = "HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + f"Content-Length: {len(payload)}" + CRLF * 2
     target = ("WARC-Target-URI", uri)
-    more = [("WARC-Refers-To", _urn(first, digest, "response")), ("WARC-Profile", REVISIT_PROFILE)] if is_revisit else []
+    more = [] if first is None else [("WARC-Refers-To", _urn(first[0], digest, first[1], "response")), ("WARC-Profile", REVISIT_PROFILE)]
     ask = f"GET {uri or '*'} HTTP/1.1" + CRLF * 2
     return [
-        _record("request", _urn(page_id, digest, "request"), [target, ("WARC-Concurrent-To", main_id), ("Content-Type", "application/http; msgtype=request")], ask),
-        _record(main, main_id, [target, *more, ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")], http + ("" if is_revisit else html)),
-        _record("metadata", _urn(page_id, digest, "metadata"), [target, ("WARC-Concurrent-To", main_id), ("Content-Type", "application/warc-fields")], f"fetched-bytes: {len(payload)}{CRLF}"),
+        _record("request", _urn(page_id, digest, row, "request"), [target, ("WARC-Concurrent-To", main_id), ("Content-Type", "application/http; msgtype=request")], ask),
+        _record(main, main_id, [target, *more, ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")], http + (html if first is None else "")),
+        _record("metadata", _urn(page_id, digest, row, "metadata"), [target, ("WARC-Concurrent-To", main_id), ("Content-Type", "application/warc-fields")], f"fetched-bytes: {len(payload)}{CRLF}"),
     ]
 
 
 def _record_rows(batches):
-    """page_id, url, html and the page's revisits (payload digest to the first page's id) to records."""
+    """row, page_id, url, html and the response that the page repeats, if any (page_id, row), to records."""
     for batch in batches:
-        out = []
-        for page_id, url, html, revisits in zip(*[c.to_pylist() for c in batch.columns]):
-            marks = {x["digest"]: x["first_id"] for x in revisits or ()}
-            digest = payload_digest((html or "").encode("utf-8", "surrogatepass")) if marks else ""
-            out += capture_records(page_id, url, html, marks.get(digest), digest in marks)
-            if len(out) >= 300:
+        out, held = [], 0
+        for row, page_id, url, html, first in zip(*[c for c in batch.columns]):
+            first = first.as_py()
+            out += capture_records(row.as_py(), page_id.as_py(), url.as_py(), html.as_py(), first and (first["page_id"], first["row"]))
+            held += len(out[-2])
+            if len(out) >= 300 or held >= 4 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-                out = []
+                out, held = [], 0
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
 
+def _size_class(n_bytes: Column) -> Column:
+    """0 for pages of up to SMALL bytes, 1 up to twice as many, and so on."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(n_bytes, F.lit(1)) / F.lit(float(SMALL))))).cast("int")
+
+
 def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """Archives of pages (page_id, url, html) under path."""
-    d = with_python(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    digests = durable(d.select("page_id", "html").mapInArrow(_digest_rows, "page_id long, digest string, n_bytes long"), "payloads")
-    first = F.min(F.struct(F.col("page_id").isNull(), F.col("page_id")))
-    groups = digests.filter(F.col("n_bytes") >= min_bytes).groupBy("digest", "n_bytes").agg(first.alias("first"), F.count("*").alias("n"))
-    groups = groups.filter("n > 1").select("digest", "n_bytes", F.col("first.page_id").alias("first_id"))
-    again = digests.join(groups, ["digest", "n_bytes"]).filter(~F.col("page_id").eqNullSafe(F.col("first_id")))
-    again = again.groupBy(F.col("page_id").alias("again_id")).agg(F.collect_set(F.struct("digest", "first_id")).alias("revisits"))
-    again = hinted(durable(again, "revisits"), 96)
-    marked = d.join(again, F.col("page_id").eqNullSafe(F.col("again_id")), "left").select("page_id", "url", "html", "revisits")
-    records = marked.mapInArrow(_record_rows, "value string")
-    records.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
+    d = with_python(pages).select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    digests = durable(d.select("row", "page_id", "html").mapInArrow(_digest_rows, "row long, page_id long, digest string, sha256 binary, n_bytes long"), "payloads")
+    keys = ["digest", "sha256", "n_bytes"]
+    first = F.min(F.struct(F.col("page_id").isNull(), F.col("page_id"), F.col("row")))
+    groups = digests.filter(F.col("n_bytes") >= min_bytes).groupBy(*keys).agg(first.alias("first"), F.count("*").alias("n")).filter("n > 1")
+    groups = durable(groups.select(*keys, F.struct("first.page_id", "first.row").alias("first")), "payload_groups")
+    again = salted_join(digests, groups, keys, "row").filter(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
+    again = hinted(durable(again.select(F.col("row").alias("again_row"), "first"), "revisits"), 48)
+    classes = [r["k"] for r in digests.select(_size_class(F.col("n_bytes")).alias("k")).distinct().collect()]
+    # One pass for each class of sizes, of which there are no more than doublings up to the longest page; mostly one.
+    size = F.coalesce(F.octet_length("html"), F.lit(0))
+    for k in sorted(classes):
+        some = d.filter(_size_class(size) == k) if len(classes) > 1 else d
+        marked = some.join(again, F.col("row") == F.col("again_row"), "left").select("row", "page_id", "url", "html", "first")
+        records = marked.mapInArrow(_record_rows, "value string")
+        records.write.mode("append").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * max(1, PER_FILE >> k)).text(path)
 
 
 def _plain(blob: bytes):
@@ -181,18 +199,22 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: the response or revisit with the requests and metadata records concurrent to it."""
-    main = records.filter("warc_type in ('response', 'revisit')").select(
-        "record_id", F.struct("record_id", "warc_type", "refers_to", "target_uri", "payload_digest", "payload_bytes", "digest_ok", "block").alias("capture")
-    )
-    beside = records.filter("warc_type in ('request', 'metadata') and concurrent_to is not null")
+    """One nested row per capture: the response or revisit with the requests and metadata records concurrent to it.
+
+    One grouping by the capture's record id, which the records beside it name, so the archives are read once. Archives in
+    which a record id repeats give each of its captures all of what is concurrent to it.
+    """
+    kind = F.col("warc_type")
+    main = kind.isin("response", "revisit")
+    d = records.filter(main | (kind.isin("request", "metadata") & F.col("concurrent_to").isNotNull()))
     one = F.struct("record_id", "target_uri", "block")
-    beside = beside.groupBy(F.col("concurrent_to").alias("record_id")).agg(
-        F.collect_list(F.when(F.col("warc_type") == "request", one)).alias("requests"),
-        F.collect_list(F.when(F.col("warc_type") == "metadata", one)).alias("metadata"),
+    capture = F.struct("record_id", "warc_type", "refers_to", "target_uri", "payload_digest", "payload_bytes", "digest_ok", "block")
+    d = d.groupBy(F.when(main, F.col("record_id")).otherwise(F.col("concurrent_to")).alias("_capture")).agg(
+        F.collect_list(F.when(main, capture)).alias("captures"),
+        F.collect_list(F.when(kind == "request", one)).alias("requests"),
+        F.collect_list(F.when(kind == "metadata", one)).alias("metadata"),
     )
-    none = F.array().cast("array<struct<record_id:string,target_uri:string,block:binary>>")
-    return main.join(beside, "record_id", "left").select("record_id", "capture", F.coalesce("requests", none).alias("requests"), F.coalesce("metadata", none).alias("metadata"))
+    return d.select(F.col("_capture").alias("record_id"), F.explode("captures").alias("capture"), "requests", "metadata")
 
 
 def page_of(urn: Column) -> Column:
