@@ -11,6 +11,8 @@ an empty result. Sources are summed before they meet in one window, which thus h
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
+    share = Fraction(str(budget))
+    num, den = share.numerator, share.denominator
     table_of = F.array(*[F.lit(int(w)).cast("long") for w in weights])
     per = per.select("*", F.get(table_of, (F.row_number().over(order) - 1) % len(weights)).alias("_w"))
     everything = Window.partitionBy(F.lit(1))
@@ -45,17 +49,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
         F.coalesce(F.sum("source_size").over(before), F.lit(0)).alias("_size_before"),
         F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_w_before"),
     )
-    # Twice the words on offer, so that a budget of halves stays a whole number.
-    left = F.expr(f"cast({int(round(2 * budget))} * _total - {2 * max_epochs} * _size_before as decimal(38, 0))")
+    # Words on offer times the budget's denominator, so that all numbers stay whole.
+    left = F.expr(f"cast({num} * _total - {den * max_epochs} * _size_before as decimal(38, 0))")
     w_left = (F.col("_weights") - F.col("_w_before")).cast("decimal(38,0)")
-    capped = (left * F.col("_w").cast("decimal(20,0)")) >= (F.lit(2 * max_epochs).cast("long") * F.col("source_size")).cast("decimal(20,0)") * w_left
+    capped = (left * F.col("_w").cast("decimal(20,0)")) >= (F.lit(den * max_epochs).cast("long") * F.col("source_size")).cast("decimal(20,0)") * w_left
     per = per.select("*", capped.alias("_capped"))
     level = per.select(
         "*",
         F.sum(F.when(F.col("_capped"), F.col("source_size")).otherwise(0)).over(everything).alias("_cap_size"),
         F.sum(F.when(F.col("_capped"), F.lit(0)).otherwise(F.col("_w"))).over(everything).alias("_free_w"),
     )
-    free = F.expr(f"cast({int(round(2 * budget))} * _total - {2 * max_epochs} * _cap_size as double) * cast(_w as double) / cast(2 * _free_w as double)")
+    free = F.expr(f"cast({num} * _total - {den * max_epochs} * _cap_size as double) * cast(_w as double) / cast({den} * _free_w as double)")
     target = F.when(F.col("_capped"), (F.lit(max_epochs).cast("long") * F.col("source_size")).cast("double")).otherwise(free)
     target = F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(target)
     rate = F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.try_divide(F.col("target"), F.col("source_size").cast("double")))

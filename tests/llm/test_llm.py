@@ -261,6 +261,8 @@ def test_mixing(spark, docs):
     weights = dict(zip(["a", "b", "c", "d", None], (5, 2, 1, 5, 2)))
     levels = {round(r["target"] / weights[s], 6) for s, r in t.items() if r["target"] < 2 * r["source_size"] - 1e-9}
     assert len(levels) <= 1
+    for budget in (1.2, 1.3, 0.75):
+        assert sum(r["target"] for r in mixing.source_targets(sized, budget=budget).collect()) == pytest.approx(budget * total)
     assert mixing.mixed(docs(HARD)).count() == mixing.copies(sized).agg(F.sum("copies")).first()[0]
 
 
@@ -315,15 +317,37 @@ def test_pii_of_very_many_spans(spark, docs):
 
 def test_warc(spark, tmp_path):
     trap = "x\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n"
-    rows = [(1, "http://a b\r\nx", trap), (2, None, None), (3, "u", trap), (3, "u", trap), (4, "u", "q" * 2_000_000), (5, "u", "")]
-    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rows = [(1, "http://a b\r\nx", trap, "e"), (2, None, None, "e"), (3, "u", trap, "e"), (3, "u", trap, "e"), (4, "u", "q" * 2_000_000, "e"), (5, "u", "", "e"), (1, "u", trap, "e"), (None, "u", "é" * 70_000, "e"), (None, None, trap, "e")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
     warc.write_archive(d, f"file://{tmp_path}/w")
     c = warc.assemble(warc.read_records(spark, f"file://{tmp_path}/w")).collect()
-    assert len(c) == 6 and all(r["capture"]["digest_ok"] in (True, None) for r in c)
-    by = {r["record_id"].split(":")[2]: r for r in c}
-    assert by["1"]["capture"]["warc_type"] == "response" and by["3"]["capture"]["warc_type"] == "revisit" and by["3"]["capture"]["refers_to"].startswith("<urn:page:1:")
-    assert by["5"]["capture"]["refers_to"].startswith("<urn:page:2:") and by["4"]["capture"]["payload_bytes"] == 2_000_000
-    assert by["1"]["requests"][0]["target_uri"] == "http://a%20b%0D%0Ax" and by["2"]["requests"][0]["target_uri"] is None
+    assert len(c) == len(rows) and all(r["capture"]["digest_ok"] in (True, None) and len(r["requests"]) == len(r["metadata"]) == 1 for r in c)
+    by = {}
+    for r in c:
+        by.setdefault(r["record_id"].split(":")[2], []).append(r)
+    kinds = {k: [r["capture"]["warc_type"] for r in v] for k, v in by.items()}
+    assert kinds == {"1": ["response"] * 2, "2": ["response"], "3": ["revisit"] * 2, "4": ["response"], "5": ["revisit"], "null": ["revisit", "response"]} or kinds["null"] == ["response", "revisit"]
+    ids = {r["record_id"] for r in c}
+    for k, first in (("3", "1"), ("5", "2")):
+        assert all(r["capture"]["refers_to"].startswith(f"<urn:page:{first}:") and r["capture"]["refers_to"] in ids for r in by[k])
+    assert by["4"][0]["capture"]["payload_bytes"] == 2_000_000
+    uris = {r["requests"][0]["target_uri"] for r in by["1"]}
+    assert uris == {"http://a%20b%0D%0Ax", "u"} and by["2"][0]["requests"][0]["target_uri"] is None
+
+
+def test_warc_bounds_archives_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SMALL", 1000)
+    monkeypatch.setattr(warc, "PER_FILE", 8)
+    d = spark.createDataFrame([(k, "u", "x" * (100 if k < 40 else 7000) + str(k)) for k in range(50)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archive(d, f"file://{tmp_path}/w")
+    per = {}
+    import glob
+    import gzip
+
+    for f in glob.glob(f"{tmp_path}/w/*.gz"):
+        per.setdefault("7000" if b"x" * 7000 in (b := gzip.open(f).read()) else "100", []).append(b.count(b"WARC-Type: response"))
+    assert max(per["100"]) == 8 and max(per["7000"]) == 1 and sum(per["100"]) == 40 and sum(per["7000"]) == 10
+    assert warc.assemble(warc.read_records(spark, f"file://{tmp_path}/w")).count() == 50
 
 
 def check_packed(rows, length=1024):
