@@ -1,8 +1,9 @@
 """Quality rules: a table of thresholds compiled into one projection of built-in expressions.
 
 Defined results: a null or blank text has no words, all counts 0, base_failed true, kept false. Rows that repeat are
-judged one by one. Extra columns pass through `annotate` untouched unless they bear the name of an added column, which
-then replaces them. An empty table gives an empty result.
+judged one by one. Texts of any length are read whole; their windows are compared by words, not only by hashes. Extra columns
+pass through `annotate` untouched unless they bear the name of an added column, which then replaces them. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -57,56 +58,64 @@ def _gram(words: Column, at: Column) -> Column:
     return F.xxhash64(F.get(words, at), F.get(words, at + 1), F.get(words, at + 2))
 
 
-def _repeat_words(words: Column, n: Column, high: Column) -> Column:
-    """Words covered by three-word windows that occur twice or more.
-
-    Each window is a long: its hash in the high bits, its place in the low ones. One sort of longs brings equal windows
-    together; those whose neighbour has the same high bits are compared by their whole hashes.
-    """
+def _window_keys(words: Column, n: Column, high: Column) -> Column:
+    """Three-word windows as sorted longs: their hash in the high bits, their place in the low ones."""
     keys = F.sort_array(F.transform(F.sequence(F.lit(0), (n - 3).cast("int")), lambda i: _gram(words, i).bitwiseAND(high).bitwiseOR(i.cast("long"))))
+    return F.when(n >= 3, keys).otherwise(F.array().cast("array<bigint>"))
+
+
+def _place(key: Column, high: Column) -> Column:
+    return key.bitwiseAND(F.bitwise_not(high)).cast("int")
+
 
-    def flagged(keys: Column) -> Column:
-        def same(a: Column, b: Column) -> Column:
-            near = a.bitwiseAND(high) == b.bitwiseAND(high)
-            place = lambda x: x.bitwiseAND(F.bitwise_not(high)).cast("int")
-            return near & (_gram(words, place(a)) == _gram(words, place(b)))
+def _same_words(words: Column, i: Column, j: Column) -> Column:
+    return (F.get(words, i) == F.get(words, j)) & (F.get(words, i + 1) == F.get(words, j + 1)) & (F.get(words, i + 2) == F.get(words, j + 2))
 
-        return F.filter(keys, lambda x, j: same(x, F.get(keys, j - 1)) | same(x, F.get(keys, j + 1)))
 
-    return keys, flagged
+def _near(a: Column, b: Column, high: Column) -> Column:
+    return a.bitwiseAND(high) == b.bitwiseAND(high)
+
+
+def _repeats(words: Column, keys: Column, high: Column) -> Column:
+    """Places of the windows that occur twice or more.
+
+    The sort brings equal windows together, and words decide. Should two windows share the high bits and differ, which could
+    stand between equal ones, the text's windows are compared each with those of its own high bits, all of them.
+    """
+    same = lambda a, b: F.coalesce(_near(a, b, high) & _same_words(words, _place(a, high), _place(b, high)), F.lit(False))
+    twice = F.filter(keys, lambda x, k: same(x, F.get(keys, k - 1)) | same(x, F.get(keys, k + 1)))
+    odd = F.size(F.filter(keys, lambda x, k: F.coalesce(_near(x, F.get(keys, k + 1), high), F.lit(False)) & ~same(x, F.get(keys, k + 1)))) > 0
+    slow = F.filter(keys, lambda x: F.size(F.filter(keys, lambda y: same(x, y))) > 1)
+    return F.transform(F.when(odd, slow).otherwise(twice), lambda x: _place(x, high))
 
 
 def annotate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE_RULES, text: str = "text") -> DataFrame:
     """docs with the counts, the ratios, base_failed, kept and the failed metrics."""
-    keep = [c for c in docs.columns if not c.startswith("_q_")]
     body = F.coalesce(F.col(text), F.lit(""))
-    d = docs.select(*keep, body.alias("_q_text"), F.split(body, "\n").alias("_q_split"))
-    d = with_words(d, "_q_text", "_q_words")
-    d = d.select("*", F.size("_q_words").alias("_q_n"), F.filter("_q_split", lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_q_lines"))
-    n, words = F.col("_q_n"), F.col("_q_words")
+    # The columns of docs travel as one struct, so that none clashes with a column on the way.
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), body.alias("text"), F.split(body, "\n").alias("split"))
+    d = with_words(d, "text", "words")
+    d = d.select("*", F.size("words").alias("n"), F.filter("split", lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
+    n, words = F.col("n"), F.col("words")
     # As many low bits as places need; at least one window, or the sequence would run backwards.
-    d = d.withColumn("_q_high", F.expr("shiftleft(-1L, cast(ceil(log2(_q_n + 1)) as int))"))
-    keys, flagged = _repeat_words(words, n, F.col("_q_high"))
-    d = d.withColumn("_q_keys", F.when(n >= 3, keys).otherwise(F.array().cast("array<bigint>")))
-    d = d.withColumn("_q_hits", flagged(F.col("_q_keys")))
-    places = F.transform("_q_hits", lambda x: x.bitwiseAND(F.bitwise_not(F.col("_q_high"))))
-    covered = F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: F.array(p, p + 1, p + 2)))))
+    d = d.withColumn("high", F.expr("shiftleft(-1L, cast(ceil(log2(n + 1)) as int))"))
+    d = d.withColumn("keys", _window_keys(words, n, F.col("high")))
+    d = d.withColumn("hits", _repeats(words, F.col("keys"), F.col("high")))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda p: F.array(p, p + 1, p + 2)))))
     stop = [*dict.fromkeys(f(w) for w in STOP_WORDS for f in (str, str.capitalize, str.upper))]
-    d = d.select(
-        *keep,
-        n.cast("long").alias("_q_n_words"),
-        F.length(F.array_join("_q_words", "")).cast("long").alias("_q_word_chars"),
-        F.length(F.regexp_replace("_q_text", f"[^{SYMBOLS}]+", "")).cast("long").alias("_q_n_symbols"),
-        (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long").alias("_q_n_dup_lines"),
-        F.when(F.size("_q_hits") == 0, F.lit(0)).otherwise(covered).cast("long").alias("_q_n_repeat_words"),
-        F.size("_q_lines").cast("long").alias("_q_n_lines"),
-        F.size(F.filter("_q_words", lambda w: w.isin(stop))).cast("long").alias("_q_n_stop_words"),
-        F.size(F.filter("_q_lines", lambda x: x.rlike(r"^\s*[-*•]"))).cast("long").alias("_q_n_bullet_lines"),
-        F.length(F.regexp_replace("_q_text", "[^!]+", "")).cast("long").alias("_q_n_shouts"),
-        F.monotonically_increasing_id().alias("_q_row"),
-    )
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_bullet_lines", "n_shouts"]
-    q = {c: F.col(f"_q_{c}") for c in counts}
+    counts = {
+        "n_words": n,
+        "word_chars": F.length(F.array_join("words", "")),
+        "n_symbols": F.length(F.regexp_replace("text", f"[^{SYMBOLS}]+", "")),
+        "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
+        "n_repeat_words": F.when(F.size("hits") == 0, F.lit(0)).otherwise(covered),
+        "n_lines": F.size("lines"),
+        "n_stop_words": F.size(F.filter("words", lambda w: w.isin(stop))),
+        "n_bullet_lines": F.size(F.filter("lines", lambda x: x.rlike(r"^\s*[-*•]"))),
+        "n_shouts": F.length(F.regexp_replace("text", "[^!]+", "")),
+    }
+    d = d.select("row", *[c.cast("long").alias(k) for k, c in counts.items()], F.monotonically_increasing_id().alias("number"))
+    q = {c: F.col(c) for c in counts}
     ratios = {
         "mean_word_chars": _ratio(q["word_chars"], q["n_words"]),
         "symbol_ratio": _ratio(q["n_symbols"], q["n_words"]),
@@ -116,8 +125,7 @@ def annotate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule,
         "shout_ratio": _ratio(q["n_shouts"], q["n_words"]),
         "repeat_word_ratio": _ratio(q["n_repeat_words"], q["n_words"]),
     }
-    added = {*counts, *ratios, "base_failed", "failed_rules", "kept"}
-    d = d.select(*[c for c in keep if c not in added], "_q_row", *[q[c].alias(c) for c in counts], *[r.alias(k) for k, r in ratios.items()])
+    d = d.select("row", "number", *q, *[r.alias(k) for k, r in ratios.items()])
 
     def failed(rule: Rule) -> Column:
         value, out = F.col(rule.metric), F.lit(False)
@@ -134,7 +142,9 @@ def annotate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule,
     d = d.withColumn("base_failed", F.coalesce(F.expr(" or ".join(["false", *[f"array_contains(failed_rules, '{r.metric}')" for r in base]])), F.lit(False)))
     # The row number is never negative. As it isn't deterministic, it keeps Spark from moving a filter on these columns
     # below the counts, where each use would repeat the whole expression.
-    return d.withColumn("kept", (F.size("failed_rules") == 0) & (F.col("_q_row") >= 0)).drop("_q_row")
+    d = d.withColumn("kept", (F.size("failed_rules") == 0) & (F.col("number") >= 0))
+    added = [*counts, *ratios, "failed_rules", "base_failed", "kept"]
+    return d.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in added], *added)
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
