@@ -1,16 +1,20 @@
 """Toxicity: a chain of linear classifiers over words and word beginnings.
 
-The categories are predicted in the order `insult`, `severe`, `toxic`; each later model also sees the probabilities of the
-earlier ones, in training those that folds predicted which had not seen the document. Only `toxic` is labelled; the
-other two are weak labels: toxic documents with one, or `SEVERE` and more, of the chosen features. Features are chosen by
-the log-odds of their document frequencies in toxic and other documents, each over its error.
-
-Bound: the models are fitted on at most `sample` labelled documents (those of least hash, `SAMPLE` unless told). Scoring
-reads every document whole.
-
-Defined results: a null or blank text has no features and the base probability; without labels, or with one class only,
-every probability is 0; label rows that repeat an id count once, the greatest label holds; null labels are left out;
-extra columns are ignored; an empty table gives an empty result.
+The categories are predicted in the order `junk`, `severe`, `toxic`; each later model also sees the probabilities of the
+earlier ones, in training those that folds predicted which had not seen the document. `toxic` and `junk` (quality 0, where
+the labels have it) are labelled; `severe` is a weak label: toxic documents with `SEVERE` and more of the features that were
+chosen without them. Features are chosen by the log-odds of their document frequencies in toxic and other documents, each
+over its error: for each fold from the other folds alone, and from all for the models that score.
+
+Bounds: the models are fitted on at most `sample` labelled documents (those of least hash, `SAMPLE` unless told), with at
+most `most_features` features a fold (`MOST_FEATURES` unless told; of greatest weight), so the driver holds at most sample x
+(FOLDS + 1) x most_features numbers of four bytes. Scoring reads every document whole.
+
+Defined results: a null or blank text has no features and the base probability; a very long text counts each of its words
+once, like any other; without labels, or with one class only, every probability is 0; label rows that repeat an id count
+once, the greatest toxic and the least quality label hold; null labels are left out; document rows that repeat an id, or
+have none, are scored each; features of equal weight (ties) are chosen in the order of their names; extra columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lexivec.llm.common import durable, table, with_python
 
-CATEGORIES = ("insult", "severe", "toxic")
+CATEGORIES = ("junk", "severe", "toxic")
 SAMPLE, FOLDS, SEVERE = 12_000, 5, 3
 MOST_FEATURES, LEAST_Z, LEAST_DOCS = 600, 3.0, 4
 PREFIXES = (4, 5, 6, 7)
@@ -51,7 +55,8 @@ def _feature_rows(batches):
                 f = features_of(v.as_py())
                 found += f
                 ids += [k] * len(f)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), part.column(1).take(pa.array(ids, pa.int64()))], names=["feature", "toxic"])
+            at = pa.array(ids, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), part.column(1).take(at), part.column(2).take(at)], names=["feature", "toxic", "fold"])
 
 
 @dataclass
@@ -109,22 +114,26 @@ class Chain:
         return seen
 
 
-def weak_labels(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Labels of the categories: one column each."""
-    hits = (x > 0).sum(axis=1)
-    return np.column_stack([toxic * (hits >= 1), toxic * (hits >= SEVERE), toxic]).astype(float)
+def severe_label(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """1 for toxic documents with SEVERE and more features."""
+    return toxic * ((x > 0).sum(axis=1) >= SEVERE)
 
 
-def fit_chain(features: list[str], x: np.ndarray, toxic: np.ndarray, fold: np.ndarray) -> Chain:
-    chain, labels = Chain({f: k for k, f in enumerate(features)}), weak_labels(x, toxic)
-    outside = np.empty((len(x), 0))
-    for c in range(len(CATEGORIES)):
-        z, y, p = np.column_stack([x, outside]), labels[:, c], np.zeros(len(x))
+def fit_chain(features: list[str], chosen: list[np.ndarray], x: np.ndarray, toxic: np.ndarray, junk: np.ndarray, fold: np.ndarray) -> Chain:
+    """chosen: per fold the columns of x chosen without it, and last those chosen from all."""
+    every = chosen[-1]
+    chain = Chain({features[k]: i for i, k in enumerate(every)})
+    severe, outside = np.zeros(len(x)), np.empty((len(x), 0))
+    for k in range(FOLDS):
+        severe[fold == k] = severe_label(x[fold == k][:, chosen[k]], toxic[fold == k])
+    for y in (junk, severe, toxic):
+        p = np.zeros(len(x))
         for k in range(FOLDS):
             rest = fold != k
             if rest.any() and (~rest).any():
+                z = np.column_stack([x[:, chosen[k]], outside])
                 p[~rest] = fit_linear(z[rest], y[rest]).predict(z[~rest])
-        chain.models.append(fit_linear(z, y))
+        chain.models.append(fit_linear(np.column_stack([x[:, every], outside]), y))
         outside = np.column_stack([outside, p])
     # The threshold of best F0.5 on folds that had not seen the document: sparing clean ones counts more.
     scores, best = outside[:, -1], -1.0
@@ -137,38 +146,55 @@ def fit_chain(features: list[str], x: np.ndarray, toxic: np.ndarray, fold: np.nd
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | None:
-    """The chain, fitted on at most `sample` labelled documents; None if they are of one class."""
-    y = labels.filter("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+def _chosen(counted: DataFrame, n: dict[tuple[int, int], int], without: int | None, most: int) -> list[str]:
+    """Features of greatest z over all folds but one. counted: feature, toxic_by_fold, all_by_fold; n: documents by fold and label."""
+    folds = [k for k in range(FOLDS) if k != without]
+    ones, zeros = (sum(n.get((k, y), 0) for k in folds) for y in (1, 0))
+    if not ones or not zeros:
+        return []
+    a, c = (sum((F.col(x)[k] for k in folds), F.lit(0)) for x in ("toxic_by_fold", "all_by_fold"))
+    b = c - a
+    odds = F.log((a + 0.5) / (ones - a + 0.5)) - F.log((b + 0.5) / (zeros - b + 0.5))
+    z = odds / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    best = counted.filter(a >= LEAST_DOCS).withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(most)
+    return [r["feature"] for r in best.select("feature").collect()]
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_features: int = MOST_FEATURES) -> Chain | None:
+    """The chain, fitted on at most `sample` labelled documents; None if they are of one class or have no telling feature."""
+    quality = F.col("quality").cast("int") if "quality" in labels.columns else F.lit(1)
+    y = labels.filter("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("label_id"))
+    y = y.agg(F.max(F.col("toxic").cast("int")).alias("toxic"), (1 - F.coalesce(F.min(quality), F.lit(1))).alias("junk"))
     y = y.orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
     d = with_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(y), F.col("doc_id") == F.col("label_id"))
-    d = durable(d.select("text", "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")), "labelled")
-    n = {r["toxic"]: r["count"] for r in d.groupBy("toxic").count().collect()}
-    if len(n) < 2:
+    d = durable(d.select("text", "toxic", "junk", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")), "labelled")
+    n = {(r["fold"], r["toxic"]): r["count"] for r in d.groupBy("fold", "toxic").count().collect()}
+    if len({t for _, t in n}) < 2:
         return None
-    f = d.select("text", "toxic").mapInArrow(_feature_rows, "feature string, toxic int").groupBy("feature").agg(F.sum("toxic").alias("a"), F.count("*").alias("c"))
-    a, b = F.col("a"), F.col("c") - F.col("a")
-    odds = F.log((a + 0.5) / (n[1] - a + 0.5)) - F.log((b + 0.5) / (n[0] - b + 0.5))
-    z = odds / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    chosen = f.filter(a >= LEAST_DOCS).withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(MOST_FEATURES)
-    features = [r["feature"] for r in chosen.collect()]
-    if not features:
+    f = d.select("text", "toxic", "fold").mapInArrow(_feature_rows, "feature string, toxic int, fold int")
+    by = lambda v: F.array(*[F.sum(F.when(F.col("fold") == k, v).otherwise(0)) for k in range(FOLDS)])
+    f = durable(f.groupBy("feature").agg(by(F.col("toxic")).alias("toxic_by_fold"), by(F.lit(1)).alias("all_by_fold")).filter(F.aggregate("toxic_by_fold", F.lit(0).cast("long"), lambda s, v: s + v) >= LEAST_DOCS), "features")
+    lists = [_chosen(f, n, k, most_features) for k in (*range(FOLDS), None)]
+    if not lists[-1]:
         return None
-    blank = Chain({w: k for k, w in enumerate(features)})
+    features = list(dict.fromkeys(w for some in lists for w in some))
+    at = {w: k for k, w in enumerate(features)}
+    chosen = [np.array([at[w] for w in some], np.int64) for some in lists]
+    blank = Chain(at)
 
     def rows(batches):
         for batch in batches:
             x = [blank.counts(v.as_py()).astype(np.float32).tobytes() for v in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(1), batch.column(2)], names=["x", "toxic", "fold"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), *batch.columns[1:]], names=["x", "toxic", "junk", "fold"])
 
-    # At most `sample` rows of at most MOST_FEATURES numbers.
-    got = d.mapInArrow(rows, "x binary, toxic int, fold int").toPandas().sort_values(["fold", "toxic", "x"])
-    x = np.vstack([np.frombuffer(v, np.float32) for v in got["x"]]).astype(float)
-    return fit_chain(features, x, got["toxic"].to_numpy(float), got["fold"].to_numpy())
+    # At most `sample` rows.
+    got = d.mapInArrow(rows, "x binary, toxic int, junk int, fold int").toPandas().sort_values(["fold", "toxic", "junk", "x"])
+    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), -1).astype(float)
+    return fit_chain(features, chosen, x, *[got[c].to_numpy(float) for c in ("toxic", "junk")], got["fold"].to_numpy())
 
 
 def score(docs: DataFrame, chain: Chain | None) -> DataFrame:
-    """doc_id, p_insult, p_severe, p_toxic, toxic of every row of docs."""
+    """doc_id, p_junk, p_severe, p_toxic, toxic of every row of docs."""
     d = with_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     names = [f"p_{c}" for c in CATEGORIES]
 

@@ -252,6 +252,15 @@ def test_quality(spark, docs):
     assert share[1] == 1 and share.get(0, 0) == 0
 
 
+def test_quality_of_windows_that_share_a_hash(spark, docs, monkeypatch):
+    """Were all hashes alike, words would still tell windows apart; columns may have any name."""
+    monkeypatch.setattr(quality, "_gram", lambda words, at: F.lit(-1).cast("long") + F.length(F.get(words, at)) * 0)
+    d = quality.annotate(docs([r for r in HARD if len(r[1] or "") < 3000]).withColumn("_q_mine", F.lit(5)).withColumn("row", F.lit(6)).withColumn("words", F.lit(7)))
+    for r in d.collect():
+        assert r["n_repeat_words"] == brute.repeat_words(dict(PAIRS)[r["doc_id"]]), r["doc_id"]
+        assert (r["_q_mine"], r["row"], r["words"]) == (5, 6, 7)
+
+
 def test_mixing(spark, docs):
     sized = docs(HARD).select("doc_id", "source", mixing.n_words().alias("size"))
     t = {r["source"]: r for r in mixing.source_targets(sized).collect()}
@@ -468,15 +477,39 @@ def test_packing_of_long_and_tied_texts(spark, docs):
 
 
 def test_toxicity(spark):
-    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    """Labels that the models have not seen: nine in ten toxic documents found, one in fifty others at most."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
     chain = toxicity.train(docs, labels.filter("doc_id % 3 > 0"))
     held = toxicity.score(docs, chain).join(labels.filter("doc_id % 3 = 0").select("doc_id", F.col("toxic").alias("y")), "doc_id")
     n = {(r["y"], r["toxic"]): r["count"] for r in held.groupBy("y", "toxic").count().collect()}
-    assert n.get((0, True), 0) <= 0.02 * n[(0, False)] and n.get((1, True), 0) >= 0.6 * (n.get((1, True), 0) + n.get((1, False), 0))
+    assert n.get((0, True), 0) <= 0.02 * n[(0, False)] and n.get((1, True), 0) >= 0.9 * (n.get((1, True), 0) + n.get((1, False), 0))
     assert toxicity.train(docs, labels.filter("toxic = 0")) is None
     assert toxicity.score(docs, None).filter("toxic").count() == 0
 
 
+def test_toxicity_chooses_features_within_folds(spark, docs):
+    """A word that tells in one fold only is not chosen for that fold's documents; odd label rows have defined results."""
+    count = 600
+    folds = {r["id"]: r["f"] for r in spark.range(count).select("id", F.pmod(F.xxhash64("id"), F.lit(toxicity.FOLDS)).alias("f")).collect()}
+    text = lambda i: f"bad{'ly' * (i % 2)} words vile here" + (" mark" if folds[i] == 0 else "") if i % 3 == 0 else f"good words number {i} here"
+    d = docs([(i, text(i), "a") for i in range(count)])
+    seen = []
+    import unittest.mock
+
+    keep = toxicity._chosen
+    with unittest.mock.patch.object(toxicity, "_chosen", lambda f, n, k, most: seen.append((k, keep(f, n, k, most))) or seen[-1][1]):
+        rows = [(i, int(i % 3 == 0), int(i % 5 > 0), "x") for i in range(count)] + [(0, 0, 1, "x"), (7, None, None, "x"), (None, 1, 0, "x")]
+        labels = spark.createDataFrame(rows, "doc_id long, toxic int, quality int, feature string")
+        chain = toxicity.train(d, labels)
+    lists = dict(seen)
+    assert "=mark" in lists[None] and "=mark" not in lists[0] and "=mark" in lists[1] and all("=vile" in v for v in lists.values())
+    odd = docs([(1, "vile vile bad mark", "a"), (1, "good words", "a"), (None, None, "a"), (2, "vile " * 200_000, "a")])
+    got = toxicity.score(odd, chain).collect()
+    assert len(got) == 4 and sorted(r["toxic"] for r in got) == [False, False, True, True]
+    assert toxicity.train(d, labels, most_features=1).features.keys() <= {*lists[None]}
+
+
 def test_empty_tables(spark, docs):
     none = docs([])
     for make in (suffix_dedup.remove_repeats, exact_dedup.duplicates, ngram_join.classes, quality.annotate, pii.annotate, packing.pack, mixing.mixed, lambda d: toxicity.score(d, None)):
