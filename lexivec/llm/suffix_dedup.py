@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import durable, hinted, salted_join, table, with_python
+from lexivec.llm.common import durable, hinted, salted_join, table, trim, with_python
 
 WINDOW, GRAM = 50, 16
 SIDE = WINDOW - GRAM
@@ -49,7 +49,7 @@ HOT = 131_072
 #: Rows whose spans are gathered together, as a power of 2: about 128 MiB of texts of 2 KB.
 BUCKET_BITS = 16
 #: Parts of a range in which contexts are compared, so that one task's contexts stay small.
-PARTS = 6
+PARTS = 12
 #: Windows of a long text treated at once.
 BLOCK = 1 << 20
 #: Bytes sorted by words before blind tries take over, beyond the anchor itself.
@@ -119,6 +119,7 @@ def _packed_rows(batches):
         bodies = [_bytes_of(v.as_py()) for v in batch.column(1)]
         columns = (pa.array([len(b) for b in bodies], pa.int64()), pa.array([hashlib.sha256(b).digest() for b in bodies], pa.binary()), pa.array(map(pack.compress, bodies), pa.binary()))
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "whole", "body"])
+    trim()
 
 
 def _groups(batches, most: int):
@@ -135,6 +136,7 @@ def _groups(batches, most: int):
                 rows, bodies, held = [], [], 0
     if rows:
         yield rows, bodies
+    trim()
 
 
 def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
@@ -218,6 +220,7 @@ def _context_rows(batches, ranges: int, parts: int):
                 heads, blobs, windows, held = [], [], [], 0
     if heads or windows:
         yield _bundles(heads, blobs, windows, parts)
+    trim()
 
 
 def _dealt(kind: int, h: np.ndarray, m: np.ndarray, c: np.ndarray, parts: int, pack):
@@ -505,7 +508,9 @@ def _compare(t: pa.Table) -> pa.Table:
         return _span_table(np.concatenate([x.reshape(-1, 3) for x in heads]))
     width, numbers, compare = ((CONTEXT, 6, compare_contexts), (WINDOW, 3, compare_windows))[kind]
     strings = np.concatenate([np.frombuffer(unpack.decompress(x.as_py()), np.uint8).reshape(-1, width) for x in t.column("contexts")])
-    return _span_table(compare(np.ascontiguousarray(np.concatenate([x.reshape(numbers, -1).T for x in heads])), strings))
+    out = _span_table(compare(np.ascontiguousarray(np.concatenate([x.reshape(numbers, -1).T for x in heads])), strings))
+    trim()
+    return out
 
 
 def _cut_rows(batches):
