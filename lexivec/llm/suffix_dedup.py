@@ -50,6 +50,8 @@ HOT = 131_072
 BUCKET_BITS = 16
 #: Parts of a range in which contexts are compared, so that one task's contexts stay small.
 PARTS = 12
+#: Texts, and code points of each, from which a dictionary of so many bytes is made for their compression.
+SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 1_000, 4_000, 112_640
 #: Windows of a long text treated at once.
 BLOCK = 1 << 20
 #: Bytes sorted by words before blind tries take over, beyond the anchor itself.
@@ -112,24 +114,41 @@ def _bytes_of(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _packed_rows(batches):
+def _dictionary(docs: DataFrame) -> bytes | None:
+    """A dictionary that makes short texts compress well, from a bounded sample; results don't depend on it."""
+    some = [_bytes_of(r["t"]) for r in docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("t")).limit(SAMPLE_ROWS).collect()]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [b for b in some if b]).as_bytes()
+    except zstandard.ZstdError:  # too few texts, or too much alike
+        return None
+
+
+class Codec:
+    """Compresses and restores texts, with a dictionary if there is one."""
+
+    def __init__(self, dictionary: bytes | None):
+        known = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+        self.pack = zstandard.ZstdCompressor(level=3, **known).compress
+        self.unpack = zstandard.ZstdDecompressor(**known).decompress
+
+
+def _packed_rows(batches, dictionary: bytes | None):
     """doc_id, length, hash of the whole text and the text's bytes, compressed, as they are read and shuffled again."""
+    codec = Codec(dictionary)
     for batch in batches:
-        pack = zstandard.ZstdCompressor(level=3)
         bodies = [_bytes_of(v.as_py()) for v in batch.column(1)]
-        columns = (pa.array([len(b) for b in bodies], pa.int64()), pa.array([hashlib.sha256(b).digest() for b in bodies], pa.binary()), pa.array(map(pack.compress, bodies), pa.binary()))
+        columns = (pa.array([len(b) for b in bodies], pa.int64()), pa.array([hashlib.sha256(b).digest() for b in bodies], pa.binary()), pa.array(map(codec.pack, bodies), pa.binary()))
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "whole", "body"])
     trim()
 
 
-def _groups(batches, most: int):
+def _groups(batches, most: int, codec: Codec):
     """Numbers of rows and texts as bytes, of about `most` bytes together."""
-    unpack = zstandard.ZstdDecompressor()
     rows, bodies, held = [], [], 0
     for batch in batches:
         for row, value in zip(batch.column(0).to_pylist(), batch.column(1)):
             rows.append(row)
-            bodies.append(unpack.decompress(value.as_py()))
+            bodies.append(codec.unpack(value.as_py()))
             held += len(bodies[-1])
             if held >= most:
                 yield rows, bodies
@@ -143,9 +162,9 @@ def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
 
 
-def _anchor_rows(batches, ranges: int, most: int):
+def _anchor_rows(batches, ranges: int, most: int, dictionary: bytes | None):
     """One row per group of documents and range of hashes: the rows' numbers, how many anchors of each, and their lower 32 bits."""
-    for rows, bodies in _groups(batches, most):
+    for rows, bodies in _groups(batches, most, Codec(dictionary)):
         found = [np.unique(anchors(b)[1]) for b in bodies]
         h = np.concatenate(found)
         owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
@@ -186,18 +205,18 @@ def _in(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys if len(known) else np.zeros(len(keys), bool)
 
 
-def _context_rows(batches, ranges: int, parts: int):
+def _context_rows(batches, ranges: int, parts: int, dictionary: bytes | None):
     """What the shared anchors bring to compare: one row per part and group of documents, and the settled spans.
 
     In: row, rank (the id's, for the comparison of ids), compressed text, live (keys of the document's shared anchors).
     Out: kind, part, and compressed: of kind 0 contexts (anchor, rank, row, place, bytes left and right; context), of kind 1
     windows of hot anchors (rank, row, place; window), of kind 2 the spans (row, first byte, end byte) of those settled.
     """
-    unpack = zstandard.ZstdDecompressor()
+    codec = Codec(dictionary)
     heads, blobs, windows, held = [], [], [], 0
     for batch in batches:
         for row, rank, packed, live in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-            body = unpack.decompress(packed.as_py())
+            body = codec.unpack(packed.as_py())
             places, h = anchors(body)
             keys = (_range_of(h, ranges) << np.int64(32)) | (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
             known = np.sort(live.values.to_numpy(zero_copy_only=False))
@@ -513,13 +532,13 @@ def _compare(t: pa.Table) -> pa.Table:
     return out
 
 
-def _cut_rows(batches):
+def _cut_rows(batches, dictionary: bytes | None):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    unpack = zstandard.ZstdDecompressor()
+    codec = Codec(dictionary)
     for batch in batches:
         out = []
         for doc_id, value, again, pairs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            body = unpack.decompress(value.as_py())
+            body = codec.unpack(value.as_py())
             if again and len(body) >= WINDOW:
                 spans, kept = [[0, len(body)]], b""
             else:
@@ -537,28 +556,31 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     hot: anchors of more documents are compared window by window; the result is the same.
     """
     d = with_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known = _dictionary(d)
     # Each row gets a number of its own, and the table is written, so that the numbers hold.
-    d = d.mapInArrow(_packed_rows, "doc_id long, n_bytes long, whole binary, body binary")
+    d = d.mapInArrow(lambda it: _packed_rows(it, known), "doc_id long, n_bytes long, whole binary, body binary")
     rank = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rank")
     d = durable(d.select(F.monotonically_increasing_id().alias("row"), "doc_id", rank, "n_bytes", "whole", "body"), "packed")
     firsts = d.groupBy("whole").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).filter("first < last").select("whole", "first")
     again = salted_join(d.select("row", "whole", "rank"), durable(firsts, "firsts"), ["whole"], "row").filter("rank > first")
     again = hinted(durable(again.select(F.col("row").alias("again_row")), "whole_repeats"), 16)
-    fresh = d.select("row", "body").join(again, F.col("row") == F.col("again_row"), "left_anti")
+    is_again = F.col("row") == F.col("again_row")
+    fresh = d.join(again, is_again, "left_anti")
     total = d.agg(F.sum("n_bytes")).first()[0] or 0
     # About one anchor for 18 bytes; groups grow with the ranges, so that a group's part of a range stays about PER_BUNDLE.
     ranges = max(8, -(-total // (18 * PER_RANGE)))
     most = min(MOST_GROUP_BYTES, max(GROUP_BYTES, 18 * PER_BUNDLE * ranges))
-    live = fresh.mapInArrow(lambda it: _anchor_rows(it, ranges, most), "span int, rows binary, counts binary, low binary")
+    live = fresh.select("row", "body").mapInArrow(lambda it: _anchor_rows(it, ranges, most, known), "span int, rows binary, counts binary, low binary")
     live = live.groupBy("span").applyInArrow(lambda t: _shared_anchors(t, hot), "row long, key long")
     live = live.groupBy(F.col("row").alias("live_row")).agg(F.collect_list("key").alias("live"))
-    # Documents that repeat a whole text have no live anchors, as only the first of them was searched.
-    contexts = d.select("row", "rank", "body").join(live, F.col("row") == F.col("live_row")).select("row", "rank", "body", "live")
-    contexts = contexts.mapInArrow(lambda it: _context_rows(it, ranges, ranges * PARTS), "kind int, part int, heads binary, contexts binary")
+    contexts = fresh.select("row", "rank", "body").join(live, F.col("row") == F.col("live_row")).select("row", "rank", "body", "live")
+    contexts = contexts.mapInArrow(lambda it: _context_rows(it, ranges, ranges * PARTS, known), "kind int, part int, heads binary, contexts binary")
     spans = contexts.groupBy("kind", "part").applyInArrow(_compare, "bucket long, spans binary")
     spans = spans.groupBy("bucket").applyInArrow(_by_row, "row long, spans binary").withColumnRenamed("row", "span_row")
-    out = d.select("row", "doc_id", "body").join(again, F.col("row") == F.col("again_row"), "left").join(spans, F.col("row") == F.col("span_row"), "left")
-    return out.select("doc_id", "body", F.col("again_row").isNotNull().alias("again"), "spans").mapInArrow(_cut_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    # Rows that repeat a whole text are covered whole; only the others need their spans.
+    cut = fresh.select("row", "doc_id", "body").join(spans, F.col("row") == F.col("span_row"), "left").select("doc_id", "body", F.lit(False).alias("again"), "spans")
+    gone = d.join(again, is_again, "left_semi").select("doc_id", "body", F.lit(True).alias("again"), F.lit(None).cast("binary").alias("spans"))
+    return cut.union(gone).mapInArrow(lambda it: _cut_rows(it, known), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
