@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import operator
+import re
+import string
+from functools import lru_cache, reduce
+from re import _parser as sre
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.functions import lexicon as L
@@ -10,11 +16,82 @@ from lexivec.functions import lexicon as L
 _WORD = "[A-Za-z0-9_]"
 #: The boundary between an ASCII word character and anything else; Java's own looks at all of Unicode.
 BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+#: What surely begins, or ends, with a word character, so that one look is enough.
+_OPENS = re.compile(r"(?:\\d|\[(?:A-Z|a-z|0-9|_)+\]|[A-Za-z0-9])(?![?*]|\{0)")
+_CLOSES = re.compile(r"(?:(?<!\\)[A-Za-z0-9]|(?:\\d|\[0-9\])(?:\{\d+(?:,\d*)?\})?)$")
+
+
+def _opens(after: str) -> bool:
+    """Whether a match of the pattern begins with a word character: it, or each alternative of its group."""
+    if not after.startswith("("):
+        return bool(_OPENS.match(after))
+    m = re.match(r"\((?:\?:)?([^()]*)\)(?![?*]|\{0)", after)
+    return bool(m) and all(_OPENS.match(x) for x in m[1].split("|"))
 
 
+@lru_cache(maxsize=None)
 def java(pattern: str, fold: bool = False) -> str:
     """A pattern with ASCII word boundaries for Spark; fold: regardless of case."""
-    return ("(?i)" if fold else "") + pattern.replace(r"\b", BOUNDARY)
+
+    def look(m: re.Match) -> str:
+        if _opens(pattern[m.end() :]):
+            return f"(?<!{_WORD})"
+        return f"(?!{_WORD})" if _CLOSES.search(pattern[: m.start()]) else BOUNDARY
+
+    return ("(?i)" if fold else "") + re.sub(r"\\b", look, pattern)
+
+
+@lru_cache(maxsize=None)
+def required(pattern: str) -> tuple[str, ...]:
+    """Literals in lower case of which any text that the pattern matches has at least one; none if that can't be told."""
+    try:
+        return _required(sre.parse(pattern)) or ()
+    except re.error:
+        return ()
+
+
+def _required(items) -> tuple[str, ...] | None:
+    best: list[tuple[str, ...]] = []
+    run = ""
+    for op, arg in [*items, (None, None)]:
+        if op is sre.LITERAL:
+            run += chr(arg).lower()
+            continue
+        if run:
+            best.append((run,))
+            run = ""
+        inner = None
+        if op is sre.SUBPATTERN:
+            inner = _required(arg[-1])
+        elif op is sre.BRANCH:
+            each = [_required(x) for x in arg[1]]
+            inner = tuple(dict.fromkeys(w for x in each for w in x)) if all(each) else None
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] > 0:
+            inner = _required(arg[2])
+        if inner:
+            best.append(inner)
+    return max(best, key=lambda ws: (min(map(len, ws)), -len(ws)), default=None)
+
+
+def folded(text: Column) -> Column:
+    """The text with A-Z in lower case and all else as it is, as patterns regardless of case see it."""
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
+def _any_of(low: Column, literals: tuple[str, ...]) -> Column:
+    return reduce(operator.or_, [low.contains(w) for w in literals])
+
+
+def found(text: Column, pattern: str, low: Column | None = None) -> Column:
+    """Whether the pattern occurs, regardless of case. low: the folded text, best a column of its own.
+
+    Literals that a match must have are looked for first, as most texts have none of them.
+    """
+    hit = text.rlike(java(pattern, True))
+    words = required(pattern)
+    if not words:
+        return hit
+    return _any_of(folded(text) if low is None else low, words) & hit
 
 
 def stem(word: Column) -> Column:
@@ -30,6 +107,20 @@ def tokens(text: Column, stemmed: bool = True) -> Column:
     return F.transform(words, stem) if stemmed else words
 
 
+def token_rows(df: DataFrame, text: str = "text", to: str = "term", stemmed: bool = True) -> DataFrame:
+    """df's other columns with a row per word of `tokens`: as rows, words pass through compiled code, not through lambdas."""
+    rest = [c for c in df.columns if c != text]
+    clean = F.regexp_replace(F.lower(F.col(text)), r"[^A-Za-z0-9_\sÀ-ɏ]", " ")
+    d = df.select(*rest, F.explode(F.split(clean, r"\s+")).alias(to)).filter((F.length(to) > 2) & ~F.col(to).isin(L.STOP_WORDS))
+    return d.withColumn(to, stem(F.col(to))) if stemmed else d
+
+
+def term_counts(df: DataFrame, by: list[str], text: str = "text", stemmed: bool = True) -> DataFrame:
+    """by, term, tf: how often each term occurs in each text. Words are counted before they are stemmed, so a word is once."""
+    words = token_rows(df.select(*by, text), text, "term", False).groupBy(*by, "term").agg(F.count("*").alias("tf"))
+    return words.groupBy(*by, stem(F.col("term")).alias("term")).agg(F.sum("tf").alias("tf")) if stemmed else words
+
+
 def sentences(text: Column) -> Column:
     """Sentences: cut after `.`, `!` or `?` and white space before a capital, but not after abbreviations or in numbers."""
     safe = F.regexp_replace(text, java(L.ABBREVIATIONS), "$1\u0001")
@@ -59,16 +150,17 @@ def normalize_pdf(text: Column) -> Column:
     return text
 
 
-def language(text: Column, lists: tuple[str, ...] = L.LANGUAGE_LONG, cut: int = 10) -> Column:
+def language(text: Column, lists: tuple[str, ...] = L.LANGUAGE_LONG, cut: int = 10, low: Column | None = None) -> Column:
     """`id` if the words of the lists occur more often than the cut, else `en`."""
-    return F.when(language_score(text, lists) > cut, "id").otherwise("en")
+    return F.when(language_score(text, lists, low) > cut, "id").otherwise("en")
 
 
-def language_score(text: Column, lists: tuple[str, ...]) -> Column:
+def language_score(text: Column, lists: tuple[str, ...], low: Column | None = None) -> Column:
     out = F.lit(0)
     for p in lists:
-        out = out + F.regexp_count(text, F.lit(java(p, True)))
-    return out
+        some = _any_of(folded(text) if low is None else low, required(p))
+        out = out + F.when(some, F.regexp_count(text, F.lit(java(p, True)))).otherwise(0)
+    return F.when(text.isNotNull(), out)
 
 
 def headings(text: Column) -> Column:
@@ -85,13 +177,13 @@ def first_match(text: Column, patterns: tuple[str, ...], group: int) -> Column:
     return F.coalesce(*[F.when(text.rlike(java(p)), F.regexp_extract(text, java(p), group)) for p in patterns])
 
 
-def first_label(text: Column, rules) -> Column:
+def first_label(text: Column, rules, low: Column | None = None) -> Column:
     """Label of the first rule whose patterns all match, or null."""
     out = []
     for label, patterns in rules:
         hit = F.lit(True)
         for p in (patterns,) if isinstance(patterns, str) else patterns:
-            hit = hit & text.rlike(java(p, True))
+            hit = hit & found(text, p, low)
         out.append(F.when(hit, label))
     return F.coalesce(*out)
 
@@ -118,10 +210,10 @@ def course_info(text: Column) -> dict[str, Column]:
     }
 
 
-def doc_type(text: Column) -> Column:
+def doc_type(text: Column, low: Column | None = None) -> Column:
     """The first matching type of the ordered groups, then of the older rules of the text's language, else `other`."""
-    old = F.when(language(text) == "id", first_label(text, L.TRADITIONAL_ID)).otherwise(first_label(text, L.TRADITIONAL_EN))
-    return F.coalesce(first_label(text, L.DOCUMENT_TYPES), old, F.lit("other"))
+    old = F.when(language(text, low=low) == "id", first_label(text, L.TRADITIONAL_ID, low)).otherwise(first_label(text, L.TRADITIONAL_EN, low))
+    return F.coalesce(first_label(text, L.DOCUMENT_TYPES, low), old, F.lit("other"))
 
 
 def section_of(chunk: Column, lang: str = "en") -> Column:

@@ -6,32 +6,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.functions import lexicon as L
-from lexivec.functions.text import java
+from lexivec.functions.text import folded, found, java
 
 SEVERITIES = ("none", "low", "medium", "high", "critical")
 
 
+def _may_have(kind: str, text: Column) -> Column:
+    """Whether a kind of personal data is possible at all: an address needs its sign, all others a digit."""
+    return text.contains("@") if kind == "email" else text.rlike("[0-9]")
+
+
 def pii_kinds(text: Column) -> Column:
     """Kinds of personal data found, in the order of the patterns."""
-    return F.array_compact(F.array(*[F.when(text.rlike(java(p)), F.lit(k)) for k, p in L.PII]))
+    return F.array_compact(F.array(*[F.when(_may_have(k, text) & text.rlike(java(p)), F.lit(k)) for k, p in L.PII]))
 
 
 def redact(text: Column) -> Column:
     """The text with each kind's matches replaced, one kind after the other."""
+    out = text
     for kind, p in L.PII:
-        text = F.regexp_replace(text, java(p), f"[REDACTED_{kind.upper()}]")
-    return text
+        # What replaces a match has neither the sign nor a digit, so the original text tells what is possible.
+        out = F.when(_may_have(kind, text), F.regexp_replace(out, java(p), f"[REDACTED_{kind.upper()}]")).otherwise(out)
+    return out
 
 
-def hits(text: Column, patterns: tuple[str, ...]) -> Column:
+def hits(text: Column, patterns: tuple[str, ...], low: Column | None = None) -> Column:
     """Places, from 0, of the patterns that match."""
-    return F.array_compact(F.array(*[F.when(text.rlike(java(p, True)), F.lit(k)) for k, p in enumerate(patterns)]))
+    return F.array_compact(F.array(*[F.when(found(text, p, low), F.lit(k)) for k, p in enumerate(patterns)]))
 
 
-def reaction(text: Column) -> Column:
-    """First reaction that a pattern finds, kinds in order, or null; in each list of languages all kinds are tried."""
-    low = F.lower(text)
-    return F.coalesce(*[F.when(low.rlike(java(p, True)), F.lit(k)) for k, p in L.REACTIONS_ID + L.REACTIONS_EN])
+def reaction(text: Column, low: Column | None = None) -> Column:
+    """First reaction that a pattern finds, kinds in order, or null; in each list of languages all kinds are tried.
+
+    low: the text in lower case, best a column of its own.
+    """
+    low = F.lower(text) if low is None else low
+    return F.coalesce(*[F.when(found(low, p, low), F.lit(k)) for k, p in L.REACTIONS_ID + L.REACTIONS_EN])
 
 
 def reaction_severity(kind: Column) -> Column:
@@ -41,13 +51,13 @@ def reaction_severity(kind: Column) -> Column:
     return out
 
 
-def off_topic(text: Column) -> Column:
-    """Over 50 characters without topic word, question cue or command verb."""
-    low = F.lower(text)
+def off_topic(text: Column, low: Column | None = None) -> Column:
+    """Over 50 characters without topic word, question cue or command verb. low: the text in lower case."""
+    low = F.lower(text) if low is None else low
     known = F.lit(False)
     for w in (*L.TOPICS, *L.COMMANDS):
         known = known | low.contains(w)
-    return ~known & ~text.rlike("(?i)" + L.QUESTION) & (F.length(text) > 50)
+    return (F.length(text) > 50) & ~known & ~text.rlike("(?i)" + L.QUESTION)
 
 
 def severity_name(level: Column) -> Column:
@@ -56,10 +66,12 @@ def severity_name(level: Column) -> Column:
 
 def validate_input(df: DataFrame, text: str = "text") -> DataFrame:
     """df with pii, injections, toxic, dishonest, off_topic, reaction, blocked, severity, redacted."""
-    t = F.col(text)
-    d = df.select(
-        "*", pii_kinds(t).alias("pii"), hits(t, L.INJECTION).alias("injections"), hits(t, L.TOXICITY).alias("toxic"),
-        hits(t, L.INTEGRITY).alias("dishonest"), off_topic(t).alias("off_topic"), reaction(t).alias("reaction"), redact(t).alias("redacted"),
+    t, low, folded_ = F.col(text), F.col("_lower"), F.col("_folded")
+    # Lower case is made once, in a projection of its own.
+    d = df.select("*", F.lower(t).alias("_lower"), folded(t).alias("_folded"))
+    d = d.select(
+        *df.columns, pii_kinds(t).alias("pii"), hits(t, L.INJECTION, folded_).alias("injections"), hits(t, L.TOXICITY, folded_).alias("toxic"),
+        hits(t, L.INTEGRITY, folded_).alias("dishonest"), off_topic(t, low).alias("off_topic"), reaction(t, low).alias("reaction"), redact(t).alias("redacted"),
     )
     some = lambda c: F.size(c) > 0
     level = F.greatest(

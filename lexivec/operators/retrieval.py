@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivec.functions import lexicon as L
-from lexivec.functions.text import tokens
+from lexivec.functions.text import term_counts, tokens
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -43,23 +43,45 @@ def vector_search(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "
     return ranked(d, "score", "id", ["query_id"]).filter(F.col("rank") <= k)
 
 
-def bm25(pool: DataFrame, queries: DataFrame, stemmed: bool = True) -> DataFrame:
-    """query_id, id, score, rank of every pool row (query_id, id, text) under its query (query_id, query_text).
+def _query_terms(queries: DataFrame, stemmed: bool) -> DataFrame:
+    """query_id, term, qf of queries (query_id, query_text)."""
+    return term_counts(queries.filter(F.col("query_text").isNotNull()), ["query_id"], "query_text", stemmed).withColumnRenamed("tf", "qf")
 
-    Frequencies and lengths are those of the query's own pool. A term that a query repeats counts each time.
+
+def _idf(n: Column, df: Column) -> Column:
+    return F.log((n - df + 0.5) / (df + 0.5) + 1)
+
+
+def _tfn(tf: Column, dl: Column, avgdl: Column) -> Column:
+    return tf * (L.K1 + 1) / (tf + L.K1 * (1 - L.B + L.B * dl / avgdl)) + L.DELTA
+
+
+def _qtf(qf: Column) -> Column:
+    return (L.K3 + 1) * qf / (L.K3 + qf)
+
+
+def bm25(pool: DataFrame, queries: DataFrame, stemmed: bool = True, texts: DataFrame | None = None) -> DataFrame:
+    """query_id, id, score, rank of every pool row (query_id, id) under its query (query_id, query_text).
+
+    Frequencies and lengths are those of the query's own pool; a term that a query repeats counts each time. texts: id, text
+    of the pool's rows, if pool has no text itself. Each text is tokenised once, however many queries have it in their pool.
     """
-    p = pool.select("query_id", "id", tokens(F.col("text"), stemmed).alias("terms"))
-    size = p.groupBy("query_id").agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
-    q = queries.select("query_id", F.explode(tokens(F.col("query_text"), stemmed)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    # Only terms of the query matter; posting lists shrink to them before anything is counted.
-    posts = p.select("query_id", "id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(q.select("query_id", "term"), ["query_id", "term"], "left_semi")
-    tf = posts.groupBy("query_id", "id", "dl", "term").agg(F.count("*").alias("tf"))
+    if texts is None:
+        texts = pool.select("id", "text").dropDuplicates(["id"])
+    else:
+        texts = texts.join(pool.select("id").distinct(), "id", "left_semi")
+    counts = term_counts(texts, ["id"], "text", stemmed)
+    length = texts.select("id").join(counts.groupBy("id").agg(F.sum("tf").alias("dl")), "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl"))
+    p = pool.select("query_id", "id").join(length, "id")
+    size = p.groupBy("query_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    q = _query_terms(queries, stemmed)
+    # Only terms of the queries matter; posting lists shrink to them before they meet the pool.
+    posts = counts.join(q.select("term").distinct(), "term", "left_semi")
+    tf = p.join(posts, "id").join(q, ["query_id", "term"])
     df = tf.groupBy("query_id", "term").agg(F.count("*").alias("df"))
-    d = tf.join(df, ["query_id", "term"]).join(q, ["query_id", "term"]).join(F.broadcast(size), "query_id")
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    tfn = F.col("tf") * (L.K1 + 1) / (F.col("tf") + L.K1 * (1 - L.B + L.B * F.col("dl") / F.col("avgdl")))
-    qtf = (L.K3 + 1) * F.col("qf") / (L.K3 + F.col("qf"))
-    s = d.groupBy("query_id", "id").agg(F.sum(F.col("qf") * idf * (tfn + L.DELTA) * qtf).alias("score"))
+    d = tf.join(df, ["query_id", "term"]).join(size, "query_id")
+    part = F.col("qf") * _idf(F.col("n"), F.col("df")) * _tfn(F.col("tf"), F.col("dl"), F.col("avgdl")) * _qtf(F.col("qf"))
+    s = d.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
     out = pool.select("query_id", "id").join(s, ["query_id", "id"], "left").select("query_id", "id", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
     return ranked(out, "score", "id", ["query_id"])
 
@@ -95,29 +117,26 @@ def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int = L.TOP_K, min_scor
     chunks: id, text, embedding; queries: query_id, query_text, query_vector.
     """
     pool = vector_search(chunks.withColumnRenamed("id", "vec_id"), queries, top_k * L.VECTOR_POOL)
-    texts = pool.select("query_id", "id").join(chunks.select("id", "text"), "id")
-    d = combine(pool, bm25(texts, queries), strategy)
+    d = combine(pool, bm25(pool, queries, texts=chunks.select("id", "text")), strategy)
     return ranked(d, "fused", "id", ["query_id"]).filter((F.col("rank") <= top_k) & (F.col("fused") >= min_score))
 
 
 def bm25_top(docs: DataFrame, queries: DataFrame, top_k: int, stemmed: bool = True) -> DataFrame:
     """query_id, id, score, rank: the best top_k of all docs (id, text) under each query (query_id, query_text).
 
-    Frequencies and lengths are those of docs. Postings shrink to the queries' terms and are dealt out by id once, so a
-    pair's sum needs no further shuffle, and only top_k rows a query and task move. Rows that match nothing score 0.
+    Frequencies and lengths are those of docs. Each text is tokenised once; only top_k rows a query and task move at the end. Rows that match nothing score 0.
     """
-    q = queries.select("query_id", F.explode(tokens(F.col("query_text"), stemmed)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    q = _query_terms(queries, stemmed)
     small = q.count() <= 1_000_000
     sent = F.broadcast if small else lambda d: d
-    size = docs.select(F.size(tokens(F.col("text"), False)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    posts = docs.select("id", tokens(F.col("text"), stemmed).alias("terms")).select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    tf = posts.join(sent(q.select("term").distinct()), "term", "left_semi").repartition("id").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    counts = term_counts(docs, ["id"], "text", stemmed)
+    length = counts.groupBy("id").agg(F.sum("tf").alias("dl"))
+    size = docs.agg(F.count("*").alias("n")).crossJoin(length.agg(F.sum("dl").alias("words"))).select("n", (F.coalesce("words", F.lit(0)) / F.nullif("n", F.lit(0))).alias("avgdl"))
+    # A pair's rows lie together by id from the counting on, so its sum needs no shuffle.
+    tf = counts.join(length, "id").join(sent(q.select("term").distinct()), "term", "left_semi")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    qtf = (L.K3 + 1) * F.col("qf") / (L.K3 + F.col("qf"))
-    weights = q.join(df, "term").crossJoin(F.broadcast(size)).select("query_id", "term", "avgdl", (F.col("qf") * idf * qtf).alias("weight"))
-    tfn = F.col("tf") * (L.K1 + 1) / (F.col("tf") + L.K1 * (1 - L.B + L.B * F.col("dl") / F.col("avgdl")))
-    s = tf.join(sent(weights), "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * (tfn + L.DELTA)), 6).alias("score"))
+    weights = q.join(df, "term").crossJoin(F.broadcast(size)).select("query_id", "term", "avgdl", (F.col("qf") * _idf(F.col("n"), F.col("df")) * _qtf(F.col("qf"))).alias("weight"))
+    s = tf.join(sent(weights), "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * _tfn(F.col("tf"), F.col("dl"), F.col("avgdl"))), 6).alias("score"))
     best = ranked(s, "score", "id", ["query_id"]).filter(F.col("rank") <= top_k).drop("rank")
     # A query with fewer matches than top_k is filled with the smallest ids that it doesn't match: they lie among the
     # first 2 * top_k, as fewer than top_k of these are matches.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivec.functions import lexicon as L
-from lexivec.functions.text import tokens
+from lexivec.functions.text import term_counts
 from lexivec.operators import retrieval as R
 from lexivec.plans import sql as S
 
@@ -67,15 +67,14 @@ _HYBRID = f"with {_VEC}, {_POOL}, {_bm25_sql('pool', 'qd', 'bm')}, {_FUSED}"
 
 
 def tokenize_tf(spark, sf):
-    d = _t(spark, sf, "documents").select("doc_id", F.explode(tokens(F.col("text"))).alias("term"))
-    return d.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return term_counts(_t(spark, sf, "documents"), ["doc_id"])
 
 
 def doc_freq_avgdl(spark, sf):
-    d = _t(spark, sf, "documents").select("doc_id", tokens(F.col("text")).alias("terms"))
-    length = d.agg(F.round(F.avg(F.size("terms")), 6).alias("avgdl"))
-    df = d.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(length))
+    counts = term_counts(_t(spark, sf, "documents"), ["doc_id"])
+    n = _t(spark, sf, "documents").agg(F.count("*").alias("n"))
+    length = counts.agg(F.sum("tf").alias("words")).crossJoin(n).select(F.round(F.col("words") / F.col("n"), 6).alias("avgdl"))
+    return counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(length))
 
 
 def bm25_keyword(spark, sf):
@@ -90,7 +89,7 @@ def _pool(spark, sf):
 
 def bm25_on_pool(spark, sf):
     docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return R.bm25(_pool(spark, sf).select("query_id", "id").join(docs, "id"), _queries(spark, sf))
+    return R.bm25(_pool(spark, sf).select("query_id", "id").join(docs.select("id"), "id", "left_semi"), _queries(spark, sf), texts=docs)
 
 
 def rrf_fusion(spark, sf):

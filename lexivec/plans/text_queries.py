@@ -23,8 +23,11 @@ def _texts(spark, sf):
 _joined = lambda c: F.array_join(c.cast("array<string>"), ",")
 
 
-def _projection(**columns):
-    return lambda spark, sf: _texts(spark, sf).select("doc_id", *[make(F.col("text")).alias(name) for name, make in columns.items()])
+def _projection(low=None, **columns):
+    """A query of one column per function of the text; low: what else the functions get, made once, in a projection before."""
+    if low is None:
+        return lambda spark, sf: _texts(spark, sf).select("doc_id", *[make(F.col("text")).alias(name) for name, make in columns.items()])
+    return lambda spark, sf: _texts(spark, sf).withColumn("low", low(F.col("text"))).select("doc_id", *[make(F.col("text"), F.col("low")).alias(name) for name, make in columns.items()])
 
 
 def rate_limit_anchored(spark, sf):
@@ -33,7 +36,8 @@ def rate_limit_anchored(spark, sf):
 
 def guard_summary(spark, sf):
     """Severities and blocks of all labelled documents, by label."""
-    d = G.validate_input(_t(spark, sf, "documents").select("doc_id", "text")).withColumnRenamed("toxic", "toxic_hits").join(_t(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
+    labelled = _t(spark, sf, "documents").select("doc_id", "text").join(_t(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    d = G.validate_input(labelled).drop("toxic").withColumnRenamed("label", "toxic")
     return d.groupBy("toxic", "severity", "blocked").agg(F.count("*").alias("n"), F.sum(F.size("pii")).cast("long").alias("n_pii"))
 
 
@@ -52,7 +56,7 @@ def sentence_split(spark, sf):
 
 
 def negative_reaction(spark, sf):
-    d = _texts(spark, sf).select("doc_id", G.reaction(F.col("text")).alias("reaction"))
+    d = _texts(spark, sf).select("doc_id", F.lower("text").alias("low")).select("doc_id", G.reaction(F.col("low"), F.col("low")).alias("reaction"))
     return d.select("doc_id", "reaction", G.reaction_severity(F.col("reaction")).alias("severity"))
 
 
@@ -126,22 +130,22 @@ def _row(expr: str) -> str:
 QUERIES = {
     "pii_detect": _projection(kinds=lambda t: _joined(G.pii_kinds(t))),
     "pii_redact": _projection(redacted=G.redact),
-    "injection_scan": _projection(hits=lambda t: _joined(G.hits(t, L.INJECTION))),
-    "toxicity_scan": _projection(hits=lambda t: _joined(G.hits(t, L.TOXICITY))),
-    "integrity_scan": _projection(hits=lambda t: _joined(G.hits(t, L.INTEGRITY))),
-    "topic_relevance": _projection(off_topic=G.off_topic),
+    "injection_scan": _projection(T.folded, hits=lambda t, low: _joined(G.hits(t, L.INJECTION, low))),
+    "toxicity_scan": _projection(T.folded, hits=lambda t, low: _joined(G.hits(t, L.TOXICITY, low))),
+    "integrity_scan": _projection(T.folded, hits=lambda t, low: _joined(G.hits(t, L.INTEGRITY, low))),
+    "topic_relevance": _projection(F.lower, off_topic=G.off_topic),
     "negative_reaction": negative_reaction,
     "guard_summary": guard_summary,
     "citation_verify": citation_verify,
     "rate_limit_anchored": rate_limit_anchored,
     "sentence_split": sentence_split,
     "lang_score": _projection(
-        short=lambda t: T.language_score(t, L.LANGUAGE_SHORT).cast("long"), long=lambda t: T.language_score(t, L.LANGUAGE_LONG).cast("long"),
-        chunk_lang=lambda t: T.language(t, L.LANGUAGE_SHORT, 5), domain_lang=T.language,
+        T.folded, short=lambda t, low: T.language_score(t, L.LANGUAGE_SHORT, low).cast("long"), long=lambda t, low: T.language_score(t, L.LANGUAGE_LONG, low).cast("long"),
+        chunk_lang=lambda t, low: T.language(t, L.LANGUAGE_SHORT, 5, low), domain_lang=lambda t, low: T.language(t, low=low),
     ),
     "pdf_normalize": _projection(normalized=T.normalize_pdf),
     "headings": _projection(headings=lambda t: F.array_join(T.headings(t), "¦")),
-    "doc_type": _projection(doc_type=T.doc_type),
+    "doc_type": _projection(T.folded, doc_type=T.doc_type),
     "course_info": course_info,
     "kw_line": _projection(keywords=lambda t: _joined(T.keyword_line(t))),
     "ieee_citations": _projection(citations=lambda t: _joined(T.numbered_citations(t))),
