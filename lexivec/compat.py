@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -9,6 +11,28 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Temporary folders of local sessions that name none, by application.
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir, which driver and executors share.
+
+    A local session without one gets a temporary folder, removed at the end; on a cluster that is an error, as each machine
+    would write to its own disk.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lexivec-")
+        atexit.register(shutil.rmtree, _OWN[app].removeprefix("file://"), True)
+    return _OWN[app]
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let the executors' Python workers import this package, wherever the driver found it. Once per context."""
     sc = spark.sparkContext

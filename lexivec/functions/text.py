@@ -163,6 +163,46 @@ def language_score(text: Column, lists: tuple[str, ...], low: Column | None = No
     return F.when(text.isNotNull(), out)
 
 
+MARK = "\x01"
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """array<struct<start, value>> of a pattern's matches, in order; places in code points. The text must not hold U+0001."""
+    parts = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK)
+    none = F.array().cast("array<struct<start:int,value:string>>")
+    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), none.alias("out"))
+
+    def step(a: Column, p: Column) -> Column:
+        out = F.when(a["match"], F.array_append(a["out"], F.struct(a["at"].alias("start"), p.alias("value")))).otherwise(a["out"])
+        return F.struct((a["at"] + F.length(p)).alias("at"), (~a["match"]).alias("match"), out.alias("out"))
+
+    return F.aggregate(parts, zero, step, lambda a: a["out"])
+
+
+def abstract(text: Column) -> Column:
+    """The first 500 characters of the abstract, or null."""
+    out = []
+    for start, end in L.ABSTRACTS:
+        p = start + f"(?={end})"
+        out.append(F.when(text.rlike(p), F.substring(F.regexp_replace(F.regexp_extract(text, p, 1), r"^\s+|\s+$", ""), 1, L.ABSTRACT_LENGTH)))
+    return F.coalesce(*out)
+
+
+def has_table(text: Column, low: Column | None = None) -> Column:
+    """Whether header cells of a table stand in the text, or many numbered rows."""
+    return found(text, L.TABLE_HEADER, low) | (F.regexp_count(text, F.lit(L.NUMBERED_ROW)) > L.NUMBERED_ROWS)
+
+
+def title_of(file_name: Column) -> Column:
+    """A file name without its last extension."""
+    return F.regexp_replace(file_name, r"\.[^/.]+$", "")
+
+
+def tags_of(tags: Column) -> Column:
+    """Tags between commas, trimmed, blank ones left out."""
+    return F.filter(F.transform(F.split(tags, ","), lambda t: F.trim(t)), lambda t: t != "")
+
+
 def headings(text: Column) -> Column:
     """Headings by seven patterns, each once, in the order of the patterns."""
     return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(java(p)), F.lit(1)) for p in L.HEADINGS])))

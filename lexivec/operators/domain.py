@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from lexivec.compat import ship_package
 from lexivec.functions import lexicon as L
-from lexivec.functions.text import BOUNDARY
+from lexivec.functions import text as T
+from lexivec.functions.text import BOUNDARY, java
 
 
 def expand_synonyms(queries: DataFrame, groups: tuple[tuple[str, ...], ...] = L.SYNONYMS, most: int | None = None) -> DataFrame:
@@ -46,55 +48,139 @@ def sections(docs: DataFrame, markers: tuple[tuple[str, str], ...] = L.SECTIONS_
     return d.select("doc_id", "section", F.col("start").cast("long").alias("start"), F.coalesce(F.lead("start").over(after), F.col("n")).cast("long").alias("end"))
 
 
+def _unmarked(text: Column) -> Column:
+    return F.replace(text, F.lit(T.MARK), F.lit(" "))
+
+
+def _placed(docs: DataFrame, patterns: list[tuple[str, str]], text: str, extra: list[str]) -> DataFrame:
+    """doc_id, extra, ord, kind, start, value: matches of the patterns (kind, pattern), ord their number."""
+    one = lambda k, kind, p: F.transform(T.spans(F.col(text), java(p)), lambda s: F.struct(F.lit(k).alias("ord"), F.lit(kind).alias("kind"), s["start"].alias("start"), s["value"].alias("value")))
+    found = F.concat(*[one(k, kind, p) for k, (kind, p) in enumerate(patterns)])
+    return docs.select("doc_id", *extra, F.explode(found).alias("m")).select("doc_id", *extra, "m.*")
+
+
+def placed_headings(docs: DataFrame) -> DataFrame:
+    """doc_id, offset, heading of docs (doc_id, text): each heading once, where the first pattern that has it finds it first."""
+    d = docs.select("doc_id", _unmarked(F.coalesce("text", F.lit(""))).alias("text"))
+    d = _placed(d, [(str(k), p) for k, p in enumerate(L.PLACED_HEADINGS)], "text", [])
+    named = F.coalesce(*[F.when(F.col("ord") == k, F.nullif(F.regexp_extract("value", java(p), 1), F.lit(""))) for k, p in enumerate(L.PLACED_HEADINGS) if "(.+)" in p], F.col("value"))
+    d = d.withColumn("heading", F.regexp_replace(named, r"^\s+|\s+$", "")).filter("heading <> ''")
+    first = d.groupBy("doc_id", "heading").agg(F.min(F.struct("ord", "start")).alias("m"))
+    return first.select("doc_id", F.col("m.start").cast("long").alias("offset"), "heading")
+
+
+def typed_sections(docs: DataFrame) -> DataFrame:
+    """doc_id, type, title, start, end of docs (doc_id, text): sections by their headings in the repaired text, each up to the
+    next one. The patterns are those of the text's language; the title is the pattern's first group, or the whole match.
+    """
+    d = docs.select("doc_id", _unmarked(T.normalize_pdf(F.coalesce("text", F.lit("")))).alias("t"))
+    d = d.select("doc_id", "t", F.length("t").alias("n"), T.folded(F.col("t")).alias("low"))
+    d = d.select("doc_id", "t", "n", T.language(F.col("t"), low=F.col("low")).alias("lang"))
+    parts = []
+    for lang, rules in (("id", L.TYPED_SECTIONS_ID), ("en", L.TYPED_SECTIONS_EN)):
+        m = _placed(d.filter(F.col("lang") == lang), list(rules), "t", ["n"])
+        title = F.coalesce(*[F.when(F.col("ord") == k, F.nullif(F.regexp_extract("value", java(p), 1), F.lit(""))) for k, (_, p) in enumerate(rules)], F.col("value"))
+        parts.append(m.withColumn("title", title))
+    d = parts[0].unionByName(parts[1])
+    after = Window.partitionBy("doc_id").orderBy("start", "ord")
+    return d.select("doc_id", F.col("kind").alias("type"), "title", F.col("start").cast("long").alias("start"), F.coalesce(F.lead("start").over(after), F.col("n")).cast("long").alias("end"))
+
+
+def metadata(docs: DataFrame) -> DataFrame:
+    """doc_id and what a text tells of itself: type, course facts, citations, keywords, abstract, language, table flag,
+    and its sections as array<struct<start, type, title, end>>."""
+    d = docs.select("doc_id", T.normalize_pdf(F.coalesce("text", F.lit(""))).alias("t"))
+    d = d.select("doc_id", "t", T.folded(F.col("t")).alias("low"))
+    t, low = F.col("t"), F.col("low")
+    facts = d.select(
+        "doc_id", T.doc_type(t, low).alias("doc_type"), *[c.alias(k) for k, c in T.course_info(t).items()], T.numbered_citations(t).alias("citations"),
+        T.keyword_line(t).alias("keywords"), T.abstract(t).alias("abstract"), T.language(t, low=low).alias("language"), T.has_table(t, low).alias("has_table"),
+    )
+    found = typed_sections(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start", "type", "title", "end"))).alias("sections"))
+    none = F.array().cast("array<struct<start:bigint,type:string,title:string,end:bigint>>")
+    return facts.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id").withColumn("sections", F.coalesce("sections", none))
+
+
+def synonym_groups(spark, path: str) -> tuple[tuple[str, ...], ...]:
+    """Groups of synonyms from a text file: one group a line, its terms between bars."""
+    lines = [r["value"] for r in spark.read.text(path).collect()]
+    return tuple(terms for line in lines if len(terms := tuple(t.strip() for t in line.split("|") if t.strip())) > 1)
+
+
 _DELIMITER = re.compile(r"\n={3,}\n|\n-{3,}\n")
+_RULE = re.compile(r"[|+\-\s]*[-+][|+\-\s]*")
+_FULL_STOP = (".", "!", "?")
+
+
+def _table(lines: list[str], title: str | None) -> dict | None:
+    rows = [[c for c in (re.sub(r"\s+", " ", c.strip()) for c in x.split("|")) if c] for x in lines if "|" in x and not _RULE.fullmatch(x.strip())]
+    if len(rows) < 2:
+        return None
+    head = rows[0]
+    return {"title": title, "headers": head, "rows": [dict(zip(head, [*r, *[""] * len(head)])) for r in rows[1:]]}
+
+
+def _pairs(lines: list[str]) -> list[tuple[str, str]]:
+    found = (re.match(r"([A-Za-z][A-Za-z0-9\s]*?)\s*:\s*(.+)$", x.strip()) for x in lines)
+    return [(m[1], m[2].strip()) for m in found if m and len(m[1]) <= 50]
 
 
 def parse_report(text: str) -> list[dict]:
-    """Sections of an ASCII report: title, key-value lines, tables as header and rows."""
+    """Sections of an ASCII report: title, tables (title, headers, rows), key-value pairs.
+
+    A section's first line is its title if it is in capitals, or short, without a full stop and no table row. A run of table
+    rows and rules is a table; a short line before it, without a full stop, is the table's title.
+    """
     out = []
     for part in _DELIMITER.split(text or ""):
         lines = [x for x in part.split("\n") if x.strip()]
         if not lines:
             continue
         head = lines[0].strip()
-        titled = bool(re.fullmatch(r"[A-Z][A-Z\s0-9]+", head)) or (len(head) < 80 and not re.search(r"[.!?]$", head) and "|" not in head and ":" not in head)
-        body = lines[1:] if titled else lines
-        tables, run = [], []
-        for line in [*body, ""]:
-            if "|" in line:
-                run.append(line)
+        titled = bool(re.fullmatch(r"[A-Z][A-Z\s0-9]+", head)) or (len(head) < 80 and not head.endswith(_FULL_STOP) and "|" not in head)
+        tables, rest = [], []
+        for is_table, run in groupby(lines[1:] if titled else lines, lambda x: "|" in x or bool(_RULE.fullmatch(x.strip()))):
+            run = list(run)
+            if not is_table:
+                rest += run
                 continue
-            rows = [[c.strip() for c in x.split("|") if c.strip()] for x in run if not re.fullmatch(r"[|+\-\s]+", x.strip())]
-            if len(rows) >= 2:
-                tables.append({"headers": rows[0], "rows": [dict(zip(rows[0], [*r, *[""] * len(rows[0])])) for r in rows[1:]]})
-            run = []
-        pairs = [m.groups() for m in (re.match(r"([A-Za-z][A-Za-z0-9\s]*?)\s*:\s*(.+)$", x.strip()) for x in body if "|" not in x) if m and len(m[1]) <= 50]
-        out.append({"title": head if titled else None, "tables": tables, "metadata": pairs, "content": "\n".join(body)})
+            before = rest[-1].strip() if rest else ""
+            title = rest.pop().strip() if 0 < len(before) < 100 and not before.endswith(_FULL_STOP) else None
+            if table := _table(run, title):
+                tables.append(table)
+        out.append({"title": head if titled else None, "tables": tables, "metadata": _pairs(rest)})
     return out
 
 
+def _sentences_of(table: dict) -> list[str]:
+    rows = (", ".join(f"{h}: {row[h]}" for h in table["headers"] if row[h]) for row in table["rows"])
+    return [f"[{table['title']}] {x}." if table["title"] else f"{x}." for x in rows if x]
+
+
 def serialise_report(text: str) -> str:
-    """A report as sentences: `## title`, `key adalah value.`, and each table row as `header: value, header: value.`"""
-    parts = []
-    for s in parse_report(text):
-        if s["title"]:
-            parts.append(f"## {s['title']}")
-        parts += [f"{k.strip()} adalah {v.strip()}." for k, v in s["metadata"]]
-        for t in s["tables"]:
-            parts += [", ".join(f"{h}: {row[h]}" for h in t["headers"] if row[h]) + "." for row in t["rows"]]
-    return "\n".join(parts)
+    """A report as sentences, its blocks apart: the first section's pairs under a heading of their own, then each section with
+    `## title`, `key adalah value.`, and its tables with `### title` and `[title] header: value, header: value.` a row.
+    """
+    said = lambda pairs: "\n".join(f"{k} adalah {v}." for k, v in pairs)
+    sections = parse_report(text)
+    blocks = [f"# Informasi Umum\n\n{said(sections[0]['metadata'])}"] if sections and sections[0]["metadata"] else []
+    for s in sections:
+        of = [f"## {s['title']}"] if s["title"] else []
+        of += [said(s["metadata"])] if s["metadata"] else []
+        of += ["\n".join([*([f"### {t['title']}"] if t["title"] else []), *_sentences_of(t)]) for t in s["tables"]]
+        if of:
+            blocks.append("\n\n".join(of))
+    return "\n\n".join(blocks)
 
 
 def serialised_reports(docs: DataFrame) -> DataFrame:
     """doc_id, serialised text of documents that look like ASCII reports; others as they are."""
-    from lexivec.functions.text import report_score
-
     ship_package(docs.sparkSession)
 
     def rows(frames):
         for f in frames:
             yield pd.DataFrame({"doc_id": f["doc_id"], "text": f["text"].map(serialise_report)})
 
-    d = docs.select("doc_id", "text", (report_score(F.coalesce("text", F.lit(""))) >= 3).alias("r"))
+    d = docs.select("doc_id", "text", (T.report_score(F.coalesce("text", F.lit(""))) >= 3).alias("r"))
     made = d.filter("r").select("doc_id", "text").mapInPandas(rows, "doc_id long, text string")
     return made.unionByName(d.filter("not r").select("doc_id", "text"))

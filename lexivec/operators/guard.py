@@ -83,14 +83,90 @@ def validate_input(df: DataFrame, text: str = "text") -> DataFrame:
     return d.withColumn("blocked", some("injections") | some("toxic")).withColumn("severity", severity_name(level))
 
 
-def validate_output(df: DataFrame, answer: str, context: str) -> DataFrame:
-    """df with pii, toxic, risky (a claim to be checked), unverified citations and blocked, for answers."""
-    t = F.col(answer)
-    risky = F.lit(False)
+def sentiment(reply: Column) -> Column:
+    """struct<sentiment, confidence, action> of a judge's JSON reply; neutral, 0.5 and continue where it can't be read."""
+    clean = F.trim(F.regexp_replace(reply, r"```(?:json)?", ""))
+    got = F.from_json(clean, "sentiment string, confidence double, suggestedAction string")
+    return F.struct(
+        F.coalesce(got["sentiment"], F.lit("neutral")).alias("sentiment"), F.coalesce(got["confidence"], F.lit(0.5)).alias("confidence"), F.coalesce(got["suggestedAction"], F.lit("continue")).alias("action")
+    )
+
+
+def escalates(reaction_kind: Column, judged: Column | None = None) -> Column:
+    """Whether a message needs a person: frustration, or a judge's word (see `sentiment`)."""
+    out = F.coalesce(reaction_kind == "frustration", F.lit(False))
+    return out if judged is None else out | F.coalesce(judged["action"] == "escalate", F.lit(False))
+
+
+def risky(answer: Column) -> Column:
+    """Whether an answer claims what should be checked."""
+    out = F.lit(False)
     for p in L.RISKY:
-        risky = risky | t.rlike(java(p))
-    d = df.select("*", pii_kinds(t).alias("pii"), hits(t, L.TOXICITY).alias("toxic"), risky.alias("risky"), unverified(t, F.col(context)).alias("unverified"))
-    return d.withColumn("blocked", F.size("toxic") > 0)
+        out = out | answer.rlike(java(p))
+    return out
+
+
+#: Over this similarity of the least alike passage, answers are not checked for invention.
+SURE = 0.85
+
+
+def to_check(answer: Column, similarity: Column | None = None) -> Column:
+    """Whether an answer is to be checked for invention: a risky claim, unless all passages were close to the question."""
+    return risky(answer) if similarity is None else risky(answer) & ~F.coalesce(similarity > SURE, F.lit(False))
+
+
+def validate_output(df: DataFrame, answer: str, context: str, similarity: str | None = None, invented: Column | None = None) -> DataFrame:
+    """df with pii, toxic, risky (to be checked), hallucinated, unverified citations, blocked and severity, for answers.
+
+    context: the retrieved passages, null if none were. invented: a judge's verdict, asked for only where `risky` holds and
+    there is a context; without one nothing counts as invented.
+    """
+    t, c = F.col(answer), F.col(context)
+    d = df.select("*", folded(t).alias("_folded"))
+    asked = to_check(t, F.col(similarity) if similarity else None) & c.isNotNull()
+    d = d.select(
+        *df.columns, pii_kinds(t).alias("pii"), hits(t, L.TOXICITY, F.col("_folded")).alias("toxic"), asked.alias("risky"),
+        F.when(c.isNotNull(), unverified(t, c)).otherwise(F.array().cast("array<string>")).alias("unverified"),
+    )
+    d = d.withColumn("hallucinated", F.lit(False) if invented is None else F.coalesce(F.col("risky") & invented, F.lit(False)))
+    some = lambda x: F.size(x) > 0
+    level = F.greatest(F.when(some("pii") | some("toxic"), 3).otherwise(0), F.when(F.col("hallucinated"), 2).otherwise(0), F.when(some("unverified"), 1).otherwise(0))
+    return d.withColumn("blocked", some("toxic")).withColumn("severity", severity_name(level))
+
+
+def run_guardrails(requests: DataFrame, most: int = 50, window_ms: int = 60_000) -> DataFrame:
+    """event_id, user_id, rate_passed, input_passed, output_passed, passed, escalate of requests (event_id, user_id, ts, text,
+    answer, context).
+
+    The rate comes first: a request over it is judged no further. Input and output are judged where they are; what is not
+    judged is null, and does not count against passing.
+    """
+    rate = rate_limit(requests, most, window_ms).withColumnRenamed("passed", "rate_passed")
+    d = requests.select("event_id", "user_id", "text", "answer", "context").join(rate, ["user_id", "event_id"])
+    i = validate_input(d.select("event_id", "user_id", "rate_passed", "text", "answer", "context"))
+    i = i.select("event_id", "user_id", "rate_passed", "answer", "context", F.when(F.col("text").isNotNull(), ~F.col("blocked")).alias("input_passed"), escalates(F.col("reaction")).alias("escalate"))
+    o = validate_output(i, "answer", "context").withColumn("output_passed", F.when(F.col("answer").isNotNull() & F.col("context").isNotNull(), ~F.col("blocked")))
+    only = lambda c: F.when(F.col("rate_passed"), F.col(c)).alias(c)
+    yes = lambda c: F.coalesce(F.col(c), F.lit(True))
+    d = o.select("event_id", "user_id", "rate_passed", only("input_passed"), only("output_passed"), only("escalate"))
+    return d.withColumn("passed", F.col("rate_passed") & yes("input_passed") & yes("output_passed"))
+
+
+def audit_rows(checked: DataFrame, key: str, stage: str) -> DataFrame:
+    """A row for each rule that a checked message broke: key, stage, rule, severity, action. For the audit log."""
+    rule = lambda found, name, severity, action: F.when(found, F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), F.lit(action).alias("action")))
+    some = lambda c: F.size(c) > 0
+    known = {
+        "injections": rule(some("injections"), "prompt_injection", "critical", "blocked") if "injections" in checked.columns else None,
+        "pii": rule(some("pii"), "pii_detection", "high", "redacted" if stage == "input" else "flagged"),
+        "toxic": rule(some("toxic"), "toxicity", "high", "blocked"),
+        "dishonest": rule(some("dishonest"), "academic_integrity", "medium", "flagged") if "dishonest" in checked.columns else None,
+        "hallucinated": rule(F.col("hallucinated"), "hallucination", "medium", "flagged") if "hallucinated" in checked.columns else None,
+        "off_topic": rule(F.col("off_topic"), "topic_relevance", "low", "warned") if "off_topic" in checked.columns else None,
+        "unverified": rule(some("unverified"), "citation", "low", "flagged") if "unverified" in checked.columns else None,
+    }
+    rules = F.array_compact(F.array(*[c for c in known.values() if c is not None]))
+    return checked.select(key, F.lit(stage).alias("stage"), F.explode(rules).alias("r")).select(key, "stage", "r.*")
 
 
 def unverified(answer: Column, context: Column) -> Column:

@@ -168,17 +168,36 @@ def listwise_score(score: Column, rank: Column, original: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(score, 1 - 0.1 * (rank - 1), original)))
 
 
+#: Most pairs that a tournament draws.
+TOURNAMENT_PAIRS = 20
+
+
+def _pair_at(query: Column, k: Column, n: Column, seed: int) -> Column:
+    """Draw k of a query: two places below n, by hashes."""
+    at = lambda salt: F.pmod(F.xxhash64(query, k, F.lit(seed), F.lit(salt)), n).cast("int")
+    return F.struct(F.least(at(1), at(2)).alias("x"), F.greatest(at(1), at(2)).alias("y"))
+
+
 def tournament(passages: DataFrame, seed: int = 42) -> DataFrame:
     """query_id, id, tournament: wins over the most wins in min(2n, 20) drawn pairs, by score; without wins the score itself.
 
     passages: query_id, id, score. A pair's draw is a hash of its ids and the seed, so it repeats.
     """
-    a, b = passages.alias("a"), passages.alias("b")
     n = F.count("*").over(Window.partitionBy("query_id"))
-    p = passages.withColumn("n", n)
-    a, b = p.select("query_id", "n", F.col("id").alias("x"), F.col("score").alias("xs")), p.select("query_id", F.col("id").alias("y"), F.col("score").alias("ys"))
-    draw = Window.partitionBy("query_id").orderBy(F.xxhash64("x", "y", F.lit(seed)))
-    pairs = a.join(b, "query_id").filter("x < y").withColumn("k", F.row_number().over(draw)).filter("k <= least(2 * n, 20)")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("id")) - 1
+    p = passages.withColumn("n", n).withColumn("place", place)
+    # Places of pairs are drawn, not pairs made: as many distinct ones as are wanted, of twice as many draws.
+    wanted = F.least(2 * F.col("n"), F.lit(TOURNAMENT_PAIRS), (F.col("n") * (F.col("n") - 1) / 2).cast("long")).cast("int")
+    all_pairs = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
+    few = F.expr("transform(filter(flatten(transform(sequence(0, cast(n as int) - 1), i -> transform(sequence(0, cast(n as int) - 1), j -> struct(i, j)))), p -> p.i < p.j), p -> struct(p.i as x, p.j as y))")
+    drawn = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(8 * TOURNAMENT_PAIRS)), lambda k: _pair_at(F.col("query_id"), k, F.col("n"), seed)))
+    drawn = F.filter(drawn, lambda q: q["x"] < q["y"])
+    shuffled = lambda a: F.transform(F.array_sort(F.transform(a, lambda q: F.struct(F.xxhash64("query_id", q["x"], q["y"], F.lit(seed)).alias("h"), q["x"].alias("x"), q["y"].alias("y")))), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y")))
+    games = F.when(all_pairs <= 4 * TOURNAMENT_PAIRS, shuffled(few)).otherwise(drawn)
+    q = p.filter("n > 1").select("query_id", "n").distinct().select("query_id", F.explode(F.slice(games, 1, wanted)).alias("g")).select("query_id", "g.x", "g.y")
+    at = lambda k, i, v: p.select("query_id", F.col("place").alias(k), F.col("id").alias(i), F.col("score").alias(v))
+    pairs = q.join(at("x", "xi", "xs"), ["query_id", "x"]).join(at("y", "yi", "ys"), ["query_id", "y"]).select("query_id", F.col("xi").alias("x"), "xs", F.col("yi").alias("y"), "ys")
+    # Equal scores (ties) go to the smaller id.
     wins = pairs.select("query_id", F.when(F.col("xs") >= F.col("ys"), F.col("x")).otherwise(F.col("y")).alias("id")).groupBy("query_id", "id").agg(F.count("*").alias("wins"))
     d = p.join(wins, ["query_id", "id"], "left").withColumn("wins", F.coalesce("wins", F.lit(0)))
     most = F.greatest(F.max("wins").over(Window.partitionBy("query_id")), F.lit(1))
@@ -224,6 +243,6 @@ def citation_numbers(hits: DataFrame) -> DataFrame:
 def context_relevance(contexts: DataFrame, truths: DataFrame) -> DataFrame:
     """query_id, relevance: share of a query's contexts that contain 30 % of the truth's words of five letters or more."""
     w = truths.select("query_id", F.filter(F.split(F.lower("truth"), r"\s+"), lambda t: F.length(t) > 4).alias("words"))
-    d = contexts.select("query_id", F.lower("text").alias("t")).join(F.broadcast(w), "query_id")
+    d = contexts.select("query_id", F.lower("text").alias("t")).join(w, "query_id")
     hit = F.size(F.filter("words", lambda x: F.col("t").contains(x))) >= F.size("words") * 0.3
     return d.groupBy("query_id").agg(F.round(F.avg(hit.cast("double")), 6).alias("relevance"))

@@ -6,13 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from lexivec.compat import shared_folder
 from lexivec.functions import lexicon as L
 from lexivec.operators import chunking as C
 from lexivec.operators import domain as D
 from lexivec.operators import retrieval as R
 from lexivec.plans import rag
 from lexivec.plans import sql as S
-from lexivec.plans.text_queries import _SENT_SQL, _t, _texts
+from lexivec.plans.text_queries import _OFF_SQL, _PII_SQL, _SENT_SQL, _t, _texts
 from lexivec.streaming import streams
 
 
@@ -54,12 +55,13 @@ def tournament_rerank(spark, sf):
 
 
 def _streamed(spark, sf, name, make):
-    """A table read as a stream of one file to its end, into a memory table."""
+    """A table read as a stream of one file to its end, into a table of the shared folder."""
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    view = f"stream_{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/lexivec/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(f"{sf}/")
-    make(source).writeStream.format("memory").queryName(view).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(view)
+    d = make(source)
+    d.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(d.schema).parquet(f"{out}/rows")
 
 
 def stream_guard(spark, sf):
@@ -70,7 +72,9 @@ def stream_guard(spark, sf):
 QUERIES = {f.__name__: f for f in (recursive_chunks, hierarchical_chunks, semantic_chunks, sentence_window_chunks, sections, report_serialise, rag_context, tournament_rerank, stream_guard)}
 
 _LABEL = S.first_label("line", L.SECTIONS_EN)
+_BATCH = f"""g as (select {_PII_SQL} pii, {S.which('text', L.INJECTION)} <> '' inj, {S.which('text', L.TOXICITY)} <> '' tox, {S.which('text', L.INTEGRITY)} <> '' dis, {_OFF_SQL} off_ from conversations)"""
 ORACLES = {
+    "stream_guard": f"with {_BATCH}, s as (select case when inj or regexp_matches(pii, '(^|,)(nik|ssn|creditCard)(,|$)') then 'critical' when pii <> '' or tox then 'high' when dis then 'medium' when off_ then 'low' else 'none' end severity, inj or tox blocked from g) select severity, blocked, count(*) n from s group by all",
     "sentence_window_chunks": f"with {S.TEXTS}, s as (select doc_id, {_SENT_SQL} ss from texts), u as (select doc_id, ss, unnest(range(len(ss))) pos from s) select doc_id, pos, ss[pos + 1] as content, array_to_string(ss[greatest(pos - 3, 0) + 1 : pos + 4], ' ') context from u",
     "sections": f"with {S.TEXTS}, l as (select doc_id, length(text) n, ls, unnest(range(len(ls))) pos from (select *, string_split(text, chr(10)) ls from texts)), o as (select doc_id, n, pos, ls[pos + 1] line, coalesce(sum(length(ls[pos + 1]) + 1) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as start from l), x as (select *, {_LABEL} section from o) select doc_id, section, start, coalesce(lead(start) over (partition by doc_id order by start), n) as \"end\" from x where section is not null",
 }

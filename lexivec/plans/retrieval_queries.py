@@ -129,7 +129,7 @@ def context_relevance(spark, sf):
 def _relevance(spark, sf):
     label = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")
     q = _queries(spark, sf).select("query_id", "query_label")
-    return _pool(spark, sf).filter("rank <= 10").join(label, "id").join(F.broadcast(q), "query_id").withColumn("rel", (F.col("label") == F.col("query_label")).cast("int"))
+    return _pool(spark, sf).filter("rank <= 10").join(label, "id").join(q, "query_id").withColumn("rel", (F.col("label") == F.col("query_label")).cast("int"))
 
 
 def ir_ndcg(spark, sf):

@@ -55,6 +55,9 @@ FIXTURES = (
     "# Title\n\nINTRODUCTION\n1. First Part\nChapter 2\nbody\n===", "| a | b |\n+---+---+\n| 1 | 2 |\n", "Semester : Ganjil\nDosen: Dr. Budi Santoso\nMata Kuliah: Basis Data\n3 SKS\nfakultas Teknik,\nIF1234",
     "keywords: alpha, beta; gamma\nas in [1] and [2] and [1]", "skripsi sarjana yang dengan untuk dalam adalah dapat telah sudah akan dari yang dengan", "case study of a lab report, thesis",
     "yang dengan untuk dalam adalah dapat telah",
+    "Abstract\nwhat the paper says\nin two lines\n\nKeywords: maps\nIntroduction:\nbody\nMethods\nhow\nResults\nthis\nSummary\nend\nReferences\n[1] x",
+    "yang dengan untuk dalam adalah dapat telah sudah akan dari yang dengan\nAbstrak\nisi singkat\nBAB I PENDAHULUAN\nlatar\nTinjauan Pustaka\nisi\nmetodologi\nisi\npembahasan\nisi\nkesimpulan dan saran\nisi\nLampiran\nisi",
+    "No | Nama |\n1 | a |", "1) satu\n2) dua\n3) tiga\n4) empat\n5) lima\n6) enam", "abstract\nintroduction\nmethods\nresults\ndiscussion\nconclusion\nreferences",
 )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexivec.operators import chunking as C
 from lexivec.operators import evaluate as E
 from lexivec.operators import stats as X
 from lexivec.functions import lexicon as L
@@ -108,16 +109,11 @@ def step_durations(spark, sf):
 
 
 def active_heading_asof(spark, sf):
-    """Each event's last order date not after it, per customer: an as-of join by one union and a running last value."""
-    from pyspark.sql import Window
-
-    e = _t(spark, sf, "events").select(F.col("user_id").alias("k"), "ts", "event_id", F.lit(None).cast("long").alias("o_orderkey"))
-    o = _t(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("ts"), F.lit(None).cast("long").alias("event_id"), "o_orderkey")
-    o = o.groupBy("k", "ts", "event_id").agg(F.max("o_orderkey").alias("o_orderkey"))
-    # Of one instant the orders come first.
-    w = Window.partitionBy("k").orderBy("ts", F.col("event_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    d = e.unionByName(o).withColumn("heading", F.last("o_orderkey", ignorenulls=True).over(w))
-    return d.filter("event_id is not null").select("event_id", "heading")
+    """Each event's last order not after it, per customer: events as chunks, orders as headings, by their time."""
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    e = _t(spark, sf, "events").select(F.col("user_id").alias("doc_id"), "event_id", us("ts").alias("start"))
+    o = _t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("doc_id"), us("o_orderdate").alias("offset")).agg(F.max("o_orderkey").cast("string").alias("heading"))
+    return C.active_heading(e, o).select("event_id", F.col("active_heading").cast("long").alias("heading"))
 
 
 def hallucination_summary(spark, sf):
@@ -127,12 +123,11 @@ def hallucination_summary(spark, sf):
 
 
 def ablation_cross(spark, sf):
-    """Every configuration with every question (benchmark item); the metric is a number of both; failed ones count as 0."""
-    b = _t(spark, sf, "benchmark").select("item_id", F.length("text").alias("n"))
-    d = b.crossJoin(F.broadcast(E.ablation_configs(spark)))
-    m = F.when((F.col("item_id") + F.col("ord")) % 7 == 0, F.lit(None).cast("double")).otherwise((F.col("n") % (F.col("ord") + 2)).cast("double"))
-    d = d.withColumn("metric", m).groupBy("ord", "name").agg(F.count("*").alias("questions"), E.mean_or_zero("metric").alias("score"))
-    return _rounded(d.select("name", "questions", "score"))
+    """The study with a made-up answer and score: every seventh question fails, and counts as 0."""
+    q = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.length("text").alias("n"))
+    answer = lambda d: d.withColumn("answer", F.when((F.col("query_id") + F.col("ord")) % 7 != 0, "an answer"))
+    score = lambda d: d.withColumn("score", (F.col("n") % (F.col("ord") + 2)).cast("double"))
+    return _rounded(E.ablation_study(q, E.ablation_configs(spark), answer, score).select("name", "questions", "score"))
 
 
 def ablation_best(spark, sf):
@@ -163,8 +158,11 @@ def session_merge(spark, sf):
 
 def tombstone_delete(spark, sf):
     """Deletes orders by key, and their items with them."""
+    from lexivec.sources.sinks import cascade
+
     gone = _t(spark, sf, "orders").filter("o_orderkey % 7 = 0").select("o_orderkey")
-    left = _t(spark, sf, "lineitem").join(gone, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")
+    tables = {"orders": _t(spark, sf, "orders"), "lineitem": _t(spark, sf, "lineitem")}
+    left = cascade(tables, gone, "orders", "o_orderkey", {"lineitem": ("l_orderkey", "o_orderkey")})["lineitem"]
     return left.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.countDistinct("l_orderkey").alias("orders"))
 
 
@@ -175,14 +173,17 @@ def csv_rows(spark, sf):
 
 
 def json_rows(spark, sf):
-    return _t(spark, sf, "nation").select("n_nationkey", F.to_json(F.struct("n_nationkey", "n_name", "n_regionkey")).alias("json"))
+    from lexivec.sources.sinks import json_rows as rows
+
+    return rows(_t(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")).select("n_nationkey", F.col("value").alias("json"))
 
 
 def latest_version(spark, sf):
-    """The last change of each key in an append-only log."""
-    e = _t(spark, sf, "events")
-    d = e.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("x"))
-    return d.select("user_id", "x.event_id", "x.event_type")
+    """The last change of each key in an append-only log; of one time, that of the greatest id."""
+    from lexivec.sources.sinks import current
+
+    e = _t(spark, sf, "events").withColumn("version", F.struct("ts", "event_id"))
+    return current(e, "user_id", "version").select("user_id", "event_id", "event_type")
 
 
 QUERIES = {

@@ -126,7 +126,41 @@ def import_questions(spark: SparkSession, path: str, run_id: str) -> DataFrame:
     return d.select(F.lit(run_id).alias("run_id"), "question", F.col("groundTruth").alias("ground_truth"))
 
 
+def with_total(runs: DataFrame, imported: DataFrame) -> DataFrame:
+    """runs (run_id, total_questions) with the number of questions that were imported last for them, as before for others."""
+    n = imported.groupBy("run_id").agg(F.count("*").alias("_n"))
+    return runs.join(n, "run_id", "left").withColumn("total_questions", F.coalesce("_n", "total_questions")).drop("_n")
+
+
+BANK = "question string, groundTruth string, category string, difficulty string, language string"
+
+
+def question_bank(spark: SparkSession, path: str) -> DataFrame:
+    """A bank of questions, a JSON array of objects with the fields of BANK."""
+    return spark.read.schema(BANK).option("multiLine", "true").json(path)
+
+
+def questions(bank: DataFrame, category: str | None = None, difficulty: str | None = None, language: str | None = None, n: int | None = None, seed: int = 42, key: str = "id") -> DataFrame:
+    """The bank's questions of a category, difficulty and language, or n of them drawn by a seeded hash of their key."""
+    d = bank
+    for column, value in (("category", category), ("difficulty", difficulty), ("language", language)):
+        if value is not None:
+            d = d.filter(F.col(column) == value)
+    if n is None:
+        return d
+    return d.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
+
 
 def question_sample(bank: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n questions of a bank, drawn by a seeded hash: a rerun draws the same."""
-    return bank.orderBy(F.xxhash64(F.col("question"), F.lit(seed))).limit(n)
+    return questions(bank, n=n, seed=seed, key="question")
+
+
+def by_key(df: DataFrame, key: str, value) -> DataFrame:
+    """The rows of one key: none if there is no such key."""
+    return df.filter(F.col(key) == F.lit(value))
+
+
+def listed(df: DataFrame, order: str, newest_first: bool = True) -> DataFrame:
+    """df in the order of a time, newest first unless told."""
+    return df.orderBy(F.desc(order) if newest_first else F.asc(order))

@@ -56,21 +56,27 @@ def rate_limited(events: DataFrame, most: int = 50, window_ms: int = 60_000) ->
 
 
 class SessionChunks(StatefulProcessor):
-    """Per session: the citation number of each chunk, by its first appearance. State of quiet sessions expires."""
+    """Per session: the citation number of each chunk, by its first appearance.
+
+    Chunks not seen for the time to live may be forgotten and get a new number; no number is given twice.
+    """
 
     def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getMapState("chunks", "chunk long", "citation long", self.ttl_ms)
+        self.last = handle.getValueState("last", "n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, out = sum(1 for _ in self.seen.keys()), []
+        n, out = self.last.get()[0] if self.last.exists() else 0, []
         for chunk in pd.concat(list(rows)).sort_values("seq")["chunk"].tolist():
             if not self.seen.containsKey((chunk,)):
                 n += 1
                 self.seen.updateValue((chunk,), (n,))
                 out.append((key[0], chunk, n))
+        if out:
+            self.last.update((n,))
         yield pd.DataFrame(out, columns=["session", "chunk", "citation"])
 
     def close(self) -> None:
@@ -98,3 +104,27 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, chunker=
             chunker(done).write.mode("append").parquet(f"{out}/chunks")
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def answered(questions: DataFrame, answer, path: str, checkpoint: str):
+    """A query that answers a stream of questions micro-batch by micro-batch and appends them to a table.
+
+    answer(batch) gives session, answer and what else is kept; each batch is written once: a batch that is run again after a
+    failure overwrites its own folder.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        answer(batch).withColumn("finished_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return questions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def traced(calls: DataFrame, path: str, checkpoint: str):
+    """A query that appends an agent's finished calls (session, at, kind, tokens, started) to a table; `agent.trace` orders
+    them there."""
+    return calls.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def polled(query, seconds: int = 5):
+    """A stream's writer that looks for new input at intervals."""
+    return query.trigger(processingTime=f"{seconds} seconds")
