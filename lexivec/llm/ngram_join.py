@@ -44,8 +44,8 @@ WORDS, PERCENT = 5, 80
 #: Documents are treated in groups of so many words; n-grams of about so many form a fragment.
 GROUP_WORDS, PER_FRAGMENT = 400_000, 6_000_000
 #: Most rounds of electing leaders (what they leave over meets in pairs), how many documents a leader must lead to be
-#: worth a round, and members of a leader that share a task.
-ROUNDS, FEW, PER_LEADER = 8, 32, 4096
+#: worth a round, of how many led one at least must be linked for another round, and members of a leader that share a task.
+ROUNDS, FEW, WORTH, PER_LEADER = 8, 32, 8, 4096
 
 #: Fixed odd multipliers, one per place in an n-gram.
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -294,9 +294,10 @@ def _links_in_rounds(parts: DataFrame, rare: DataFrame, sums: DataFrame) -> Data
     None if there is no leader of many.
     """
     left = durable(sums.filter(~_is_link(F.col("shared"), F.col("n"), F.col("leader_n"))).select("doc_id", "n"), "open")
-    sizes, found = left, None
+    sizes, found, mine = left, None, rare
     for _ in range(ROUNDS):
-        mine = rare.join(left.select("doc_id"), "doc_id", "left_semi")
+        # Only the open members' n-grams, which get fewer from round to round.
+        mine = durable(_only(mine, left), "open_grams")
         least = mine.groupBy("gram").agg(F.min("doc_id").alias("leader"), F.count("*").alias("c")).filter("c > 1").drop("c")
         votes = mine.join(least, "gram").filter("doc_id != leader").groupBy("doc_id", "leader").agg(F.count("*").alias("votes"))
         led = durable(votes.groupBy("doc_id").agg(F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("leader")), "led")
@@ -312,6 +313,9 @@ def _links_in_rounds(parts: DataFrame, rare: DataFrame, sums: DataFrame) -> Data
         d = shared.join(sizes, "doc_id").join(sizes.select(F.col("doc_id").alias("leader"), F.col("n").alias("leader_n")), "leader")
         linked = durable(d.filter(_is_link(F.col("shared"), F.col("n"), F.col("leader_n"))).select(F.col("doc_id").alias("u"), F.col("leader").alias("v")), "round")
         found = linked if found is None else found.union(linked)
+        # Where leaders of many are linked with few, there are no groups of copies left that would make many pairs.
+        if linked.count() * WORTH < led.count():
+            break
         done = linked.select(F.col("u").alias("doc_id")).union(led.select(F.col("leader").alias("doc_id")))
         left = durable(led.select("doc_id").join(done, "doc_id", "left_anti"), "open")
     return found
