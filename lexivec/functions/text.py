@@ -78,10 +78,50 @@ def folded(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def _any_of(low: Column, literals: tuple[str, ...]) -> Column:
+@lru_cache(maxsize=None)
+def trie(words: tuple[str, ...]) -> str:
+    """A pattern that finds any of the words, their beginnings shared, so that each place of a text is looked at once.
+
+    A word that begins with another one is left to that.
+    """
+    root: dict = {}
+    for w in words:
+        node = root
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def said(node: dict) -> str:
+        if "" in node:
+            return ""
+        items = sorted(node.items())
+        parts = [re.escape(c) + said(n) for c, n in items]
+        if len(items) > 8:
+            # A look at the next character tells which few of many branches to try.
+            starts = ["".join(re.escape(c) for c, _ in items[k : k + 5]) for k in range(0, len(items), 5)]
+            parts = [f"(?=[{c}])(?:{'|'.join(parts[5 * k : 5 * k + 5])})" for k, c in enumerate(starts)]
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    return said(root)
+
+
+#: So many words are looked for one by one; more in one pass.
+FEW_WORDS = 4
+
+
+def any_of(low: Column, literals: tuple[str, ...]) -> Column:
+    """Whether any of the literals occurs in a text that is in lower case already."""
+    if len(literals) > FEW_WORDS:
+        return low.rlike(trie(tuple(literals)))
     return reduce(operator.or_, [low.contains(w) for w in literals])
 
 
+def any_needed(low: Column, patterns) -> Column:
+    """Whether any of the patterns may occur at all: one pass over the text, for lists of patterns that mostly don't."""
+    words = [required(p) for p in patterns]
+    return any_of(low, tuple(dict.fromkeys(w for ws in words for w in ws))) if all(words) else F.lit(True)
+
+
 def found(text: Column, pattern: str, low: Column | None = None) -> Column:
     """Whether the pattern occurs, regardless of case. low: the folded text, best a column of its own.
 
@@ -91,7 +131,7 @@ def found(text: Column, pattern: str, low: Column | None = None) -> Column:
     words = required(pattern)
     if not words:
         return hit
-    return _any_of(folded(text) if low is None else low, words) & hit
+    return any_of(folded(text) if low is None else low, words) & hit
 
 
 def stem(word: Column) -> Column:
@@ -158,7 +198,7 @@ def language(text: Column, lists: tuple[str, ...] = L.LANGUAGE_LONG, cut: int =
 def language_score(text: Column, lists: tuple[str, ...], low: Column | None = None) -> Column:
     out = F.lit(0)
     for p in lists:
-        some = _any_of(folded(text) if low is None else low, required(p))
+        some = any_of(folded(text) if low is None else low, required(p))
         out = out + F.when(some, F.regexp_count(text, F.lit(java(p, True)))).otherwise(0)
     return F.when(text.isNotNull(), out)
 
@@ -219,13 +259,12 @@ def first_match(text: Column, patterns: tuple[str, ...], group: int) -> Column:
 
 def first_label(text: Column, rules, low: Column | None = None) -> Column:
     """Label of the first rule whose patterns all match, or null."""
-    out = []
+    out, first = [], []
     for label, patterns in rules:
-        hit = F.lit(True)
-        for p in (patterns,) if isinstance(patterns, str) else patterns:
-            hit = hit & found(text, p, low)
-        out.append(F.when(hit, label))
-    return F.coalesce(*out)
+        ps = (patterns,) if isinstance(patterns, str) else patterns
+        first.append(ps[0])
+        out.append(F.when(reduce(operator.and_, [found(text, p, low) for p in ps]), label))
+    return F.when(any_needed(folded(text) if low is None else low, first), F.coalesce(*out))
 
 
 def keyword_line(text: Column) -> Column:

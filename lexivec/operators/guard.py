@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.functions import lexicon as L
-from lexivec.functions.text import folded, found, java
+from lexivec.functions.text import any_needed, any_of, folded, found, java
 
 SEVERITIES = ("none", "low", "medium", "high", "critical")
 
@@ -23,16 +23,20 @@ def pii_kinds(text: Column) -> Column:
 
 def redact(text: Column) -> Column:
     """The text with each kind's matches replaced, one kind after the other."""
-    out = text
+    replaced = lambda t, kind, p: F.regexp_replace(t, java(p), f"[REDACTED_{kind.upper()}]")
+    email, out = text, text
     for kind, p in L.PII:
-        # What replaces a match has neither the sign nor a digit, so the original text tells what is possible.
-        out = F.when(_may_have(kind, text), F.regexp_replace(out, java(p), f"[REDACTED_{kind.upper()}]")).otherwise(out)
-    return out
+        out = replaced(out, kind, p)
+        email = replaced(email, kind, p) if kind == "email" else email
+    # Without a digit only addresses are possible, and without their sign nothing.
+    return F.when(_may_have("phone", text), out).when(_may_have("email", text), email).otherwise(text)
 
 
 def hits(text: Column, patterns: tuple[str, ...], low: Column | None = None) -> Column:
     """Places, from 0, of the patterns that match."""
-    return F.array_compact(F.array(*[F.when(found(text, p, low), F.lit(k)) for k, p in enumerate(patterns)]))
+    low = folded(text) if low is None else low
+    all_ = F.array_compact(F.array(*[F.when(found(text, p, low), F.lit(k)) for k, p in enumerate(patterns)]))
+    return F.when(any_needed(low, patterns), all_).when(text.isNotNull(), F.array().cast("array<int>"))
 
 
 def reaction(text: Column, low: Column | None = None) -> Column:
@@ -41,7 +45,8 @@ def reaction(text: Column, low: Column | None = None) -> Column:
     low: the text in lower case, best a column of its own.
     """
     low = F.lower(text) if low is None else low
-    return F.coalesce(*[F.when(found(low, p, low), F.lit(k)) for k, p in L.REACTIONS_ID + L.REACTIONS_EN])
+    rules = L.REACTIONS_ID + L.REACTIONS_EN
+    return F.when(any_needed(low, [p for _, p in rules]), F.coalesce(*[F.when(found(low, p, low), F.lit(k)) for k, p in rules]))
 
 
 def reaction_severity(kind: Column) -> Column:
@@ -54,9 +59,7 @@ def reaction_severity(kind: Column) -> Column:
 def off_topic(text: Column, low: Column | None = None) -> Column:
     """Over 50 characters without topic word, question cue or command verb. low: the text in lower case."""
     low = F.lower(text) if low is None else low
-    known = F.lit(False)
-    for w in (*L.TOPICS, *L.COMMANDS):
-        known = known | low.contains(w)
+    known = any_of(low, (*L.TOPICS, *L.COMMANDS))
     return (F.length(text) > 50) & ~known & ~text.rlike("(?i)" + L.QUESTION)
 
 
