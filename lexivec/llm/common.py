@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
 import sys
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.compat import ship_package
+from lexivec.compat import shared_folder, ship_package
 
 #: The white space that separates words: space and the characters U+0009 to U+000D.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -36,27 +33,26 @@ def with_python(df: DataFrame) -> DataFrame:
     return df
 
 
-#: Temporary folders of sessions that name none, by application.
-_OWN: dict[str, str] = {}
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir, which driver and executors share; see `shared_folder`."""
+    return shared_folder(spark)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lexivec-")
-            atexit.register(shutil.rmtree, _OWN[app].removeprefix("file://"), True)
-        where = _OWN[app]
-    return where.rstrip("/")
+def _gone_at_the_end(spark: SparkSession, path: str) -> None:
+    """Lets the path's file system delete it when the driver ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: its lineage ends there, and a lost executor costs nothing."""
+    """df written as Parquet to the shared folder and read back: its lineage ends there, and a lost executor costs nothing.
+
+    The table stays until the driver ends, as plans that read it may run at any time before.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexivec/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _gone_at_the_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
