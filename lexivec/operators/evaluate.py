@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,15 +27,12 @@ def improvement(base: Column, other: Column) -> Column:
 
 
 def latency_profile(marks: DataFrame, phase: str = "phase", ms: str = "ms") -> DataFrame:
-    """phase, n, total, avg, sd, p50, p95, p99 of marks. Order statistics come from counts per value, not from lists."""
+    """phase, n, total, avg, sd, p50, p95, p99 of marks: the values at places floor(n p), neither interpolated nor nearest rank."""
+    from lexivec.operators.stats import at_places
+
     d = marks.groupBy(phase).agg(F.count("*").alias("n"), F.round(F.sum(ms), 6).alias("total"), F.round(F.avg(ms), 6).alias("avg"), F.round(F.stddev_pop(ms), 6).alias("sd"))
-    per = marks.groupBy(phase, ms).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(phase).orderBy(ms).rowsBetween(Window.unboundedPreceding, 0))
-    per = per.withColumn("upto", upto).join(d.select(phase, "n"), phase)
-    # The value at place k, from 0, is the least whose running count exceeds k.
-    at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.col("n") * F.lit(p)), F.col(ms)))
-    q = per.groupBy(phase).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
-    return d.join(q, phase)
+    at = {f"p{k}": (lambda n, k=k: F.least(F.floor(n * F.lit(k / 100)), n - 1)) for k in (50, 95, 99)}
+    return d.join(at_places(marks, [phase], ms, at).drop("n"), phase, "left")
 
 
 def mean_or_zero(column: str) -> Column:

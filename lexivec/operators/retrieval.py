@@ -214,11 +214,11 @@ def context(results: DataFrame, tokens_of: Column, max_tokens: int = L.CONTEXT_T
     return d.withColumn("total_tokens", F.sum("tokens").over(w)).filter(F.col("total_tokens") <= max_tokens)
 
 
-def context_text(results: DataFrame) -> DataFrame:
-    """query_id, context: the selected chunks (title, score, text) one after another."""
+def context_text(results: DataFrame, *more: Column) -> DataFrame:
+    """query_id, context: the selected chunks (title, score, text) one after another; more: other aggregates of them."""
     part = F.format_string("\n\n---\nSource: %s (Score: %.3f)\n%s", "title", "score", "text")
     parts = F.sort_array(F.collect_list(F.struct("rank", part.alias("part"))))
-    return results.groupBy("query_id").agg(F.regexp_replace(F.array_join(F.transform(parts, lambda p: p["part"]), ""), r"^\s+|\s+$", "").alias("context"))
+    return results.groupBy("query_id").agg(F.regexp_replace(F.array_join(F.transform(parts, lambda p: p["part"]), ""), r"^\s+|\s+$", "").alias("context"), *more)
 
 
 def token_estimate(text: Column) -> Column:

@@ -5,22 +5,53 @@ Everything is one grouped aggregation over rows; the step functions for p-values
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import operator
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivec.functions import lexicon as L
 
 
+#: Ranges into which a group's values are counted to find the one that holds a place.
+RANGES = 1024
+
+
+def at_places(df: DataFrame, by: list[str], x: str, places: dict) -> DataFrame:
+    """by, n and, per name, the value at a place of the group's sorted values; places: name to a function of n, from 0.
+
+    Values are counted per range of equal width first; only those of the ranges that hold the places are sorted, so no
+    group's values meet in one buffer.
+    """
+    lo, hi = F.col("_lo"), F.col("_hi")
+    d = df.filter(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"))
+    bounds = d.groupBy(*by).agg(F.count("*").alias("n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    part = F.when(hi > lo, F.least(F.floor((F.col("_x") - lo) / (hi - lo) * RANGES), F.lit(RANGES - 1))).otherwise(F.lit(0))
+    d = d.join(bounds, by).withColumn("_part", F.coalesce(part, F.lit(0)).cast("int")).groupBy(*by, "n", "_part", "_x").agg(F.count("*").alias("_c"))
+    per = d.groupBy(*by, "n", "_part").agg(F.sum("_c").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")
+    per = per.withColumn("_before", before)
+    holds = [(make(F.col("n")) >= F.col("_before")) & (make(F.col("n")) < F.col("_before") + F.col("_c")) for make in places.values()]
+    wanted = per.filter(reduce(operator.or_, holds)).select(*by, "_part", "_before")
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_part").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
+    d = d.join(wanted, [*by, "_part"]).withColumn("_upto", upto)
+    return d.groupBy(*by, "n").agg(*[F.min(F.when(F.col("_upto") > make(F.col("n")), F.col("_x"))).alias(name) for name, make in places.items()])
+
+
 def describe(df: DataFrame, by: list[str], x: str) -> DataFrame:
     """n, mean, median, variance, sd, min, max, range, sem, skewness and kurtosis (bias-corrected) per group."""
     n = F.count(x).cast("double")
     g1, g2 = F.skewness(x), F.kurtosis(x)
     skew = F.when(n > 2, g1 * F.sqrt(F.greatest(n * (n - 1), F.lit(0.0))) / F.nullif(n - 2, F.lit(0.0))).otherwise(0.0)
     kurt = F.when(n > 3, (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0)) * ((n + 1) * g2 + 6)).otherwise(0.0)
-    return df.groupBy(*by).agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"), F.var_samp(x).alias("variance"), F.stddev_samp(x).alias("sd"),
+    d = df.groupBy(*by).agg(
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.var_samp(x).alias("variance"), F.stddev_samp(x).alias("sd"),
         F.min(x).alias("min"), F.max(x).alias("max"), (F.max(x) - F.min(x)).alias("range"), (F.stddev_samp(x) / F.sqrt(n)).alias("sem"), skew.alias("skewness"), kurt.alias("kurtosis"),
     )
+    middle = at_places(df, by, x, {"_a": lambda n: F.floor((n - 1) / 2), "_b": lambda n: F.floor(n / 2)})
+    middle = middle.select(*by, ((F.col("_a") + F.col("_b")) / 2).alias("median"))
+    return d.join(middle, by, "left").select(*by, "n", "mean", "median", "variance", "sd", "min", "max", "range", "sem", "skewness", "kurtosis")
 
 
 def t_critical(df: Column, table=L.T_05) -> Column:

@@ -22,7 +22,7 @@ def answer_contexts(queries: DataFrame, chunks: DataFrame, top_k: int = L.CONTEX
     found = R.hybrid(chunks, q, 2 * top_k).join(chunks.select("id", "text"), "id").join(q.select("query_id", "query_text"), "query_id")
     best = R.rerank(found.withColumn("cross_lexical", overlap(F.col("query_text"), F.col("text"))), "cross_lexical", top_k, rerank_floor, "fused")
     budget = R.context(best.select("query_id", "id", F.col("new_rank").alias("rank"), "text", F.col("rerank_score").alias("score"), F.concat(F.lit("chunk "), F.col("id").cast("string")).alias("title")), R.token_estimate(F.col("text")), max_tokens, top_k)
-    return R.context_text(budget).join(budget.groupBy("query_id").agg(F.count("*").alias("chunks"), F.max("total_tokens").alias("tokens")), "query_id")
+    return R.context_text(budget, F.count("*").alias("chunks"), F.max("total_tokens").alias("tokens"))
 
 
 def score_answers(answers: DataFrame) -> DataFrame:

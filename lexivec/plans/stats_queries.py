@@ -54,7 +54,7 @@ def mean_ci(spark, sf):
 
 
 def bootstrap_ci(spark, sf):
-    return _rounded(X.bootstrap_mean(_t(spark, sf, "nation").join(_t(spark, sf, "customer"), F.col("n_nationkey") == F.col("c_nationkey")), ["n_regionkey"], "c_acctbal", "c_custkey", 100), 4)
+    return _rounded(X.bootstrap_mean(_t(spark, sf, "events"), ["event_type"], "value", "event_id"), 4)
 
 
 def rag_comparison(spark, sf):
@@ -208,7 +208,7 @@ ORACLES = {
     "anova": f"with {_MOM}, a as (select count(*) k, sum(n) n, sum(n * m * m) - pow(sum(n * m), 2) / sum(n) ssb, sum(ss) ssw from m), b as (select k, k - 1 df_between, (n - k)::bigint df_within, (ssb / (k - 1)) / (ssw / (n - k)) f, ssb / (ssb + ssw) eta2 from a) select k, df_between, df_within, round(f, 6) f, case when f < 1 then 0.5 when f > 10 then 0.001 when f > 5 then 0.01 when f > 3 then 0.05 when f > 2 then 0.15 else 0.3 end::double p, round(eta2, 6) eta2, case when eta2 < 0.01 then 'negligible' when eta2 < 0.06 then 'small' when eta2 < 0.14 then 'medium' else 'large' end effect from b",
     "tukey": f"with {_MOM}, w as (select sum(ss) / (sum(n) - count(*)) msw from m), d as (select a.g a, b.g b, abs(a.m - b.m) / sqrt(msw * (1 / a.n + 1 / b.n) / 2) q from m a join m b on a.g < b.g, w) select a, b, round(q, 6) q, {_QP}::double p from d",
     "mean_ci": f"with a as (select event_type, count(value) n, avg(value) mean, {_t_crit('count(value) - 1')} * stddev_samp(value) / sqrt(count(value)) margin from events group by 1) select event_type, n, {_r('mean margin')}, round(mean - margin, 6) lower, round(mean + margin, 6) upper from a",
-    "bootstrap_ci": "with s as (select n_regionkey, c_custkey, c_acctbal from nation join customer on n_nationkey = c_nationkey), d as (select *, ('0x' || substr(md5(c_custkey || ':' || i), 1, 8))::bigint / 4294967296.0::double u from s, range(100) r(i)), w as (select n_regionkey, i, c_acctbal, (u >= 0.36787944117144233)::int + (u >= 0.7357588823428847)::int + (u >= 0.9196986029286058)::int + (u >= 0.9810118431238462)::int + (u >= 0.9963401531726563)::int + (u >= 0.9994058151824183)::int + (u >= 0.9999167588507119)::int w from d), m as (select n_regionkey, i, sum(w * c_acctbal) / sum(w) m from w group by 1, 2), l as (select n_regionkey, list_sort(list(m)) ms from m group by 1) select n_regionkey, round(ms[3], 4) lower, round(ms[98], 4) upper, round((select avg(c_acctbal) from s where s.n_regionkey = l.n_regionkey), 4) estimate from l",
+    "bootstrap_ci": "with d as (select event_type, event_id, value, i, ('0x' || substr(md5(event_id || ':' || i), 1, 8))::bigint / 4294967296.0::double u from events, range(1000) r(i)), w as (select event_type, i, value, (u >= 0.36787944117144233)::int + (u >= 0.7357588823428847)::int + (u >= 0.9196986029286058)::int + (u >= 0.9810118431238462)::int + (u >= 0.9963401531726563)::int + (u >= 0.9994058151824183)::int + (u >= 0.9999167588507119)::int w from d), m as (select event_type, i, sum(w * value) / sum(w) m from w group by 1, 2), l as (select event_type, list_sort(list(m)) ms from m group by 1) select event_type, round(ms[26], 4) lower, round(ms[976], 4) upper, round((select avg(value) from events e where e.event_type = l.event_type), 4) estimate from l",
     "rag_comparison": "with d as (select o_orderpriority, avg(o_totalprice) rag, avg(o_totalprice * 0.9::double) plain, count(*) n from orders group by 1) select o_orderpriority, round(rag, 4) rag, round(plain, 4) plain, n, round(rag - plain, 4) improvement, round(case when plain = 0 then case when rag > 0 then 100 else 0 end else (rag - plain) / plain * 100 end, 4) percent from d",
     "ablation_rank": f"with a as (select l_returnflag, l_linestatus, count(*) n, avg(l_extendedprice) m, {_t_crit('count(*) - 1')} * stddev_samp(l_extendedprice) / sqrt(count(*)) margin from lineitem group by 1, 2) select l_returnflag, l_linestatus, n, round(m, 4) mean, round(margin, 4) margin, round(m - margin, 4) lower, round(m + margin, 4) upper, row_number() over (order by round(m, 4) desc, l_returnflag, l_linestatus) place from a",
     "pearson_matrix": "select a, b, round(r, 6) r, n from (" + " union all ".join(f"select '{a}' a, '{b}' b, corr({a}, {b}) r, count(*) filter ({a} is not null and {b} is not null) n from lineitem" for i, a in enumerate(_ITEMS) for b in _ITEMS[i + 1 :]) + ") where n >= 3",
