@@ -162,8 +162,11 @@ def test_question_import(spark, tmp_path):
 
 
 def test_report(spark):
+    # A short line before a table is its title; what is no title is a pair, and the first section's pairs stand first.
     t = "TITLE\nKey : Val\n| a | b |\n| 1 | 2 |\n"
-    assert D.serialise_report(t) == "## TITLE\nKey adalah Val.\na: 1, b: 2."
+    assert D.serialise_report(t) == "## TITLE\n\n### Key : Val\n[Key : Val] a: 1, b: 2."
+    t = "TITLE\nKey : Val\nIt ends.\n| a | b |\n| 1 | 2 |\n"
+    assert D.serialise_report(t) == "# Informasi Umum\n\nKey adalah Val.\n\n## TITLE\n\nKey adalah Val.\n\na: 1, b: 2."
     rows = one(spark, T.ascii_table(F.col("text")), "| a | b |\n+--+--+\n| 1 | 2 |")
     assert rows == [{"a": "1", "b": "2"}]
 
