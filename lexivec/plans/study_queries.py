@@ -105,7 +105,7 @@ _PHASE = "case event_type when 'view' then 'retrieval' when 'click' then 'tool_c
 
 
 def phase_sums(spark, sf):
-    return _rounded(E.phase_sums(_t(spark, sf, "events").select("user_id", F.expr(_PHASE).alias("phase"), F.col("value").alias("ms")), "user_id"), 4)
+    return _rounded(E.phase_sums(_t(spark, sf, "events").select("user_id", F.expr(_PHASE).alias("phase"), F.col("value").alias("ms")), "user_id"), 8)
 
 
 def search_tool(spark, sf):
@@ -226,7 +226,7 @@ ORACLES = {
       select doc_id, 'input' stage, 'prompt_injection' rule, 'critical' severity, 'blocked' as action from k where i union all select doc_id, 'input', 'pii_detection', 'high', 'redacted' from k where p union all
       select doc_id, 'input', 'toxicity', 'high', 'blocked' from k where t union all select doc_id, 'input', 'academic_integrity', 'medium', 'flagged' from k where d union all select doc_id, 'input', 'topic_relevance', 'low', 'warned' from k where o""",
     "token_metrics": f"with {_SAID}, n as (select conv_id, turn, {_WORDS.format(x='text')} answer_tokens, {_WORDS.format(x=chr(99) + 'oalesce(ctx, ' + chr(39) * 2 + ')')} context_tokens from a) select *, round(case when turn > 0 then answer_tokens / (turn * 100)::double * 1000 else 0 end, 6) tokens_per_second, round(case when context_tokens > 0 then answer_tokens / context_tokens::double else 0 end, 6) token_efficiency from n",
-    "phase_sums": f"with e as (select user_id, {_PHASE} phase, value ms from events), s as (select user_id, sum(ms) total_ms, " + ", ".join(f"coalesce(sum(ms) filter (phase = '{p}'), 0) {p}_ms" for p in E.PHASES) + ", count(*) filter (phase in ('tool_call', 'planning', 'synthesis')) agent_steps from e group by 1) select user_id, round(total_ms, 4) total_ms, " + ", ".join(f"round({p}_ms::double, 4) {p}_ms" for p in E.PHASES) + ", agent_steps, round(case when agent_steps > 0 then (tool_call_ms + planning_ms + synthesis_ms) / agent_steps else 0 end, 4) avg_step_ms from s",
+    "phase_sums": f"with e as (select user_id, {_PHASE} phase, value ms from events), s as (select user_id, sum(ms) total_ms, " + ", ".join(f"coalesce(sum(ms) filter (phase = '{p}'), 0) {p}_ms" for p in E.PHASES) + ", count(*) filter (phase in ('tool_call', 'planning', 'synthesis')) agent_steps from e group by 1) select user_id, round(total_ms, 8) total_ms, " + ", ".join(f"round({p}_ms::double, 8) {p}_ms" for p in E.PHASES) + ", agent_steps, round(case when agent_steps > 0 then (tool_call_ms + planning_ms + synthesis_ms) / agent_steps else 0 end, 8) avg_step_ms from s",
     "search_tool": f"{_FOUND} select * from st",
     "sources_text": f"{_FOUND} select session, string_agg('[' || citation || '] ' || title || ':' || chr(10) || content, chr(10) || chr(10) order by citation) sources, count(*) n from st group by 1",
     "distinct_contents": "with p as (select lang, doc_id, substr(text, 1, 500) || case when length(text) > 500 then '...' else '' end as content from documents) select lang, content, min(doc_id) doc_id from p group by 1, 2",
