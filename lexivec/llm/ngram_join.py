@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import durable, hinted, one_row_each, row_key, salted_join, table, with_python
+from lexivec.llm.common import durable, hinted, one_row_each, row_key, salted_join, table, trim, with_python
 from lexivec.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -76,6 +76,8 @@ def _sketches(batches):
         sets = [shingles(v.as_py()) for v in batch.column(1)]
         rest, names = [batch.column(0), *batch.columns[2:]], [batch.schema.names[0], *batch.schema.names[2:]]
         yield pa.RecordBatch.from_arrays([rest[0], pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), *rest[1:]], names=[names[0], "n", "key", *names[1:]])
+        del sets
+        trim()
 
 
 def _fragment_of(h: np.ndarray, fragments: int) -> np.ndarray:
@@ -104,6 +106,8 @@ def _sets(batches):
                 ids, sets, held = [], [], 0
         if ids:
             yield np.array(ids, np.int64), sets
+        ids, sets = [], []
+        trim()
 
 
 def _segments(batches, fragments: int):
@@ -373,6 +377,17 @@ def _links_by_difference(diffs: DataFrame, sums: DataFrame, so_far: DataFrame |
     return d.filter(_is_link(shared, F.col("x_n"), F.col("y_n"))).select(F.col("x").alias("u"), F.col("y").alias("v"))
 
 
+def _trimmed(of_group):
+    """The function of a group, after which its worker gives memory back."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out = of_group(t)
+        trim()
+        return out
+
+    return run
+
+
 def _by_rarity():
     from pyspark.sql import Window
 
@@ -387,13 +402,13 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     others = reps.filter("doc_id != rep or n = 0").select(F.col("doc_id").alias("_id"))
     first = mine.join(hinted(others, 16), F.col("doc_id") == F.col("_id"), "left_anti")
     seen = first.mapInArrow(lambda it: _occurrences(it, fragments), _OCCURRENCE)
-    rep = seen.groupBy("fragment").applyInArrow(_repeated_counts, "doc_id long, repeated long")
+    rep = seen.groupBy("fragment").applyInArrow(_trimmed(_repeated_counts), "doc_id long, repeated long")
     rep = rep.groupBy("doc_id").agg(F.sum("repeated").alias("repeated"))
     left = durable(rep.join(reps.select("doc_id", "n"), "doc_id").filter(100 * F.col("repeated") >= PERCENT * F.col("n")).select("doc_id", "n"), "searched")
     seg = durable(_only(mine, left).mapInArrow(lambda it: _segments(it, fragments), _SEGMENT), "segments")
-    freq = seg.groupBy("fragment").applyInArrow(_frequencies, "doc_id long, n long, grams binary, dfs binary")
-    buckets = max(8, left.count() // 5000)
-    rare = freq.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).applyInArrow(_prefixes, "doc_id long, gram long")
+    freq = seg.groupBy("fragment").applyInArrow(_trimmed(_frequencies), "doc_id long, n long, grams binary, dfs binary")
+    buckets = max(32, left.count() // 2000)
+    rare = freq.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).applyInArrow(_trimmed(_prefixes), "doc_id long, gram long")
     rare = durable(rare, "rare")
     least = rare.groupBy("gram").agg(F.min("doc_id").alias("v"), F.count("*").alias("c")).filter("c > 1").select("gram", "v")
     ties = rare.join(least, "gram").filter("doc_id != v").select(F.col("doc_id").alias("u"), "v").distinct()
