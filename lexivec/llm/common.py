@@ -101,6 +101,15 @@ def salted_join(many: DataFrame, few: DataFrame, keys: list[str], spread: str, h
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def null_dealt(*keys: str) -> Column:
+    """0, or, for a row that has a null among its keys and so joins with nothing, a number that deals such rows out.
+
+    As one more key of an outer join (0 on the other side) it keeps the rows of null keys from meeting in one task.
+    """
+    none = F.greatest(*[F.col(k).isNull() for k in keys]) if len(keys) > 1 else F.col(keys[0]).isNull()
+    return F.when(none, F.monotonically_increasing_id() % 4093).otherwise(0)
+
+
 def row_key(text: str = "text") -> list[Column]:
     """_h1, _h2: 128 bits of the text, which with its doc_id tell a row from all but its repetitions; null is as empty."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
