@@ -5,6 +5,7 @@ from __future__ import annotations
 from lexivec.llm.as_of_join import OP13_SQL, op13_as_of_join
 from lexivec.llm.chat import OP3_SQL, op3_chat_formatting
 from lexivec.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from lexivec.llm.merkle import OP11_SQL, op11_merkle_manifest
 from lexivec.llm.mixing import OP7_SQL, op7_mixing
 from lexivec.llm.ngram_join import op10_ngram_jaccard_join
 from lexivec.llm.packing import op9_best_fit_packing
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op13_as_of_join": op13_as_of_join,
 }
 
@@ -35,5 +37,6 @@ ORACLES = {
     "op6_warc": OP6_SQL,
     "op7_mixing": OP7_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op11_merkle_manifest": OP11_SQL,
     "op13_as_of_join": OP13_SQL,
 }
