@@ -11,6 +11,7 @@ from lexivec.llm.ngram_join import op10_ngram_jaccard_join
 from lexivec.llm.packing import op9_best_fit_packing
 from lexivec.llm.pii import OP4_SQL, op4_pii
 from lexivec.llm.quality import OP5_SQL, op5_quality_rules
+from lexivec.llm.substring_dedup import op12_substring_dedup
 from lexivec.llm.suffix_dedup import op1_suffix_dedup
 from lexivec.llm.toxicity import op2_toxicity
 from lexivec.llm.warc import OP6_SQL, op6_warc
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_as_of_join": op13_as_of_join,
 }
 
