@@ -33,6 +33,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 #: PER_FILE pages, longer ones, class by class of doubled size, archives of fewer.
 FILE_BYTES, SMALL = 128 << 20, 64 << 10
 PER_FILE = FILE_BYTES // SMALL
+#: Bytes of an archive read at once, and of its compressed members.
+PIECE, PACKED_PIECE = 1 << 20, 1 << 16
 RECORD = "record_id string, warc_type string, concurrent_to string, refers_to string, target_uri string, payload_digest string, payload_bytes long, digest_ok boolean, block binary"
 
 
@@ -121,47 +123,68 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
 def _plain(blob: bytes):
     """The bytes of an archive in pieces: of gzip members one after another, or as they are."""
     if blob[:2] != b"\x1f\x8b":
-        yield blob
+        for at in range(0, len(blob), PIECE):
+            yield blob[at : at + PIECE]
         return
-    rest = blob
-    while rest:
-        member = zlib.decompressobj(31)
-        while rest and not member.eof:
-            yield member.decompress(rest, 1 << 20)
-            rest = member.unused_data if member.eof else member.unconsumed_tail
-        rest = rest.lstrip(b"\0")
+    at, rest, member = 0, b"", zlib.decompressobj(31)
+    while rest or at < len(blob):
+        if not rest:
+            rest, at = blob[at : at + PACKED_PIECE], at + PACKED_PIECE
+        if member.eof:
+            rest = rest.lstrip(b"\0")
+            if not rest:
+                continue
+            member = zlib.decompressobj(31)
+        yield member.decompress(rest, PIECE)
+        rest = member.unused_data if member.eof else member.unconsumed_tail
+    if not member.eof:
+        yield member.flush()
 
 
 def parse_records(pieces):
-    """(headers in lower case, block) of each record; pieces: the archive's bytes."""
-    held = bytearray()
+    """(headers in lower case, block) of each record; pieces: the archive's bytes.
+
+    What was read stays in front of an offset until a piece's worth of it is dropped at once, so the time is linear.
+    """
+    held, at = bytearray(), 0
     pieces = iter(pieces)
 
-    def fill(until) -> bool:
-        while not until():
-            more = next(pieces, None)
-            if more is None:
-                return bool(until())
-            held.extend(more)
+    def more() -> bool:
+        nonlocal at
+        new = next(pieces, None)
+        if new is None:
+            return False
+        if at >= PIECE:
+            del held[:at]
+            at = 0
+        held.extend(new)
         return True
 
     while True:
-        if not fill(lambda: len(held.lstrip(b"\r\n")) > 0):
+        while at < len(held) or more():
+            if at < len(held) and held[at] in b"\r\n":
+                at += 1
+            elif at < len(held):
+                break
+        if at >= len(held):
             return
-        del held[: len(held) - len(held.lstrip(b"\r\n"))]
-        if not fill(lambda: held.find(b"\r\n\r\n") >= 0):
-            raise ValueError("a record's header has no end")
-        end = held.find(b"\r\n\r\n")
-        lines = bytes(held[:end]).decode("utf-8", "surrogatepass").split(CRLF)
+        searched = 0
+        while (end := held.find(b"\r\n\r\n", at + searched)) < 0:
+            # The offset may move as bytes are dropped; three bytes of an end may be there already.
+            searched = max(0, len(held) - at - 3)
+            if not more():
+                raise ValueError("a record's header has no end")
+        lines = bytes(held[at:end]).decode("utf-8", "surrogatepass").split(CRLF)
         if not lines[0].startswith("WARC/"):
             raise ValueError("a record must begin with its version")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        del held[: end + 4]
+        at = end + 4
         n = int(headers["content-length"])
-        if not fill(lambda: len(held) >= n):
-            raise ValueError("a record's block is shorter than its length")
-        block = bytes(held[:n])
-        del held[:n]
+        while len(held) - at < n:
+            if not more():
+                raise ValueError("a record's block is shorter than its length")
+        block = bytes(held[at : at + n])
+        at += n
         yield headers, block
 
 
