@@ -116,20 +116,25 @@ def row_key(text: str = "text") -> list[Column]:
     return [F.xxhash64(t).alias("_h1"), F.xxhash64(F.lit(1), t).alias("_h2")]
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """row: all columns of docs as one struct, so that none clashes with a column on the way; `row.*` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def one_row_each(docs: DataFrame, members: DataFrame) -> DataFrame:
     """docs without the members (doc_id, _h1, _h2, stays) that don't stay, and with one row of those that repeat.
 
-    Rows that are no members are left alone. Repetitions are reduced before they are shuffled.
+    Rows that are no members are left alone. Of rows that repeat an id and a text but differ elsewhere, that with the least
+    hash of all its columns stays, whatever their types are. Repetitions are reduced before they are shuffled.
     """
     keys = ["doc_id", "_h1", "_h2"]
-    same = lambda d: F.col("doc_id").cast("long").eqNullSafe(d["_id"]) & (F.col("_h1") == d["_g1"]) & (F.col("_h2") == d["_g2"])
+    same = lambda d: F.col("id").eqNullSafe(d["_id"]) & (F.col("_h1") == d["_g1"]) & (F.col("_h2") == d["_g2"])
     named = lambda d: hinted(d.select(*[F.col(a).alias(b) for a, b in zip(keys, ("_id", "_g1", "_g2"))]), 40)
     gone = named(durable(members.filter("not stays").select(*keys).distinct(), "gone"))
     again = durable(members.filter("stays").groupBy(*keys).count().filter("count > 1"), "again")
-    d = docs.select("*", *row_key())
-    d = d.join(gone, same(gone), "left_anti")
+    d = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("id"), *row_key()).join(gone, same(gone), "left_anti")
     if again.isEmpty():
-        return d.select(*docs.columns)
+        return d.select("row.*")
     again = named(again)
-    one = d.join(again, same(again), "left_semi").groupBy(F.col("doc_id").alias("_id"), "_h1", "_h2").agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    return d.join(again, same(again), "left_anti").select(*docs.columns).unionByName(one.select("_row.*"))
+    one = d.join(again, same(again), "left_semi").groupBy("id", "_h1", "_h2").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return d.join(again, same(again), "left_anti").select("row").union(one.select("row")).select("row.*")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import table, with_words
+from lexivec.llm.common import table, whole_row, with_words
 
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -80,26 +80,34 @@ def _repeats(words: Column, keys: Column, high: Column) -> Column:
     """Places of the windows that occur twice or more.
 
     The sort brings equal windows together, and words decide. Should two windows share the high bits and differ, which could
-    stand between equal ones, the text's windows are compared each with those of its own high bits, all of them.
+    stand between equal ones, the text's windows are sorted by their words instead (`worded`), which takes n log n still.
     """
     same = lambda a, b: F.coalesce(_near(a, b, high) & _same_words(words, _place(a, high), _place(b, high)), F.lit(False))
     twice = F.filter(keys, lambda x, k: same(x, F.get(keys, k - 1)) | same(x, F.get(keys, k + 1)))
-    odd = F.size(F.filter(keys, lambda x, k: F.coalesce(_near(x, F.get(keys, k + 1), high), F.lit(False)) & ~same(x, F.get(keys, k + 1)))) > 0
-    slow = F.filter(keys, lambda x: F.size(F.filter(keys, lambda y: same(x, y))) > 1)
-    return F.transform(F.when(odd, slow).otherwise(twice), lambda x: _place(x, high))
+    by_words = lambda k: F.get("worded", k)["words"]
+    again = F.filter("worded", lambda x, k: (x["words"] == by_words(k - 1)) | (x["words"] == by_words(k + 1)))
+    return F.when(F.col("worded").isNotNull(), F.transform(again, lambda x: x["place"])).otherwise(F.transform(twice, lambda x: _place(x, high)))
 
 
-def annotate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE_RULES, text: str = "text") -> DataFrame:
-    """docs with the counts, the ratios, base_failed, kept and the failed metrics."""
+def _worded(words: Column, n: Column, keys: Column, high: Column) -> Column:
+    """The windows with their places, sorted by their words, where two that differ share the high bits; else null."""
+    differ = lambda a, b: _near(a, b, high) & ~_same_words(words, _place(a, high), _place(b, high))
+    odd = F.exists(F.transform(keys, lambda x, k: F.coalesce(differ(x, F.get(keys, k + 1)), F.lit(False))), lambda x: x)
+    windows = F.transform(F.sequence(F.lit(0), (n - 3).cast("int")), lambda i: F.struct(F.slice(words, i + 1, 3).alias("words"), i.alias("place")))
+    return F.when((n >= 3) & odd, F.sort_array(windows))
+
+
+def _annotated(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE_RULES, text: str = "text") -> DataFrame:
+    """row (all columns of docs) with the counts, the ratios, base_failed, kept and the failed metrics."""
     body = F.coalesce(F.col(text), F.lit(""))
-    # The columns of docs travel as one struct, so that none clashes with a column on the way.
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), body.alias("text"), F.split(body, "\n").alias("split"))
+    d = docs.select(whole_row(docs), body.alias("text"), F.split(body, "\n").alias("split"))
     d = with_words(d, "text", "words")
     d = d.select("*", F.size("words").alias("n"), F.filter("split", lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     n, words = F.col("n"), F.col("words")
     # As many low bits as places need; at least one window, or the sequence would run backwards.
     d = d.withColumn("high", F.expr("shiftleft(-1L, cast(ceil(log2(n + 1)) as int))"))
     d = d.withColumn("keys", _window_keys(words, n, F.col("high")))
+    d = d.withColumn("worded", _worded(words, n, F.col("keys"), F.col("high")))
     d = d.withColumn("hits", _repeats(words, F.col("keys"), F.col("high")))
     covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda p: F.array(p, p + 1, p + 2)))))
     stop = [*dict.fromkeys(f(w) for w in STOP_WORDS for f in (str, str.capitalize, str.upper))]
@@ -143,14 +151,19 @@ def annotate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule,
     # The row number is never negative. As it isn't deterministic, it keeps Spark from moving a filter on these columns
     # below the counts, where each use would repeat the whole expression.
     d = d.withColumn("kept", (F.size("failed_rules") == 0) & (F.col("number") >= 0))
-    added = [*counts, *ratios, "failed_rules", "base_failed", "kept"]
+    return d.select("row", *counts, *ratios, "failed_rules", "base_failed", "kept")
+
+
+def annotate(docs: DataFrame, **options) -> DataFrame:
+    """docs with the counts, the ratios, base_failed, kept and the failed metrics."""
+    d = _annotated(docs, **options)
+    added = d.columns[1:]
     return d.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in added], *added)
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that pass every rule, with the columns of docs."""
-    d = annotate(docs.select("*", F.struct(*docs.columns).alias("_whole")), **options)
-    return d.filter("kept").select("_whole.*")
+    """The rows of docs that pass every rule, with the columns of docs, of any name and type."""
+    return _annotated(docs, **options).filter("kept").select("row.*")
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
