@@ -5,7 +5,9 @@ times a source's size; a document is emitted floor(rate) times plus once more if
 fraction. Built-in functions only.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a source without words has
-target 0 and takes nothing; rows that repeat share their draw; extra columns pass through `mixed`. An empty table gives
+target 0 and takes nothing; rows that repeat an id, or have none and the
+same text, share their draw, so ties need no order; a text of any length is counted whole; extra columns of any name and
+type pass through `mixed`. An empty table gives
 an empty result. Sources are summed before they meet in one window, which thus has one row per source.
 """
 
@@ -66,31 +68,45 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     return level.select("source", "source_size", target.alias("target")).withColumn("rate", rate)
 
 
-def draw(doc_id: Column, seed: str = "mix") -> Column:
-    """A number in [0, 1) that the id and the seed fix."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, DRAW_BITS // 4), 16, 10).cast("double") / float(1 << DRAW_BITS)
+def draw_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """What a row's draw hangs on: its id, or where it has none, its text."""
+    return F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text), F.lit("")))))
 
 
-def copies(sized: DataFrame, **options) -> DataFrame:
-    """sized (doc_id, source, size) with source_size, target, rate and the number of copies that the mix takes."""
+def draw(key: Column, seed: str = "mix") -> Column:
+    """A number in [0, 1) that the key and the seed fix."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), key)), 1, DRAW_BITS // 4), 16, 10).cast("double") / float(1 << DRAW_BITS)
+
+
+def with_copies(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """rows (source, key, ...) with source_size, target, rate and the number of copies that the mix takes of each."""
     # Reading the sums from a written table, Spark knows their size, and joins a hot source by broadcast or in split parts.
-    targets = durable(source_targets(sized, **options), "targets").withColumnRenamed("source", "_source")
-    d = sized.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    d = rows.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     whole = F.floor("rate")
-    return d.withColumn("copies", (whole + F.when(draw(F.col("doc_id")) < F.col("rate") - whole, 1).otherwise(0)).cast("long"))
+    return d.withColumn("copies", (whole + F.when(draw(F.col("key")) < F.col("rate") - whole, 1).otherwise(0)).cast("long"))
+
+
+def copies(sized: DataFrame, **options) -> DataFrame:
+    """sized (source, size, key, ...) with source_size, target, rate and copies."""
+    return with_copies(sized, durable(source_targets(sized, **options), "targets"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """Each document as often as the mix takes it, with the columns of docs."""
-    sized = durable(docs.select("doc_id", "source", n_words().alias("size")), "sized")
-    n = copies(sized, **options).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_mix_id")
-    d = docs.join(n, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
-    return d.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[d[c] for c in docs.columns])
+    """Each document as often as the mix takes it, with the columns of docs.
+
+    Copies are decided on the rows themselves, in one projection, so ids may repeat or be null; the row travels as a struct,
+    so its columns may have any name and type.
+    """
+    source = F.col("source").cast("string").alias("source")
+    targets = durable(source_targets(docs.select(source, n_words().alias("size")), **options), "targets")
+    d = with_copies(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source, draw_key().alias("key")), targets)
+    d = d.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return d.select("row.*")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sized = durable(docs.select("doc_id", "source", n_words().alias("size")), "sized")
+    sized = durable(docs.select("doc_id", "source", n_words().alias("size"), draw_key().alias("key")), "sized")
     d = copies(sized)
     return d.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
@@ -107,11 +123,11 @@ tgt as (select source, source_size, case when source_size = 0 then 0.0 when capp
           else (3 * total - 4 * cap_size)::double * w::double / (2 * free_w)::double end::double target from lev),
 cop as (select s.*, source_size, target, case when source_size = 0 then 0.0::double else target / source_size::double end rate
         from sized s join tgt t on s.source is not distinct from t.source),
-mix as (select *, (floor(rate) + case when ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint::double / 4503599627370496.0 < rate - floor(rate)
+mix as (select *, (floor(rate) + case when ('0x' || substr(md5('mix:' || key), 1, 13))::bigint::double / 4503599627370496.0 < rate - floor(rate)
           then 1 else 0 end)::bigint copies from cop)
 """
 
 OP7_SQL = f"""
-with sized as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint size from documents), {TARGETS_SQL}
+with sized as (select doc_id, source, coalesce(doc_id::varchar, 'text:' || md5(coalesce(text, ''))) as key, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint size from documents), {TARGETS_SQL}
 select doc_id, size, source_size, target, size * copies taken from mix
 """
