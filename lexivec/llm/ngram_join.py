@@ -15,16 +15,19 @@ documents share is counted per fragment and summed per pair.
    that leads most of its rarest n-grams, if that leads more than a few; who is linked with it, or led, is open no more. The components of the links
    found so far are contracted, so a group of copies around any leader needs no pairs among its members either.
 6. A link between x and y of which x is not linked with p needs |D(x) & D(y)| >= s = (a(x) + a(y) - 0.2 |p|) / 1.8, where
-   a = 0.8 added + lacking, and then s > a(y) / 1.8 and s >= a(x) - 0.2 |p|. So differences are joined by their rarest
+   a = 0.8 added + lacking, and then s > a(y) / 1.8 and s >= a(x) - 0.2 |p|, as a(y) >= 0.8 s. So differences are joined by their rarest
    elements in turn: only documents of different components, and only elements that two components have; of an
-   element's documents those outside its greatest component meet all. The pairs found are counted exactly.
+   element's documents those outside its greatest component meet all. Of two the one of smaller a searches, with the few
+   elements that its own a leaves, and what is left of both behind a common element has to suffice; so pages of one
+   template that differ too much to be linked hardly meet. The pairs found are counted exactly.
 7. Components of the links; copies get their representative's.
 
 So a group whose members are linked emits no pairs, however large, and no link between different sets is lost. (With
 s = 0, J(x, y) <= J(x, p).) What remains are pairs of documents of different components that come near the threshold.
 
 Defined results: a text without words, or null, has an empty set and is linked with nothing; with fewer than five words
-the whole sequence is the only n-gram; extra columns are ignored; an empty table gives an empty result. Where a doc_id
+the whole sequence is the only n-gram; texts of any length are read whole, their segments by fragment; ties of the least
+id or of votes go to the smaller id; extra columns are ignored; an empty table gives an empty result. Where a doc_id
 repeats or is null, the join is one of distinct sets, each under a number of its own in the order of their least ids, null
 last; rows of one set are copies, and a group has the least doc_id of its rows, null if they have none.
 """
@@ -37,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import durable, hinted, one_row_each, row_key, salted_join, table, trim, with_python
+from lexivec.llm.common import durable, hinted, one_row_each, row_key, salted_join, table, trim, whole_row, with_python
 from lexivec.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -348,23 +351,31 @@ def _links_by_difference(diffs: DataFrame, sums: DataFrame, so_far: DataFrame |
     # Elements of one component alone are in no difference that another component shares.
     df = e.groupBy("leader", "element").agg(F.count("*").alias("df"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").drop("lo", "hi")
     e = e.join(df, ["leader", "element"])
-    # The others come first in the order of rarity: they only use up places.
-    k = F.row_number().over(_by_rarity())
+    # The others come first in the order of rarity: they only use up places. Of a pair, that with the smaller a (then id)
+    # searches with few elements: both a are at least its own, so s >= (2 a - 0.2 |p|) / 1.8. The larger offers those for
+    # which the smaller may have any a.
     odd = F.col("element").bitwiseAND(F.lit(1).cast("long"))
-    e = e.withColumn("k", k).join(e.groupBy("doc_id").agg(F.count("*").alias("shared_size"), F.sum(odd).alias("shared_lacking")), "doc_id")
-    e = e.join(s.select("doc_id", "a10", "size", "least", "leader_n"), "doc_id")
-    e = e.filter(F.col("k") <= F.col("size") - F.col("least") + 1 - (F.col("size") - F.col("shared_size")))
-    e = durable(e.select("leader", "element", "doc_id", "part", "a10", (F.col("shared_size") - F.col("shared_lacking")).alias("more"), F.col("shared_lacking").alias("less"), "leader_n"), "rarest")
+    e = e.withColumn("k", F.row_number().over(_by_rarity())).join(e.groupBy("doc_id").agg(F.count("*").alias("shared_size"), F.sum(odd).alias("shared_lacking")), "doc_id")
+    e = e.join(s.select("doc_id", "a10", "size", "least", "leader_n", "linked"), "doc_id")
+    # How many of the difference come after the element in that order.
+    e = e.withColumn("after", F.col("shared_size") - F.col("k"))
+    few = F.greatest(F.col("least"), F.ceil((2 * F.col("a10") - 2 * F.col("leader_n")) / F.lit(18.0)))
+    e = e.filter(F.col("after") + 1 >= F.col("least")).withColumn("searches", F.col("after") + 1 >= few)
+    e = durable(e.select("leader", "element", "doc_id", "part", "linked", "a10", "after", "searches", (F.col("shared_size") - F.col("shared_lacking")).alias("more"), F.col("shared_lacking").alias("less"), "leader_n"), "rarest")
     # Any two components differ from an element's greatest one, or one of them is it: documents outside it meet all.
     per = e.groupBy("leader", "element", "part").agg(F.count("*").alias("c"))
     great = per.groupBy("leader", "element").agg(F.max_by("part", F.struct("c", "part")).alias("great"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    e = e.join(great, ["leader", "element"])
-    x = e.filter("part != great").select("leader", "element", F.col("doc_id").alias("x"), F.col("part").alias("x_part"), F.col("a10").alias("xa"), F.col("more").alias("x_more"), F.col("less").alias("x_less"), "leader_n")
-    y = e.select(F.col("leader").alias("_l"), F.col("element").alias("_e"), F.col("doc_id").alias("y"), F.col("part").alias("y_part"), F.col("a10").alias("ya"), F.col("more").alias("y_more"), F.col("less").alias("y_less"))
-    # What two must share has to fit into the elements of either kind that each shares with another component; the bound
-    # is part of the join's condition, so pairs beyond it don't arise.
-    fits = F.expr("x_part != y_part and xa + ya - 2 * leader_n <= 18 * (least(x_more, y_more) + least(x_less, y_less))")
-    pairs = x.join(y, (F.col("leader") == F.col("_l")) & (F.col("element") == F.col("_e")) & fits)
+    e = durable(e.join(great, ["leader", "element"]).withColumn("inside", F.col("part") == F.col("great")).drop("great"), "rarest_shared")
+    x = e.filter("searches").select("leader", "element", "inside", F.col("doc_id").alias("x"), F.col("part").alias("x_part"), F.col("a10").alias("xa"), F.col("after").alias("x_after"), F.col("more").alias("x_more"), F.col("less").alias("x_less"), "leader_n")
+    # Were the larger linked with the leader, both would be.
+    y = e.filter("not linked").select(F.col("leader").alias("_l"), F.col("element").alias("_e"), F.col("inside").alias("_inside"), F.col("doc_id").alias("y"), F.col("part").alias("y_part"), F.col("a10").alias("ya"), F.col("after").alias("y_after"), F.col("more").alias("y_more"), F.col("less").alias("y_less"))
+    # What two must share has to fit into the elements of either kind that each shares with another component, and after
+    # their first common element into what either has left; the bounds are part of the join's condition, so pairs beyond
+    # them don't arise.
+    fits = F.expr("""x_part != y_part and struct(xa, x) < struct(ya, y) and xa + ya - 2 * leader_n <= 18 * (least(x_more, y_more) + least(x_less, y_less))
+        and xa + ya - 2 * leader_n <= 18 * (1 + least(x_after, y_after))""")
+    met = lambda some, others: some.join(others, (F.col("leader") == F.col("_l")) & (F.col("element") == F.col("_e")) & fits)
+    pairs = met(x.filter("not inside"), y).union(met(x.filter("inside"), y.filter("not _inside")))
     pairs = durable(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
     whole = diffs.join(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "doc_id", "left_semi")
     whole = durable(whole.groupBy("doc_id").agg(F.collect_list(F.struct("fragment", "diff")).alias("parts")), "whole_differences")
@@ -475,7 +486,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     sketch = sketches(d)
     if _ids_suffice(sketch):
         gone = durable(_classes(d, sketch).filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")), "near_copies")
-        return docs.join(hinted(gone, 16), F.col("doc_id") == F.col("_gone"), "left_anti")
+        rows = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("id"))
+        return rows.join(hinted(gone, 16), F.col("id") == F.col("_gone"), "left_anti").select("row.*")
     members = durable(_set_classes(d, sketch).filter("root is not null"), "members")
     first = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_h1", "_h2")).alias("first"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("_h1") == F.col("first._h1")) & (F.col("_h2") == F.col("first._h2"))

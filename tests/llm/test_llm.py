@@ -262,7 +262,7 @@ def test_quality_of_windows_that_share_a_hash(spark, docs, monkeypatch):
 
 
 def test_mixing(spark, docs):
-    sized = docs(HARD).select("doc_id", "source", mixing.n_words().alias("size"))
+    sized = docs(HARD).select("doc_id", "text", "source", mixing.n_words().alias("size"))
     t = {r["source"]: r for r in mixing.source_targets(sized).collect()}
     total = sum(r["source_size"] for r in t.values())
     assert sum(r["target"] for r in t.values()) == pytest.approx(1.5 * total) and all(r["target"] <= 2 * r["source_size"] for r in t.values())
@@ -272,7 +272,7 @@ def test_mixing(spark, docs):
     assert len(levels) <= 1
     for budget in (1.2, 1.3, 0.75):
         assert sum(r["target"] for r in mixing.source_targets(sized, budget=budget).collect()) == pytest.approx(budget * total)
-    assert mixing.mixed(docs(HARD)).count() == mixing.copies(sized).agg(F.sum("copies")).first()[0]
+    assert mixing.mixed(docs(HARD)).count() == mixing.copies(sized.withColumn("key", mixing.draw_key())).agg(F.sum("copies")).first()[0]
 
 
 def test_chat(spark):
@@ -535,6 +535,91 @@ def test_pipeline(spark):
     rows, kept, _ = steps[2]
     assert set(kept) == {i for i, (_, c) in brute.classes(rows).items() if i == c}
     rows, kept, table = steps[3]
-    want = {r["doc_id"]: r["copies"] for r in mixing.copies(table.select("doc_id", "source", mixing.n_words().alias("size"))).collect() if r["copies"]}
+    want = {r["doc_id"]: r["copies"] for r in mixing.copies(table.select("doc_id", "source", mixing.n_words().alias("size"), mixing.draw_key().alias("key"))).collect() if r["copies"]}
     assert Counter(kept) == want
     check_packed(d.collect())
+
+
+def odd_rows(spark, rows):
+    """documents with columns that bear the operators' own names, and a map; rows (doc_id, text, source)."""
+    names = ("_h1", "_h2", "_copies", "_copy", "_mix_id", "_whole", "_gone", "row", "id", "key", "stays", "kept", "size", "number")
+    d = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return d.select("*", *[F.lit(7).alias(n) for n in names], F.create_map(F.lit("a"), F.col("text")).alias("facts"), F.array(F.struct("source")).alias("nested"))
+
+
+@pytest.mark.parametrize("stage", [exact_dedup.drop_duplicates, ngram_join.one_of_each, mixing.mixed, quality.keep_good])
+def test_stages_pass_columns_of_any_name_and_type(spark, stage):
+    """Also where rows repeat, and repeat an id and a text but differ elsewhere."""
+    r = random.Random(1)
+    text = " ".join(r.choice(["the", "of", "and"]) + "".join(f" {w}{r.randrange(10**4)}" for w in ("garden", "fox", "dog")) for _ in range(40))
+    rows = [(1, text, "a"), (1, text, "a"), (1, text, "b"), (2, text + " more", "a"), (None, text, None), (3, None, "a"), (3, None, "a"), (4, "short", "b")]
+    d = odd_rows(spark, rows)
+    got = stage(d)
+    assert got.columns == d.columns and got.schema["facts"].dataType == d.schema["facts"].dataType
+    got = got.collect()
+    assert got and all(r["_h1"] == r["row"] == r["kept"] == 7 and r["facts"] == {"a": r["text"]} for r in got)
+    if stage is exact_dedup.drop_duplicates:
+        assert sorted((r["doc_id"], r["text"]) for r in got) == sorted([(1, text), (2, text + " more"), (3, None), (4, "short")], key=lambda x: x[0])
+    assert stage(d.limit(0)).count() == 0
+
+
+def test_mixing_of_repeated_and_null_ids(spark):
+    """Both sources come near their targets though their documents have the same ids, or none."""
+    r = random.Random(8)
+    for no_id in (False, True):
+        rows = [(None if no_id else k, " ".join(f"w{r.randrange(999)}" for _ in range(100)), s) for s in "ab" for k in range(200)]
+        d = odd_rows(spark, rows)
+        taken = {x["source"]: x["n"] for x in mixing.mixed(d).groupBy("source").agg(F.sum(mixing.n_words()).alias("n")).collect()}
+        want = {x["source"]: x["target"] for x in mixing.source_targets(d.select("source", mixing.n_words().alias("size"))).collect()}
+        assert want == {"a": 40_000, "b": 20_000} and all(abs(taken[s] - want[s]) <= 0.12 * want[s] for s in want)
+        assert sorted(map(repr, mixing.mixed(d).collect())) == sorted(map(repr, mixing.mixed(d).collect()))
+
+
+def test_quality_of_a_long_text_with_a_clash(spark, docs, monkeypatch):
+    """Fifty thousand words of which two different windows share a hash take seconds, not a comparison of each with each."""
+    import time
+
+    r = random.Random(6)
+    words = [f"w{r.randrange(900)}" for _ in range(50_000)]
+    keep = quality._gram
+    monkeypatch.setattr(quality, "_gram", lambda w, at: F.when(F.get(w, at) == words[5], F.lit(77).cast("long")).otherwise(keep(w, at)))
+    began = time.monotonic()
+    (row,) = quality.annotate(docs([(1, " ".join(words), "a")])).collect()
+    assert row["n_repeat_words"] == brute.repeat_words(" ".join(words)) and time.monotonic() - began < 60
+
+
+def test_plain_archives_are_read_in_linear_time():
+    """Fifty megabytes of records as they are, and as one member and as many, in seconds; any cut gives the same records."""
+    import gzip
+    import time
+
+    record = lambda k, n: f"WARC/1.1\r\nWARC-Record-ID: {k}\r\nContent-Length: {n}\r\n\r\n".encode() + b"x\r\n\r" * (n // 4) + b"\r\n\r\n"
+    some = b"".join(record(k, 4 * (k % 40)) for k in range(300))
+    want = [(str(k), 4 * (k % 40)) for k in range(300)]
+    members = b"".join(gzip.compress(record(k, 4 * (k % 40))) + b"\0" * (k % 3) for k in range(300))
+    read = lambda pieces: [(h["warc-record-id"], len(b)) for h, b in warc.parse_records(pieces)]
+    assert read(warc._plain(some)) == read(warc._plain(gzip.compress(some))) == read(warc._plain(members)) == want
+    for size in (1, 2, 3, 7, 1000):
+        assert read(some[k : k + size] for k in range(0, len(some), size)) == want
+    big = b"".join(record(k, 4000) for k in range(12_500))
+    for blob in (big, gzip.compress(big, 1)):
+        began = time.monotonic()
+        assert len(read(warc._plain(blob))) == 12_500 and time.monotonic() - began < 20
+
+
+def pages_of_one_template(n, r):
+    base = [f"w{k}" for k in range(400)]
+    for k in range(n):
+        w = list(base)
+        for at in r.sample(range(400), 9):
+            w[at] = f"x{r.randrange(10**9)}"
+        yield (k, " ".join(w), "a")
+
+
+def test_ngram_join_of_pages_that_differ_too_much(spark, docs, monkeypatch):
+    """Pages of one template, near each other and never linked, emit a few pairs a page (a quarter of all pairs would be 50)."""
+    for n in (100, 400):
+        rows = list(pages_of_one_template(n, random.Random(n)))
+        got, pairs = _pairs_made(monkeypatch, docs(rows))
+        assert got == brute.classes([(i, t) for i, t, _ in rows])
+        assert pairs <= n * n / 50
