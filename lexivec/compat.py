@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: Temporary folders of local sessions that name none, by application.
@@ -33,6 +33,18 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table as read, dealt out to all cores where its files have fewer parts than there are: for what is dear per row.
+
+    Large tables have more parts than cores, and stay as they are; streams do too. scan: a plain read, as its plan is asked
+    for its parts.
+    """
+    if scan.isStreaming:
+        return scan
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let the executors' Python workers import this package, wherever the driver found it. Once per context."""
     sc = spark.sparkContext

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.functions import lexicon as L
+from lexivec.functions.automaton import Seen
 
 _WORD = "[A-Za-z0-9_]"
 #: The boundary between an ASCII word character and anything else; Java's own looks at all of Unicode.
@@ -109,21 +110,41 @@ def trie(words: tuple[str, ...]) -> str:
 FEW_WORDS = 4
 
 
-def any_of(low: Column, literals: tuple[str, ...]) -> Column:
-    """Whether any of the literals occurs in a text that is in lower case already."""
+def any_of(low: Column | Seen, literals: tuple[str, ...]) -> Column:
+    """Whether any of the literals occurs in a text that is in lower case already, or was scanned for them."""
+    if isinstance(low, Seen):
+        return low.any(literals)
     if len(literals) > FEW_WORDS:
         return low.rlike(trie(tuple(literals)))
     return reduce(operator.or_, [low.contains(w) for w in literals])
 
 
-def any_needed(low: Column, patterns) -> Column:
+def any_needed(low: Column | Seen, patterns) -> Column:
     """Whether any of the patterns may occur at all: one pass over the text, for lists of patterns that mostly don't."""
     words = [required(p) for p in patterns]
     return any_of(low, tuple(dict.fromkeys(w for ws in words for w in ws))) if all(words) else F.lit(True)
 
 
-def found(text: Column, pattern: str, low: Column | None = None) -> Column:
-    """Whether the pattern occurs, regardless of case. low: the folded text, best a column of its own.
+def needs(*lists) -> tuple[str, ...]:
+    """The literals that the patterns of some lists, or of lists of pairs and labels, need: what to scan a text for."""
+    flat, out = list(lists), []
+    while flat:
+        x = flat.pop()
+        if isinstance(x, str):
+            out += required(x)
+        else:
+            flat += x
+    return tuple(dict.fromkeys(out))
+
+
+def possible(pattern: str, low: Column | Seen | None) -> Column:
+    """Whether a match of the pattern is possible by the literals it needs; true where they can't tell, or nothing was scanned."""
+    words = required(pattern)
+    return any_of(low, words) if words and low is not None else F.lit(True)
+
+
+def found(text: Column, pattern: str, low: Column | Seen | None = None) -> Column:
+    """Whether the pattern occurs, regardless of case. low: the folded text, best a column of its own, or what was seen in it.
 
     Literals that a match must have are looked for first, as most texts have none of them.
     """
@@ -169,33 +190,36 @@ def sentences(text: Column) -> Column:
     return F.filter(parts, lambda s: s != "")
 
 
+#: The repairs of extracted text, in their order.
+REPAIRS = (
+    (r"[\x{2000}-\x{200B}]", " "),
+    (r"\b([A-Z])\s+([A-Z])\s+([A-Z])\s+(\d)", "$1$2$3 $4"),
+    (r"\b([A-Z])\s+([A-Z])\s+(\d)", "$1$2 $3"),
+    (r"\b(\d)\s+(\d)\s+(\d)\s+(\d)\b", "$1$2$3$4"),
+    (r"\b(\d)\s+(\d)\s+(\d)\b", "$1$2$3"),
+    (r"\b(\d)\s+(\d)\b", "$1$2"),
+    (r"\s+([.,;:!?)])", "$1"),
+    (r"([(\[])\s+", "$1"),
+    (r"[ \t]+", " "),
+    (r"\n{3,}", "\n\n"),
+    (r"(?m)^[ \t\r\f]+|[ \t\r\f]+$", ""),
+    (r"^\s+|\s+$", ""),
+)
+
+
 def normalize_pdf(text: Column) -> Column:
     """OCR repairs: spaced capitals before a digit, spaced digits, punctuation, blanks and line breaks."""
-    steps = (
-        (r"[\x{2000}-\x{200B}]", " "),
-        (r"\b([A-Z])\s+([A-Z])\s+([A-Z])\s+(\d)", "$1$2$3 $4"),
-        (r"\b([A-Z])\s+([A-Z])\s+(\d)", "$1$2 $3"),
-        (r"\b(\d)\s+(\d)\s+(\d)\s+(\d)\b", "$1$2$3$4"),
-        (r"\b(\d)\s+(\d)\s+(\d)\b", "$1$2$3"),
-        (r"\b(\d)\s+(\d)\b", "$1$2"),
-        (r"\s+([.,;:!?)])", "$1"),
-        (r"([(\[])\s+", "$1"),
-        (r"[ \t]+", " "),
-        (r"\n{3,}", "\n\n"),
-        (r"(?m)^[ \t\r\f]+|[ \t\r\f]+$", ""),
-        (r"^\s+|\s+$", ""),
-    )
-    for pattern, to in steps:
+    for pattern, to in REPAIRS:
         text = F.regexp_replace(text, java(pattern), to)
     return text
 
 
-def language(text: Column, lists: tuple[str, ...] = L.LANGUAGE_LONG, cut: int = 10, low: Column | None = None) -> Column:
+def language(text: Column, lists: tuple[str, ...] = L.LANGUAGE_LONG, cut: int = 10, low: Column | Seen | None = None) -> Column:
     """`id` if the words of the lists occur more often than the cut, else `en`."""
     return F.when(language_score(text, lists, low) > cut, "id").otherwise("en")
 
 
-def language_score(text: Column, lists: tuple[str, ...], low: Column | None = None) -> Column:
+def language_score(text: Column, lists: tuple[str, ...], low: Column | Seen | None = None) -> Column:
     out = F.lit(0)
     for p in lists:
         some = any_of(folded(text) if low is None else low, required(p))
@@ -204,31 +228,55 @@ def language_score(text: Column, lists: tuple[str, ...], low: Column | None = No
 
 
 MARK = "\x01"
+#: Pieces whose lengths are summed one by one; then blocks of as many.
+BLOCK = 128
+
+
+def _running(lengths: Column) -> Column:
+    """struct<total, starts> of an array of numbers: their sum, and what stands before each of them."""
+    zero = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("starts"))
+    return F.aggregate(lengths, zero, lambda a, n: F.struct((a["total"] + n).alias("total"), F.array_append(a["starts"], a["total"]).alias("starts")))
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def starts_of(parts: Column) -> Column:
+    """Where each piece of a text starts: running sums by blocks, so that no array grows piece by piece over a long text."""
+    numbers = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / F.lit(BLOCK)).cast("int"))
+    blocks = F.transform(numbers, lambda i: _running(F.transform(F.slice(parts, i * BLOCK + 1, F.lit(BLOCK)), F.length)))
+
+    def based(bs: Column) -> Column:
+        return F.flatten(F.zip_with(bs, _running(F.transform(bs, lambda b: b["total"]))["starts"], lambda b, base: F.transform(b["starts"], lambda x: x + base)))
+
+    return bound(blocks, based)
 
 
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<start, value>> of a pattern's matches, in order; places in code points. The text must not hold U+0001."""
     parts = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK)
     none = F.array().cast("array<struct<start:int,value:string>>")
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), none.alias("out"))
 
-    def step(a: Column, p: Column) -> Column:
-        out = F.when(a["match"], F.array_append(a["out"], F.struct(a["at"].alias("start"), p.alias("value")))).otherwise(a["out"])
-        return F.struct((a["at"] + F.length(p)).alias("at"), (~a["match"]).alias("match"), out.alias("out"))
+    def placed(x: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(x["parts"]) - 1, F.lit(2))
+        return F.transform(at, lambda i: F.struct(F.get(x["starts"], i).alias("start"), F.get(x["parts"], i).alias("value")))
 
-    return F.aggregate(parts, zero, step, lambda a: a["out"])
+    some = lambda ps: F.when(F.size(ps) > 1, bound(F.struct(ps.alias("parts"), starts_of(ps).alias("starts")), placed)).otherwise(none)
+    return F.when(text.isNotNull(), bound(parts, some))
 
 
-def abstract(text: Column) -> Column:
+def abstract(text: Column, low: Column | Seen | None = None) -> Column:
     """The first 500 characters of the abstract, or null."""
     out = []
     for start, end in L.ABSTRACTS:
         p = start + f"(?={end})"
-        out.append(F.when(text.rlike(p), F.substring(F.regexp_replace(F.regexp_extract(text, p, 1), r"^\s+|\s+$", ""), 1, L.ABSTRACT_LENGTH)))
+        out.append(F.when(possible(start, low) & text.rlike(p), F.substring(F.regexp_replace(F.regexp_extract(text, p, 1), r"^\s+|\s+$", ""), 1, L.ABSTRACT_LENGTH)))
     return F.coalesce(*out)
 
 
-def has_table(text: Column, low: Column | None = None) -> Column:
+def has_table(text: Column, low: Column | Seen | None = None) -> Column:
     """Whether header cells of a table stand in the text, or many numbered rows."""
     return found(text, L.TABLE_HEADER, low) | (F.regexp_count(text, F.lit(L.NUMBERED_ROW)) > L.NUMBERED_ROWS)
 
@@ -252,12 +300,12 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
 
-def first_match(text: Column, patterns: tuple[str, ...], group: int) -> Column:
+def first_match(text: Column, patterns: tuple[str, ...], group: int, low: Column | Seen | None = None) -> Column:
     """Value of the first pattern that matches, or null."""
-    return F.coalesce(*[F.when(text.rlike(java(p)), F.regexp_extract(text, java(p), group)) for p in patterns])
+    return F.coalesce(*[F.when(possible(p, low) & text.rlike(java(p)), F.regexp_extract(text, java(p), group)) for p in patterns])
 
 
-def first_label(text: Column, rules, low: Column | None = None) -> Column:
+def first_label(text: Column, rules, low: Column | Seen | None = None) -> Column:
     """Label of the first rule whose patterns all match, or null."""
     out, first = [], []
     for label, patterns in rules:
@@ -267,9 +315,9 @@ def first_label(text: Column, rules, low: Column | None = None) -> Column:
     return F.when(any_needed(folded(text) if low is None else low, first), F.coalesce(*out))
 
 
-def keyword_line(text: Column) -> Column:
+def keyword_line(text: Column, low: Column | Seen | None = None) -> Column:
     """Keywords of a `keywords:` line: parts of more than two letters, in lower case."""
-    line = F.coalesce(first_match(text, L.KEYWORDS, 1), F.lit(""))
+    line = F.coalesce(first_match(text, L.KEYWORDS, 1, low), F.lit(""))
     return F.filter(F.transform(F.split(line, "[,;]"), lambda w: F.lower(F.regexp_replace(w, r"^\s+|\s+$", ""))), lambda w: F.length(w) > 2)
 
 
@@ -277,21 +325,23 @@ def numbered_citations(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), F.lit(1)))
 
 
-def course_info(text: Column) -> dict[str, Column]:
+def course_info(text: Column, low: Column | Seen | None = None, repaired: Column | None = None) -> dict[str, Column]:
+    """Facts of a course. repaired: the text as `normalize_pdf` leaves it, best a column of its own."""
     strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     return {
-        "course_code": first_match(normalize_pdf(text), L.COURSE_CODE, 0),
-        "course_name": strip(first_match(text, L.COURSE_NAME, 1)),
-        "instructor": strip(first_match(text, L.INSTRUCTOR, 1)),
-        "semester": first_match(text, L.SEMESTER, 0),
-        "faculty": strip(first_match(text, L.FACULTY, 1)),
-        "credits": F.try_to_number(first_match(text, (L.CREDITS,), 1), F.lit("9999999999")).cast("long"),
+        "course_code": first_match(normalize_pdf(text) if repaired is None else repaired, L.COURSE_CODE, 0),
+        "course_name": strip(first_match(text, L.COURSE_NAME, 1, low)),
+        "instructor": strip(first_match(text, L.INSTRUCTOR, 1, low)),
+        "semester": first_match(text, L.SEMESTER, 0, low),
+        "faculty": strip(first_match(text, L.FACULTY, 1, low)),
+        "credits": F.try_to_number(first_match(text, (L.CREDITS,), 1, low), F.lit("9999999999")).cast("long"),
     }
 
 
-def doc_type(text: Column, low: Column | None = None) -> Column:
+def doc_type(text: Column, low: Column | Seen | None = None, lang: Column | None = None) -> Column:
     """The first matching type of the ordered groups, then of the older rules of the text's language, else `other`."""
-    old = F.when(language(text, low=low) == "id", first_label(text, L.TRADITIONAL_ID, low)).otherwise(first_label(text, L.TRADITIONAL_EN, low))
+    lang = language(text, low=low) if lang is None else lang
+    old = F.when(lang == "id", first_label(text, L.TRADITIONAL_ID, low)).otherwise(first_label(text, L.TRADITIONAL_EN, low))
     return F.coalesce(first_label(text, L.DOCUMENT_TYPES, low), old, F.lit("other"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lexivec.compat import ship_package
 from lexivec.functions import lexicon as L
 from lexivec.functions import text as T
+from lexivec.functions.automaton import Seen, with_seen
 from lexivec.functions.text import BOUNDARY, java
 
 
@@ -52,53 +53,83 @@ def _unmarked(text: Column) -> Column:
     return F.replace(text, F.lit(T.MARK), F.lit(" "))
 
 
-def _placed(docs: DataFrame, patterns: list[tuple[str, str]], text: str, extra: list[str]) -> DataFrame:
-    """doc_id, extra, ord, kind, start, value: matches of the patterns (kind, pattern), ord their number."""
-    one = lambda k, kind, p: F.transform(T.spans(F.col(text), java(p)), lambda s: F.struct(F.lit(k).alias("ord"), F.lit(kind).alias("kind"), s["start"].alias("start"), s["value"].alias("value")))
-    found = F.concat(*[one(k, kind, p) for k, (kind, p) in enumerate(patterns)])
-    return docs.select("doc_id", *extra, F.explode(found).alias("m")).select("doc_id", *extra, "m.*")
+_PLACE = "array<struct<start:bigint,ord:int,kind:string,value:string>>"
+
+
+def _places(text: Column, patterns: list[tuple[str, str]], low=None) -> Column:
+    """Matches of the patterns (kind, pattern): start, ord (the pattern's number), kind, value."""
+
+    def one(k: int, kind: str, p: str) -> Column:
+        hits = F.transform(T.spans(text, java(p)), lambda s: F.struct(s["start"].cast("long").alias("start"), F.lit(k).alias("ord"), F.lit(kind).alias("kind"), s["value"].alias("value")))
+        return F.when(T.possible(p, low), hits).otherwise(F.array().cast(_PLACE))
+
+    return F.concat(*[one(k, kind, p) for k, (kind, p) in enumerate(patterns)])
 
 
 def placed_headings(docs: DataFrame) -> DataFrame:
     """doc_id, offset, heading of docs (doc_id, text): each heading once, where the first pattern that has it finds it first."""
     d = docs.select("doc_id", _unmarked(F.coalesce("text", F.lit(""))).alias("text"))
-    d = _placed(d, [(str(k), p) for k, p in enumerate(L.PLACED_HEADINGS)], "text", [])
+    d, seen = with_seen(d, F.lower("text"), T.needs(L.PLACED_HEADINGS))
+    d = d.select("doc_id", F.explode(_places(F.col("text"), [(str(k), p) for k, p in enumerate(L.PLACED_HEADINGS)], seen)).alias("m")).select("doc_id", "m.*")
     named = F.coalesce(*[F.when(F.col("ord") == k, F.nullif(F.regexp_extract("value", java(p), 1), F.lit(""))) for k, p in enumerate(L.PLACED_HEADINGS) if "(.+)" in p], F.col("value"))
     d = d.withColumn("heading", F.regexp_replace(named, r"^\s+|\s+$", "")).filter("heading <> ''")
     first = d.groupBy("doc_id", "heading").agg(F.min(F.struct("ord", "start")).alias("m"))
-    return first.select("doc_id", F.col("m.start").cast("long").alias("offset"), "heading")
+    return first.select("doc_id", F.col("m.start").alias("offset"), "heading")
+
+
+#: What a text is scanned for before its facts are read.
+FACT_LITERALS = T.needs(
+    [p for _, p in L.TYPED_SECTIONS_ID + L.TYPED_SECTIONS_EN], [p for _, p in L.DOCUMENT_TYPES], [p for _, p in L.TRADITIONAL_ID], [p for _, p in L.TRADITIONAL_EN],
+    L.LANGUAGE_LONG, L.TABLE_HEADER, L.COURSE_NAME, L.INSTRUCTOR, L.SEMESTER, L.FACULTY, L.CREDITS, L.KEYWORDS, [a for a, _ in L.ABSTRACTS],
+)
+
+
+def _scanned(docs: DataFrame) -> tuple[DataFrame, Seen]:
+    """doc_id, the repaired text `t`, and what was seen in it: the text is repaired and scanned once for all that follows."""
+    d = docs.select("doc_id", T.normalize_pdf(F.coalesce("text", F.lit(""))).alias("t"))
+    return with_seen(d, F.lower("t"), FACT_LITERALS)
+
+
+def _sections_of(t: Column, lang: Column, seen: Seen) -> Column:
+    """array<struct<start, type, title, end>> of a repaired text, by the patterns of its language, in one row."""
+    t = _unmarked(t)
+
+    def titled(rules) -> Column:
+        title = lambda m: F.coalesce(*[F.when(m["ord"] == k, F.nullif(F.regexp_extract(m["value"], java(p), 1), F.lit(""))) for k, (_, p) in enumerate(rules)], m["value"])
+        return F.transform(F.sort_array(_places(t, list(rules), seen)), lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("type"), title(m).alias("title")))
+
+    def ended(ms: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(ms, k + 1)["start"], F.length(t).cast("long"))
+        return F.transform(ms, lambda m, k: F.struct(m["start"].alias("start"), m["type"].alias("type"), m["title"].alias("title"), end(k).alias("end")))
+
+    return T.bound(F.when(lang == "id", titled(L.TYPED_SECTIONS_ID)).otherwise(titled(L.TYPED_SECTIONS_EN)), ended)
 
 
 def typed_sections(docs: DataFrame) -> DataFrame:
     """doc_id, type, title, start, end of docs (doc_id, text): sections by their headings in the repaired text, each up to the
     next one. The patterns are those of the text's language; the title is the pattern's first group, or the whole match.
     """
-    d = docs.select("doc_id", _unmarked(T.normalize_pdf(F.coalesce("text", F.lit("")))).alias("t"))
-    d = d.select("doc_id", "t", F.length("t").alias("n"), T.folded(F.col("t")).alias("low"))
-    d = d.select("doc_id", "t", "n", T.language(F.col("t"), low=F.col("low")).alias("lang"))
-    parts = []
-    for lang, rules in (("id", L.TYPED_SECTIONS_ID), ("en", L.TYPED_SECTIONS_EN)):
-        m = _placed(d.filter(F.col("lang") == lang), list(rules), "t", ["n"])
-        title = F.coalesce(*[F.when(F.col("ord") == k, F.nullif(F.regexp_extract("value", java(p), 1), F.lit(""))) for k, (_, p) in enumerate(rules)], F.col("value"))
-        parts.append(m.withColumn("title", title))
-    d = parts[0].unionByName(parts[1])
-    after = Window.partitionBy("doc_id").orderBy("start", "ord")
-    return d.select("doc_id", F.col("kind").alias("type"), "title", F.col("start").cast("long").alias("start"), F.coalesce(F.lead("start").over(after), F.col("n")).cast("long").alias("end"))
+    d, seen = _scanned(docs)
+    d = d.select("doc_id", F.explode(_sections_of(F.col("t"), T.language(F.col("t"), low=seen), seen)).alias("s"))
+    return d.select("doc_id", "s.type", "s.title", "s.start", "s.end")
 
 
 def metadata(docs: DataFrame) -> DataFrame:
     """doc_id and what a text tells of itself: type, course facts, citations, keywords, abstract, language, table flag,
-    and its sections as array<struct<start, type, title, end>>."""
-    d = docs.select("doc_id", T.normalize_pdf(F.coalesce("text", F.lit(""))).alias("t"))
-    d = d.select("doc_id", "t", T.folded(F.col("t")).alias("low"))
-    t, low = F.col("t"), F.col("low")
-    facts = d.select(
-        "doc_id", T.doc_type(t, low).alias("doc_type"), *[c.alias(k) for k, c in T.course_info(t).items()], T.numbered_citations(t).alias("citations"),
-        T.keyword_line(t).alias("keywords"), T.abstract(t).alias("abstract"), T.language(t, low=low).alias("language"), T.has_table(t, low).alias("has_table"),
+    and its sections as array<struct<start, type, title, end>>. One scan, one row a document throughout."""
+    d, seen = _scanned(docs.select("doc_id", "text"))
+    t = F.col("t")
+    d = d.select("*", T.language(t, low=seen).alias("language"), T.normalize_pdf(t).alias("again"))
+    return d.select(
+        "doc_id", T.doc_type(t, seen, F.col("language")).alias("doc_type"), *[c.alias(k) for k, c in T.course_info(t, seen, F.col("again")).items()], T.numbered_citations(t).alias("citations"),
+        T.keyword_line(t, seen).alias("keywords"), T.abstract(t, seen).alias("abstract"), "language", T.has_table(t, seen).alias("has_table"), _sections_of(t, F.col("language"), seen).alias("sections"),
     )
-    found = typed_sections(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start", "type", "title", "end"))).alias("sections"))
-    none = F.array().cast("array<struct<start:bigint,type:string,title:string,end:bigint>>")
-    return facts.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id").withColumn("sections", F.coalesce("sections", none))
+
+
+def document_types(docs: DataFrame) -> DataFrame:
+    """doc_id, doc_type of docs (doc_id, text): `doc_type` of the text as it is, after one scan for all its patterns."""
+    d, seen = with_seen(docs.select("doc_id", "text"), F.lower("text"), FACT_LITERALS)
+    return d.select("doc_id", T.doc_type(F.col("text"), seen).alias("doc_type"))
 
 
 def synonym_groups(spark, path: str) -> tuple[tuple[str, ...], ...]:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.functions import lexicon as L
-from lexivec.functions.text import any_needed, any_of, folded, found, java
+from lexivec.functions.automaton import Seen, with_seen
+from lexivec.functions.text import any_needed, any_of, folded, found, java, needs
 
 SEVERITIES = ("none", "low", "medium", "high", "critical")
 
@@ -32,21 +33,21 @@ def redact(text: Column) -> Column:
     return F.when(_may_have("phone", text), out).when(_may_have("email", text), email).otherwise(text)
 
 
-def hits(text: Column, patterns: tuple[str, ...], low: Column | None = None) -> Column:
+def hits(text: Column, patterns: tuple[str, ...], low: Column | Seen | None = None) -> Column:
     """Places, from 0, of the patterns that match."""
     low = folded(text) if low is None else low
     all_ = F.array_compact(F.array(*[F.when(found(text, p, low), F.lit(k)) for k, p in enumerate(patterns)]))
     return F.when(any_needed(low, patterns), all_).when(text.isNotNull(), F.array().cast("array<int>"))
 
 
-def reaction(text: Column, low: Column | None = None) -> Column:
+def reaction(text: Column, low: Column | None = None, seen: Seen | None = None) -> Column:
     """First reaction that a pattern finds, kinds in order, or null; in each list of languages all kinds are tried.
 
-    low: the text in lower case, best a column of its own.
+    low: the text in lower case, best a column of its own; seen: the literals seen in it.
     """
     low = F.lower(text) if low is None else low
-    rules = L.REACTIONS_ID + L.REACTIONS_EN
-    return F.when(any_needed(low, [p for _, p in rules]), F.coalesce(*[F.when(found(low, p, low), F.lit(k)) for k, p in rules]))
+    where, rules = seen or low, L.REACTIONS_ID + L.REACTIONS_EN
+    return F.when(any_needed(where, [p for _, p in rules]), F.coalesce(*[F.when(found(low, p, where), F.lit(k)) for k, p in rules]))
 
 
 def reaction_severity(kind: Column) -> Column:
@@ -56,8 +57,8 @@ def reaction_severity(kind: Column) -> Column:
     return out
 
 
-def off_topic(text: Column, low: Column | None = None) -> Column:
-    """Over 50 characters without topic word, question cue or command verb. low: the text in lower case."""
+def off_topic(text: Column, low: Column | Seen | None = None) -> Column:
+    """Over 50 characters without topic word, question cue or command verb. low: the text in lower case, or what was seen in it."""
     low = F.lower(text) if low is None else low
     known = any_of(low, (*L.TOPICS, *L.COMMANDS))
     return (F.length(text) > 50) & ~known & ~text.rlike("(?i)" + L.QUESTION)
@@ -67,14 +68,18 @@ def severity_name(level: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, SEVERITIES)), level.cast("int") + 1)
 
 
+#: What messages are scanned for: the literals that the patterns need, topics and commands.
+INPUT_LITERALS = (*needs(L.INJECTION, L.TOXICITY, L.INTEGRITY, [p for _, p in L.REACTIONS_ID + L.REACTIONS_EN]), *L.TOPICS, *L.COMMANDS)
+
+
 def validate_input(df: DataFrame, text: str = "text") -> DataFrame:
     """df with pii, injections, toxic, dishonest, off_topic, reaction, blocked, severity, redacted."""
-    t, low, folded_ = F.col(text), F.col("_lower"), F.col("_folded")
-    # Lower case is made once, in a projection of its own.
-    d = df.select("*", F.lower(t).alias("_lower"), folded(t).alias("_folded"))
+    t, low = F.col(text), F.col("_lower")
+    # Lower case is made once, in a projection of its own, and scanned once for the literals of all lists.
+    d, seen = with_seen(df.select("*", F.lower(t).alias("_lower")), low, INPUT_LITERALS)
     d = d.select(
-        *df.columns, pii_kinds(t).alias("pii"), hits(t, L.INJECTION, folded_).alias("injections"), hits(t, L.TOXICITY, folded_).alias("toxic"),
-        hits(t, L.INTEGRITY, folded_).alias("dishonest"), off_topic(t, low).alias("off_topic"), reaction(t, low).alias("reaction"), redact(t).alias("redacted"),
+        *df.columns, pii_kinds(t).alias("pii"), hits(t, L.INJECTION, seen).alias("injections"), hits(t, L.TOXICITY, seen).alias("toxic"),
+        hits(t, L.INTEGRITY, seen).alias("dishonest"), off_topic(t, seen).alias("off_topic"), reaction(t, low, seen).alias("reaction"), redact(t).alias("redacted"),
     )
     some = lambda c: F.size(c) > 0
     level = F.greatest(
@@ -125,10 +130,10 @@ def validate_output(df: DataFrame, answer: str, context: str, similarity: str |
     there is a context; without one nothing counts as invented.
     """
     t, c = F.col(answer), F.col(context)
-    d = df.select("*", folded(t).alias("_folded"))
+    d, seen = with_seen(df, F.lower(t), needs(L.TOXICITY))
     asked = to_check(t, F.col(similarity) if similarity else None) & c.isNotNull()
     d = d.select(
-        *df.columns, pii_kinds(t).alias("pii"), hits(t, L.TOXICITY, F.col("_folded")).alias("toxic"), asked.alias("risky"),
+        *df.columns, pii_kinds(t).alias("pii"), hits(t, L.TOXICITY, seen).alias("toxic"), asked.alias("risky"),
         F.when(c.isNotNull(), unverified(t, c)).otherwise(F.array().cast("array<string>")).alias("unverified"),
     )
     d = d.withColumn("hallucinated", F.lit(False) if invented is None else F.coalesce(F.col("risky") & invented, F.lit(False)))

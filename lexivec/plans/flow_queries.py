@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lexivec.compat import shared_folder
+from lexivec.compat import shared_folder, spread
 from lexivec.functions import lexicon as L
 from lexivec.operators import chunking as C
 from lexivec.operators import domain as D
@@ -18,15 +18,15 @@ from lexivec.streaming import streams
 
 
 def recursive_chunks(spark, sf):
-    return C.recursive_chunks(_t(spark, sf, "documents"))
+    return C.recursive_chunks(spread(_t(spark, sf, "documents")))
 
 
 def hierarchical_chunks(spark, sf):
-    return C.hierarchical_chunks(_t(spark, sf, "documents"))
+    return C.hierarchical_chunks(spread(_t(spark, sf, "documents")))
 
 
 def semantic_chunks(spark, sf):
-    return C.semantic_chunks(_t(spark, sf, "documents"))
+    return C.semantic_chunks(spread(_t(spark, sf, "documents")))
 
 
 def sentence_window_chunks(spark, sf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexivec.compat import spread
 from lexivec.functions import lexicon as L
 from lexivec.functions.text import term_counts
 from lexivec.operators import retrieval as R
@@ -13,6 +14,11 @@ from lexivec.plans import sql as S
 EVERY = 100
 
 
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents, on all cores."""
+    return spread(_t(spark, sf, "documents"))
+
+
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -67,18 +73,18 @@ _HYBRID = f"with {_VEC}, {_POOL}, {_bm25_sql('pool', 'qd', 'bm')}, {_FUSED}"
 
 
 def tokenize_tf(spark, sf):
-    return term_counts(_t(spark, sf, "documents"), ["doc_id"])
+    return term_counts(_docs(spark, sf), ["doc_id"])
 
 
 def doc_freq_avgdl(spark, sf):
-    counts = term_counts(_t(spark, sf, "documents"), ["doc_id"])
+    counts = term_counts(_docs(spark, sf), ["doc_id"])
     n = _t(spark, sf, "documents").agg(F.count("*").alias("n"))
     length = counts.agg(F.sum("tf").alias("words")).crossJoin(n).select(F.round(F.col("words") / F.col("n"), 6).alias("avgdl"))
     return counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(length))
 
 
 def bm25_keyword(spark, sf):
-    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = _docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
     q = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     return R.keyword_search(docs, q).select("query_id", "id", "score", "keyword_score", "rank")
 
@@ -88,7 +94,7 @@ def _pool(spark, sf):
 
 
 def bm25_on_pool(spark, sf):
-    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = _docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
     return R.bm25(_pool(spark, sf).select("query_id", "id").join(docs.select("id"), "id", "left_semi"), _queries(spark, sf), texts=docs)
 
 
@@ -108,7 +114,7 @@ def ensemble_rerank(spark, sf):
 
 
 def keyword_extract(spark, sf):
-    return R.top_keywords(_t(spark, sf, "documents"))
+    return R.top_keywords(_docs(spark, sf))
 
 
 def context_budget(spark, sf):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexivec.functions import lexicon as L
 from lexivec.functions import text as T
+from lexivec.functions.automaton import with_seen
 from lexivec.operators import agent, analysis, guard
 from lexivec.operators import chunking as C
 from lexivec.operators import domain as D
@@ -27,7 +28,8 @@ def typed_sections(spark, sf):
 
 def document_facts(spark, sf):
     t = F.col("text")
-    return _texts(spark, sf).select("doc_id", t, T.folded(t).alias("low")).select("doc_id", T.abstract(t).alias("abstract"), T.has_table(t, F.col("low")).alias("has_table"))
+    d, seen = with_seen(_texts(spark, sf), F.lower(t), T.needs([a for a, _ in L.ABSTRACTS], L.TABLE_HEADER))
+    return d.select("doc_id", T.abstract(t, seen).alias("abstract"), T.has_table(t, seen).alias("has_table"))
 
 
 def metadata_bundle(spark, sf):

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexivec.compat import spread
 from lexivec.functions import lexicon as L
 from lexivec.functions import text as T
+from lexivec.functions.automaton import with_seen
 from lexivec.operators import guard as G
+from lexivec.operators.domain import document_types
 from lexivec.plans import sql as S
 
 
@@ -14,20 +17,30 @@ def _t(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _docs(spark, sf):
+    """The documents, on all cores."""
+    return spread(_t(spark, sf, "documents"))
+
+
 def _texts(spark, sf):
     """The documents and the hand-made rows."""
     made = ", ".join(f"({-k - 1}L, " + " || chr(10) || ".join("'" + x.replace("''", "\\'") + "'" for x in t.split("\n")) + ")" for k, t in enumerate(S.FIXTURES))
-    return _t(spark, sf, "documents").select("doc_id", "text").unionByName(spark.sql(f"select * from values {made} as v(doc_id, text)"))
+    return _docs(spark, sf).select("doc_id", "text").unionByName(spark.sql(f"select * from values {made} as v(doc_id, text)"))
 
 
 _joined = lambda c: F.array_join(c.cast("array<string>"), ",")
 
 
-def _projection(low=None, **columns):
-    """A query of one column per function of the text; low: what else the functions get, made once, in a projection before."""
-    if low is None:
+def _projection(scan=None, **columns):
+    """A query of one column per function of the text; scan: literals, of which the functions get what was seen in the text."""
+    if scan is None:
         return lambda spark, sf: _texts(spark, sf).select("doc_id", *[make(F.col("text")).alias(name) for name, make in columns.items()])
-    return lambda spark, sf: _texts(spark, sf).withColumn("low", low(F.col("text"))).select("doc_id", *[make(F.col("text"), F.col("low")).alias(name) for name, make in columns.items()])
+
+    def query(spark, sf):
+        d, seen = with_seen(_texts(spark, sf), F.lower("text"), scan)
+        return d.select("doc_id", *[make(F.col("text"), seen).alias(name) for name, make in columns.items()])
+
+    return query
 
 
 def rate_limit_anchored(spark, sf):
@@ -36,7 +49,7 @@ def rate_limit_anchored(spark, sf):
 
 def guard_summary(spark, sf):
     """Severities and blocks of all labelled documents, by label."""
-    labelled = _t(spark, sf, "documents").select("doc_id", "text").join(_t(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    labelled = _docs(spark, sf).select("doc_id", "text").join(_t(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
     d = G.validate_input(labelled).drop("toxic").withColumnRenamed("label", "toxic")
     return d.groupBy("toxic", "severity", "blocked").agg(F.count("*").alias("n"), F.sum(F.size("pii")).cast("long").alias("n_pii"))
 
@@ -56,7 +69,8 @@ def sentence_split(spark, sf):
 
 
 def negative_reaction(spark, sf):
-    d = _texts(spark, sf).select("doc_id", F.lower("text").alias("low")).select("doc_id", G.reaction(F.col("low"), F.col("low")).alias("reaction"))
+    d, seen = with_seen(_texts(spark, sf).select("doc_id", F.lower("text").alias("low")), F.col("low"), T.needs([p for _, p in L.REACTIONS_ID + L.REACTIONS_EN]))
+    d = d.select("doc_id", G.reaction(F.col("low"), F.col("low"), seen).alias("reaction"))
     return d.select("doc_id", "reaction", G.reaction_severity(F.col("reaction")).alias("severity"))
 
 
@@ -84,16 +98,10 @@ def synonym_expand(spark, sf):
     return expand_synonyms(q.unionByName(b)).select("query_id", "expanded")
 
 
-_NORM_STEPS = (
-    (r"[\x{2000}-\x{200B}]", " "), (r"\b([A-Z])\s+([A-Z])\s+([A-Z])\s+(\d)", r"\1\2\3 \4"), (r"\b([A-Z])\s+([A-Z])\s+(\d)", r"\1\2 \3"),
-    (r"\b(\d)\s+(\d)\s+(\d)\s+(\d)\b", r"\1\2\3\4"), (r"\b(\d)\s+(\d)\s+(\d)\b", r"\1\2\3"), (r"\b(\d)\s+(\d)\b", r"\1\2"),
-    (r"\s+([.,;:!?)])", r"\1"), (r"([(\[])\s+", r"\1"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"), (r"(?m)^[ \t\r\f]+|[ \t\r\f]+$", ""), (r"^\s+|\s+$", ""),
-)
-
-
 def _norm_sql(text: str) -> str:
-    for p, to in _NORM_STEPS:
-        text = f"regexp_replace({text}, {S.q(p)}, {S.q(to)}, 'g')"
+    """The repairs of the one list; DuckDB writes groups with a backslash."""
+    for p, to in T.REPAIRS:
+        text = f"regexp_replace({text}, {S.q(p)}, {S.q(to.replace('$', chr(92)))}, 'g')"
     return text
 
 
@@ -130,22 +138,22 @@ def _row(expr: str) -> str:
 QUERIES = {
     "pii_detect": _projection(kinds=lambda t: _joined(G.pii_kinds(t))),
     "pii_redact": _projection(redacted=G.redact),
-    "injection_scan": _projection(T.folded, hits=lambda t, low: _joined(G.hits(t, L.INJECTION, low))),
-    "toxicity_scan": _projection(T.folded, hits=lambda t, low: _joined(G.hits(t, L.TOXICITY, low))),
-    "integrity_scan": _projection(T.folded, hits=lambda t, low: _joined(G.hits(t, L.INTEGRITY, low))),
-    "topic_relevance": _projection(F.lower, off_topic=G.off_topic),
+    "injection_scan": _projection(T.needs(L.INJECTION), hits=lambda t, seen: _joined(G.hits(t, L.INJECTION, seen))),
+    "toxicity_scan": _projection(T.needs(L.TOXICITY), hits=lambda t, seen: _joined(G.hits(t, L.TOXICITY, seen))),
+    "integrity_scan": _projection(T.needs(L.INTEGRITY), hits=lambda t, seen: _joined(G.hits(t, L.INTEGRITY, seen))),
+    "topic_relevance": _projection((*L.TOPICS, *L.COMMANDS), off_topic=G.off_topic),
     "negative_reaction": negative_reaction,
     "guard_summary": guard_summary,
     "citation_verify": citation_verify,
     "rate_limit_anchored": rate_limit_anchored,
     "sentence_split": sentence_split,
     "lang_score": _projection(
-        T.folded, short=lambda t, low: T.language_score(t, L.LANGUAGE_SHORT, low).cast("long"), long=lambda t, low: T.language_score(t, L.LANGUAGE_LONG, low).cast("long"),
+        T.needs(L.LANGUAGE_SHORT, L.LANGUAGE_LONG), short=lambda t, low: T.language_score(t, L.LANGUAGE_SHORT, low).cast("long"), long=lambda t, low: T.language_score(t, L.LANGUAGE_LONG, low).cast("long"),
         chunk_lang=lambda t, low: T.language(t, L.LANGUAGE_SHORT, 5, low), domain_lang=lambda t, low: T.language(t, low=low),
     ),
     "pdf_normalize": _projection(normalized=T.normalize_pdf),
     "headings": _projection(headings=lambda t: F.array_join(T.headings(t), "¦")),
-    "doc_type": _projection(T.folded, doc_type=T.doc_type),
+    "doc_type": lambda spark, sf: document_types(_texts(spark, sf)),
     "course_info": course_info,
     "kw_line": _projection(keywords=lambda t: _joined(T.keyword_line(t))),
     "ieee_citations": _projection(citations=lambda t: _joined(T.numbered_citations(t))),
