@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.compat import shared_folder, ship_package
+from lexivec.compat import shared_folder, ship_package, spread
 
 #: The white space that separates words: space and the characters U+0009 to U+000D.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -24,7 +24,8 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as read, on all cores even where its files have few parts."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def with_python(df: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import durable, hinted, one_row_each, row_key, table, with_python
+from lexivec.llm.common import durable, hinted, one_row_each, row_key, salted_join, table, with_python
 
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 #: Bits of a fingerprint. The uppermost name the range that a filter covers; there are so many ranges that each holds about
@@ -212,7 +212,7 @@ def _members(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFr
 def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of docs."""
     digests, groups = _members(docs, doc_id, text)
-    out = digests.join(groups, ["fp", "text_sha256"], "left")
+    out = salted_join(digests, groups, ["fp", "text_sha256"], "row", "left")
     keep = F.when(F.col("group_size").isNotNull(), F.col("best.doc_id")).otherwise(F.col("doc_id"))
     kept = F.col("group_size").isNull() | (F.col("best.row") == F.col("row"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(kept, F.lit(True)).alias("kept"), "text_sha256")
@@ -221,7 +221,7 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each text, the one that `duplicates` keeps."""
     digests, groups = _members(docs, "doc_id", "text")
-    d = digests.join(groups, ["fp", "text_sha256"])
+    d = salted_join(digests, groups, ["fp", "text_sha256"], "row")
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("_h1") == F.col("best._h1")) & (F.col("_h2") == F.col("best._h2"))
     return one_row_each(docs, durable(d.select("doc_id", "_h1", "_h2", stays.alias("stays")), "members"))
 

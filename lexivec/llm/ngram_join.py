@@ -44,8 +44,9 @@ from lexivec.llm.common import durable, hinted, one_row_each, row_key, salted_jo
 from lexivec.llm.components import components
 
 WORDS, PERCENT = 5, 80
-#: Documents are treated in groups of so many words; n-grams of about so many form a fragment.
-GROUP_WORDS, PER_FRAGMENT = 400_000, 6_000_000
+#: Documents are treated in groups of so many words; n-grams of about so many form a fragment: of all documents where
+#: repeated ones are told apart, and of those that are searched further.
+GROUP_WORDS, PER_WIDE_FRAGMENT, PER_FRAGMENT = 200_000, 2_000_000, 3_000_000
 #: Most rounds of electing leaders (what they leave over meets in pairs), how many documents a leader must lead to be
 #: worth a round, of how many led one at least must be linked for another round, and members of a leader that share a task.
 ROUNDS, FEW, WORTH, PER_LEADER = 8, 32, 8, 4096
@@ -408,17 +409,19 @@ def _by_rarity():
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """u, v: links between representatives, enough of them that their components are those of all links."""
     total = reps.filter("doc_id = rep").agg(F.sum("n")).first()[0] or 0
-    fragments = max(8, -(-total // PER_FRAGMENT))
+    wide = max(8, -(-total // PER_WIDE_FRAGMENT))
     mine = docs.select("doc_id", "text")
     others = reps.filter("doc_id != rep or n = 0").select(F.col("doc_id").alias("_id"))
     first = mine.join(hinted(others, 16), F.col("doc_id") == F.col("_id"), "left_anti")
-    seen = first.mapInArrow(lambda it: _occurrences(it, fragments), _OCCURRENCE)
+    seen = first.mapInArrow(lambda it: _occurrences(it, wide), _OCCURRENCE)
     rep = seen.groupBy("fragment").applyInArrow(_trimmed(_repeated_counts), "doc_id long, repeated long")
     rep = rep.groupBy("doc_id").agg(F.sum("repeated").alias("repeated"))
     left = durable(rep.join(reps.select("doc_id", "n"), "doc_id").filter(100 * F.col("repeated") >= PERCENT * F.col("n")).select("doc_id", "n"), "searched")
+    count, searched = left.agg(F.count("*"), F.sum("n")).first()
+    fragments = max(8, -(-(searched or 0) // PER_FRAGMENT))
     seg = durable(_only(mine, left).mapInArrow(lambda it: _segments(it, fragments), _SEGMENT), "segments")
     freq = seg.groupBy("fragment").applyInArrow(_trimmed(_frequencies), "doc_id long, n long, grams binary, dfs binary")
-    buckets = max(32, left.count() // 2000)
+    buckets = max(32, count // 2000)
     rare = freq.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).applyInArrow(_trimmed(_prefixes), "doc_id long, gram long")
     rare = durable(rare, "rare")
     least = rare.groupBy("gram").agg(F.min("doc_id").alias("v"), F.count("*").alias("c")).filter("c > 1").select("gram", "v")
