@@ -9,6 +9,10 @@ from lexivec.functions import lexicon as L
 from lexivec.functions.text import term_counts, tokens
 
 
+#: Bytes of a table, counted, up to which it is sent to every task.
+MOST_SENT = 64 << 20
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -31,11 +35,11 @@ def ranked(df: DataFrame, score: str, id_col: str, by: list[str], name: str = "r
 def vector_search(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, id, score, rank: the k nearest chunks of each query (query_id, query_vector).
 
-    A stated set of queries against all rows: the queries are sent to every task, once their number is checked. The
+    A stated set of queries against all rows: the queries are sent to every task, once their bytes are counted. The
     rank filter becomes a limit per task before the shuffle, so only k rows a query and task move.
     """
     q = queries.select("query_id", "query_vector", norm(F.col("query_vector")).alias("_qn"))
-    if q.count() <= 10_000:
+    if (q.agg(F.sum(32 + 8 * F.size("query_vector"))).first()[0] or 0) <= MOST_SENT:
         q = F.broadcast(q)
     c = chunks.filter(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("_v"), norm(F.col(vector)).alias("_n"))
     s = F.coalesce(F.try_divide(dot(F.col("_v"), F.col("query_vector")), F.col("_n") * F.col("_qn")), F.lit(0.0))
@@ -127,7 +131,8 @@ def bm25_top(docs: DataFrame, queries: DataFrame, top_k: int, stemmed: bool = Tr
     Frequencies and lengths are those of docs. Each text is tokenised once; only top_k rows a query and task move at the end. Rows that match nothing score 0.
     """
     q = _query_terms(queries, stemmed)
-    small = q.count() <= 1_000_000
+    # Weights have a few numbers beside the term.
+    small = (q.agg(F.sum(64 + F.octet_length("term"))).first()[0] or 0) <= MOST_SENT
     sent = F.broadcast if small else lambda d: d
     counts = term_counts(docs, ["id"], "text", stemmed)
     length = counts.groupBy("id").agg(F.sum("tf").alias("dl"))

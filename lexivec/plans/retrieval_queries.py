@@ -9,6 +9,8 @@ from lexivec.compat import spread
 from lexivec.functions import lexicon as L
 from lexivec.functions.text import term_counts
 from lexivec.operators import retrieval as R
+from lexivec.operators.inverted_index import InvertedIndex
+from lexivec.operators.vector_index import VectorIndex, recall
 from lexivec.plans import sql as S
 
 EVERY = 100
@@ -83,6 +85,28 @@ def doc_freq_avgdl(spark, sf):
     return counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(length))
 
 
+def vector_index_full(spark, sf):
+    """The index with all lists probed: exact search by blocks."""
+    return VectorIndex.build(_t(spark, sf, "embeddings")).search(_queries(spark, sf), L.TOP_K * L.VECTOR_POOL)
+
+
+def vector_index_recall(spark, sf):
+    """Whether as many probes as are said to find nine in ten rows find them; the number depends on the vectors."""
+    index, q = VectorIndex.build(_t(spark, sf, "embeddings")), _queries(spark, sf)
+    exact = R.vector_search(_t(spark, sf, "embeddings"), q, L.TOP_K * L.VECTOR_POOL)
+    found = index.search(q, L.TOP_K * L.VECTOR_POOL, index.probes_for(q, exact, 0.9))
+    return recall(found, exact).select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
+def bm25_indexed(spark, sf):
+    """The benchmark's texts against a stored index of all documents, written in two batches."""
+    docs, index = _docs(spark, sf).select(F.col("doc_id").alias("id"), "text"), InvertedIndex(spark)
+    for k in range(2):
+        index.append(docs.filter(F.pmod("id", F.lit(2)) == k), str(k))
+    q = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    return index.search(q, L.TOP_K)
+
+
 def bm25_keyword(spark, sf):
     docs = _docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
     q = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
@@ -180,12 +204,15 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_topk, vector_topk_multi, tokenize_tf, doc_freq_avgdl, bm25_keyword, bm25_on_pool, rrf_fusion, hybrid_search, ensemble_rerank, keyword_extract,
-        context_budget, citation_numbers, context_relevance, ir_ndcg, ir_mrr, ir_precision, rank_change,
+        context_budget, citation_numbers, context_relevance, ir_ndcg, ir_mrr, ir_precision, rank_change, vector_index_full, vector_index_recall, bm25_indexed,
     )
 }
 
 ORACLES = {
     "vector_topk": "with q as (select embedding qe from embeddings where vec_id = 0), s as (select vec_id id, round(coalesce(list_cosine_similarity(embedding::double[], qe::double[]), 0), 9) score from embeddings, q) select id, score, row_number() over (order by score desc, id) as rank from s qualify rank <= 10",
+    "vector_index_full": f"with {_VEC} select query_id, id, score, rank from vec",
+    "vector_index_recall": f"with {_VEC} select count(distinct query_id) queries, true enough from vec",
+    "bm25_indexed": f"{_KEYWORD} select query_id, id, score, rank from kw where rank <= {L.TOP_K} and score > 0",
     "vector_topk_multi": f"with {_VEC} select query_id, id, score, rank from vec",
     "tokenize_tf": f"select doc_id, term, count(*) tf from (select doc_id, unnest({S.tokens('text')}) term from documents) group by 1, 2",
     "doc_freq_avgdl": f"with d as (select {S.tokens('text')} terms from documents) select term, count(*) df, (select round(avg(len(terms)), 6) from d) avgdl from (select unnest(list_distinct(terms)) term from d) group by 1",
