@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -33,6 +34,16 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, deleted when the driver ends: what rounds of a loop build on."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/lexivec/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A table as read, dealt out to all cores where its files have fewer parts than there are: for what is dear per row.
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexivec.compat import written
 from lexivec.functions import lexicon as L
 from lexivec.functions.automaton import Seen, with_seen
 from lexivec.functions.text import any_needed, any_of, folded, found, java, needs
@@ -188,21 +189,59 @@ def unverified(answer: Column, context: Column) -> Column:
     return F.filter(F.regexp_extract_all(answer, F.lit(L.CITATION), F.lit(0)), missing)
 
 
+def _openers(times: DataFrame, window_ms: int) -> DataFrame:
+    """u, bucket, t: the times at which windows open, of distinct times (u, bucket, t); bucket: t by the window's length.
+
+    A window opens with the first request after the last one closed. Openers are more than a window apart, so a bucket has
+    one at most, and the next one of a time lies in the next bucket, or is the first time after that. A time that nothing
+    precedes within a window's length opens one in any case; from these the others are reached by pointers to the next
+    opener, whose reach doubles each round.
+    """
+    ends = times.groupBy("u", "bucket").agg(F.min("t").alias("least"), F.max("t").alias("most"))
+    # A row per bucket: the first time of the next bucket that has one.
+    ends = ends.withColumn("then", F.lead("least").over(Window.partitionBy("u").orderBy("bucket")))
+    at = lambda d, shift, *columns: d.select(F.col("u"), (F.col("bucket") + shift).alias("bucket"), *columns)
+    # Within a bucket, times meet those of the next one in order: each asks for the first after it and a window's length.
+    asks = times.select("u", (F.col("bucket") + 1).alias("bucket"), (F.col("t") + window_ms).alias("k"), F.lit(1).alias("kind"), "t")
+    both = asks.union(times.select("u", "bucket", F.col("t").alias("k"), F.lit(0).alias("kind"), "t"))
+    later = Window.partitionBy("u", "bucket").orderBy("k", "kind").rowsBetween(1, Window.unboundedFollowing)
+    found = both.withColumn("to", F.first(F.when(F.col("kind") == 0, F.col("t")), ignorenulls=True).over(later)).filter("kind = 1")
+    # Otherwise the first time of a later bucket: that after the next one if the next has any, else that after its own.
+    found = found.join(at(ends, 0, F.col("then").alias("after_next")), ["u", "bucket"], "left").join(at(ends, 1, F.col("then").alias("after_own")), ["u", "bucket"], "left")
+    next_one = F.when(F.col("after_own") < F.col("bucket") * window_ms, F.lit(None)).otherwise(F.col("after_own"))
+    beyond = F.when(F.floor(next_one / window_ms) > F.col("bucket"), next_one).otherwise(F.col("after_next"))
+    jumps = written(found.select("u", "t", F.coalesce("to", beyond).alias("to")).filter("to is not null"), "jumps")
+    before = F.coalesce(F.lag("t").over(Window.partitionBy("u", "bucket").orderBy("t")), F.col("previous"))
+    fresh = times.join(at(ends, 1, F.col("most").alias("previous")), ["u", "bucket"], "left").withColumn("before", before)
+    reached = written(fresh.filter(F.col("before").isNull() | (F.col("before") < F.col("t") - window_ms)).select("u", "t"), "openers")
+    while True:
+        new = reached.join(jumps, ["u", "t"]).select("u", F.col("to").alias("t")).join(reached, ["u", "t"], "left_anti").distinct()
+        new = written(new, "openers")
+        if new.isEmpty():
+            return reached.select("u", F.floor(F.col("t") / window_ms).alias("bucket"), "t")
+        reached = written(reached.union(new), "openers")
+        far = jumps.select("u", F.col("t").alias("to"), F.col("to").alias("far"))
+        jumps = written(jumps.join(far, ["u", "to"]).select("u", "t", F.col("far").alias("to")), "jumps")
+
+
 def rate_limit(events: DataFrame, most: int = 50, window_ms: int = 60_000) -> DataFrame:
     """user_id, event_id, passed: a window opens with the first request after the last one closed, and lets `most` pass.
 
-    A fold over a user's ordered requests: the order decides, so it can't be split. The state of a fold is two numbers;
-    the requests of one user are one array of one bit and two numbers each.
+    No user's requests meet in one task: they are dealt out by times, window by window. Requests without a time pass, and
+    open nothing; rows that repeat a request are judged alike.
     """
-    e = events.select("user_id", F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id")).alias("e"))
-    d = e.groupBy("user_id").agg(F.sort_array(F.collect_list("e")).alias("es"))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("reset"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(s: Column, e: Column) -> Column:
-        fresh = s["reset"].isNull() | (e["at"] > s["reset"])
-        passed = fresh | (s["n"] < most)
-        n = F.when(fresh, F.lit(1).cast("long")).when(passed, s["n"] + 1).otherwise(s["n"])
-        return F.struct(n.alias("n"), F.when(fresh, e["at"] + window_ms).otherwise(s["reset"]).alias("reset"), F.array_append(s["out"], passed).alias("out"))
-
-    d = d.withColumn("passed", F.aggregate("es", start, step, lambda s: s["out"]))
-    return d.select("user_id", F.explode(F.arrays_zip(F.col("es").alias("e"), F.col("passed").alias("p"))).alias("z")).select("user_id", F.col("z.e.event_id").alias("event_id"), F.col("z.p").alias("passed"))
+    if window_ms < 1 or most < 1:
+        raise ValueError("a window needs a length, and lets one request pass at least")
+    e = events.select("user_id", F.coalesce(F.concat(F.lit("="), F.col("user_id").cast("string")), F.lit("")).alias("u"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "event_id")
+    timed = e.filter("at is not null").withColumn("bucket", F.floor(F.col("at") / window_ms))
+    openers = _openers(written(timed.select("u", "bucket", F.col("at").alias("t")).distinct(), "times"), window_ms)
+    # A window's requests lie in its opener's bucket and the next one.
+    o = openers.select("u", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"), "t")
+    o = o.groupBy("u", "bucket").agg(F.sort_array(F.collect_list("t"), False).alias("ts"))
+    d = timed.join(o, ["u", "bucket"]).withColumn("opened", F.get(F.filter("ts", lambda t: t <= F.col("at")), F.lit(0))).drop("ts")
+    # Only the first requests of a window are ranked; the last one of them tells for all.
+    order = Window.partitionBy("u", "opened").orderBy("at", "event_id")
+    ranked = d.select("u", "opened", "at", "event_id").distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    last = ranked.groupBy("u", "opened").agg(F.max(F.struct("at", "event_id")).alias("last"))
+    d = d.join(last, ["u", "opened"]).select("user_id", "event_id", (F.struct("at", "event_id") <= F.col("last")).alias("passed"))
+    return d.union(e.filter("at is null").select("user_id", "event_id", F.lit(True).alias("passed")))
