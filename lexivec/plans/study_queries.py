@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 from lexivec.functions import lexicon as L
 from lexivec.functions import text as T
 from lexivec.functions.automaton import with_seen
+from lexivec.compat import written
 from lexivec.operators import agent, analysis, guard
+from lexivec.operators import agent_loop as agent_loop_
 from lexivec.operators import chunking as C
 from lexivec.operators import domain as D
 from lexivec.operators import evaluate as E
 from lexivec.plans import sql as S
 from lexivec.plans.retrieval_queries import _VEC, _pool, _queries
 from lexivec.plans.stats_queries import _rounded, _t_crit
-from lexivec.plans.text_queries import _DISTINCT, _KW_SQL, _PII_SQL, _TYPE_SQL, _joined, _norm_sql, _t, _texts
+from lexivec.plans.text_queries import _DISTINCT, _KW_SQL, _PII_SQL, _TYPE_SQL, _docs, _joined, _norm_sql, _t, _texts
 from lexivec.sources import readers
 
 
@@ -165,12 +167,32 @@ def guardrails_run(spark, sf):
     return guard.run_guardrails(d.select((F.col("conv_id") * 1000 + F.col("turn")).alias("event_id"), F.col("conv_id").alias("user_id"), ts.alias("ts"), "text", "answer", F.col("text").alias("context")), 2, 60_000)
 
 
+def agent_loop(spark, sf):
+    """The benchmark's texts as questions to a scripted agent: it looks up as many of their words as the id says, one a step,
+    every second session also how many documents have the word; beyond its steps the answer is synthesised."""
+    q = _t(spark, sf, "benchmark").select(F.col("item_id").alias("session"), F.col("text").alias("query_text"))
+    words = _docs(spark, sf).select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("input"))
+    facts = written(words.groupBy("input").agg(F.min("doc_id").cast("string").alias("first"), F.count("*").cast("string").alias("n")), "words")
+    told = F.concat(F.lit("seen "), F.size(F.filter("observed", lambda o: o["output"].isNotNull())).cast("string"))
+
+    def choose(d):
+        calls = F.when(F.col("session") % 2 == 0, F.array(F.lit("search"), F.lit("count"))).otherwise(F.array(F.lit("search")))
+        more = F.col("step") < F.col("session") % 7
+        word = F.get(F.split(F.lower("query_text"), " "), F.col("step"))
+        d = d.select("session", F.posexplode(F.when(more, calls).otherwise(F.array(F.lit(None).cast("string")))).alias("call", "tool"), F.when(more, word).alias("input"), F.when(~more, told).alias("text"))
+        return d
+
+    tools = {k: lambda c, k=k: c.join(facts, "input").select("session", "call", F.col("first" if k == "search" else "n").alias("output")) for k in ("search", "count")}
+    d = agent_loop_.run(q, choose, tools, synthesise=lambda d: d.select("session", told.alias("text")))
+    return d.select("session", "status", "answer", "n_steps", F.size("citations").cast("long").alias("n_citations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         headings_offsets, typed_sections, document_facts, metadata_bundle, file_titles, rag_vs_plain, rag_vs_plain_unpaired, ablation_rankings, significant_pairs, agentic_latency, grouped_scores,
         comparison_rows, population_variants, output_guard, audit_log, token_metrics, phase_sums, search_tool, sources_text, distinct_contents, tool_results, agent_trace, config_defaults, point_lookup,
-        question_bank, chunk_dispatch, guardrails_run,
+        question_bank, chunk_dispatch, guardrails_run, agent_loop,
     )
 }
 
@@ -204,6 +226,15 @@ _GAIN = "round(rag_mean, 6) rag_mean, round(rag_sd, 6) rag_sd, round(plain_mean,
 _FOUND = f"with {_VEC}, h as (select (query_id // 100) % 10 as session, query_id part, rank, id chunk, score from vec where rank <= 10), f as (select session, chunk, arg_min(part, part * 1000 + rank) part, arg_min(rank, part * 1000 + rank) rank, arg_min(score, part * 1000 + rank) score from h group by 1, 2), n as (select *, row_number() over (partition by session order by part, rank, chunk) citation from f), st as (select session, chunk, citation, part, round(score, 3) score, 'document ' || chunk title, substr(text, 1, 500) || case when length(text) > 500 then '...' else '' end as content from n join documents on doc_id = chunk)"
 
 ORACLES = {
+    "agent_loop": f"""with q as (select item_id session, string_split(lower(text), ' ') ws, item_id % 7 wanted, {S.which('text', L.INJECTION)} <> '' or {S.which('text', L.TOXICITY)} <> '' blocked from benchmark),
+      w as (select word, min(doc_id)::varchar as "first", count(*)::varchar n from (select distinct doc_id, word from (select doc_id, unnest(string_split(lower(text), ' ')) word from documents)) group by 1),
+      s as (select session, unnest(range(0, least(wanted, 5))) step, ws from q where not blocked),
+      c as (select session, ws[step + 1] word from s),
+      o as (select session, "first" as output from c left join w using (word) union all select session, n from c left join w using (word) where session % 2 = 0),
+      p as (select session, count(*) calls, count(output) seen, count(distinct output) n_citations from o group by 1)
+      select session, case when blocked then 'blocked' when wanted < 5 then 'answered' else 'synthesised' end status,
+        case when blocked then 'The question breaks the rules of use and is not answered.' else 'seen ' || coalesce(seen, 0) end answer,
+        case when blocked then 0 else coalesce(calls, 0) + (wanted < 5)::int end n_steps, coalesce(n_citations, 0) n_citations from q left join p using (session)""",
     "headings_offsets": f"with {S.TEXTS}, nt as (select doc_id, replace(coalesce(text, ''), chr(1), ' ') t from texts), {_placed_sql('nt', _HEADING_RULES)}, h as (select *, {S.strip(f'coalesce({_group_sql(_HEADING_RULES[:3])}, v)')} heading from u) select doc_id, heading, arg_min(st, ord::bigint * 1000000000 + st) as \"offset\" from h where heading <> '' group by 1, 2",
     "typed_sections": f"with {_SECTIONS} select * from ts",
     "document_facts": f"with {S.TEXTS} select doc_id, {_ABSTRACT} abstract, {S.matches('text', L.TABLE_HEADER, True)} or len(regexp_extract_all(text, {S.q(L.NUMBERED_ROW)})) > {L.NUMBERED_ROWS} has_table from texts",
