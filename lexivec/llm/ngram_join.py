@@ -140,18 +140,19 @@ def _occurrences(batches, fragments: int):
         twice = n[inverse] > 1
         per = np.bincount(owner[twice], minlength=len(sets))
         held = np.flatnonzero(per)
-        out = [(-1 - int(ids[0] % fragments), ids[held].tobytes(), per[held].astype(np.uint32).tobytes(), b"", b"")]
+        group = int(ids[0])
+        out = [(-1 - group % fragments, group, ids[held].tobytes(), per[held].astype(np.uint32).tobytes(), b"", b"")]
         once = {f: x.astype(np.uint32) for f, _, x in _by_fragment(first[n > 1], h[first[n > 1]], fragments)}
         for f, own, x in _by_fragment(owner[~twice], h[~twice], fragments):
             docs, counts = np.unique(own, return_counts=True)
-            out.append((f, ids[docs].tobytes(), counts.astype(np.uint32).tobytes(), x.astype(np.uint32).tobytes(), once.pop(f, np.empty(0, np.uint32)).tobytes()))
-        out += [(f, b"", b"", b"", x.tobytes()) for f, x in once.items()]
+            out.append((f, group, ids[docs].tobytes(), counts.astype(np.uint32).tobytes(), x.astype(np.uint32).tobytes(), once.pop(f, np.empty(0, np.uint32)).tobytes()))
+        out += [(f, group, b"", b"", b"", x.tobytes()) for f, x in once.items()]
         columns = list(zip(*out))
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["fragment", "ids", "counts", "grams", "settled"])
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[2:]]], names=["fragment", "grp", "ids", "counts", "grams", "settled"])
 
 
 _SEGMENT = "fragment int, ids binary, sizes binary, counts binary, grams binary"
-_OCCURRENCE = "fragment int, ids binary, counts binary, grams binary, settled binary"
+_OCCURRENCE = "fragment int, grp long, ids binary, counts binary, grams binary, settled binary"
 
 
 def _joined(t: pa.Table, column: str, kind) -> np.ndarray:
@@ -159,18 +160,30 @@ def _joined(t: pa.Table, column: str, kind) -> np.ndarray:
 
 
 def _repeated_counts(t: pa.Table) -> pa.Table:
-    """doc_id and how many n-grams of its segment occur in a document of another group too, or are known to repeat."""
+    """Per group of documents, as blobs: their ids, and how many n-grams of their segments occur in a document of another
+    group too, or are known to repeat."""
     grams, counts, ids = _joined(t, "grams", np.uint32), _joined(t, "counts", np.uint32), _joined(t, "ids", np.int64)
     if t.column("fragment")[0].as_py() < 0:
-        return pa.table({"doc_id": pa.array(ids), "repeated": pa.array(counts.astype(np.int64))})
-    ordered = np.sort(np.concatenate([grams, _joined(t, "settled", np.uint32)]))
-    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    if len(twice) and len(counts):
-        at = np.minimum(np.searchsorted(twice, grams), len(twice) - 1)
-        per = np.add.reduceat((twice[at] == grams).astype(np.int64), np.cumsum(counts, dtype=np.int64) - counts)
+        per = counts
     else:
-        per = np.zeros(len(counts), np.int64)
-    return pa.table({"doc_id": pa.array(ids), "repeated": pa.array(per)}).filter(pa.array(per > 0))
+        ordered = np.sort(np.concatenate([grams, _joined(t, "settled", np.uint32)]))
+        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        if len(twice) and len(counts):
+            at = np.minimum(np.searchsorted(twice, grams), len(twice) - 1)
+            per = np.add.reduceat((twice[at] == grams).astype(np.uint32), np.cumsum(counts, dtype=np.int64) - counts)
+        else:
+            per = np.zeros(len(counts), np.uint32)
+    some = per > 0
+    ends = np.cumsum([len(x.as_py()) // 8 for x in t.column("ids")])
+    out = [(g, ids[lo:hi][some[lo:hi]].tobytes(), per[lo:hi][some[lo:hi]].astype(np.uint32).tobytes()) for g, lo, hi in zip(t.column("grp").to_pylist(), np.append(0, ends[:-1]).tolist(), ends.tolist()) if some[lo:hi].any()]
+    columns = list(zip(*out)) if out else [[]] * 3
+    return pa.table({"grp": pa.array(columns[0], pa.int64()), "ids": pa.array(columns[1], pa.binary()), "counts": pa.array(columns[2], pa.binary())})
+
+
+def _summed_counts(t: pa.Table) -> pa.Table:
+    """doc_id, repeated of a group of documents, summed over the fragments."""
+    ids, inverse = np.unique(_joined(t, "ids", np.int64), return_inverse=True)
+    return pa.table({"doc_id": pa.array(ids), "repeated": pa.array(np.bincount(inverse, _joined(t, "counts", np.uint32), len(ids)).astype(np.int64))})
 
 
 def _frequencies(t: pa.Table) -> pa.Table:
@@ -414,8 +427,8 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     others = reps.filter("doc_id != rep or n = 0").select(F.col("doc_id").alias("_id"))
     first = mine.join(hinted(others, 16), F.col("doc_id") == F.col("_id"), "left_anti")
     seen = first.mapInArrow(lambda it: _occurrences(it, wide), _OCCURRENCE)
-    rep = seen.groupBy("fragment").applyInArrow(_trimmed(_repeated_counts), "doc_id long, repeated long")
-    rep = rep.groupBy("doc_id").agg(F.sum("repeated").alias("repeated"))
+    rep = seen.groupBy("fragment").applyInArrow(_trimmed(_repeated_counts), "grp long, ids binary, counts binary")
+    rep = rep.groupBy("grp").applyInArrow(_summed_counts, "doc_id long, repeated long")
     left = durable(rep.join(reps.select("doc_id", "n"), "doc_id").filter(100 * F.col("repeated") >= PERCENT * F.col("n")).select("doc_id", "n"), "searched")
     count, searched = left.agg(F.count("*"), F.sum("n")).first()
     fragments = max(8, -(-(searched or 0) // PER_FRAGMENT))
