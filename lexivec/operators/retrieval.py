@@ -245,6 +245,18 @@ def citation_numbers(hits: DataFrame) -> DataFrame:
     return first.select("session", "chunk", F.row_number().over(Window.partitionBy("session").orderBy("seq", "chunk")).cast("long").alias("citation"))
 
 
+def citations_between(events: DataFrame) -> DataFrame:
+    """session, epoch, chunk, citation: chunks numbered by their first appearance since their session was last cleared.
+
+    events: (session, seq, chunk, clear); a row with `clear` ends an epoch and names no chunk.
+    """
+    cleared = F.coalesce(F.col("clear").cast("int"), F.lit(0))
+    d = events.withColumn("epoch", F.sum(cleared).over(Window.partitionBy("session").orderBy("seq", "chunk").rowsBetween(Window.unboundedPreceding, 0)))
+    first = d.filter((cleared == 0) & F.col("chunk").isNotNull()).groupBy("session", "epoch", "chunk").agg(F.min("seq").alias("seq"))
+    number = F.row_number().over(Window.partitionBy("session", "epoch").orderBy("seq", "chunk")).cast("long")
+    return first.select("session", "epoch", "chunk", number.alias("citation"))
+
+
 def context_relevance(contexts: DataFrame, truths: DataFrame) -> DataFrame:
     """query_id, relevance: share of a query's contexts that contain 30 % of the truth's words of five letters or more."""
     w = truths.select("query_id", F.filter(F.split(F.lower("truth"), r"\s+"), lambda t: F.length(t) > 4).alias("words"))
