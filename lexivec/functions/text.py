@@ -161,6 +161,27 @@ def stem(word: Column) -> Column:
     return F.regexp_replace(cut, rf"^(?:{'|'.join(L.PREFIXES)})(.{{3,}})$", "$1")
 
 
+def without_suffix(word: Column) -> Column:
+    """The word without its longest suffix that leaves three characters, in compiled code; see `stem`."""
+    out = word
+    for x in sorted(L.SUFFIXES, key=len):
+        out = F.when(word.endswith(x) & (F.length(word) >= 3 + len(x)), F.substring(word, F.lit(1), F.length(word) - len(x))).otherwise(out)
+    return out
+
+
+def without_prefix(word: Column) -> Column:
+    """The word without the first prefix of the list that leaves three characters, in compiled code; see `stem`."""
+    out = word
+    for x in reversed(L.PREFIXES):
+        out = F.when(word.startswith(x) & (F.length(word) >= 3 + len(x)), F.substring(word, len(x) + 1, 2**31 - 1)).otherwise(out)
+    return out
+
+
+def with_stems(df: DataFrame, word: str, to: str) -> DataFrame:
+    """df with the stems of a column of words, as `stem` gives them; each half in a projection of its own, as it is used often."""
+    return df.withColumn("_cut", without_suffix(F.col(word))).withColumn(to, without_prefix(F.col("_cut"))).drop("_cut")
+
+
 def tokens(text: Column, stemmed: bool = True) -> Column:
     """Lower-case words of three letters or more that are no stop words, stemmed if asked."""
     clean = F.regexp_replace(F.lower(text), r"[^A-Za-z0-9_\sÀ-ɏ]", " ")
@@ -173,13 +194,13 @@ def token_rows(df: DataFrame, text: str = "text", to: str = "term", stemmed: boo
     rest = [c for c in df.columns if c != text]
     clean = F.regexp_replace(F.lower(F.col(text)), r"[^A-Za-z0-9_\sÀ-ɏ]", " ")
     d = df.select(*rest, F.explode(F.split(clean, r"\s+")).alias(to)).filter((F.length(to) > 2) & ~F.col(to).isin(L.STOP_WORDS))
-    return d.withColumn(to, stem(F.col(to))) if stemmed else d
+    return with_stems(d, to, to) if stemmed else d
 
 
 def term_counts(df: DataFrame, by: list[str], text: str = "text", stemmed: bool = True) -> DataFrame:
     """by, term, tf: how often each term occurs in each text. Words are counted before they are stemmed, so a word is once."""
     words = token_rows(df.select(*by, text), text, "term", False).groupBy(*by, "term").agg(F.count("*").alias("tf"))
-    return words.groupBy(*by, stem(F.col("term")).alias("term")).agg(F.sum("tf").alias("tf")) if stemmed else words
+    return with_stems(words, "term", "term").groupBy(*by, "term").agg(F.sum("tf").alias("tf")) if stemmed else words
 
 
 def sentences(text: Column) -> Column:

@@ -89,3 +89,12 @@ def test_places_of_many_matches(spark):
     assert [x["start"] for x in row["s"]] == [3 * k + 1 for k in range(20_000)] and {x["value"] for x in row["s"]} == {"1"}
     (row,) = spark.createDataFrame([("none",)], "t string").select(T.spans(F.col("t"), "[0-9]").alias("s"), T.spans(F.lit(None).cast("string"), "a").alias("n")).collect()
     assert row["s"] == [] and row["n"] is None
+
+
+def test_stems_in_compiled_code_equal_the_pattern(spark):
+    r = random.Random(12)
+    parts = [*L.SUFFIXES, *L.PREFIXES, "ka", "n", "i", "sa", "é", "12"]
+    words = sorted({"".join(r.choice(parts) for _ in range(r.randrange(1, 6))) for _ in range(4000)})
+    d = spark.createDataFrame([(w,) for w in words], "w string")
+    got = T.with_stems(d, "w", "s").select("w", "s", T.stem(F.col("w")).alias("p")).collect()
+    assert [x["w"] for x in got if x["s"] != x["p"]] == [] and sum(x["s"] != x["w"] for x in got) > 1000
