@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import durable, hinted, salted_join, shared_dir, table, with_python
+from lexivec.llm.common import durable, hinted, salted_join, shared_dir, with_python
 
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -246,7 +246,8 @@ def page_of(urn: Column) -> Column:
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lexivec/archive-{uuid.uuid4().hex}"
-    write_archive(table(spark, sf_dir, "pages"), path)
+    # Read as it is: rows that are dealt out anew may come in another order when read again.
+    write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     c = assemble(read_records(spark, path))
     return c.select(
         page_of(F.col("record_id")).alias("page_id"),
