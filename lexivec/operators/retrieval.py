@@ -115,11 +115,21 @@ def combine(vector: DataFrame, keyword: DataFrame, strategy: str = "hybrid", k:
     return d.select("query_id", "id", F.coalesce("vector_score", F.lit(0.0)).alias("vector_score"), F.coalesce("bm25_score", F.lit(0.0)).alias("bm25_score"), fused.alias("fused"))
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int = L.TOP_K, min_score: float = L.MIN_SCORE, strategy: str = "hybrid") -> DataFrame:
+def of_completed(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """The chunks (document_id, ...) of documents (doc_id, processing_status) that are completely processed.
+
+    Chunks of documents that are unknown, still in work, or failed are no candidates of any search.
+    """
+    done = documents.filter("processing_status = 'completed'").select(F.col("doc_id").alias("_done"))
+    return chunks.join(done, F.col("document_id") == F.col("_done"), "left_semi")
+
+
+def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int = L.TOP_K, min_score: float = L.MIN_SCORE, strategy: str = "hybrid", documents: DataFrame | None = None) -> DataFrame:
     """query_id, id, vector_score, bm25_score, fused, rank: vector pool, BM25 on it, fusion, floor, top k.
 
-    chunks: id, text, embedding; queries: query_id, query_text, query_vector.
+    chunks: id, text, embedding; queries: query_id, query_text, query_vector. documents: with it, only chunks `of_completed`.
     """
+    chunks = chunks if documents is None else of_completed(chunks, documents)
     pool = vector_search(chunks.withColumnRenamed("id", "vec_id"), queries, top_k * L.VECTOR_POOL)
     d = combine(pool, bm25(pool, queries, texts=chunks.select("id", "text")), strategy)
     return ranked(d, "fused", "id", ["query_id"]).filter((F.col("rank") <= top_k) & (F.col("fused") >= min_score))

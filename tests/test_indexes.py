@@ -107,3 +107,11 @@ def test_documents_of_the_table(spark):
     q = spark.read.parquet(f"{SF}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     got = rows(I.InvertedIndex(spark).append(d).search(q, 10))
     assert got == [x for x in rows(R.bm25_top(d, q, 10)) if x[3] > 0]
+
+
+def test_only_completed_documents_are_searched(spark):
+    chunks = spark.createDataFrame([(k, f"alpha word{k}", [1.0, float(k)], f"d{k % 4}") for k in range(12)], "id long, text string, embedding array<double>, document_id string")
+    documents = spark.createDataFrame([("d0", "completed"), ("d1", "processing"), ("d2", "failed"), ("d9", "completed")], "doc_id string, processing_status string")
+    q = spark.createDataFrame([(1, "alpha", [1.0, 5.0])], "query_id long, query_text string, query_vector array<double>")
+    every, some = (sorted(r["id"] for r in R.hybrid(chunks, q, 20, 0.0, documents=d).collect()) for d in (None, documents))
+    assert every == list(range(12)) and some == [0, 4, 8]
