@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from lexivec.compat import shared_folder, ship_package
 from lexivec.operators.retrieval import ranked
 
+#: Bytes of vectors that centroids are fitted on, at most about.
+SAMPLE_BYTES = 128 << 20
 #: Rows that centroids are fitted on, at most about; rounds of fitting; most lists; rows of a list that meet in one task.
 SAMPLE, ROUNDS, MOST_LISTS, PER_PART = 65_536, 12, 4_096, 50_000
 #: Numbers of a block of scores.
@@ -65,13 +67,14 @@ class VectorIndex:
 
     @classmethod
     def build(cls, chunks: DataFrame, path: str | None = None, lists: int | None = None, sample: int = SAMPLE, id_col: str = "vec_id", vector: str = "embedding") -> VectorIndex:
-        """Fits centroids on about `sample` rows, told by hashes of their ids, and writes all rows of chunks that have a vector.
+        """Fits centroids on about `sample` rows (fewer if wide), told by hashes of their ids, and writes all rows of chunks that have a vector.
 
         lists: how many; by default the root of the number of rows, up to 4,096.
         """
         spark = chunks.sparkSession
         d = chunks.filter(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-        n = d.count()
+        n, width = d.agg(F.count("*"), F.max(F.size("vector"))).first()
+        sample = max(1, min(sample, SAMPLE_BYTES // (8 * max(1, width or 1))))
         share = min(1.0, sample / max(1, n))
         some = d.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * sample).select("vector").toArrow().column(0)
         m = _matrix(some)
