@@ -193,10 +193,10 @@ def _pair_at(query: Column, k: Column, n: Column, seed: int) -> Column:
     return F.struct(F.least(at(1), at(2)).alias("x"), F.greatest(at(1), at(2)).alias("y"))
 
 
-def tournament(passages: DataFrame, seed: int = 42) -> DataFrame:
-    """query_id, id, tournament: wins over the most wins in min(2n, 20) drawn pairs, by score; without wins the score itself.
+def tournament_pairs(passages: DataFrame, seed: int = 42) -> DataFrame:
+    """query_id, x, xs, y, ys: min(2n, 20) drawn pairs of each query's passages (query_id, id, score), with their scores.
 
-    passages: query_id, id, score. A pair's draw is a hash of its ids and the seed, so it repeats.
+    A pair's draw is a hash of its ids and the seed, so it repeats.
     """
     n = F.count("*").over(Window.partitionBy("query_id"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("id")) - 1
@@ -211,14 +211,25 @@ def tournament(passages: DataFrame, seed: int = 42) -> DataFrame:
     games = F.when(all_pairs <= 4 * TOURNAMENT_PAIRS, shuffled(few)).otherwise(drawn)
     q = p.filter("n > 1").select("query_id", "n").distinct().select("query_id", F.explode(F.slice(games, 1, wanted)).alias("g")).select("query_id", "g.x", "g.y")
     at = lambda k, i, v: p.select("query_id", F.col("place").alias(k), F.col("id").alias(i), F.col("score").alias(v))
-    pairs = q.join(at("x", "xi", "xs"), ["query_id", "x"]).join(at("y", "yi", "ys"), ["query_id", "y"]).select("query_id", F.col("xi").alias("x"), "xs", F.col("yi").alias("y"), "ys")
-    # Equal scores (ties) go to the smaller id.
-    wins = pairs.select("query_id", F.when(F.col("xs") >= F.col("ys"), F.col("x")).otherwise(F.col("y")).alias("id")).groupBy("query_id", "id").agg(F.count("*").alias("wins"))
-    d = p.join(wins, ["query_id", "id"], "left").withColumn("wins", F.coalesce("wins", F.lit(0)))
+    return q.join(at("x", "xi", "xs"), ["query_id", "x"]).join(at("y", "yi", "ys"), ["query_id", "y"]).select("query_id", F.col("xi").alias("x"), "xs", F.col("yi").alias("y"), "ys")
+
+
+def tournament_scores(passages: DataFrame, won: DataFrame) -> DataFrame:
+    """query_id, id, tournament: wins (query_id, id, a row each) over the most wins of the query; without wins the passage's
+    own score, and 1 for a query's only passage."""
+    wins = won.groupBy("query_id", "id").agg(F.count("*").alias("wins"))
+    d = passages.withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
+    d = d.join(wins, ["query_id", "id"], "left").withColumn("wins", F.coalesce("wins", F.lit(0)))
     most = F.greatest(F.max("wins").over(Window.partitionBy("query_id")), F.lit(1))
     return d.select("query_id", "id", F.when(F.col("n") <= 1, 1.0).when(F.col("wins") == 0, F.col("score")).otherwise(F.col("wins") / most).alias("tournament"))
 
 
+def tournament(passages: DataFrame, seed: int = 42) -> DataFrame:
+    """query_id, id, tournament of `tournament_scores`, where the higher score wins a drawn pair, and ties the smaller id."""
+    won = tournament_pairs(passages, seed).select("query_id", F.when(F.col("xs") >= F.col("ys"), F.col("x")).otherwise(F.col("y")).alias("id"))
+    return tournament_scores(passages, won)
+
+
 def context(results: DataFrame, tokens_of: Column, max_tokens: int = L.CONTEXT_TOKENS, top_k: int = L.CONTEXT_TOP_K) -> DataFrame:
     """Rows of each query, best first, up to the first that would overflow the budget, with their running sum.
 

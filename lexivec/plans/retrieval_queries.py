@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexivec.compat import spread
 from lexivec.functions import lexicon as L
 from lexivec.functions.text import term_counts
+from lexivec.operators import reranking as K
 from lexivec.operators import retrieval as R
 from lexivec.operators.inverted_index import InvertedIndex
 from lexivec.operators.vector_index import VectorIndex, recall
@@ -137,6 +138,30 @@ def ensemble_rerank(spark, sf):
     return R.rerank(d, "ensemble").select("query_id", "id", "ensemble", "new_rank")
 
 
+def _scripted_judge():
+    """A judge that says something about a prompt's length, in each of the forms that are read, and fails on every fifth."""
+
+    def judge(rows):
+        lengths = [len(p) for _, p in rows]
+        if any(n % 5 == 0 for n in lengths):
+            raise RuntimeError("no reply")
+        return ["none" if n % 5 == 1 else f"a score of 0.{n % 10}" if n % 5 == 2 else f'{{"score": 0.{n % 100:02d}, "reasoning": "length"}}' for n in lengths]
+
+    return judge
+
+
+def _passages(spark, sf):
+    """The ten nearest documents of the stated queries, with the texts of both."""
+    d = _t(spark, sf, "documents")
+    p = _pool(spark, sf).filter("rank <= 10").join(d.select(F.col("doc_id").alias("id"), "text"), "id")
+    return p.join(d.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text")), "query_id")
+
+
+def judged_rerank(spark, sf):
+    d = K.reranked(_passages(spark, sf), "llm", judge=_scripted_judge, top_k=L.RERANK_TOP_K, wait=0.0)
+    return d.select("query_id", "id", F.round("rerank_score", 9).alias("rerank_score"), "reasoning", F.col("new_rank"))
+
+
 def keyword_extract(spark, sf):
     return R.top_keywords(_docs(spark, sf))
 
@@ -204,7 +229,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_topk, vector_topk_multi, tokenize_tf, doc_freq_avgdl, bm25_keyword, bm25_on_pool, rrf_fusion, hybrid_search, ensemble_rerank, keyword_extract,
-        context_budget, citation_numbers, context_relevance, ir_ndcg, ir_mrr, ir_precision, rank_change, vector_index_full, vector_index_recall, bm25_indexed,
+        context_budget, citation_numbers, context_relevance, ir_ndcg, ir_mrr, ir_precision, rank_change, judged_rerank, vector_index_full, vector_index_recall, bm25_indexed,
     )
 }
 
@@ -221,6 +246,10 @@ ORACLES = {
     "rrf_fusion": f"{_HYBRID} select query_id, id, fused from fus",
     "hybrid_search": f"{_HYBRID_CHUNKS} select query_id, id, vector_score, bm25_score, fused, rank from top where rank <= {L.TOP_K} and fused >= {L.MIN_SCORE}",
     "ensemble_rerank": f"with {_VEC}, e as (select query_id, id, round((0.4::double * (1.0::double / rank) + 0.4::double * least(1, greatest(0, 1 - 0.1::double * (rank - 1))) + 0.2::double * score) / 1.0::double, 6) ensemble from vec), n as (select *, row_number() over (partition by query_id order by ensemble desc, id) new_rank from e where ensemble >= {L.RERANK_MIN_SCORE}) select * from n where new_rank <= {L.RERANK_TOP_K}",
+    "judged_rerank": f"""with {_VEC}, p as (select v.query_id, v.id, v.score, q.text query_text, d.text from vec v join documents d on d.doc_id = v.id join documents q on q.doc_id = v.query_id where rank <= 10),
+      n as (select *, length(query_text) + length(text) + {len("Question: " + chr(10) * 2 + "Passage: " + K.REPLY_JSON)} n from p),
+      s as (select query_id, id, round(case when n % 5 in (0, 1) or n is null then score when n % 5 = 2 then (n % 10) / 10.0::double else (n % 100) / 100.0::double end, 9) rerank_score, case when n % 5 > 2 then 'length' end reasoning from n)
+      select *, row_number() over (partition by query_id order by rerank_score desc, id) new_rank from s where rerank_score >= {L.RERANK_MIN_SCORE} qualify new_rank <= {L.RERANK_TOP_K}""",
     "keyword_extract": f"with t as (select doc_id, terms, unnest(range(1, len(terms) + 1)) i from (select doc_id, {S.tokens('text')} terms from documents)), c as (select doc_id, terms[i] term, count(*) n, min(i) f from t group by 1, 2) select doc_id, term, n, row_number() over (partition by doc_id order by n desc, f) as rank from c qualify rank <= 50",
     "context_budget": f"{_HYBRID_CHUNKS}, c as (select query_id, id, rank, ceil(length(text) / 4.0)::bigint tokens from top join documents on doc_id = id where rank <= {L.CONTEXT_TOP_K} and fused >= {L.MIN_SCORE}) select *, (sum(tokens) over (partition by query_id order by rank))::bigint total_tokens from c qualify total_tokens <= 1000",
     "citation_numbers": "with f as (select user_id session, (json_extract_string(props, '$.k')::bigint % 20) chunk, min(event_id) seq from events group by 1, 2) select session, chunk, row_number() over (partition by session order by seq, chunk) citation from f",
