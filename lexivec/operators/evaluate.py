@@ -46,27 +46,28 @@ def best_of(results: DataFrame, name: str, metric: str, least: bool = False) ->
     return results.agg(F.max_by(name, key).alias("best"), (F.min(metric) if least else F.max(metric)).alias("value"))
 
 
-# Ablation configurations: name, retrieval, reranker, chunking, agentic, guardrails.
+# Ablation configurations: name, retrieval, reranker, chunking, agentic, guardrails, top_k, language.
 ABLATIONS = (
-    ("baseline_no_rag", "none", "none", "recursive", False, False),
-    ("vector_only", "vector", "none", "recursive", False, False),
-    ("bm25_only", "keyword", "none", "recursive", False, False),
-    ("hybrid_no_rerank", "hybrid", "none", "recursive", False, False),
-    ("hybrid_cross_encoder", "hybrid", "cross_encoder", "recursive", False, False),
-    ("hybrid_llm_rerank", "hybrid", "llm", "recursive", False, False),
-    ("hybrid_ensemble_rerank", "hybrid", "ensemble", "recursive", False, False),
-    ("semantic_chunking", "hybrid", "cross_encoder", "semantic", False, False),
-    ("sentence_window", "hybrid", "cross_encoder", "sentence_window", False, False),
-    ("hierarchical_chunking", "hybrid", "cross_encoder", "hierarchical", False, False),
-    ("agentic_mode", "hybrid", "cross_encoder", "recursive", True, False),
-    ("full_system", "hybrid", "ensemble", "semantic", True, True),
-    ("indonesian_optimized", "hybrid", "ensemble", "semantic", False, True),
+    ("baseline_no_rag", "none", "none", "recursive", False, False, 5, "auto"),
+    ("vector_only", "vector", "none", "recursive", False, False, 5, "auto"),
+    ("bm25_only", "keyword", "none", "recursive", False, False, 5, "auto"),
+    ("hybrid_no_rerank", "hybrid", "none", "recursive", False, False, 5, "auto"),
+    ("hybrid_cross_encoder", "hybrid", "cross_encoder", "recursive", False, False, 5, "auto"),
+    ("hybrid_llm_rerank", "hybrid", "llm", "recursive", False, False, 5, "auto"),
+    ("hybrid_ensemble_rerank", "hybrid", "ensemble", "recursive", False, False, 5, "auto"),
+    ("semantic_chunking", "hybrid", "ensemble", "semantic", False, False, 5, "auto"),
+    ("sentence_window", "hybrid", "ensemble", "sentence_window", False, False, 5, "auto"),
+    ("hierarchical_chunking", "hybrid", "ensemble", "hierarchical", False, False, 5, "auto"),
+    ("agentic_mode", "hybrid", "ensemble", "recursive", True, False, 5, "auto"),
+    ("full_system", "hybrid", "ensemble", "semantic", True, True, 5, "auto"),
+    ("indonesian_optimized", "hybrid", "ensemble", "semantic", True, True, 7, "id"),
 )
 
 
-def ablation_configs(spark) -> DataFrame:
-    rows = ", ".join(f"({k}, '{n}', '{r}', '{x}', '{c}', {str(a).lower()}, {str(g).lower()})" for k, (n, r, x, c, a, g) in enumerate(ABLATIONS))
-    return spark.sql(f"select * from values {rows} as v(ord, name, retrieval, reranker, chunking, agentic, guardrails)")
+def ablation_configs(spark, configs: tuple = ABLATIONS) -> DataFrame:
+    """ord and the columns of the configurations, a row each."""
+    rows = ", ".join(f"({k}, '{n}', '{r}', '{x}', '{c}', {str(a).lower()}, {str(g).lower()}, {t}, '{lang}')" for k, (n, r, x, c, a, g, t, lang) in enumerate(configs))
+    return spark.sql(f"select * from values {rows} as v(ord, name, retrieval, reranker, chunking, agentic, guardrails, top_k, language)")
 
 
 #: Judged metrics and what a judge's unreadable reply counts as.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from lexivec.functions import lexicon as L
@@ -13,10 +15,13 @@ from lexivec.operators import agent_loop as agent_loop_
 from lexivec.operators import chunking as C
 from lexivec.operators import domain as D
 from lexivec.operators import evaluate as E
+from lexivec.operators.agent_loop import BLOCKED
 from lexivec.plans import sql as S
-from lexivec.plans.retrieval_queries import _VEC, _pool, _queries
+from lexivec.plans import study
+from lexivec.plans.retrieval_queries import _FUSED, _KEYWORD, _VEC, EVERY, _bm25_sql, _chunks, _pool, _queries
 from lexivec.plans.stats_queries import _rounded, _t_crit
 from lexivec.plans.text_queries import _DISTINCT, _KW_SQL, _PII_SQL, _TYPE_SQL, _docs, _joined, _norm_sql, _t, _texts
+from lexivec.providers import overlap
 from lexivec.sources import readers
 
 
@@ -145,6 +150,30 @@ def config_defaults(spark, sf):
     return E.with_defaults(names, E.ablation_configs(spark), "name", {"retrieval": "hybrid", "reranker": "none", "agentic": False})
 
 
+def _study(spark, sf):
+    """Questions, found contexts of the thirteen configurations: the stated queries, which an agent splits in half, over all
+    documents as the chunks of every strategy."""
+    q = _queries(spark, sf).filter("query_text is not null and query_vector is not null").select("query_id", "query_text", "query_vector")
+    words = F.split("query_text", " ")
+    half = F.ceil(F.size(words) / 2).cast("int")
+    halves = F.array(F.slice(words, F.lit(1), half), F.slice(words, half + 1, F.greatest(F.size(words) - half, F.lit(0))))
+    parts = q.select("query_id", F.posexplode(F.transform(halves, lambda h: F.array_join(h, " "))).alias("part", "query_text"), "query_vector")
+    chunks = _chunks(spark, sf).filter("embedding is not null").select("id", "text", "embedding")
+    return q, study.contexts(q, dict.fromkeys(("recursive", "semantic", "sentence_window", "hierarchical"), chunks), parts=parts)
+
+
+def ablation_contexts(spark, sf):
+    return _study(spark, sf)[1].select("ord", "query_id", "place", "id", "score")
+
+
+def ablation_runs(spark, sf):
+    """The best context is the answer, and the plain model repeats the question; answers are held against the question's text."""
+    q, found = _study(spark, sf)
+    answer = lambda d: d.withColumn("answer", F.when(F.col("retrieval") == "none", F.col("query_text")).otherwise(F.get("contexts", F.lit(0))))
+    score = lambda d: d.withColumn("score", overlap(F.col("answer"), F.col("query_text")))
+    return _rounded(study.run(q, written(found, "contexts"), answer, score).select("name", "questions", "failed", "score"))
+
+
 def point_lookup(spark, sf):
     return readers.by_key(_t(spark, sf, "documents"), "doc_id", 100).select("doc_id", "lang", "n_chars")
 
@@ -191,7 +220,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         headings_offsets, typed_sections, document_facts, metadata_bundle, file_titles, rag_vs_plain, rag_vs_plain_unpaired, ablation_rankings, significant_pairs, agentic_latency, grouped_scores,
-        comparison_rows, population_variants, output_guard, audit_log, token_metrics, phase_sums, search_tool, sources_text, distinct_contents, tool_results, agent_trace, config_defaults, point_lookup,
+        comparison_rows, population_variants, output_guard, audit_log, token_metrics, phase_sums, search_tool, sources_text, distinct_contents, tool_results, agent_trace, config_defaults, ablation_contexts, ablation_runs, point_lookup,
         question_bank, chunk_dispatch, guardrails_run, agent_loop,
     )
 }
@@ -225,7 +254,35 @@ _DESCRIBED = "count({x}) {n}_n, avg({x}) {n}_mean, stddev_samp({x}) {n}_sd"
 _GAIN = "round(rag_mean, 6) rag_mean, round(rag_sd, 6) rag_sd, round(plain_mean, 6) plain_mean, round(plain_sd, 6) plain_sd, rag_n, plain_n, round(rag_mean - plain_mean, 6) improvement, round(case when plain_mean <> 0 then (rag_mean - plain_mean) / plain_mean * 100 else 0 end, 6) improvement_pct, round(t, 6) t, round(d, 6) d"
 _FOUND = f"with {_VEC}, h as (select (query_id // 100) % 10 as session, query_id part, rank, id chunk, score from vec where rank <= 10), f as (select session, chunk, arg_min(part, part * 1000 + rank) part, arg_min(rank, part * 1000 + rank) rank, arg_min(score, part * 1000 + rank) score from h group by 1, 2), n as (select *, row_number() over (partition by session order by part, rank, chunk) citation from f), st as (select session, chunk, citation, part, round(score, 3) score, 'document ' || chunk title, substr(text, 1, 500) || case when length(text) > 500 then '...' else '' end as content from n join documents on doc_id = chunk)"
 
+#: Most chunks that a configuration looks at.
+_LOOK = max(c[6] * (1 if c[2] == "none" else 2) for c in E.ABLATIONS)
+_CONFIGS = ", ".join(f"({k}, '{c[0]}', '{c[1]}', '{c[2]}', {str(c[4]).lower()}, {str(c[5]).lower()}, {c[6]})" for k, c in enumerate(E.ABLATIONS))
+#: BM25 of all chunks under all searches, from the SQL of keyword search.
+_ALL_BM25 = re.sub(r"\b(sc|bz|bm)\b", r"all_\1", _KEYWORD.removeprefix("with bq as (select item_id query_id, text query_text from benchmark),")).replace("bq", "asked").replace("doc_id id", "id").replace("from documents", "from ch")
+_BOTH = "len(list_intersect(x, y))"
+_STUDY = f"""with cfg(ord, name, retrieval, reranker, agentic, guardrails, top_k) as (values {_CONFIGS}),
+  qs as (select vec_id q, text t, string_split(text, ' ') ws, embedding qe, {S.which('text', L.INJECTION)} <> '' or {S.which('text', L.TOXICITY)} <> '' blocked from embeddings join documents on doc_id = vec_id where vec_id % {EVERY} = 0 and text is not null and embedding is not null),
+  asked as (select q || ':-1' query_id, q, -1 part, t query_text, qe, true plain, blocked from qs union all select q || ':0', q, 0, array_to_string(ws[1:(len(ws) + 1) // 2], ' '), qe, false, blocked from qs
+    union all select q || ':1', q, 1, array_to_string(ws[(len(ws) + 1) // 2 + 1:], ' '), qe, false, blocked from qs),
+  ch as (select vec_id id, text, embedding from embeddings join documents on doc_id = vec_id where embedding is not null),
+  sim as (select query_id, id, round(coalesce(list_cosine_similarity(embedding::double[], qe::double[]), 0), 9) score from ch, asked),
+  vec as (select *, row_number() over (partition by query_id order by score desc, id) as rank from sim qualify rank <= {_LOOK * L.VECTOR_POOL}),
+  pool as (select query_id, id, text from vec join ch using (id)), {_bm25_sql('pool', 'asked', 'bm')}, {_FUSED}, {_ALL_BM25},
+  found as (select 'vector' retrieval, query_id, id, score, rank from vec union all select 'hybrid', query_id, id, fused, rank from top union all select 'keyword', query_id, id, keyword_score, rank from kw),
+  cand as (select ord, reranker, top_k, q, part, query_text, query_id, id, score from found f join asked a using (query_id) join cfg c on c.retrieval = f.retrieval and c.agentic <> a.plain
+    where score >= {L.MIN_SCORE} and rank <= case when reranker = 'none' then top_k else 2 * top_k end and not (guardrails and blocked)),
+  pairs as (select query_id, id, list_distinct({S.tokens('query_text')}) x, list_distinct({S.tokens('text')}) y from (select distinct query_id, query_text, id from cand where reranker <> 'none') join ch using (id)),
+  told as (select query_id, id, coalesce(2.0::double * {_BOTH} / nullif(len(x) + len(y), 0), 0) c, coalesce({_BOTH}::double / nullif(len(x), 0), 0) j from pairs),
+  new as (select ord, reranker, top_k, q, part, query_id, id, round(case reranker when 'none' then score when 'cross_encoder' then c when 'llm' then j else (0.4::double * c + 0.4::double * j + 0.2::double * score) / 1.0::double end, 9) s from cand left join told using (query_id, id)),
+  best as (select *, row_number() over (partition by ord, query_id order by s desc, id) b from new where reranker = 'none' or s >= {L.RERANK_MIN_SCORE} qualify b <= top_k),
+  once as (select ord, q, id, min(part * 1000 + b) f, arg_min(s, part * 1000 + b) s from best group by 1, 2, 3),
+  ctx as (select ord, q query_id, row_number() over (partition by ord, q order by f, id) place, id, s score from once)"""
+
 ORACLES = {
+    "ablation_contexts": f"{_STUDY} select * from ctx",
+    "ablation_runs": f"""{_STUDY}, an as (select c.name, t, case when guardrails and blocked then {S.q(BLOCKED)} when retrieval = 'none' then t else d.text end a from cfg c cross join qs left join ctx on ctx.ord = c.ord and ctx.query_id = qs.q and place = 1 left join documents d on d.doc_id = ctx.id),
+      sc2 as (select name, a is null failed, list_distinct({S.tokens('a')}) x, list_distinct({S.tokens('t')}) y from an)
+      select name, count(*) questions, count(*) filter (failed) failed, round(sum(case when failed then 0 else coalesce(2.0::double * {_BOTH} / nullif(len(x) + len(y), 0), 0) end) / count(*), 6) score from sc2 group by 1""",
     "agent_loop": f"""with q as (select item_id session, string_split(lower(text), ' ') ws, item_id % 7 wanted, {S.which('text', L.INJECTION)} <> '' or {S.which('text', L.TOXICITY)} <> '' blocked from benchmark),
       w as (select word, min(doc_id)::varchar as "first", count(*)::varchar n from (select distinct doc_id, word from (select doc_id, unnest(string_split(lower(text), ' ')) word from documents)) group by 1),
       s as (select session, unnest(range(0, least(wanted, 5))) step, ws from q where not blocked),
