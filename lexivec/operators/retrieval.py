@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lexivec.compat import ship_package, written
 from lexivec.functions import lexicon as L
 from lexivec.functions.text import term_counts, tokens
 
 
 #: Bytes of a table, counted, up to which it is sent to every task.
 MOST_SENT = 64 << 20
+#: Rows, and bytes of query vectors, that meet in one task at most, about; numbers of a block of scores; rows worth a task.
+PER_PART, QUERY_BYTES, BLOCK, LEAST_PART = 50_000, 16 << 20, 4_000_000, 1_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,18 +41,102 @@ def ranked(df: DataFrame, score: str, id_col: str, by: list[str], name: str = "r
     return df.withColumn(name, F.row_number().over(w).cast("long"))
 
 
+def _dense(column, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows of a matrix, filled up with zeros, and their lengths; one that is null or has a null is zeros, length -1."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten()
+    if not flat.null_count and (sizes == width).all():
+        return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width), sizes
+    m = np.zeros((len(column), width))
+    for i, v in enumerate(column.to_pylist()):
+        if v is None or None in v:
+            sizes[i] = -1
+        else:
+            m[i, : len(v)] = v
+    return m, sizes
+
+
+def _in_order(m: np.ndarray) -> np.ndarray:
+    """Sums of rows, added from left to right as `dot` adds them."""
+    return np.cumsum(m, axis=1)[:, -1] + 0.0
+
+
+def _nine_places(s: np.ndarray) -> np.ndarray:
+    """Rounded to nine places, halves away from zero, as Spark rounds."""
+    out = np.round(s, 9) + 0.0
+    for i in np.flatnonzero(np.abs(np.abs(s * 1e9) % 1 - 0.5) < 1e-3):
+        out[i] = float(Decimal(repr(float(s[i]))).quantize(Decimal("1e-9"), ROUND_HALF_UP)) + 0.0
+    return out
+
+
+def nearest(rows: pa.Table, asked: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries (query_vector) and of rows (vector, in the order that settles ties), scores: the k best rows of each.
+
+    A matrix product tells which rows can be among them; their scores are then added up and rounded as `cosine` does it.
+    """
+    width = max([1, *(pc.max(pc.list_value_length(c)).as_py() or 0 for c in (rows.column("vector"), asked.column("query_vector")))])
+    (m, ms), (q, qs) = _dense(rows.column("vector"), width), _dense(asked.column("query_vector"), width)
+    mn, qn = np.sqrt(_in_order(m * m)), np.sqrt(_in_order(q * q))
+    unit = lambda v, n: np.divide(v, n[:, None], out=np.zeros_like(v), where=n[:, None] != 0)
+    mu, qu, found = unit(m, mn), unit(q, qn), ([], [], [])
+    uneven = len(np.unique(ms)) > 1 or len(np.unique(qs)) > 1 or ms[0] != qs[0]
+    finite = np.isfinite(mn).all() and np.isfinite(qn).all()
+    for lo in range(0, len(q), step := max(1, BLOCK // len(m))):
+        at = slice(lo, lo + step)
+        s = qu[at] @ mu.T
+        if uneven:
+            s[qs[at, None] != ms[None, :]] = 0.0
+        if not finite:
+            # Not a number sorts before all.
+            s[np.isnan(s)] = np.inf
+        if len(m) > k:
+            place_q, place_m = np.nonzero(s >= np.partition(s, len(m) - k, axis=1)[:, len(m) - k, None] - 2e-9)
+        else:
+            place_q, place_m = (x.ravel() for x in np.indices(s.shape))
+        place_q += lo
+        score = np.zeros(len(place_q))
+        for i in range(0, len(score), BLOCK // width + 1):
+            b = slice(i, i + BLOCK // width + 1)
+            over = mn[place_m[b]] * qn[place_q[b]]
+            score[b] = np.divide(_in_order(m[place_m[b]] * q[place_q[b]]), over, out=np.zeros(len(over)), where=over != 0)
+        if uneven:
+            score[qs[place_q] != ms[place_m]] = 0.0
+        score = _nine_places(score)
+        order = np.lexsort((place_m, np.where(np.isnan(score), -np.inf, -score), place_q))
+        place_q, place_m, score = place_q[order], place_m[order], score[order]
+        best = np.arange(len(order)) - np.searchsorted(place_q, place_q) < k
+        for x, y in zip(found, (place_q, place_m, score)):
+            x.append(y[best])
+    return tuple(np.concatenate(x) for x in found)
+
+
 def vector_search(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, id, score, rank: the k nearest chunks of each query (query_id, query_vector).
 
-    A stated set of queries against all rows: the queries are sent to every task, once their bytes are counted. The
-    rank filter becomes a limit per task before the shuffle, so only k rows a query and task move.
+    A stated set of queries against all rows. Rows are dealt out in parts of a bounded size, queries in blocks of bounded
+    bytes; each part meets each block as a matrix product, and gives the k best rows of each query.
     """
-    q = queries.select("query_id", "query_vector", norm(F.col("query_vector")).alias("_qn"))
-    if (q.agg(F.sum(32 + 8 * F.size("query_vector"))).first()[0] or 0) <= MOST_SENT:
-        q = F.broadcast(q)
-    c = chunks.filter(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("_v"), norm(F.col(vector)).alias("_n"))
-    s = F.coalesce(F.try_divide(dot(F.col("_v"), F.col("query_vector")), F.col("_n") * F.col("_qn")), F.lit(0.0))
-    d = c.crossJoin(q).select("query_id", "id", F.round(s, 9).alias("score"))
+    spark = chunks.sparkSession
+    ship_package(spark)
+    q = queries.select("query_id", "query_vector")
+    c = chunks.filter(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("vector"))
+    n, sent = c.count(), q.agg(F.sum(32 + 8 * F.size("query_vector"))).first()[0] or 0
+    parts = max(1, -(-n // PER_PART), min(4 * spark.sparkContext.defaultParallelism, n // LEAST_PART))
+    blocks = max(1, -(-sent // QUERY_BYTES))
+    out = T.StructType([q.schema["query_id"], T.StructField("id", c.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+
+    def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        if not rows.num_rows or not asked.num_rows:
+            return pa.table([asked.column("query_id").slice(0, 0), rows.column("id").slice(0, 0), pa.array([], pa.float64())], names=["query_id", "id", "score"])
+        rows = rows.take(pc.sort_indices(rows.column("id"), null_placement="at_start"))
+        place_q, place_m, score = nearest(rows, asked, k)
+        return pa.table([asked.column("query_id").take(place_q), rows.column("id").take(place_m), pa.array(score)], names=["query_id", "id", "score"])
+
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    c = c.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("block", each(blocks))
+    q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", each(parts))
+    d = c.groupBy("part", "block").cogroup(q.groupBy("part", "block")).applyInArrow(meet, out)
     return ranked(d, "score", "id", ["query_id"]).filter(F.col("rank") <= k)
 
 
@@ -130,7 +223,7 @@ def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int = L.TOP_K, min_scor
     chunks: id, text, embedding; queries: query_id, query_text, query_vector. documents: with it, only chunks `of_completed`.
     """
     chunks = chunks if documents is None else of_completed(chunks, documents)
-    pool = vector_search(chunks.withColumnRenamed("id", "vec_id"), queries, top_k * L.VECTOR_POOL)
+    pool = written(vector_search(chunks.withColumnRenamed("id", "vec_id"), queries, top_k * L.VECTOR_POOL), "pool")
     d = combine(pool, bm25(pool, queries, texts=chunks.select("id", "text")), strategy)
     return ranked(d, "fused", "id", ["query_id"]).filter((F.col("rank") <= top_k) & (F.col("fused") >= min_score))
 

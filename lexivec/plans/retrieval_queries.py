@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.compat import spread
+from lexivec.compat import spread, written
 from lexivec.functions import lexicon as L
 from lexivec.functions.text import term_counts
 from lexivec.operators import reranking as K
@@ -26,9 +26,12 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _asked(spark, sf):
+    return _t(spark, sf, "embeddings").filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("query_label"))
+
+
 def _queries(spark, sf):
-    e = _t(spark, sf, "embeddings").filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("query_label"))
-    return e.join(_t(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text")), "query_id", "left")
+    return _asked(spark, sf).join(_t(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text")), "query_id", "left")
 
 
 def _chunks(spark, sf):
@@ -41,7 +44,7 @@ def vector_topk(spark, sf):
 
 
 def vector_topk_multi(spark, sf):
-    return R.vector_search(_t(spark, sf, "embeddings"), _queries(spark, sf), L.TOP_K * L.VECTOR_POOL)
+    return R.vector_search(_t(spark, sf, "embeddings"), _asked(spark, sf), L.TOP_K * L.VECTOR_POOL)
 
 
 _VEC = f"""
@@ -88,12 +91,12 @@ def doc_freq_avgdl(spark, sf):
 
 def vector_index_full(spark, sf):
     """The index with all lists probed: exact search by blocks."""
-    return VectorIndex.build(_t(spark, sf, "embeddings")).search(_queries(spark, sf), L.TOP_K * L.VECTOR_POOL)
+    return VectorIndex.build(_t(spark, sf, "embeddings")).search(_asked(spark, sf), L.TOP_K * L.VECTOR_POOL)
 
 
 def vector_index_recall(spark, sf):
     """Whether as many probes as are said to find nine in ten rows find them; the number depends on the vectors."""
-    index, q = VectorIndex.build(_t(spark, sf, "embeddings")), _queries(spark, sf)
+    index, q = VectorIndex.build(_t(spark, sf, "embeddings")), _asked(spark, sf)
     exact = R.vector_search(_t(spark, sf, "embeddings"), q, L.TOP_K * L.VECTOR_POOL)
     found = index.search(q, L.TOP_K * L.VECTOR_POOL, index.probes_for(q, exact, 0.9))
     return recall(found, exact).select("queries", (F.col("recall") >= 0.9).alias("enough"))
@@ -115,16 +118,22 @@ def bm25_keyword(spark, sf):
 
 
 def _pool(spark, sf):
-    return R.vector_search(_t(spark, sf, "embeddings"), _queries(spark, sf), L.TOP_K * L.VECTOR_POOL)
+    """The pool of the stated queries, searched once and written, as what builds on it reads it several times."""
+    return written(vector_topk_multi(spark, sf), "pool")
 
 
-def bm25_on_pool(spark, sf):
+def _bm25_of(spark, sf, pool):
     docs = _docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
-    return R.bm25(_pool(spark, sf).select("query_id", "id").join(docs.select("id"), "id", "left_semi"), _queries(spark, sf), texts=docs)
+    return R.bm25(written(pool.select("query_id", "id").join(docs.select("id"), "id", "left_semi"), "pooled"), _queries(spark, sf), texts=docs)
+
+
+def bm25_on_pool(spark, sf):
+    return _bm25_of(spark, sf, _pool(spark, sf))
 
 
 def rrf_fusion(spark, sf):
-    return R.rrf(_pool(spark, sf), bm25_on_pool(spark, sf))
+    pool = _pool(spark, sf)
+    return R.rrf(pool, _bm25_of(spark, sf, pool))
 
 
 def hybrid_search(spark, sf):
@@ -183,7 +192,7 @@ def context_relevance(spark, sf):
 
 def _relevance(spark, sf):
     label = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    q = _queries(spark, sf).select("query_id", "query_label")
+    q = _asked(spark, sf).select("query_id", "query_label")
     return _pool(spark, sf).filter("rank <= 10").join(label, "id").join(q, "query_id").withColumn("rel", (F.col("label") == F.col("query_label")).cast("int"))
 
 
@@ -206,7 +215,8 @@ def ir_precision(spark, sf):
 
 
 def rank_change(spark, sf):
-    v, b = _pool(spark, sf), bm25_on_pool(spark, sf)
+    v = _pool(spark, sf)
+    b = _bm25_of(spark, sf, v)
     d = v.select("query_id", "id", F.col("rank").alias("o")).join(b.select("query_id", "id", F.col("rank").alias("n")), ["query_id", "id"])
     return d.groupBy("query_id").agg(F.round(F.avg(F.abs(F.col("n") - F.col("o"))), 6).alias("rank_change"))
 
