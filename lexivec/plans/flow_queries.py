@@ -55,10 +55,17 @@ def tournament_rerank(spark, sf):
 
 
 def _streamed(spark, sf, name, make):
-    """A table read as a stream of one file to its end, into a table of the shared folder."""
-    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
+    """A table, a file or a folder of files, read as a stream to its end, into a table of the shared folder."""
+    path = f"{sf}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
     out = f"{shared_folder(spark)}/lexivec/stream-{uuid.uuid4().hex}"
-    source = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(f"{sf}/")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    source = spark.readStream.schema(schema)
+    # A stream reads the files of a folder; a table that is one file is picked from the folder it lies in.
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        source = source.parquet(path)
+    else:
+        source = source.option("pathGlobFilter", f"{name}.parquet").parquet(f"{sf}/")
     d = make(source)
     d.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(d.schema).parquet(f"{out}/rows")

@@ -43,3 +43,18 @@ def test_rounding_to_nine_places_is_spark_s(spark):
     import numpy as np
 
     assert [repr(float(v)) for v in R._nine_places(np.array(values))] == [repr(a[0] + 0.0) for a in d.collect()]
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_stream_guard_reads_a_table_of_several_files(spark, tmp_path, folder):
+    from lexivec.plans.flow_queries import stream_guard
+
+    from .conftest import SF
+
+    d = spark.read.parquet(f"{SF}/conversations.parquet")
+    if folder:
+        d.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    said = lambda x: sorted(map(tuple, x.collect()))
+    got = said(stream_guard(spark, str(tmp_path) if folder else SF))
+    assert sum(r[2] for r in got) == d.count()
+    assert got == said(stream_guard(spark, SF))
