@@ -5,12 +5,17 @@ Everything is grouped aggregation over rows; the step functions for p-values are
 
 from __future__ import annotations
 
+import hashlib
 import operator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lexivec.compat import ship_package
 from lexivec.functions import lexicon as L
 
 
@@ -149,17 +154,126 @@ def mean_interval(df: DataFrame, by: list[str], x: str, exact: bool = False) ->
     return d.select(*by, "n", "mean", "margin", (F.col("mean") - F.col("margin")).alias("lower"), (F.col("mean") + F.col("margin")).alias("upper"))
 
 
+#: MD5: shifts of the four rounds, the constants of its steps, and the state it begins with.
+SHIFTS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+SINES = tuple(int(abs(np.sin(k + 1.0)) * 4294967296) for k in range(64))
+BEGIN = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+#: Numbers that are hashed at a time, so that they stay in a core's cache; groups whose sums a task holds.
+AT_ONCE, GROUPS_HELD = 32_768, 1_000
+
+
+def md5_heads(prefixes: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
+    """The first four bytes, as a number, of the MD5 of every prefix followed by every suffix.
+
+    prefixes, suffixes: uint8, a text a row, all of a table of one length; together 55 bytes at most, one block of MD5.
+    """
+    n, length = prefixes.shape[1], prefixes.shape[1] + suffixes.shape[1]
+
+    def words(rows: np.ndarray, at: int) -> np.ndarray:
+        block = np.zeros((len(rows), 64), np.uint8)
+        block[:, at : at + rows.shape[1]] = rows
+        return block.view("<u4").astype(np.uint32)
+
+    end = np.zeros((1, 64), np.uint8)
+    end[0, length], end[0, 56:58] = 0x80, (8 * length & 0xFF, 8 * length >> 8)
+    p, s = words(prefixes, 0), words(suffixes, n) | end.view("<u4").astype(np.uint32)
+    # A word that no prefix, or no suffix, has a part in is a number a suffix, or a prefix, not one a pair.
+    m = [np.atleast_1d(np.bitwise_or(p[:, k, None] if 4 * k < n else np.uint32(0), s[None, :, k] if 4 * k + 4 > n and 4 * k < length else s[0, k])) for k in range(16)]
+    shape = (len(prefixes), len(suffixes))
+    a, b, c, d = (np.full(shape, x, np.uint32) for x in BEGIN)
+    f, t = np.empty(shape, np.uint32), np.empty(shape, np.uint32)
+    # The first four bytes are done when three steps are left.
+    for k in range(61):
+        turn = k // 16
+        if turn == 0:
+            np.bitwise_xor(c, d, out=f); f &= b; f ^= d; g = k  # noqa: E702
+        elif turn == 1:
+            np.bitwise_xor(b, c, out=f); f &= d; f ^= c; g = (5 * k + 1) % 16  # noqa: E702
+        elif turn == 2:
+            np.bitwise_xor(b, c, out=f); f ^= d; g = (3 * k + 5) % 16  # noqa: E702
+        else:
+            np.invert(d, out=f); f |= b; f ^= c; g = 7 * k % 16  # noqa: E702
+        f += a
+        f += m[g] + np.uint32(SINES[k])
+        r = SHIFTS[turn][k % 4]
+        np.right_shift(f, np.uint32(32 - r), out=t)
+        f <<= np.uint32(r)
+        f |= t
+        f += b
+        a, b, c, d, f = d, f, b, c, a
+    return (b + np.uint32(BEGIN[0])).byteswap()
+
+
+def _heads(prefixes: list[bytes], numbers: list[bytes]) -> np.ndarray:
+    """`md5_heads` of texts of any length, by the lengths of both."""
+    out = np.empty((len(prefixes), len(numbers)), np.uint32)
+    for n in set(map(len, prefixes)):
+        rows = [k for k, p in enumerate(prefixes) if len(p) == n]
+        table = np.frombuffer(b"".join(prefixes[k] for k in rows), np.uint8).reshape(len(rows), n)
+        for w in sorted(set(map(len, numbers))):
+            at = [k for k, x in enumerate(numbers) if len(x) == w]
+            if n + w > 55:
+                out[np.ix_(rows, at)] = [[int.from_bytes(hashlib.md5(prefixes[k] + numbers[i]).digest()[:4], "big") for i in at] for k in rows]
+                continue
+            suffixes = np.frombuffer(b"".join(numbers[i] for i in at), np.uint8).reshape(len(at), w)
+            for lo in range(0, len(rows), step := max(1, AT_ONCE // len(at))):
+                # Numbers of one length follow one another.
+                out[rows[lo : lo + step], at[0] : at[-1] + 1] = md5_heads(table[lo : lo + step], suffixes)
+    return out
+
+
 def bootstrap_mean(df: DataFrame, by: list[str], x: str, key: str, times: int = 1000, level: float = 0.95) -> DataFrame:
     """Percentile interval of the mean by `times` resamples.
 
     Draws are weights instead of places: each row's weight in resample i is the number of cuts of a Poisson(1) law under
-    a hash of its key and i, so no row needs to be looked up by number and all resamples are one aggregation.
+    a hash of its key and i, so no row needs to be looked up by number and all resamples are one aggregation. A task adds
+    up its rows' weights for all resamples, a group at a time, so that no row per draw is made.
     """
+    ship_package(df.sparkSession)
     cuts = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
-    draws = df.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    d = draws.withColumn("w", weight).groupBy(*by, "i").agg(F.try_divide(F.sum(F.col("w") * F.col(x)), F.sum("w").cast("double")).alias("m"))
+    least = [int(np.ceil(c * 4294967296)) for c in cuts]
+    prefix = F.coalesce(F.concat(F.col(key).cast("string"), F.lit(":")), F.lit("")).cast("binary")
+    d = df.select(*by, prefix.alias("_prefix"), F.col(x).cast("double").alias("_x"))
+    schema = T.StructType([*d.select(*by).schema.fields, *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("_w", "_wx")], T.StructField("_n", T.LongType())])
+    numbers = [str(i).encode() for i in range(times)]
+
+    def summed(batches):
+        held: dict = {}
+
+        def told():
+            columns = [pa.array([g[k] for g in held], t) for k, t in enumerate(types)]
+            sums = [pa.array([v[k].tolist() for v in held.values()], pa.list_(pa.float64())) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([*columns, *sums, pa.array([v[2] for v in held.values()], pa.int64())], names=[*by, "_w", "_wx", "_n"])
+
+        for batch in batches:
+            types = [batch.schema.field(k).type for k in range(len(by))]
+            groups: dict = {}
+            for k, g in enumerate(zip(*[batch.column(i).to_pylist() for i in range(len(by))]) if by else [()] * batch.num_rows):
+                groups.setdefault(g, []).append(k)
+            prefixes, value = batch.column(len(by)).to_pylist(), batch.column(len(by) + 1)
+            valid = value.is_valid().to_numpy(zero_copy_only=False)
+            value = value.fill_null(0.0).to_numpy(zero_copy_only=False)
+            for g, places in groups.items():
+                sums = held.setdefault(g, [np.zeros(times), np.zeros(times), 0])
+                for lo in range(0, len(places), 512):
+                    at = places[lo : lo + 512]
+                    h = _heads([prefixes[k] for k in at], numbers)
+                    w = np.zeros(h.shape, np.uint8)
+                    for c in least:
+                        w += h >= c
+                    w = w.astype(np.float64)
+                    sums[0] += w.sum(axis=0)
+                    sums[1] += value[at] @ w
+                    sums[2] += int(valid[at].sum())
+                if len(held) >= GROUPS_HELD:
+                    yield told()
+                    held = {}
+        if held:
+            yield told()
+
+    # A resample's sums are added up over the tasks as numbers of one place.
+    d = d.mapInArrow(summed, schema).select(*by, "_n", F.posexplode(F.arrays_zip("_w", "_wx")).alias("i", "_s"))
+    d = d.groupBy(*by, "i").agg(F.when(F.sum("_n") > 0, F.try_divide(F.sum("_s._wx"), F.sum("_s._w"))).alias("m"))
     lo, hi = int((1 - level) / 2 * times), int((1 - (1 - level) / 2) * times)
     s = F.sort_array(F.collect_list("m"))
     return d.groupBy(*by).agg(F.get(s, F.lit(lo)).alias("lower"), F.get(s, F.lit(hi)).alias("upper")).join(df.groupBy(*by).agg(F.avg(x).alias("estimate")), by)

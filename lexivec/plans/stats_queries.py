@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexivec.compat import spread
 from lexivec.operators import chunking as C
 from lexivec.operators import evaluate as E
 from lexivec.operators import stats as X
@@ -54,7 +55,7 @@ def mean_ci(spark, sf):
 
 
 def bootstrap_ci(spark, sf):
-    return _rounded(X.bootstrap_mean(_t(spark, sf, "events"), ["event_type"], "value", "event_id"), 4)
+    return _rounded(X.bootstrap_mean(spread(_t(spark, sf, "events")), ["event_type"], "value", "event_id"), 4)
 
 
 def rag_comparison(spark, sf):

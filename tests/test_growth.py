@@ -58,3 +58,29 @@ def test_stream_guard_reads_a_table_of_several_files(spark, tmp_path, folder):
     got = said(stream_guard(spark, str(tmp_path) if folder else SF))
     assert sum(r[2] for r in got) == d.count()
     assert got == said(stream_guard(spark, SF))
+
+
+def test_bootstrap_makes_no_row_per_draw(spark, same):
+    """The resamples of a plain loop over MD5; a key that is null, one beyond a block of MD5, values that are null."""
+    import hashlib
+
+    from lexivec.operators import stats as X
+
+    r = random.Random(6)
+    rows = [(["a", "b", None][k % 3], None if k == 9 else str(k) if k % 7 else "k" * (k % 70), None if k % 11 == 0 else r.gauss(5, 2)) for k in range(150)]
+    rows += [("c", "1", None), ("c", "2", None)]
+    d = spark.createDataFrame(rows, "g string, key string, x double")
+    got = X.bootstrap_mean(d, ["g"], "x", "key", times=120)
+    assert "Generate explode(sequence" not in plan_of(got)
+    cuts = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+    want = []
+    for g in ("a", "b"):
+        means = []
+        for i in range(120):
+            w = [(sum(int(hashlib.md5(f"{'' if k is None else k + ':'}{i}".encode()).hexdigest()[:8], 16) / 2**32 >= c for c in cuts), x) for h, k, x in rows if h == g]
+            means.append(sum(n * x for n, x in w if x is not None) / sum(n for n, _ in w))
+        means.sort()
+        xs = [x for h, _, x in rows if h == g and x is not None]
+        want.append((g, round(means[3], 9), round(means[117], 9), round(sum(xs) / len(xs), 9)))
+    rounded = sorted((a["g"], *(None if a[c] is None else round(a[c], 9) for c in ("lower", "upper", "estimate"))) for a in got.collect())
+    assert rounded == [*want, ("c", None, None, None)]
