@@ -145,6 +145,17 @@ def _query_terms(queries: DataFrame, stemmed: bool) -> DataFrame:
     return term_counts(queries.filter(F.col("query_text").isNotNull()), ["query_id"], "query_text", stemmed).withColumnRenamed("tf", "qf")
 
 
+def _counted(docs: DataFrame, terms: DataFrame, stemmed: bool) -> DataFrame:
+    """id, term, tf, dl of docs (id, text): how often a text has each of these terms (term), and its length; words that are
+    none of them are one row of a text, without a term. Written, so that each text is tokenised once."""
+    asked = terms.select("term").distinct().withColumn("_asked", F.lit(True))
+    if (asked.agg(F.sum(64 + F.octet_length("term"))).first()[0] or 0) <= MOST_SENT:
+        asked = F.broadcast(asked)
+    d = term_counts(docs, ["id"], "text", stemmed).join(asked, "term", "left")
+    d = d.groupBy("id", F.when(F.col("_asked"), F.col("term")).alias("term")).agg(F.sum("tf").alias("tf"))
+    return written(d.withColumn("dl", F.sum("tf").over(Window.partitionBy("id"))), "counts")
+
+
 def _idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
@@ -167,13 +178,12 @@ def bm25(pool: DataFrame, queries: DataFrame, stemmed: bool = True, texts: DataF
         texts = pool.select("id", "text").dropDuplicates(["id"])
     else:
         texts = texts.join(pool.select("id").distinct(), "id", "left_semi")
-    counts = term_counts(texts, ["id"], "text", stemmed)
-    length = texts.select("id").join(counts.groupBy("id").agg(F.sum("tf").alias("dl")), "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl"))
+    q = written(_query_terms(queries, stemmed), "terms")
+    counts = _counted(texts, q, stemmed)
+    length = texts.select("id").join(counts.select("id", "dl").distinct(), "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl"))
     p = pool.select("query_id", "id").join(length, "id")
     size = p.groupBy("query_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    q = _query_terms(queries, stemmed)
-    # Only terms of the queries matter; posting lists shrink to them before they meet the pool.
-    posts = counts.join(q.select("term").distinct(), "term", "left_semi")
+    posts = counts.filter(F.col("term").isNotNull()).select("id", "term", "tf")
     tf = p.join(posts, "id").join(q, ["query_id", "term"])
     df = tf.groupBy("query_id", "term").agg(F.count("*").alias("df"))
     d = tf.join(df, ["query_id", "term"]).join(size, "query_id")
@@ -233,19 +243,18 @@ def bm25_top(docs: DataFrame, queries: DataFrame, top_k: int, stemmed: bool = Tr
 
     Frequencies and lengths are those of docs. Each text is tokenised once; only top_k rows a query and task move at the end. Rows that match nothing score 0.
     """
-    q = _query_terms(queries, stemmed)
+    q = written(_query_terms(queries, stemmed), "terms")
     # Weights have a few numbers beside the term.
     small = (q.agg(F.sum(64 + F.octet_length("term"))).first()[0] or 0) <= MOST_SENT
     sent = F.broadcast if small else lambda d: d
-    counts = term_counts(docs, ["id"], "text", stemmed)
-    length = counts.groupBy("id").agg(F.sum("tf").alias("dl"))
-    size = docs.agg(F.count("*").alias("n")).crossJoin(length.agg(F.sum("dl").alias("words"))).select("n", (F.coalesce("words", F.lit(0)) / F.nullif("n", F.lit(0))).alias("avgdl"))
-    # A pair's rows lie together by id from the counting on, so its sum needs no shuffle.
-    tf = counts.join(length, "id").join(sent(q.select("term").distinct()), "term", "left_semi")
+    counts = _counted(docs, q, stemmed)
+    size = docs.agg(F.count("*").alias("n")).crossJoin(counts.agg(F.sum("tf").alias("words"))).select("n", (F.coalesce("words", F.lit(0)) / F.nullif("n", F.lit(0))).alias("avgdl"))
+    # A pair's rows are dealt out by id, so its sum needs no shuffle.
+    tf = counts.filter(F.col("term").isNotNull()).repartition("id")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weights = q.join(df, "term").crossJoin(F.broadcast(size)).select("query_id", "term", "avgdl", (F.col("qf") * _idf(F.col("n"), F.col("df")) * _qtf(F.col("qf"))).alias("weight"))
     s = tf.join(sent(weights), "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * _tfn(F.col("tf"), F.col("dl"), F.col("avgdl"))), 6).alias("score"))
-    best = ranked(s, "score", "id", ["query_id"]).filter(F.col("rank") <= top_k).drop("rank")
+    best = written(ranked(s, "score", "id", ["query_id"]).filter(F.col("rank") <= top_k).drop("rank"), "best")
     # A query with fewer matches than top_k is filled with the smallest ids that it doesn't match: they lie among the
     # first 2 * top_k, as fewer than top_k of these are matches.
     short = queries.select("query_id").join(best.groupBy("query_id").agg(F.count("*").alias("c")), "query_id", "left").filter(F.coalesce("c", F.lit(0)) < top_k).select("query_id")

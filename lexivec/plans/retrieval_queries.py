@@ -83,10 +83,11 @@ def tokenize_tf(spark, sf):
 
 
 def doc_freq_avgdl(spark, sf):
-    counts = term_counts(_docs(spark, sf), ["doc_id"])
+    """One count of all texts gives both: the words of all documents are those of all terms."""
+    terms = written(term_counts(_docs(spark, sf), ["doc_id"]).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("words")), "terms")
     n = _t(spark, sf, "documents").agg(F.count("*").alias("n"))
-    length = counts.agg(F.sum("tf").alias("words")).crossJoin(n).select(F.round(F.col("words") / F.col("n"), 6).alias("avgdl"))
-    return counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(length))
+    length = terms.agg(F.sum("words").alias("words")).crossJoin(n).select(F.round(F.col("words") / F.col("n"), 6).alias("avgdl"))
+    return terms.select("term", "df").crossJoin(F.broadcast(length))
 
 
 def vector_index_full(spark, sf):

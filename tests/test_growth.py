@@ -84,3 +84,20 @@ def test_bootstrap_makes_no_row_per_draw(spark, same):
         want.append((g, round(means[3], 9), round(means[117], 9), round(sum(xs) / len(xs), 9)))
     rounded = sorted((a["g"], *(None if a[c] is None else round(a[c], 9) for c in ("lower", "upper", "estimate"))) for a in got.collect())
     assert rounded == [*want, ("c", None, None, None)]
+
+
+def test_terms_are_counted_once(spark):
+    """The counts of `tokens`; each text is cut once for a keyword search, and counts by key are not dealt out again."""
+    from lexivec.functions.text import term_counts, tokens
+
+    texts = ["Alpha beta, ALPHA-beta_2 of the Élan vital", "menjalankan running runs berlari's", None, "", "ab abc çédille  x日本y words", "İstanbul straße naïve"]
+    d = spark.createDataFrame([(k // 2, t) for k, t in enumerate(texts)], "id long, text string")
+    for stemmed in (True, False):
+        want = d.select("id", F.explode(tokens(F.col("text"), stemmed)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+        assert sorted(map(tuple, term_counts(d, ["id"], "text", stemmed).collect())) == sorted(map(tuple, want.collect()))
+    d = d.repartition(3)
+    plan = term_counts(d, ["id"])
+    plan.collect()
+    assert plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("hashpartitioning(id") == 1
+    q = spark.createDataFrame([(1, "alpha words")], "query_id long, query_text string")
+    assert "ArrowEvalPython" not in plan_of(R.bm25_top(d, q, 3))
