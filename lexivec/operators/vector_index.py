@@ -40,7 +40,8 @@ def _nearest(m: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
     out, step = [], max(1, BLOCK // len(centroids))
     for lo in range(0, len(m), step):
         s = m[lo : lo + step] @ centroids.T
-        out.append(np.argsort(-s, axis=1, kind="stable")[:, :n])
+        # The nearest alone needs no sorting; both take the first of equals.
+        out.append(np.argmax(s, axis=1)[:, None] if n == 1 else np.argsort(-s, axis=1, kind="stable")[:, :n])
     return np.concatenate(out) if out else np.empty((0, n), np.int64)
 
 
@@ -129,8 +130,23 @@ class VectorIndex:
         One pass: a row is found as soon as its list is probed, so the places of the rows' lists in their queries' order
         tell recall for every number of probes; they are counted, a number per place.
         """
+        centroids = self.centroids
+
+        def placed(batches):
+            for b in batches:
+                m, own, step = _matrix(b.column(0)), b.column(1), max(1, BLOCK // len(centroids))
+                for lo in range(0, b.num_rows, step):
+                    near = _nearest(m[lo : lo + step], centroids, len(centroids))
+                    places = np.empty_like(near)
+                    np.put_along_axis(places, near, np.arange(near.shape[1])[None, :], axis=1)
+                    some = own.slice(lo, step)
+                    which = np.repeat(np.arange(len(some)), some.value_lengths().to_numpy())
+                    yield pa.RecordBatch.from_arrays([pa.array(places[which, some.flatten().to_numpy()].astype(np.int32))], names=["place"])
+
         own = exact.select("query_id", F.col("id").alias("_id")).join(self.rows.select("id", F.col("list").alias("own")), F.col("_id") == F.col("id"))
-        d = own.join(self._probed(queries, len(self.centroids)), "query_id").filter(F.col("own") == F.col("list"))
+        q = queries.filter(F.col("query_vector").isNotNull()).select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
+        # A query meets the lists of its own rows alone, not a row for each list that there is.
+        d = q.join(own.groupBy("query_id").agg(F.collect_list("own").alias("own")), "query_id").select("query_vector", "own").mapInArrow(placed, "place int")
         found, counts = 0, {r["place"]: r["count"] for r in d.groupBy("place").count().collect()}
         for place in sorted(counts):
             found += counts[place]

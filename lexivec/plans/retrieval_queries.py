@@ -98,7 +98,7 @@ def vector_index_full(spark, sf):
 def vector_index_recall(spark, sf):
     """Whether as many probes as are said to find nine in ten rows find them; the number depends on the vectors."""
     index, q = VectorIndex.build(_t(spark, sf, "embeddings")), _asked(spark, sf)
-    exact = R.vector_search(_t(spark, sf, "embeddings"), q, L.TOP_K * L.VECTOR_POOL)
+    exact = _pool(spark, sf)
     found = index.search(q, L.TOP_K * L.VECTOR_POOL, index.probes_for(q, exact, 0.9))
     return recall(found, exact).select("queries", (F.col("recall") >= 0.9).alias("enough"))
 

@@ -101,3 +101,25 @@ def test_terms_are_counted_once(spark):
     assert plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("hashpartitioning(id") == 1
     q = spark.createDataFrame([(1, "alpha words")], "query_id long, query_text string")
     assert "ArrowEvalPython" not in plan_of(R.bm25_top(d, q, 3))
+
+
+def test_probes_are_counted_without_a_row_per_list(spark, tmp_path, monkeypatch):
+    """As many probes as a plain loop over all lists says, and no table of every query with every list."""
+    import numpy as np
+
+    from lexivec.operators import vector_index as V
+
+    g = np.random.default_rng(8)
+    d = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(g.normal(size=(300, 6)))], "vec_id long, embedding array<double>")
+    q = d.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    index, exact = V.VectorIndex.build(d, str(tmp_path / "ix"), lists=20), R.vector_search(d, q, 10)
+    lists = {r["id"]: r["list"] for r in index.rows.collect()}
+    order = {r["query_id"]: [int(x) for x in np.argsort(-(index.centroids @ (np.array(r["query_vector"]) / np.linalg.norm(r["query_vector"]))), kind="stable")] for r in q.collect()}
+    places = sorted(order[r["query_id"]].index(lists[r["id"]]) for r in exact.collect())
+    want = places[int(np.ceil(0.9 * len(places))) - 1] + 1
+
+    def never(*a):
+        raise AssertionError("a row per list")
+
+    monkeypatch.setattr(V.VectorIndex, "_probed", never)
+    assert index.probes_for(q, exact, 0.9) == want
