@@ -18,8 +18,8 @@ from lexivec.functions.text import term_counts, tokens
 
 #: Bytes of a table, counted, up to which it is sent to every task.
 MOST_SENT = 64 << 20
-#: Rows, and bytes of query vectors, that meet in one task at most, about; numbers of a block of scores; rows worth a task.
-PER_PART, QUERY_BYTES, BLOCK, LEAST_PART = 50_000, 16 << 20, 4_000_000, 1_000
+#: Rows, and bytes of query vectors, that meet in one task at most, about; numbers of a block of scores; rows worth a task; most scores in a run.
+PER_PART, QUERY_BYTES, BLOCK, LEAST_PART, RUN = 50_000, 16 << 20, 4_000_000, 1_000, 64
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -70,28 +70,54 @@ def _nine_places(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def _first_of_each(m: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """Places of the first k rows of each vector."""
+    bits = np.ascontiguousarray(m).view(np.uint64)
+    number = (bits * np.random.default_rng(7).integers(1 << 62, size=m.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64) + sizes.astype(np.uint64)
+    order = np.argsort(number, kind="stable")
+    start = np.searchsorted(number[order], number[order])
+    late = np.arange(len(m)) - start >= k
+    # Vectors that share a hash by chance all stay.
+    if not late.any() or (bits[order] != bits[order[start]]).any() or (sizes[order] != sizes[order[start]]).any():
+        return np.arange(len(m))
+    return np.sort(order[~late])
+
+
 def nearest(rows: pa.Table, asked: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of queries (query_vector) and of rows (vector, in the order that settles ties), scores: the k best rows of each.
 
-    A matrix product tells which rows can be among them; their scores are then added up and rounded as `cosine` does it.
+    A matrix product tells which rows can be among them; their scores are then added up and rounded as `cosine` does it. Of
+    rows with one vector only the first k can be among them, so only these are looked at.
     """
     width = max([1, *(pc.max(pc.list_value_length(c)).as_py() or 0 for c in (rows.column("vector"), asked.column("query_vector")))])
     (m, ms), (q, qs) = _dense(rows.column("vector"), width), _dense(asked.column("query_vector"), width)
+    first = _first_of_each(m, ms, k)
+    m, ms = (m, ms) if len(first) == len(m) else (m[first], ms[first])
     mn, qn = np.sqrt(_in_order(m * m)), np.sqrt(_in_order(q * q))
     unit = lambda v, n: np.divide(v, n[:, None], out=np.zeros_like(v), where=n[:, None] != 0)
     mu, qu, found = unit(m, mn), unit(q, qn), ([], [], [])
     uneven = len(np.unique(ms)) > 1 or len(np.unique(qs)) > 1 or ms[0] != qs[0]
     finite = np.isfinite(mn).all() and np.isfinite(qn).all()
-    for lo in range(0, len(q), step := max(1, BLOCK // len(m))):
+    # Scores are looked at by the greatest of each run: k runs that reach a bound have k rows that do.
+    run = max(1, min(RUN, len(m) // (8 * k)))
+    runs = -(-len(m) // run)
+    mu = np.concatenate([mu, np.zeros((runs * run - len(m), width))])
+    for lo in range(0, len(q), step := max(1, BLOCK // len(mu))):
         at = slice(lo, lo + step)
         s = qu[at] @ mu.T
         if uneven:
-            s[qs[at, None] != ms[None, :]] = 0.0
+            s[:, : len(m)][qs[at, None] != ms[None, :]] = 0.0
         if not finite:
             # Not a number sorts before all.
             s[np.isnan(s)] = np.inf
+        s[:, len(m) :] = -np.inf
         if len(m) > k:
-            place_q, place_m = np.nonzero(s >= np.partition(s, len(m) - k, axis=1)[:, len(m) - k, None] - 2e-9)
+            s = s.reshape(len(s), runs, run)
+            most = s.max(axis=2)
+            least = np.partition(most, runs - k, axis=1)[:, runs - k] - 2e-9
+            in_q, in_run = np.nonzero(most >= least[:, None])
+            which, place = np.nonzero(s[in_q, in_run] >= least[in_q, None])
+            place_q, place_m = in_q[which], in_run[which] * run + place
         else:
             place_q, place_m = (x.ravel() for x in np.indices(s.shape))
         place_q += lo
@@ -108,7 +134,8 @@ def nearest(rows: pa.Table, asked: pa.Table, k: int) -> tuple[np.ndarray, np.nda
         best = np.arange(len(order)) - np.searchsorted(place_q, place_q) < k
         for x, y in zip(found, (place_q, place_m, score)):
             x.append(y[best])
-    return tuple(np.concatenate(x) for x in found)
+    place_q, place_m, score = (np.concatenate(x) for x in found)
+    return place_q, first[place_m], score
 
 
 def vector_search(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:

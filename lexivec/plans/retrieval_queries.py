@@ -118,9 +118,9 @@ def bm25_keyword(spark, sf):
     return R.keyword_search(docs, q).select("query_id", "id", "score", "keyword_score", "rank")
 
 
-def _pool(spark, sf):
-    """The pool of the stated queries, searched once and written, as what builds on it reads it several times."""
-    return written(vector_topk_multi(spark, sf), "pool")
+def _pool(spark, sf, k=L.TOP_K * L.VECTOR_POOL):
+    """The k nearest rows of the stated queries, searched once and written, as what builds on it reads it several times."""
+    return written(R.vector_search(_t(spark, sf, "embeddings"), _asked(spark, sf), k), "pool")
 
 
 def _bm25_of(spark, sf, pool):
@@ -163,7 +163,7 @@ def _scripted_judge():
 def _passages(spark, sf):
     """The ten nearest documents of the stated queries, with the texts of both."""
     d = _t(spark, sf, "documents")
-    p = _pool(spark, sf).filter("rank <= 10").join(d.select(F.col("doc_id").alias("id"), "text"), "id")
+    p = _pool(spark, sf, 10).join(d.select(F.col("doc_id").alias("id"), "text"), "id")
     return p.join(d.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text")), "query_id")
 
 
@@ -194,7 +194,7 @@ def context_relevance(spark, sf):
 def _relevance(spark, sf):
     label = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")
     q = _asked(spark, sf).select("query_id", "query_label")
-    return _pool(spark, sf).filter("rank <= 10").join(label, "id").join(q, "query_id").withColumn("rel", (F.col("label") == F.col("query_label")).cast("int"))
+    return _pool(spark, sf, 10).join(label, "id").join(q, "query_id").withColumn("rel", (F.col("label") == F.col("query_label")).cast("int"))
 
 
 def ir_ndcg(spark, sf):

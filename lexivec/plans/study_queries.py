@@ -119,7 +119,7 @@ def phase_sums(spark, sf):
 
 def search_tool(spark, sf):
     """Ten sessions, whose parts are the stated queries."""
-    hits = _pool(spark, sf).filter("rank <= 10").select((F.col("query_id") / 100 % 10).cast("long").alias("session"), F.col("query_id").alias("part"), "rank", F.col("id").alias("chunk"), "score")
+    hits = _pool(spark, sf, 10).select((F.col("query_id") / 100 % 10).cast("long").alias("session"), F.col("query_id").alias("part"), "rank", F.col("id").alias("chunk"), "score")
     chunks = _t(spark, sf, "documents").select(F.col("doc_id").alias("chunk"), F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("title"), "text")
     return agent.search_tool(hits, chunks)
 

@@ -123,3 +123,39 @@ def test_probes_are_counted_without_a_row_per_list(spark, tmp_path, monkeypatch)
 
     monkeypatch.setattr(V.VectorIndex, "_probed", never)
     assert index.probes_for(q, exact, 0.9) == want
+
+
+def test_copies_of_a_vector_are_scored_k_times_a_query(monkeypatch):
+    """Rows and queries of which most have one vector: those past the first k are no candidates, and what is found is the same."""
+    import numpy as np
+    import pyarrow as pa
+
+    draw = np.random.default_rng(3)
+    m, k = draw.normal(size=(2500, 6)), 5
+    m[::2] = m[0]
+    q = np.concatenate([m[:40], draw.normal(size=(20, 6))])
+    table = lambda name, x: pa.table({name: pa.array(x.tolist(), pa.list_(pa.float64()))})
+    scored, plain = [], R._nine_places
+    monkeypatch.setattr(R, "_nine_places", lambda s: scored.append(len(s)) or plain(s))
+    place_q, place_m, score = R.nearest(table("vector", m), table("query_vector", q), k)
+    assert sum(scored) < 4 * k * len(q)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    want = np.argsort(-np.round(unit(q) @ unit(m).T, 9), axis=1, kind="stable")[:, :k]
+    assert place_q.tolist() == np.repeat(np.arange(len(q)), k).tolist()
+    assert place_m.reshape(-1, k).tolist() == want.tolist()
+    assert np.allclose(score, (unit(q)[place_q] * unit(m)[place_m]).sum(axis=1), atol=1e-9)
+
+
+@pytest.mark.parametrize("rows", [30, 31, 250, 1003])
+def test_nearest_takes_runs_of_any_number_of_rows(rows):
+    import numpy as np
+    import pyarrow as pa
+
+    draw, k = np.random.default_rng(rows), 3
+    m = np.round(draw.normal(size=(rows, 2)))
+    q = draw.normal(size=(17, 2))
+    table = lambda name, x: pa.table({name: pa.array(x.tolist(), pa.list_(pa.float64()))})
+    place_q, place_m, _ = R.nearest(table("vector", m), table("query_vector", q), k)
+    size = np.linalg.norm(m, axis=1)
+    scores = np.round((q / np.linalg.norm(q, axis=1)[:, None]) @ np.divide(m, size[:, None], out=np.zeros_like(m), where=size[:, None] > 0).T, 9)
+    assert place_m.reshape(-1, k).tolist() == np.argsort(-scores, axis=1, kind="stable")[:, :k].tolist()
