@@ -204,10 +204,13 @@ def _stemmed(word: str, suffix=re.compile(rf"^(.{{3,}}?)(?:{'|'.join(L.SUFFIXES)
     return prefix.sub(r"\1", suffix.sub(r"\1", word))
 
 
-def _word_counts(texts: pa.Array, stemmed: bool) -> pa.Array:
-    """Per text in lower case its terms and how often it has each; words are told apart before they are stemmed."""
+def _word_counts(texts: pa.Array, stemmed: bool, whole: bool = False) -> pa.Array:
+    """Per text in lower case its terms and how often it has each; words are told apart before they are stemmed.
+
+    whole: with all its words as a term that is null, and their number beside each term.
+    """
     find, stops, stems = re.compile("[A-Za-z0-9_À-ɏ]{3,}").findall, frozenset(L.STOP_WORDS), {}
-    ends, terms, counts = [0], [], []
+    ends, terms, counts, sizes = [0], [], [], []
     for t in texts.to_pylist():
         words = Counter(find(t or ""))
         if stemmed:
@@ -219,26 +222,37 @@ def _word_counts(texts: pa.Array, stemmed: bool) -> pa.Array:
             words = out
         else:
             words = {w: n for w, n in words.items() if w not in stops}
+        if whole and words:
+            size = sum(words.values())
+            terms.append(None)
+            counts.append(size)
+            sizes.extend([size] * (len(words) + 1))
         terms.extend(words)
         counts.extend(words.values())
         ends.append(len(terms))
-    rows = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["term", "tf"])
+    columns = [pa.array(terms, pa.string()), pa.array(counts, pa.int64())] + [pa.array(sizes, pa.int64())] * whole
+    rows = pa.StructArray.from_arrays(columns, ["term", "tf", "dl"][: len(columns)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
 
-def term_counts(df: DataFrame, by: list[str], text: str = "text", stemmed: bool = True) -> DataFrame:
+def term_counts(df: DataFrame, by: list[str], text: str = "text", stemmed: bool = True, whole: bool = False) -> DataFrame:
     """by, term, tf: how often each term occurs in each text, the words and stems of `tokens`.
 
+    whole: instead by, term, tf, dl as each row of df gives them, not grouped, with a row of all its words without a term.
+
     Counts are dealt out by the texts' key, so what is counted or grouped by key from there on needs no shuffle. A text's words are found and counted by Python's compiled matcher: Java's looks at each character through a
     chain of calls, which took most of the time.
     """
     ship_package(df.sparkSession)
 
-    @F.arrow_udf("array<struct<term:string,tf:bigint>>")
+    @F.arrow_udf(f"array<struct<term:string,tf:bigint{',dl:bigint' if whole else ''}>>")
     def counted(texts: pa.Array) -> pa.Array:
-        return _word_counts(texts, stemmed)
+        return _word_counts(texts, stemmed, whole)
 
-    d = df.select(*by, F.inline(counted(F.lower(F.col(text))))).repartition(*by)
+    d = df.select(*by, F.inline(counted(F.lower(F.col(text)))))
+    if whole:
+        return d
+    d = d.repartition(*by)
     return d.groupBy(*by, "term").agg(F.sum("tf").alias("tf"))
 
 

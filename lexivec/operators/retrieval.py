@@ -172,15 +172,27 @@ def _query_terms(queries: DataFrame, stemmed: bool) -> DataFrame:
     return term_counts(queries.filter(F.col("query_text").isNotNull()), ["query_id"], "query_text", stemmed).withColumnRenamed("tf", "qf")
 
 
+def sent_if_few(d: DataFrame, key: str) -> DataFrame:
+    """d, to be sent to every task if its rows, counted, are few enough: keys to look up."""
+    return F.broadcast(d) if (d.agg(F.sum(64 + F.octet_length(F.col(key).cast("string")))).first()[0] or 0) <= MOST_SENT else d
+
+
 def _counted(docs: DataFrame, terms: DataFrame, stemmed: bool) -> DataFrame:
-    """id, term, tf, dl of docs (id, text): how often a text has each of these terms (term), and its length; words that are
-    none of them are one row of a text, without a term. Written, so that each text is tokenised once."""
-    asked = terms.select("term").distinct().withColumn("_asked", F.lit(True))
-    if (asked.agg(F.sum(64 + F.octet_length("term"))).first()[0] or 0) <= MOST_SENT:
-        asked = F.broadcast(asked)
-    d = term_counts(docs, ["id"], "text", stemmed).join(asked, "term", "left")
-    d = d.groupBy("id", F.when(F.col("_asked"), F.col("term")).alias("term")).agg(F.sum("tf").alias("tf"))
-    return written(d.withColumn("dl", F.sum("tf").over(Window.partitionBy("id"))), "counts")
+    """id, term, tf, dl of docs (id, text): how often a text has each of these terms (term), and its length; a text with words
+    has one row without a term, of all its words. Written, so that each text is tokenised once.
+
+    Where no id is there twice, what a text gives is whole, and no row is moved or grouped.
+    """
+    asked = sent_if_few(terms.select(F.col("term").alias("_asked")).distinct(), "_asked")
+    once = docs.groupBy("id").count().filter("count > 1").isEmpty()
+    # Rows without a term have a key of their own, which is no word, so that a shuffle spreads them.
+    key = F.coalesce("term", F.concat(F.lit("-"), F.col("id").cast("string")))
+    d = term_counts(docs, ["id"], "text", stemmed, whole=True).join(asked, key == F.col("_asked"), "left")
+    d = d.filter(F.col("term").isNull() | F.col("_asked").isNotNull()).select("id", "term", "tf", "dl")
+    if not once:
+        d = d.groupBy("id", "term").agg(F.sum("tf").alias("tf"))
+        d = d.withColumn("dl", F.max(F.when(F.col("term").isNull(), F.col("tf"))).over(Window.partitionBy("id")))
+    return written(d, "counts")
 
 
 def _idf(n: Column, df: Column) -> Column:
@@ -204,10 +216,10 @@ def bm25(pool: DataFrame, queries: DataFrame, stemmed: bool = True, texts: DataF
     if texts is None:
         texts = pool.select("id", "text").dropDuplicates(["id"])
     else:
-        texts = texts.join(pool.select("id").distinct(), "id", "left_semi")
+        texts = texts.join(sent_if_few(pool.select("id").distinct(), "id"), "id", "left_semi")
     q = written(_query_terms(queries, stemmed), "terms")
     counts = _counted(texts, q, stemmed)
-    length = texts.select("id").join(counts.select("id", "dl").distinct(), "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl"))
+    length = texts.select("id").join(counts.filter(F.col("term").isNull()).select("id", "dl"), "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl"))
     p = pool.select("query_id", "id").join(length, "id")
     size = p.groupBy("query_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     posts = counts.filter(F.col("term").isNotNull()).select("id", "term", "tf")
@@ -275,7 +287,7 @@ def bm25_top(docs: DataFrame, queries: DataFrame, top_k: int, stemmed: bool = Tr
     small = (q.agg(F.sum(64 + F.octet_length("term"))).first()[0] or 0) <= MOST_SENT
     sent = F.broadcast if small else lambda d: d
     counts = _counted(docs, q, stemmed)
-    size = docs.agg(F.count("*").alias("n")).crossJoin(counts.agg(F.sum("tf").alias("words"))).select("n", (F.coalesce("words", F.lit(0)) / F.nullif("n", F.lit(0))).alias("avgdl"))
+    size = docs.agg(F.count("*").alias("n")).crossJoin(counts.filter(F.col("term").isNull()).agg(F.sum("tf").alias("words"))).select("n", (F.coalesce("words", F.lit(0)) / F.nullif("n", F.lit(0))).alias("avgdl"))
     # A pair's rows are dealt out by id, so its sum needs no shuffle.
     tf = counts.filter(F.col("term").isNotNull()).repartition("id")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))

@@ -159,3 +159,17 @@ def test_nearest_takes_runs_of_any_number_of_rows(rows):
     size = np.linalg.norm(m, axis=1)
     scores = np.round((q / np.linalg.norm(q, axis=1)[:, None]) @ np.divide(m, size[:, None], out=np.zeros_like(m), where=size[:, None] > 0).T, 9)
     assert place_m.reshape(-1, k).tolist() == np.argsort(-scores, axis=1, kind="stable")[:, :k].tolist()
+
+
+@pytest.mark.parametrize("most", [0, 64 << 20])
+def test_counts_of_texts_are_not_grouped_again(spark, monkeypatch, most):
+    """What a text gives is written as it is, unless an id is there twice; then its texts count as one."""
+    plans, plain = [], R.written
+    monkeypatch.setattr(R, "MOST_SENT", most)
+    monkeypatch.setattr(R, "written", lambda d, name: plans.append(plan_of(d)) or plain(d, name))
+    terms = spark.createDataFrame([("q", "alpha", 1), ("r", "gamma", 2), ("r", "alpha", 1)], "query_id string, term string, qf long")
+    said = lambda rows: sorted(map(tuple, R._counted(spark.createDataFrame(rows, "id long, text string"), terms, False).collect()), key=repr)
+    a, c = [(1, None, 4, 4), (1, "alpha", 2, 4), (2, None, 1, 1)], [(3, None, 1, 1), (3, "gamma", 1, 1)]
+    assert said([(1, "alpha beta alpha delta"), (2, "beta"), (3, "gamma"), (4, None), (5, "of")]) == sorted(a + c, key=repr)
+    assert "Window" not in plans[0] and "Aggregate [id" not in plans[0] and "Exchange hashpartitioning(id" not in plans[0]
+    assert said([(1, "alpha beta"), (1, "alpha delta"), (2, "beta"), (3, "gamma")]) == sorted(a + c, key=repr)
