@@ -256,6 +256,17 @@ def term_counts(df: DataFrame, by: list[str], text: str = "text", stemmed: bool
     return d.groupBy(*by, "term").agg(F.sum("tf").alias("tf"))
 
 
+def with_words(df: DataFrame, text: str, to: str, stemmed: bool = True) -> DataFrame:
+    """df with the distinct words of `tokens` of a text; none where it is null."""
+    ship_package(df.sparkSession)
+
+    @F.arrow_udf("array<struct<term:string,tf:bigint>>")
+    def counted(texts: pa.Array) -> pa.Array:
+        return _word_counts(texts, stemmed)
+
+    return df.withColumn(to, counted(F.lower(F.col(text)))["term"])
+
+
 def sentences(text: Column) -> Column:
     """Sentences: cut after `.`, `!` or `?` and white space before a capital, but not after abbreviations or in numbers."""
     safe = F.regexp_replace(text, java(L.ABBREVIATIONS), "$1\u0001")

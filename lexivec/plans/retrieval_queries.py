@@ -35,7 +35,7 @@ def _queries(spark, sf):
 
 
 def _chunks(spark, sf):
-    return _t(spark, sf, "embeddings").join(_t(spark, sf, "documents"), F.col("vec_id") == F.col("doc_id")).select(F.col("vec_id").alias("id"), "text", "embedding", "label")
+    return _t(spark, sf, "embeddings").join(_t(spark, sf, "documents"), F.col("vec_id") == F.col("doc_id")).select(F.col("doc_id").alias("id"), "text", "embedding", "label")
 
 
 def vector_topk(spark, sf):

@@ -173,3 +173,23 @@ def test_counts_of_texts_are_not_grouped_again(spark, monkeypatch, most):
     assert said([(1, "alpha beta alpha delta"), (2, "beta"), (3, "gamma"), (4, None), (5, "of")]) == sorted(a + c, key=repr)
     assert "Window" not in plans[0] and "Aggregate [id" not in plans[0] and "Exchange hashpartitioning(id" not in plans[0]
     assert said([(1, "alpha beta"), (1, "alpha delta"), (2, "beta"), (3, "gamma")]) == sorted(a + c, key=repr)
+
+
+def test_contexts_tell_words_once_a_text(spark):
+    """No text is taken apart in each pair; the scores are those of `overlap`, and texts without words or null score 0."""
+    from lexivec.functions.text import with_words
+    from lexivec.plans import rag
+    from lexivec.providers import overlap, overlap_of
+
+    texts = ["Maps of rivers and rivers' mappings", "mapping the Rivers", "", None, "of the", "Ünder x_1 naïve walking walked"]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string")
+    pairs = d.crossJoin(d.select(F.col("id").alias("o"), F.col("text").alias("other")))
+    said = lambda x, c: [r["s"] for r in x.select("id", "o", c.alias("s")).orderBy("id", "o").collect()]
+    got = said(with_words(with_words(pairs, "text", "x"), "other", "y"), overlap_of(F.col("x"), F.col("y")))
+    assert got == said(pairs, overlap(F.col("text"), F.col("other"))) and any(got)
+    chunks = d.withColumn("embedding", F.array(F.lit(1.0), F.col("id").cast("double")))
+    q = spark.createDataFrame([(1, "rivers of maps", [1.0, 2.0]), (2, None, [1.0, 2.0])], "query_id long, query_text string, query_vector array<double>")
+    out = rag.answer_contexts(q, chunks)
+    assert "filter(split(" not in plan_of(out) and "lower(text" not in plan_of(out)
+    rows = out.collect()
+    assert [r["query_id"] for r in rows] == [1] and "mapping the Rivers" in rows[0]["context"]
