@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_UP, Decimal
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +12,7 @@ from pyspark.sql import types as T
 from lexivec.compat import ship_package, written
 from lexivec.functions import lexicon as L
 from lexivec.functions.text import term_counts, tokens
+from lexivec.operators.sparse import best_products, rounded
 
 
 #: Bytes of a table, counted, up to which it is sent to every task.
@@ -64,10 +63,7 @@ def _in_order(m: np.ndarray) -> np.ndarray:
 
 def _nine_places(s: np.ndarray) -> np.ndarray:
     """Rounded to nine places, halves away from zero, as Spark rounds."""
-    out = np.round(s, 9) + 0.0
-    for i in np.flatnonzero(np.abs(np.abs(s * 1e9) % 1 - 0.5) < 1e-3):
-        out[i] = float(Decimal(repr(float(s[i]))).quantize(Decimal("1e-9"), ROUND_HALF_UP)) + 0.0
-    return out
+    return rounded(s, 9)
 
 
 def _first_of_each(m: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
@@ -195,8 +191,8 @@ def _counted(docs: DataFrame, terms: DataFrame, stemmed: bool) -> DataFrame:
     return written(d, "counts")
 
 
-def _idf(n: Column, df: Column) -> Column:
-    return F.log((n - df + 0.5) / (df + 0.5) + 1)
+def _idf(n: Column, df: Column, log=F.log) -> Column:
+    return log((n - df + 0.5) / (df + 0.5) + 1)
 
 
 def _tfn(tf: Column, dl: Column, avgdl: Column) -> Column:
@@ -207,11 +203,30 @@ def _qtf(qf: Column) -> Column:
     return (L.K3 + 1) * qf / (L.K3 + qf)
 
 
+def _of_pool(rows: pa.Table, asked: pa.Table) -> pa.Table:
+    """query_id, id, score of the rows (query_id, id, dl, posts) of one query's pool that have terms (terms) of the query."""
+    flat = lambda d, column, *names: [d.column(column).combine_chunks().flatten().field(n).to_numpy() for n in names]
+    t, tf = flat(rows, "posts", "t", "tf")
+    wanted, qf = flat(asked, "terms", "t", "qf")
+    order = np.argsort(wanted)
+    wanted, qf = wanted[order], qf[order]
+    row = np.repeat(np.arange(len(rows)), pc.fill_null(pc.list_value_length(rows.column("posts").combine_chunks()), 0).to_numpy(zero_copy_only=False))
+    at = np.minimum(np.searchsorted(wanted, t), max(0, len(wanted) - 1))
+    both = wanted[at] == t if len(wanted) else np.zeros(len(t), bool)
+    at, row, tf, dl = at[both], row[both], tf[both], rows.column("dl").to_numpy()
+    qf, df = qf[at], np.bincount(at, minlength=len(wanted))[at]
+    part = qf * _idf(len(rows), df, np.log) * _tfn(tf, dl[row], dl.mean() if len(rows) else 0.0) * _qtf(qf)
+    out, some = np.bincount(row, part, minlength=len(rows)).astype(float, copy=False), np.unique(row)
+    found = rows.select(["query_id", "id"]).take(pa.array(some))
+    return found.append_column("score", pa.array(out[some]))
+
+
 def bm25(pool: DataFrame, queries: DataFrame, stemmed: bool = True, texts: DataFrame | None = None) -> DataFrame:
     """query_id, id, score, rank of every pool row (query_id, id) under its query (query_id, query_text).
 
     Frequencies and lengths are those of the query's own pool; a term that a query repeats counts each time. texts: id, text
     of the pool's rows, if pool has no text itself. Each text is tokenised once, however many queries have it in their pool.
+    A pool's rows come together as arrays of numbers, and what a query does not ask for is left out where they meet.
     """
     if texts is None:
         texts = pool.select("id", "text").dropDuplicates(["id"])
@@ -220,14 +235,13 @@ def bm25(pool: DataFrame, queries: DataFrame, stemmed: bool = True, texts: DataF
     q = written(_query_terms(queries, stemmed), "terms")
     counts = _counted(texts, q, stemmed)
     length = texts.select("id").join(counts.filter(F.col("term").isNull()).select("id", "dl"), "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl"))
-    p = pool.select("query_id", "id").join(length, "id")
-    size = p.groupBy("query_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    posts = counts.filter(F.col("term").isNotNull()).select("id", "term", "tf")
-    tf = p.join(posts, "id").join(q, ["query_id", "term"])
-    df = tf.groupBy("query_id", "term").agg(F.count("*").alias("df"))
-    d = tf.join(df, ["query_id", "term"]).join(size, "query_id")
-    part = F.col("qf") * _idf(F.col("n"), F.col("df")) * _tfn(F.col("tf"), F.col("dl"), F.col("avgdl")) * _qtf(F.col("qf"))
-    s = d.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    # Terms have numbers, which are written, so that they stay.
+    terms = written(q.select("term").distinct().withColumn("t", F.monotonically_increasing_id()), "numbers")
+    posts = counts.filter(F.col("term").isNotNull()).join(sent_if_few(terms, "term"), "term").groupBy("id").agg(F.collect_list(F.struct("t", "tf")).alias("posts"))
+    p = pool.select("query_id", "id").join(length.join(posts, "id", "left"), "id")
+    wanted = q.join(terms, "term").groupBy("query_id").agg(F.collect_list(F.struct("t", "qf")).alias("terms"))
+    s = p.groupBy("query_id").cogroup(wanted.groupBy("query_id")).applyInArrow(_of_pool, T.StructType([p.schema["query_id"], p.schema["id"], T.StructField("score", T.DoubleType())]))
+    s = s.groupBy("query_id", "id").agg(F.sum("score").alias("score"))
     out = pool.select("query_id", "id").join(s, ["query_id", "id"], "left").select("query_id", "id", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
     return ranked(out, "score", "id", ["query_id"])
 
@@ -280,19 +294,18 @@ def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int = L.TOP_K, min_scor
 def bm25_top(docs: DataFrame, queries: DataFrame, top_k: int, stemmed: bool = True) -> DataFrame:
     """query_id, id, score, rank: the best top_k of all docs (id, text) under each query (query_id, query_text).
 
-    Frequencies and lengths are those of docs. Each text is tokenised once; only top_k rows a query and task move at the end. Rows that match nothing score 0.
+    Frequencies and lengths are those of docs. Each text is tokenised once; pairs of a query and a document are scored in blocks, of which only
+    top_k rows a query move at the end. Rows that match nothing score 0.
     """
     q = written(_query_terms(queries, stemmed), "terms")
-    # Weights have a few numbers beside the term.
-    small = (q.agg(F.sum(64 + F.octet_length("term"))).first()[0] or 0) <= MOST_SENT
-    sent = F.broadcast if small else lambda d: d
     counts = _counted(docs, q, stemmed)
     size = docs.agg(F.count("*").alias("n")).crossJoin(counts.filter(F.col("term").isNull()).agg(F.sum("tf").alias("words"))).select("n", (F.coalesce("words", F.lit(0)) / F.nullif("n", F.lit(0))).alias("avgdl"))
-    # A pair's rows are dealt out by id, so its sum needs no shuffle.
-    tf = counts.filter(F.col("term").isNotNull()).repartition("id")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weights = q.join(df, "term").crossJoin(F.broadcast(size)).select("query_id", "term", "avgdl", (F.col("qf") * _idf(F.col("n"), F.col("df")) * _qtf(F.col("qf"))).alias("weight"))
-    s = tf.join(sent(weights), "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * _tfn(F.col("tf"), F.col("dl"), F.col("avgdl"))), 6).alias("score"))
+    tf = counts.filter(F.col("term").isNotNull())
+    # Terms have numbers, which are written, so that they stay.
+    terms = written(tf.groupBy("term").agg(F.count("*").alias("df")).withColumn("t", F.monotonically_increasing_id()), "numbers")
+    weights = q.join(terms, "term").crossJoin(F.broadcast(size)).select("query_id", "t", (F.col("qf") * _idf(F.col("n"), F.col("df")) * _qtf(F.col("qf"))).alias("weight"))
+    posts = tf.join(sent_if_few(terms.select("term", "t"), "term"), "term").crossJoin(F.broadcast(size)).select("id", "t", _tfn(F.col("tf"), F.col("dl"), F.col("avgdl")).alias("x"))
+    s = best_products(posts, weights, top_k, terms.agg(F.sum("df")).first()[0] or 0, docs.schema["id"].dataType)
     best = written(ranked(s, "score", "id", ["query_id"]).filter(F.col("rank") <= top_k).drop("rank"), "best")
     # A query with fewer matches than top_k is filled with the smallest ids that it doesn't match: they lie among the
     # first 2 * top_k, as fewer than top_k of these are matches.

@@ -52,11 +52,17 @@ def _searches(questions: DataFrame, parts: DataFrame | None) -> DataFrame:
     return d.withColumn("sid", F.concat_ws(":", F.col("query_id").cast("string"), F.col("part").cast("string")))
 
 
-def _found(chunks: DataFrame, asked: DataFrame, k: int, ways: set[str], min_score: float) -> DataFrame:
-    """retrieval, sid, id, score, rank: the best k chunks of each search by each way."""
-    q = asked.select(F.col("sid").alias("query_id"), "query_text", "query_vector")
+def _found(chunks: DataFrame, asked: DataFrame, k: int, ways: dict[str, set[bool]], min_score: float) -> DataFrame:
+    """retrieval, sid, id, score, rank: the best k chunks of each search by each way, of searches that an agentic configuration
+    (true), a plain one (false) or either makes by it."""
+    def of(*named: str) -> DataFrame:
+        kinds = set().union(*(ways.get(w, set()) for w in named))
+        mine = [F.col("agentic" if k else "plain") for k in kinds]
+        return asked.filter(mine[0] if len(mine) == 1 else mine[0] | mine[1]).select(F.col("sid").alias("query_id"), "query_text", "query_vector")
+
     out = []
-    if ways & {"vector", "hybrid"}:
+    if ways.keys() & {"vector", "hybrid"}:
+        q = of("vector", "hybrid")
         pool = written(R.vector_search(chunks.withColumnRenamed("id", "vec_id"), q, k * L.VECTOR_POOL), "pool")
         if "vector" in ways:
             out.append(("vector", pool.select("query_id", "id", "score", "rank")))
@@ -64,7 +70,7 @@ def _found(chunks: DataFrame, asked: DataFrame, k: int, ways: set[str], min_scor
             both = R.combine(pool, R.bm25(pool, q, texts=chunks.select("id", "text")))
             out.append(("hybrid", R.ranked(both, "fused", "id", ["query_id"]).select("query_id", "id", F.col("fused").alias("score"), "rank")))
     if "keyword" in ways:
-        out.append(("keyword", R.keyword_search(chunks.select("id", "text"), q, k).select("query_id", "id", F.col("keyword_score").alias("score"), "rank")))
+        out.append(("keyword", R.keyword_search(chunks.select("id", "text"), of("keyword"), k).select("query_id", "id", F.col("keyword_score").alias("score"), "rank")))
     rows = None
     for way, d in out:
         d = d.filter((F.col("rank") <= k) & (F.col("score") >= min_score)).select(F.lit(way).alias("retrieval"), F.col("query_id").alias("sid"), "id", "score", "rank")
@@ -105,7 +111,10 @@ def contexts(
     asked = written(_searches(sound, parts), "searches")
     found, texts = None, None
     for t, chunks in enumerate(tables):
-        ways = {x[1] for x in configs if x[1] != "none" and number[x[3]] == t}
+        ways: dict[str, set[bool]] = {}
+        for x in configs:
+            if x[1] != "none" and number[x[3]] == t:
+                ways.setdefault(x[1], set()).add(bool(x[4]))
         d = _found(chunks, asked, k, ways, min_score).withColumn("tab", F.lit(t))
         x = chunks.select(F.lit(t).alias("tab"), "id", "text")
         found, texts = (d, x) if found is None else (found.unionByName(d), texts.unionByName(x))
@@ -115,6 +124,8 @@ def contexts(
     rows = rows.filter((F.col("rank") <= F.col("wanted")) & F.when(F.col("_agent"), F.col("agentic")).otherwise(F.col("plain")))
     rows = rows.join(blocked, "query_id", "left").filter(~(F.col("guardrails") & F.col("_stop").isNotNull()))
     rows = written(rows.select("ord", "tab", "reranker", "top_k", "sid", "query_id", "part", "id", "score", "rank"), "candidates")
+    # Only texts that were found are moved.
+    texts = texts.join(R.sent_if_few(rows.select("tab", "id").distinct(), "id"), ["tab", "id"], "left_semi")
     pairs = rows.filter("reranker <> 'none'").select("tab", "sid", "id").distinct().join(texts, ["tab", "id"]).join(asked.select("sid", "query_text"), "sid")
     scored = written(judge(cross(pairs)).select("tab", "sid", "id", F.col("cross").cast("double").alias("cross"), F.col("judged").cast("double").alias("judged")), "scored")
     own = F.col("score")

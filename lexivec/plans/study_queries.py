@@ -16,9 +16,10 @@ from lexivec.operators import chunking as C
 from lexivec.operators import domain as D
 from lexivec.operators import evaluate as E
 from lexivec.operators.agent_loop import BLOCKED
+from lexivec.operators.retrieval import sent_if_few
 from lexivec.plans import sql as S
 from lexivec.plans import study
-from lexivec.plans.retrieval_queries import _FUSED, _KEYWORD, _VEC, EVERY, _bm25_sql, _chunks, _pool, _queries
+from lexivec.plans.retrieval_queries import _FUSED, _KEYWORD, _VEC, EVERY, _bm25_sql, _pool, _queries
 from lexivec.plans.stats_queries import _rounded, _t_crit
 from lexivec.plans.text_queries import _DISTINCT, _KW_SQL, _PII_SQL, _TYPE_SQL, _docs, _joined, _norm_sql, _t, _texts
 from lexivec.providers import overlap
@@ -158,7 +159,10 @@ def _study(spark, sf):
     half = F.ceil(F.size(words) / 2).cast("int")
     halves = F.array(F.slice(words, F.lit(1), half), F.slice(words, half + 1, F.greatest(F.size(words) - half, F.lit(0))))
     parts = q.select("query_id", F.posexplode(F.transform(halves, lambda h: F.array_join(h, " "))).alias("part", "query_text"), "query_vector")
-    chunks = _chunks(spark, sf).filter("embedding is not null").select("id", "text", "embedding")
+    # Only texts that have a vector are moved, and once.
+    vectors = _t(spark, sf, "embeddings").filter("embedding is not null").select(F.col("vec_id").alias("id"), "embedding")
+    texts = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text").join(sent_if_few(vectors.select("id").distinct(), "id"), "id", "left_semi")
+    chunks = written(texts.join(vectors, "id"), "chunks")
     return q, study.contexts(q, dict.fromkeys(("recursive", "semantic", "sentence_window", "hierarchical"), chunks), parts=parts)
 
 

@@ -193,3 +193,75 @@ def test_contexts_tell_words_once_a_text(spark):
     assert "filter(split(" not in plan_of(out) and "lower(text" not in plan_of(out)
     rows = out.collect()
     assert [r["query_id"] for r in rows] == [1] and "mapping the Rivers" in rows[0]["context"]
+
+
+def test_full_ranking_keeps_no_row_per_pair(spark, monkeypatch):
+    """Pairs of a query and a document are scored in blocks: each part gives top_k rows a query, the same as a plain sum, with
+    copies, texts without words, terms that all have and terms that one has, however postings and queries are dealt out."""
+    from lexivec.operators import sparse
+
+    r, given, plain = random.Random(8), [], R.ranked
+    words = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)]
+    texts = ["everyone " + " ".join(r.choices(words, [1 / (1 + i) for i in range(200)], k=r.randrange(1, 40))) for _ in range(120)]
+    rows = [(f"d{k:03}", None if k == 5 else "" if k == 6 else texts[k % 40 if k % 2 else k % 120]) for k in range(240)]
+    d = spark.createDataFrame([*rows, ("e", "unique")], "id string, text string")
+    q = spark.createDataFrame([(k, t) for k, t in enumerate([*texts[:25], "unique", "unheard", "", None, "everyone", "worda worda wordba"])], "query_id long, query_text string")
+    c = R.term_counts(d, ["id"], "text").withColumn("dl", F.expr("sum(tf) over (partition by id)"))
+    avgdl, n = c.agg(F.sum("tf")).first()[0] / 241, F.lit(241)
+    w = R._query_terms(q, True).join(c.groupBy("term").agg(F.count("*").alias("df")), "term")
+    part = F.col("qf") * R._idf(n, F.col("df")) * R._tfn(F.col("tf"), F.col("dl"), F.lit(avgdl)) * R._qtf(F.col("qf"))
+    each = c.join(w, "term").groupBy("query_id", "id").agg(F.sum(part).alias("s"))
+    s = q.crossJoin(d.select("id")).join(each, ["query_id", "id"], "left").select("query_id", "id", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("score"))
+    want = sorted(map(tuple, plain(s, "score", "id", ["query_id"]).filter("rank <= 6").select("query_id", "rank", "id", "score").collect()))
+    monkeypatch.setattr(R, "ranked", lambda d, *a: given.append(d) or plain(d, *a))
+    for dear, block, part in ((200, 4_000_000, 4_000_000), (0, 900, 500), (10**9, 50, 900)):
+        for name, value in (("DEAR", dear), ("BLOCK", block), ("PER_PART", part), ("QUERY_BYTES", 2048), ("LEAST_PART", 400)):
+            monkeypatch.setattr(sparse, name, value)
+        given.clear()
+        got = R.bm25_top(d, q, 6)
+        assert given[0].groupBy("query_id", F.spark_partition_id()).count().count() < given[0].count() < each.count() / 2
+        assert sorted(map(tuple, got.select("query_id", "rank", "id", "score").collect())) == want
+
+
+def test_pools_meet_as_arrays(spark):
+    """BM25 on pools makes no row per pair and term; the scores are those of a plain loop, with rows that have no words, no text
+    and no terms of the query, and queries without words."""
+    import math
+
+    from lexivec.functions import lexicon as L
+
+    texts = {1: "alpha beta beta gamma", 2: "alpha", 3: None, 4: "", 5: "gamma delta alpha", 6: "omega", 7: "beta beta beta alpha"}
+    asked = {1: "alpha beta alpha", 2: "omega nothing", 3: "", 4: None, 5: "gamma"}
+    pools = {1: [1, 2, 3, 4, 7], 2: [1, 6, 99], 3: [1, 2], 4: [5], 5: [1, 5, 6], 6: [1]}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    pool = spark.createDataFrame([(q, i) for q, ids in pools.items() for i in ids], "query_id long, id long")
+    got = R.bm25(pool, spark.createDataFrame(list(asked.items()), "query_id long, query_text string"), False, texts=docs)
+    assert "FlatMapCoGroupsInArrow" in plan_of(got)
+    want = []
+    for q, ids in pools.items():
+        rows = {i: (texts[i] or "").split() for i in ids if i in texts}
+        avg = sum(map(len, rows.values())) / len(rows)
+        score = {}
+        for i in ids:
+            for t in dict.fromkeys((asked.get(q) or "").split()):
+                qf, df, tf = asked[q].split().count(t), sum(t in r for r in rows.values()), rows.get(i, []).count(t)
+                if tf:
+                    tfn = tf * (L.K1 + 1) / (tf + L.K1 * (1 - L.B + L.B * len(rows[i]) / avg)) + L.DELTA
+                    score[i] = score.get(i, 0) + qf * math.log((len(rows) - df + 0.5) / (df + 0.5) + 1) * tfn * (L.K3 + 1) * qf / (L.K3 + qf)
+        best = sorted(((-round(score.get(i, 0.0), 6), i) for i in ids))
+        want += [(q, i, pytest.approx(-s, abs=1e-9), k) for k, (s, i) in enumerate(best, 1)]
+    assert sorted(tuple(a) for a in got.select("query_id", "id", "score", "rank").collect()) == sorted(want, key=lambda x: x[:2])
+
+
+def test_a_study_searches_only_what_it_asks(spark, monkeypatch):
+    """No configuration searches a question's parts by keywords; the texts that meet searches are those that were found."""
+    from lexivec.plans import study
+
+    from .test_study import CONFIGS, _data
+
+    q, parts, chunkings = _data(spark)
+    asked, sent, plain, small = [], [], R.keyword_search, R.sent_if_few
+    monkeypatch.setattr(R, "keyword_search", lambda d, q, k: asked.append(q.select("query_id").collect()) or plain(d, q, k))
+    monkeypatch.setattr(R, "sent_if_few", lambda d, key: sent.append(key) or small(d, key))
+    assert study.contexts(q, chunkings, CONFIGS, parts).count()
+    assert sorted(r[0] for r in asked[0]) == ["1:-1", "2:-1", "3:-1", "5:-1"] and sent[-1] == "id"
