@@ -200,8 +200,10 @@ def token_rows(df: DataFrame, text: str = "text", to: str = "term", stemmed: boo
 
 
 def _stemmed(word: str, suffix=re.compile(rf"^(.{{3,}}?)(?:{'|'.join(L.SUFFIXES)})$"), prefix=re.compile(rf"^(?:{'|'.join(L.PREFIXES)})(.{{3,}})$")) -> str:
-    """`stem` of one word."""
-    return prefix.sub(r"\1", suffix.sub(r"\1", word))
+    """`stem` of one word; most have no affix, which is told without the patterns."""
+    if word.endswith(L.SUFFIXES):
+        word = suffix.sub(r"\1", word)
+    return prefix.sub(r"\1", word) if word.startswith(L.PREFIXES) else word
 
 
 def _word_counts(texts: pa.Array, stemmed: bool, whole: bool = False) -> pa.Array:

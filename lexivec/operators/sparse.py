@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from lexivec.compat import ship_package
 
 #: Postings of a part and bytes of queries that meet in one task, about; postings worth a task; numbers of a block of scores.
-PER_PART, QUERY_BYTES, LEAST_PART, BLOCK = 4_000_000, 16 << 20, 50_000, 4_000_000
+PER_PART, QUERY_BYTES, LEAST_PART, BLOCK = 2_000_000, 16 << 20, 50_000, 2_000_000
 #: A posting that is met alone costs as much as so many numbers of a matrix product.
 DEAR = 200
 #: Decimal places of a score.

@@ -109,7 +109,7 @@ def bm25_indexed(spark, sf):
     for k in range(2):
         index.append(docs.filter(F.pmod("id", F.lit(2)) == k), str(k))
     q = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    return index.search(q, L.TOP_K)
+    return index.search(q, L.TOP_K).filter("score > 0")
 
 
 def bm25_keyword(spark, sf):

@@ -115,3 +115,28 @@ def test_only_completed_documents_are_searched(spark):
     q = spark.createDataFrame([(1, "alpha", [1.0, 5.0])], "query_id long, query_text string, query_vector array<double>")
     every, some = (sorted(r["id"] for r in R.hybrid(chunks, q, 20, 0.0, documents=d).collect()) for d in (None, documents))
     assert every == list(range(12)) and some == [0, 4, 8]
+
+
+def test_an_index_is_made_where_texts_are_read(spark, docs, tmp_path, monkeypatch):
+    """Neither texts nor postings are moved to be stored, and a search moves a few rows a query and part, not one per pair."""
+    plans, keep, frame = [], I.InvertedIndex._scored, type(docs)
+    write = frame.write.fget
+    monkeypatch.setattr(frame, "write", property(lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or write(d)))
+    index = I.InvertedIndex(spark, str(tmp_path / "ix")).append(docs.coalesce(3))
+    # A cached table's own plan is below its scan.
+    stored = [p for p in plans if "MapInArrow" in p]
+    assert len(stored) == 1 and "Exchange" not in stored[0].split("InMemoryRelation")[0] and "Aggregate" not in stored[0]
+    made = []
+    monkeypatch.setattr(I.InvertedIndex, "_scored", staticmethod(lambda a, g: made.append(keep(a, g)) or made[-1]))
+    monkeypatch.setattr(R, "MOST_SENT", 1)
+    got = rows(index.search(queries(spark), 3))
+    assert got == matched(spark, docs, 3)
+    pairs = R.bm25_top(docs, queries(spark), 1200).filter("score > 0").count()
+    assert len(got) <= made[1].count() < pairs / 10
+
+
+def test_texts_of_one_id_count_as_one(spark, tmp_path):
+    d = spark.createDataFrame([(1, "alpha beta"), (1, "alpha"), (2, "beta"), (3, None), (4, ""), (4, None), (5, "alpha gamma delta")], "id long, text string")
+    q = spark.createDataFrame([(1, "alpha"), (2, "beta gamma"), (3, "")], "query_id long, query_text string")
+    assert rows(I.InvertedIndex(spark).append(d).search(q, 9)) == [x for x in rows(R.bm25_top(d, q, 9)) if x[3] > 0]
+    assert rows(I.InvertedIndex(spark).append(d.limit(0)).search(q, 9)) == []
