@@ -175,7 +175,8 @@ def ablation_runs(spark, sf):
     q, found = _study(spark, sf)
     answer = lambda d: d.withColumn("answer", F.when(F.col("retrieval") == "none", F.col("query_text")).otherwise(F.get("contexts", F.lit(0))))
     score = lambda d: d.withColumn("score", overlap(F.col("answer"), F.col("query_text")))
-    return _rounded(study.run(q, written(found, "contexts"), answer, score).select("name", "questions", "failed", "score"))
+    # No answer reads more than the best context, so no other text is kept for them.
+    return _rounded(study.run(q, written(found.filter("place = 1"), "contexts"), answer, score).select("name", "questions", "failed", "score"))
 
 
 def point_lookup(spark, sf):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lexivec.operators import retrieval as R
 
+from .conftest import SF
+
 
 def plan_of(d):
     return d._jdf.queryExecution().toString()
@@ -265,3 +267,14 @@ def test_a_study_searches_only_what_it_asks(spark, monkeypatch):
     monkeypatch.setattr(R, "sent_if_few", lambda d, key: sent.append(key) or small(d, key))
     assert study.contexts(q, chunkings, CONFIGS, parts).count()
     assert sorted(r[0] for r in asked[0]) == ["1:-1", "2:-1", "3:-1", "5:-1"] and sent[-1] == "id"
+
+
+def test_answers_keep_the_contexts_they_read(spark, monkeypatch, same):
+    """Of each configuration and question the study keeps one text, the best, which is the answer."""
+    from lexivec.plans import study_queries as Q
+
+    kept, plain = {}, Q.written
+    monkeypatch.setattr(Q, "written", lambda d, name: kept.setdefault(name, plain(d, name)))
+    same(Q.ablation_runs(spark, SF), Q.ORACLES["ablation_runs"])
+    assert 0 < kept["contexts"].count() == kept["contexts"].select("ord", "query_id").distinct().count()
+    assert not kept["chunks"].filter("embedding is null").count()
